@@ -45,24 +45,35 @@ def knn_vectors(queries: DataFrame, points: DataFrame, k: int, *, q_id="q_id", p
     """Exact k nearest vectors without comparing every query with every point.
 
     Points go to the nearest of a fixed number of pivots (at most ``pivots`` rows, the only
-    thing broadcast).  With the radius of each pivot's cell the triangle inequality bounds
+    thing sent to every task).  With the radius of each pivot's cell the triangle inequality bounds
     the k-th distance of a query from above and each cell from below, and only cells that
     can hold a neighbour are visited.  A crowded cell is cut into blocks, each visited on
     its own, so no join key stays hot.
     """
     dist = _distance(p)
     order = F.xxhash64(F.col(p_id).cast("string"))
-    piv = points.select(F.col(vec).alias("__pv"), order.alias("__o"), F.col(p_id).alias("__t")).orderBy("__o", "__t").limit(pivots)
-    piv = F.broadcast(piv.select("__pv", F.xxhash64("__pv").alias("__cell")).distinct())  # at most ``pivots`` rows
-
-    def to_pivots(df):
-        return df.join(piv, how="cross").withColumn("__d", dist(F.col(vec), F.col("__pv"))).drop("__pv")
-
-    near = to_pivots(points.select(p_id, vec)).groupBy(p_id).agg(F.min(F.struct("__d", "__cell")).alias("m"), F.first(vec).alias(vec))
-    cells = near.select(p_id, vec, F.col("m.__cell").alias("__cell"), F.col("m.__d").alias("__r"))
+    rows = points.select(F.col(vec).alias("v"), order.alias("o"), F.col(p_id).alias("t")).orderBy("o", "t").limit(pivots).collect()
+    places = np.array([list(r["v"]) for r in rows], dtype=float)  # at most ``pivots`` vectors
+    if len(places) == 0:
+        return queries.select(q_id).limit(0).select(q_id, F.lit(None).alias(p_id), F.lit(0.0).alias("distance"), F.lit(0).alias("neighbor_rank"))
+
+    @F.pandas_udf("array<double>")
+    def to_pivots(v: pd.Series) -> pd.Series:
+        if len(v) == 0:
+            return pd.Series([], dtype=object)
+        x = np.vstack(v.to_numpy()).astype(float)
+        out = np.empty((len(x), len(places)))
+        for i, place in enumerate(places):
+            d = np.abs(x - place)
+            out[:, i] = d.sum(axis=1) if p == 1 else np.sqrt((d * d).sum(axis=1))
+        return pd.Series(list(out))
+
+    cells = points.select(p_id, vec, to_pivots(vec).alias("__ds")).withColumn("__r", F.array_min("__ds"))
+    cells = cells.select(p_id, vec, "__r", (F.array_position("__ds", F.col("__r")) - 1).cast("int").alias("__cell"))
     stats = cells.groupBy("__cell").agg(F.max("__r").alias("__radius"), F.count(F.lit(1)).alias("__n"))
     stats = stats.withColumn("__blocks", F.ceil(F.col("__n") / block))
-    q = attach(to_pivots(queries.select(q_id, vec)), stats, ["__cell"], "inner", small=True)  # one row per pivot
+    q = queries.select(q_id, vec, F.posexplode(to_pivots(vec)).alias("__cell", "__d"))
+    q = attach(q, stats, ["__cell"], "inner", small=True)  # one row per pivot
     slack = F.lit(1e-9) + F.abs("__d") * 1e-12
     q = q.withColumns({"__high": F.col("__d") + F.col("__radius") + slack, "__low": F.col("__d") - F.col("__radius") - slack})
     # per query there is one row per pivot, which bounds this window
