@@ -143,13 +143,13 @@ def failure_report(t: Tables):
 # ---------------------------------------------------------------------- screening batches
 BATCH = """inp AS (SELECT o_orderpriority AS batch, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) - 1 AS row_idx,
   'idx_' || (row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) - 1) AS name, o_orderkey FROM orders),
-agg AS (SELECT l_orderkey, sum(l_extendedprice)/100000 AS affinity FROM lineitem GROUP BY 1),
+agg AS (SELECT l_orderkey, sum(l_extendedprice)/10000 AS affinity FROM lineitem GROUP BY 1),
 pred AS (SELECT batch, name, affinity FROM inp JOIN agg ON o_orderkey = l_orderkey)"""
 
 
 def _batches(t: Tables):
     jobs = rk.with_job_name(t.orders.select(F.col("o_orderpriority").alias("batch"), "o_orderkey"), ["o_orderkey"], ["batch"])
-    agg = t.lineitem.groupBy("l_orderkey").agg((F.sum("l_extendedprice") / 100000).alias("affinity"))
+    agg = t.lineitem.groupBy("l_orderkey").agg((F.sum("l_extendedprice") / 10000).alias("affinity"))
     preds = jobs.join(agg, F.col("o_orderkey") == F.col("l_orderkey")).select("batch", "name", "affinity")
     return jobs, preds
 
@@ -166,10 +166,10 @@ def merge_screening(t: Tables):
     return rk.merge_screening(jobs.drop("name"), preds).select("batch", "row_idx", "o_orderkey", "affinity_pred")
 
 
-@query("pending_jobs", f"""WITH {BATCH} SELECT batch, name FROM inp WHERE name NOT IN (SELECT name FROM pred WHERE affinity > 2) AND name IN (SELECT name FROM pred)""")
+@query("pending_jobs", f"""WITH {BATCH} SELECT batch, name FROM inp WHERE name NOT IN (SELECT name FROM pred WHERE affinity > 20) AND name IN (SELECT name FROM pred)""")
 def pending_jobs(t: Tables):
     jobs, preds = _batches(t)
-    return tb.pending(jobs.select("batch", "name"), preds.where("affinity > 2"), preds)
+    return tb.pending(jobs.select("batch", "name"), preds.where("affinity > 20"), preds)
 
 
 @query("lookup_enrichment", """SELECT o_orderkey, o_custkey, c_name, c_mktsegment FROM orders JOIN customer ON o_custkey = c_custkey""")
@@ -351,12 +351,12 @@ def balanced_sample(t: Tables):
 g AS (SELECT l_orderkey, sum(ok) AS s, count(*) AS n, {draw_sql(1, 'l_orderkey')} % 2 AS label, {draw_sql(2, 'l_orderkey')} AS h FROM s GROUP BY l_orderkey),
 w AS (SELECT *, CASE WHEN label = 0 AND s < n THEN 0 WHEN s > 0 THEN 1 END AS want FROM g),
 r AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey, ok ORDER BY l_partkey, l_suppkey, l_linenumber) AS i FROM s)
-SELECT w.l_orderkey, w.label::INTEGER AS label, r.l_partkey, r.l_suppkey, r.l_linenumber FROM w LEFT JOIN r ON w.l_orderkey = r.l_orderkey AND w.want = r.ok
+SELECT w.l_orderkey, w.label::INTEGER AS label, coalesce(r.l_partkey, -1) AS l_partkey, coalesce(r.l_suppkey, -1) AS l_suppkey, coalesce(r.l_linenumber, -1) AS l_linenumber FROM w LEFT JOIN r ON w.l_orderkey = r.l_orderkey AND w.want = r.ok
   AND r.i = w.h % (CASE WHEN want = 1 THEN s ELSE n - s END) + 1""")
 def balanced_pick(t: Tables):
     df = t.lineitem.select("l_orderkey", *TIE, (F.col("l_quantity") / 8).alias("rmsd"), F.col("l_orderkey").alias("h"))
     out = sp.balanced_pick(df, "l_orderkey", order=TIE, seed=1, hash_key="h")
-    return out.select("l_orderkey", "label", *TIE)
+    return out.select("l_orderkey", "label", *TIE).na.fill(-1)
 
 
 @query("purge_and_restrict", """SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT item_id FROM benchmark) AND doc_id IN (SELECT doc_id FROM labels)""")

@@ -1,7 +1,7 @@
 """Vector algebra on triples of columns.
 
-A vector is a tuple of three Columns.  Long formulas are staged through named columns
-(``with_vec``) so that Catalyst computes each part once instead of expanding it.
+A vector is a tuple of three Columns.  Formulas that use an intermediate vector several
+times hold it with ``let``, so that each part is computed once.
 """
 
 from __future__ import annotations
@@ -75,36 +75,72 @@ def dihedral(a, b, c, d) -> Column:
     return F.atan2(norm(b2) * dot(b1, n2), dot(cross(b1, b2), n2))
 
 
+def let(values, body) -> Column:
+    """Name intermediate vectors inside one expression.
+
+    ``body`` gets the values as they come out of a one-element array, so each is computed
+    once however often the formula uses it, and the optimizer cannot expand it when it
+    moves a filter through the projection.
+    """
+    names = [f"v{i}" for i in range(len(values))]
+    held = F.struct(*[F.struct(*[c.alias(a) for a, c in zip(AXES, v)]).alias(n) for n, v in zip(names, values)])
+    return F.transform(
+        F.array(held), lambda h: body(*[tuple(h[n][a] for a in AXES) for n in names])
+    )[0]
+
+
+def as_struct(v) -> Column:
+    return F.struct(*[c.alias(a) for a, c in zip(AXES, v)])
+
+
+def _exact_unit(v):
+    size = norm(v)
+    return tuple(F.try_divide(c, size) for c in v)
+
+
 def with_virtual_cb(df: DataFrame, out: str, n: str, ca: str, c: str, length, angle, torsion):
     """Place a fourth point by bond length, bond angle and dihedral after C, N, CA."""
     vn, vca, vc = vec(n), vec(ca), vec(c)
+    along, side, up = (
+        length * math.cos(angle), length * math.sin(angle) * math.cos(torsion), -length * math.sin(angle) * math.sin(torsion),
+    )
 
-    def exact_unit(v):
-        return tuple(x / norm(v) for x in v)
-
-    df = with_vec(df, "__bc_", exact_unit(sub(vn, vca)))
-    df = with_vec(df, "__n0_", cross(sub(vn, vc), vec("__bc_")))
-    df = with_vec(df, "__n_", exact_unit(vec("__n0_")))
-    df = with_vec(df, "__m_", cross(vec("__n_"), vec("__bc_")))
-    parts = (
-        scale(vec("__bc_"), F.lit(length * math.cos(angle))),
-        scale(vec("__m_"), F.lit(length * math.sin(angle) * math.cos(torsion))),
-        scale(vec("__n_"), F.lit(-length * math.sin(angle) * math.sin(torsion))),
+    def place(bc, normal):
+        parts = (scale(bc, F.lit(along)), scale(cross(normal, bc), F.lit(side)), scale(normal, F.lit(up)))
+        return as_struct(add(parts[0], add(parts[1], parts[2])))
+
+    shift = let(
+        [_exact_unit(sub(vn, vca))],
+        lambda bc: let([cross(sub(vn, vc), bc)], lambda n0: let([bc, _exact_unit(n0)], place)),
     )
-    df = with_vec(df, out, add(vca, add(parts[0], add(parts[1], parts[2]))))
-    return df.drop(*[f"{p}{a}" for p in ("__bc_", "__n0_", "__n_", "__m_") for a in AXES])
+    df = df.withColumn("__cb", shift)
+    return with_vec(df, out, tuple(F.col(ca + a) + F.col("__cb")[a] for a in AXES)).drop("__cb")
 
 
 def with_local_frame(df: DataFrame, n: str, ca: str, c: str, out=("e1_", "e2_", "e3_")):
     """Orthonormal frame at CA: e1 towards C, e2 in the N side of the plane, e3 normal."""
-    e1, e2, e3 = out
-    df = with_vec(df, e1, unit(sub(vec(c), vec(ca))))
-    df = with_vec(df, "__v2_", sub(vec(n), vec(ca)))
-    v2 = vec("__v2_")
-    df = with_vec(df, "__u2_", sub(v2, scale(vec(e1), dot(vec(e1), v2))))
-    df = with_vec(df, e2, unit(vec("__u2_")))
-    df = with_vec(df, e3, cross(vec(e1), vec(e2)))
-    return df.drop(*[f"{p}{a}" for p in ("__v2_", "__u2_") for a in AXES])
+    v1, v2 = sub(vec(c), vec(ca)), sub(vec(n), vec(ca))
+
+    def second(e1):
+        return let([unit(sub(v2, scale(e1, dot(e1, v2))))], lambda e2: F.struct(
+            as_struct(e1).alias("a"), as_struct(e2).alias("b"), as_struct(cross(e1, e2)).alias("c")
+        ))
+
+    df = df.withColumn("__frame", let([unit(v1)], second))
+    for name, part in zip(out, ("a", "b", "c")):
+        df = with_vec(df, name, tuple(F.col("__frame")[part][a] for a in AXES))
+    return df.drop("__frame")
+
+
+def with_side_chain_direction(df: DataFrame, out: str, n: str, ca: str, c: str) -> DataFrame:
+    """Approximate side-chain direction: -sqrt(1/3) bisector - sqrt(2/3) normal."""
+    def direction(uc, un):
+        return let([unit(add(uc, un)), unit(cross(uc, un))], lambda bisector, normal: as_struct(add(
+            scale(bisector, F.lit(-math.sqrt(1 / 3))), scale(normal, F.lit(-math.sqrt(2 / 3)))
+        )))
+
+    df = df.withColumn("__d", let([unit(sub(vec(c), vec(ca))), unit(sub(vec(n), vec(ca)))], direction))
+    return with_vec(df, out, tuple(F.col("__d")[a] for a in AXES)).drop("__d")
 
 
 def to_local(point, origin, frame):

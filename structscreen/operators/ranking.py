@@ -33,10 +33,17 @@ def value_counts(df: DataFrame, key: str, out: str = "n") -> DataFrame:
     return attach(df, df.groupBy(key).agg(F.count(F.lit(1)).alias(out)), [key])
 
 
-def with_ranks(poses: DataFrame, by=GROUP) -> DataFrame:
+RANKS_USED = {
+    "by_rank_div5_plus_clash_rank": {"clash"}, "by_rank_plus_clash_rank_div2": {"clash"},
+    "rmsd_combined_rank": {"clash", "affinity"},
+}
+
+
+def with_ranks(poses: DataFrame, by=GROUP, ranks=("affinity", "clash")) -> DataFrame:
     """Average ranks of affinity (high first) and clash score (low first) per group."""
-    ranked = avg_rank(poses, by, "affinity", "affinity_rank", ascending=False)
-    return avg_rank(ranked, by, "clashScore", "clash_rank")
+    if "affinity" in ranks:
+        poses = avg_rank(poses, by, "affinity", "affinity_rank", ascending=False)
+    return avg_rank(poses, by, "clashScore", "clash_rank") if "clash" in ranks else poses
 
 
 def policy_score(policy: str, seed: int, draw_keys) -> Column:
@@ -78,7 +85,8 @@ def select_policies(
     """
     by, tie = list(by), list(tie)
     keep = list(keep or [c for c in poses.columns if c not in by])
-    ranked = with_ranks(without_failed(poses, legacy_sentinel), by)
+    needed = set().union(*[RANKS_USED.get(p, set()) for p in policies])
+    ranked = with_ranks(without_failed(poses, legacy_sentinel), by, needed)
     best = []
     for p in policies:
         score = policy_score(p, seed, tie)

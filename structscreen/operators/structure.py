@@ -241,8 +241,10 @@ def contacts(backbone: DataFrame, by=("structure_id",), *, index="pos", thr=8.0)
     0 otherwise; only the ones are stored, never a full L x L table.
     """
     placed = v.with_virtual_cb(backbone, "cb_", "n_", "ca_", "c_", k.CB_LENGTH, k.CB_ANGLE, k.CB_DIHEDRAL)
-    undefined = placed.where("cb_x IS NULL OR isnan(cb_x)").select(*by, index)
-    points = placed.where("cb_x IS NOT NULL AND NOT isnan(cb_x)").select(*by, index, *[F.col(f"cb_{c}").alias(c) for c in XYZ])
+    parts = [p + c for p in ("n_", "ca_", "c_") for c in XYZ]
+    missing = " OR ".join(f"{c} IS NULL OR isnan({c})" for c in parts)
+    undefined = backbone.where(missing).select(*by, index)
+    points = placed.where(f"NOT ({missing})").select(*by, index, *[F.col(f"cb_{c}").alias(c) for c in XYZ])
     pairs = radius_pairs(points, thr, by, id_col=index)
     return pairs.select(*by, F.col(f"a_{index}").alias("i"), F.col(f"b_{index}").alias("j"), "distance"), undefined
 
