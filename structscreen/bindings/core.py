@@ -61,11 +61,12 @@ POINTS = """pts AS (
 SEQS = """seqs AS (
   SELECT doc_id, source, source || '_' || doc_id AS label, upper(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS sequence FROM documents)"""
 # an alignment: the reference lacks every 11th column, the model every 7th, every 13th differs
-ALIGNED = SEQS + """, cols AS (
-  SELECT doc_id, unnest(range(length(sequence))) AS col, sequence FROM seqs),
+CHARS = SEQS + """, cols AS (
+  SELECT doc_id, generate_subscripts(string_split(sequence, ''), 1) - 1 AS col, unnest(string_split(sequence, '')) AS ch FROM seqs WHERE sequence <> '')"""
+ALIGNED = CHARS + """,
 aln AS (
-  SELECT doc_id, col, CASE WHEN col % 11 = 5 AND col % 7 <> 3 THEN '-' ELSE substr(sequence, col+1, 1) END AS ref_char,
-         CASE WHEN col % 7 = 3 THEN '-' WHEN col % 13 = 2 THEN 'X' ELSE substr(sequence, col+1, 1) END AS mod_char
+  SELECT doc_id, col, ch, CASE WHEN col % 11 = 5 AND col % 7 <> 3 THEN '-' ELSE ch END AS ref_char,
+         CASE WHEN col % 7 = 3 THEN '-' WHEN col % 13 = 2 THEN 'X' ELSE ch END AS mod_char
   FROM cols)"""
 
 

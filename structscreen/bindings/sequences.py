@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from structscreen.bindings.core import ALIGNED, SEQS, Tables, query
+from structscreen.bindings.core import ALIGNED, CHARS, SEQS, Tables, query
 from structscreen.functions import text as tx
 from structscreen.operators import align as al
 from structscreen.operators import clean as cl
@@ -120,7 +120,7 @@ def identity_ratio(t: Tables):
     return t.aligned().select("doc_id", al.identity_ratio(t.aligned()).alias("by_window"), al.identity_ratio(t.aligned(), denominator="shorter").alias("by_shorter"))
 
 
-@query("sequence_recovery", f"WITH {ALIGNED} SELECT doc_id, round(sum((substr(sequence, col+1, 1) = mod_char)::INT)/count(*)::DOUBLE, 6) AS recovery FROM aln JOIN seqs USING (doc_id) GROUP BY 1")
+@query("sequence_recovery", f"WITH {ALIGNED} SELECT doc_id, round(sum((ch = mod_char)::INT)/count(*)::DOUBLE, 6) AS recovery FROM aln GROUP BY 1")
 def sequence_recovery(t: Tables):
     return t.aligned().select("doc_id", al.recovery("sequence", "mod_aln").alias("recovery"))
 
@@ -146,7 +146,7 @@ def drop_reference_gaps(t: Tables):
     return out.select("doc_id", F.md5("ref_aln").alias("ref"), F.md5("mod_aln").alias("mod"))
 
 
-@query("drop_short_runs", f"""WITH {SEQS}, c AS (SELECT doc_id, unnest(range(length(sequence))) AS idx, sequence FROM seqs), k AS (SELECT doc_id, idx FROM c WHERE substr(sequence, idx+1, 1) NOT IN ('E','N')),
+@query("drop_short_runs", f"""WITH {CHARS}, k AS (SELECT doc_id, col AS idx FROM cols WHERE ch NOT IN ('E','N')),
 n AS (SELECT *, row_number() OVER w AS rn, lead(idx) OVER w AS nx FROM k WINDOW w AS (PARTITION BY doc_id ORDER BY idx)),
 r AS (SELECT doc_id, idx-rn AS run, count(*) AS len, min(rn) AS f, max((nx IS NULL)::INT) AS l FROM n GROUP BY 1,2),
 o AS (SELECT * FROM r WHERE l = 1 OR (CASE WHEN f = 1 THEN len-1 ELSE len END) > 3)
@@ -156,7 +156,7 @@ def drop_short_runs(t: Tables):
     return al.drop_short_runs(rows.select("doc_id", "idx"), BY).groupBy("doc_id").agg(F.count(F.lit(1)).alias("kept"), F.sum("idx").alias("total"))
 
 
-@query("fill_gaps", f"""WITH {SEQS}, c AS (SELECT doc_id, unnest(range(length(sequence))) AS i FROM seqs), m AS (SELECT doc_id, i, i*3.8 AS x, CASE WHEN i % 10 < 7 THEN i*3.8 + (i % 13)*0.1 END AS mx FROM c),
+@query("fill_gaps", f"""WITH {CHARS}, c AS (SELECT doc_id, col AS i FROM cols), m AS (SELECT doc_id, i, i*3.8 AS x, CASE WHEN i % 10 < 7 THEN i*3.8 + (i % 13)*0.1 END AS mx FROM c),
 h AS (SELECT *, max(CASE WHEN mx IS NOT NULL THEN i END) OVER (PARTITION BY doc_id ORDER BY i) AS hi, min(CASE WHEN mx IS NOT NULL THEN i END) OVER (PARTITION BY doc_id ORDER BY i DESC) AS ti FROM m),
 f AS (SELECT doc_id, i, mx, coalesce(mx, x + (hi % 13)*0.1*(1-(i-hi)/(ti-hi)::DOUBLE) + (ti % 13)*0.1*((i-hi)/(ti-hi)::DOUBLE)) AS fx FROM h)
 SELECT doc_id, count(fx) AS placed, count(CASE WHEN mx IS NULL THEN fx END) AS filled, round(sum(fx), 2) AS total FROM f GROUP BY 1""")
@@ -171,7 +171,7 @@ def fill_gaps(t: Tables):
     return out.groupBy("doc_id").agg(F.count("mx").alias("placed"), F.count(F.when(F.col("filled"), F.col("mx"))).alias("filled"), F.round(F.sum("mx"), 2).alias("total"))
 
 
-@query("apply_gap_mask", f"""WITH {SEQS}, c AS (SELECT doc_id, unnest(range(length(sequence))) AS residue_idx FROM seqs) SELECT doc_id, count(*) AS kept, sum(residue_idx)::BIGINT AS total FROM c WHERE residue_idx % 7 <> 3 GROUP BY 1""")
+@query("apply_gap_mask", f"""WITH {CHARS}, c AS (SELECT doc_id, col AS residue_idx FROM cols) SELECT doc_id, count(*) AS kept, sum(residue_idx)::BIGINT AS total FROM c WHERE residue_idx % 7 <> 3 GROUP BY 1""")
 def apply_gap_mask(t: Tables):
     seqs = t.seqs().where("sequence <> ''")
     residues = seqs.select("doc_id", F.explode(F.sequence(F.lit(0).cast("long"), F.length("sequence").cast("long") - 1)).alias("residue_idx"))

@@ -33,13 +33,22 @@ def token_ids(
 ) -> Column:
     """Vocabulary indices of a sequence; truncation happens before BOS/EOS are added."""
     index = {s: i for i, s in enumerate(vocabulary())}
-    table = literal_map(index)
+    table = literal_map({s: i for s, i in index.items() if len(s) > 1})
+    # single symbols stand in a row in the vocabulary, so their place in one string is enough
+    singles, first = "".join(k.RESIDUE_TOKENS), len(k.LEADING_TOKENS)
     unknown = (
         F.lit(index["<unk>"])
         if on_unknown == "unk"
         else F.raise_error(F.lit("symbol outside the vocabulary")).cast("int")
     )
-    ids = F.transform(split_symbols(text), lambda s: F.coalesce(F.try_element_at(table, s), unknown))
+
+    def one(s):
+        at = F.instr(F.lit(singles), s)
+        return F.when((F.length(s) == 1) & (at > 0), at + F.lit(first - 1)).otherwise(
+            F.coalesce(F.try_element_at(table, s), unknown)
+        )
+
+    ids = F.transform(split_symbols(text), one)
     if truncate is not None:
         ids = F.slice(ids, 1, truncate)
     parts = [ids]

@@ -81,7 +81,7 @@ def _window(by, order):
     return Window.partitionBy(*by).orderBy(*[F.col(c).asc() for c in order])
 
 
-def _plain(spec, w_run, w_all_before, w_all_after):
+def _plain(spec, w_run, w_all_before, w_back):
     kind = spec[0]
     if kind == "row_number":
         return F.row_number().over(w_run).cast("long")
@@ -95,7 +95,7 @@ def _plain(spec, w_run, w_all_before, w_all_after):
     if kind == "ffill":
         return F.last(value, ignorenulls=True).over(w_all_before)
     if kind == "bfill":
-        return F.first(value, ignorenulls=True).over(w_all_after)
+        return F.last(value, ignorenulls=True).over(w_back)
     raise ValueError(f"unknown running computation {kind!r}")
 
 
@@ -104,7 +104,11 @@ def _frames(by, order):
     return (
         w,
         w.rowsBetween(Window.unboundedPreceding, Window.currentRow),
-        w.rowsBetween(Window.currentRow, Window.unboundedFollowing),
+        # next non-null: the running form over the reversed order; a frame that reaches
+        # forward to the end would be evaluated anew for every row
+        Window.partitionBy(*by).orderBy(*[F.col(c).desc() for c in order]).rowsBetween(
+            Window.unboundedPreceding, Window.currentRow
+        ),
     )
 
 
@@ -266,14 +270,20 @@ def avg_rank(df: DataFrame, by, col: str, out: str, ascending: bool = True) -> D
     return attach(df, ranks, by + [signed]).drop(signed)
 
 
+def checkpoint_folder(spark) -> str:
+    """The shared folder the cluster names; a temporary one only where none is set (tests)."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if folder is None:
+        import tempfile
+
+        folder = tempfile.mkdtemp(prefix="structscreen-checkpoint-")
+        spark.sparkContext.setCheckpointDir(folder)
+    return folder
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the folder the cluster names; survives executor loss."""
+    """Reliable checkpoint in the shared folder; survives the loss of executors."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if folder is None:  # tests and single-machine use only
-            import tempfile
-
-            folder = tempfile.mkdtemp(prefix="structscreen-checkpoint-")
-        sc.setCheckpointDir(folder)
+        sc.setCheckpointDir(checkpoint_folder(df.sparkSession))
     return df.checkpoint()

@@ -43,11 +43,11 @@ def _numbered_records(spark: SparkSession, paths) -> DataFrame:
 
 def check_unique_labels(seqs: DataFrame, by=("file",)) -> DataFrame:
     """The same rows; computing them fails if a label occurs twice in a file."""
-    twice = seqs.groupBy(*by, "label").agg(F.count(F.lit(1)).alias("n"), *[
+    twice = seqs.groupBy(*by, "label").agg(F.count(F.lit(1)).alias("__n"), *[
         F.first(c).alias(c) for c in seqs.columns if c not in (*by, "label")
     ])
     message = F.concat(F.lit("duplicate sequence label "), F.col("label"))
-    label = F.when(F.col("n") > 1, F.raise_error(message).cast("string")).otherwise(F.col("label"))
+    label = F.when(F.col("__n") > 1, F.raise_error(message).cast("string")).otherwise(F.col("label"))
     return twice.withColumn("label", label).select(*seqs.columns)
 
 
