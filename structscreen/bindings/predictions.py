@@ -290,7 +290,7 @@ def _run_folder(t: Tables, name: str) -> str:
     return f"{checkpoint_folder(t.spark)}/{name}-{uuid4().hex}"
 
 
-@query("stream_meter", "SELECT date_trunc('day', ts)::TIMESTAMP AS window_start, round_even((value % 10)/10*9, 0)::INTEGER AS bin, round(avg(value),6) AS value, count(*) AS n FROM events GROUP BY 1,2")
+@query("stream_meter", "SELECT strftime(ts, '%Y-%m-%d') AS window_start, round_even((value % 10)/10*9, 0)::INTEGER AS bin, round(avg(value),6) AS value, count(*) AS n FROM events GROUP BY 1,2")
 def stream_meter(t: Tables):
     """Windowed meter over the event files as a stream, run to the end of the input."""
     folder = _run_folder(t, "meter")
@@ -301,7 +301,8 @@ def stream_meter(t: Tables):
         .foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(f"{folder}/out")).start()
     )
     run.awaitTermination()
-    return t.spark.read.parquet(f"{folder}/out")
+    done = t.spark.read.parquet(f"{folder}/out")
+    return done.withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd"))
 
 
 @query("incremental_processing", "SELECT o_orderkey AS name, round(o_totalprice*2,2) AS doubled FROM orders")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from structscreen.functions import vec as v
-from structscreen.plans.skew import over_groups
+from structscreen.plans.skew import over_groups, spread
 
 XYZ = ("x", "y", "z")
 
@@ -25,7 +25,7 @@ def explode_alignment(df: DataFrame, by=("id",), ref="ref_aln", mod="mod_aln") -
     pair = F.when(F.length(ref) == F.length(mod), F.arrays_zip(chars(ref).alias("r"), chars(mod).alias("m"))).otherwise(
         F.raise_error(F.lit("aligned strings differ in length")).cast("array<struct<r:string,m:string>>")
     )
-    rows = df.select(*by, F.posexplode(pair).alias("col", "p")).select(
+    rows = spread(df.select(*by, ref, mod)).select(*by, F.posexplode(pair).alias("col", "p")).select(
         *by, F.col("col").cast("long").alias("col"), F.col("p.r").alias("ref_char"), F.col("p.m").alias("mod_char"),
         (F.col("p.r") != "-").cast("long").alias("__r"), (F.col("p.m") != "-").cast("long").alias("__m"),
     )

@@ -42,6 +42,18 @@ def plan_bytes(df: DataFrame) -> int:
         return 1 << 62
 
 
+def spread(df: DataFrame, below_bytes: int = 1 << 30) -> DataFrame:
+    """Use all cores before a step that makes many rows out of one.
+
+    A small input comes in few partitions however much work each row carries; it is dealt
+    out over the default parallelism.  A large one already has more splits than cores and
+    stays as it is.
+    """
+    if plan_bytes(df) >= below_bytes:
+        return df
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+
+
 def attach(left: DataFrame, right: DataFrame, keys, how="left", small=False) -> DataFrame:
     """Null-safe equi-join on equally named keys; the right keys do not stay.
 

@@ -38,7 +38,7 @@ def read_screening_batches(spark: SparkSession, root: str) -> DataFrame:
 
 
 def batch_of(path: Column) -> Column:
-    return F.regexp_extract(path, r"([^/]+)/affinity_prediction\.csv$", 1)
+    return F.regexp_extract(path, r"([^/]+)/affinity_prediction\.csv(?:/|$)", 1)
 
 
 def write_predictions(summary: DataFrame, complete: DataFrame, out: str, fmt="csv", mode="errorifexists") -> None:

@@ -57,6 +57,7 @@ def stream_merge(preds: DataFrame, inputs: DataFrame, *, delay="1 hour") -> Data
 
 def stream_meter(stream: DataFrame, metrics, *, time="ts", window="1 day", delay="1 hour", t="t", bins=10, by=()) -> DataFrame:
     """Means of metrics per tumbling window and bin; rows later than ``delay`` are dropped."""
+    stream = stream.withColumn(time, F.col(time).cast("timestamp"))
     keyed = stream.withColumn("bin", F.bround(F.col(t) * (bins - 1)).cast("int")).withWatermark(time, delay)
     out = keyed.groupBy(F.window(time, window).alias("w"), *by, "bin").agg(
         *[F.avg(m).alias(m) for m in metrics], F.count(F.lit(1)).alias("n")
