@@ -315,3 +315,17 @@ def incremental_processing(t: Tables):
 
     inc.process_incremental(stream, double, f"{folder}/out", f"{folder}/state").awaitTermination()
     return t.spark.read.parquet(f"{folder}/out").select("name", F.round("doubled", 2).alias("doubled"))
+
+
+@query("stream_merge", "SELECT substr(o_orderpriority, 1, 1) AS batch, o_orderkey AS row_idx, o_totalprice AS affinity_pred, o_custkey FROM orders")
+def stream_merge(t: Tables):
+    """Prediction files of screening batches read as a stream and joined to the batch inputs."""
+    folder = _run_folder(t, "landing")
+    rows = t.orders.select(F.substring("o_orderpriority", 1, 1).alias("batch"), F.concat(F.lit("idx_"), "o_orderkey").alias("name"), F.col("o_totalprice").alias("affinity"))
+    for batch in ("1", "2", "3", "4", "5"):  # the five priorities of the data model
+        rows.where(F.col("batch") == batch).select("name", "affinity").write.csv(f"{folder}/{batch}/affinity_prediction.csv", header=True)
+    inputs = t.orders.select(F.substring("o_orderpriority", 1, 1).alias("batch"), F.col("o_orderkey").alias("row_idx"), "o_custkey")
+    merged = inc.stream_merge(inc.stream_predictions(t.spark, folder), inputs)
+    run = merged.writeStream.option("checkpointLocation", f"{folder}-state").trigger(availableNow=True).format("parquet").option("path", f"{folder}-out").start()
+    run.awaitTermination()
+    return t.spark.read.parquet(f"{folder}-out")

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from structscreen.functions import vec as v
 from structscreen.plans.skew import over_groups, spread
@@ -16,25 +19,71 @@ def chars(text) -> Column:
     return F.filter(F.split(c, ""), lambda s: s != "")
 
 
+_MAX_CELLS = 2_000_000
+
+
+def _characters(texts: list[str], total: int) -> tuple[pa.Array, np.ndarray]:
+    """All characters of all texts as one string column, and where they are no gap."""
+    joined = "".join(texts)
+    data = joined.encode()
+    if len(data) == total:  # one byte per character: the text itself is the column's buffer
+        raw = np.frombuffer(data, dtype=np.uint8)
+        offsets = np.arange(total + 1, dtype=np.int32)
+        return pa.StringArray.from_buffers(total, pa.py_buffer(offsets), pa.py_buffer(data)), raw != 45
+    letters = list(joined)
+    return pa.array(letters, pa.string()), np.array(letters) != "-"
+
+
+def _residue_numbers(there: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    upto = np.cumsum(there, dtype=np.int64)
+    before = np.where(starts > 0, upto[np.maximum(starts - 1, 0)], 0)
+    return pa.array(upto - np.repeat(before, sizes) - 1, mask=~there)
+
+
+def _columns_of(batch: pa.RecordBatch, ref: list[str], mod: list[str], rows: range, n_keys: int) -> pa.RecordBatch:
+    sizes = np.array([len(ref[i]) for i in rows], dtype=np.int64)
+    total = int(sizes.sum())
+    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64)
+    r, r_there = _characters([ref[i] for i in rows], total)
+    m, m_there = _characters([mod[i] for i in rows], total)
+    which = pa.array(np.repeat(np.arange(rows.start, rows.stop), sizes))
+    keys = [batch.column(c).take(which) for c in range(n_keys)]
+    col = pa.array(np.arange(total, dtype=np.int64) - np.repeat(starts, sizes))
+    arrays = [*keys, col, r, m, _residue_numbers(r_there, starts, sizes), _residue_numbers(m_there, starts, sizes)]
+    names = [*batch.schema.names[:n_keys], "col", "ref_char", "mod_char", "ref_idx", "mod_idx"]
+    return pa.RecordBatch.from_arrays(arrays, names)
+
+
 def explode_alignment(df: DataFrame, by=("id",), ref="ref_aln", mod="mod_aln") -> DataFrame:
     """(by, col, ref_char, mod_char, ref_idx, mod_idx); an index is null at a gap.
 
-    Strings of different length are an error.
+    Strings of different length are an error.  An alignment is one row, so its residue
+    numbers are counted inside the row, on whole Arrow batches, and nothing is shuffled
+    however long it is.  Output batches stay near two million columns.
     """
     by = list(by)
-    pair = F.when(F.length(ref) == F.length(mod), F.arrays_zip(chars(ref).alias("r"), chars(mod).alias("m"))).otherwise(
-        F.raise_error(F.lit("aligned strings differ in length")).cast("array<struct<r:string,m:string>>")
-    )
-    rows = spread(df.select(*by, ref, mod)).select(*by, F.posexplode(pair).alias("col", "p")).select(
-        *by, F.col("col").cast("long").alias("col"), F.col("p.r").alias("ref_char"), F.col("p.m").alias("mod_char"),
-        (F.col("p.r") != "-").cast("long").alias("__r"), (F.col("p.m") != "-").cast("long").alias("__m"),
-    )
-    out = over_groups(rows, by, ["col"], __ru=("sum", "__r"), __mu=("sum", "__m"))
-    return out.select(
-        *by, "col", "ref_char", "mod_char",
-        F.when(F.col("__r") == 1, F.col("__ru") - 1).alias("ref_idx"),
-        F.when(F.col("__m") == 1, F.col("__mu") - 1).alias("mod_idx"),
-    )
+    keys = df.select(*by).schema.fields
+    schema = T.StructType([
+        *keys, T.StructField("col", T.LongType()), T.StructField("ref_char", T.StringType()), T.StructField("mod_char", T.StringType()),
+        T.StructField("ref_idx", T.LongType()), T.StructField("mod_idx", T.LongType()),
+    ])
+    n_keys = len(keys)
+
+    def run(batches):
+        for batch in batches:
+            texts = [[t or "" for t in batch.column(n_keys + i).to_pylist()] for i in (0, 1)]
+            first = cells = 0
+            for i, (r, m) in enumerate(zip(*texts)):
+                if len(r) != len(m):
+                    raise ValueError("aligned strings differ in length")
+                if cells and cells + len(r) > _MAX_CELLS:
+                    yield _columns_of(batch, *texts, range(first, i), n_keys)
+                    first, cells = i, 0
+                cells += len(r)
+            if cells:
+                yield _columns_of(batch, *texts, range(first, len(texts[0])), n_keys)
+
+    return spread(df.select(*by, ref, mod)).mapInArrow(run, schema)
 
 
 def matched_pairs(columns: DataFrame, equal_only=False) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from structscreen import constants as k
 from structscreen.functions.text import one_letter
+from structscreen.plans.checks import must_be_empty
 from structscreen.plans.skew import attach, over_groups
 
 RESIDUE = ("chain", "hetero", "resid", "insertion")
@@ -54,14 +55,8 @@ def load_backbone(atoms: DataFrame, by=STRUCTURE, chains: list[str] | None = Non
     out = out.where(F.col("chain").isin(*chains))
     wanted = out.sparkSession.createDataFrame([(c,) for c in chains], "chain string")
     missing = wanted.exceptAll(out.select("chain").distinct())
-    # left join on the (short) chain list: any missing chain raises when rows are computed
-    failing = missing.select(
-        F.raise_error(F.concat(F.lit("chain not found: "), F.col("chain"))).cast("string").alias("chain")
-    )
-    empty = failing.select(*[
-        F.col("chain") if f.name == "chain" else F.lit(None).cast(f.dataType).alias(f.name) for f in out.schema
-    ])
-    return out.unionByName(empty)
+    message = F.concat(F.lit("chain not found: "), F.col("chain"))
+    return out.unionByName(must_be_empty(missing, message, out))
 
 
 def valid_residues(atoms: DataFrame, by=STRUCTURE, residue=RESIDUE) -> DataFrame:

@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from structscreen.functions import vec as v
 from structscreen.operators.spatial import XYZ, pocket_atoms
@@ -16,7 +17,7 @@ def rmsd(pairs: DataFrame, by=(), a="a_", b="b_", out="rmsd") -> DataFrame:
     return pairs.groupBy(*by).agg(F.sqrt(F.avg(v.dist2(v.vec(a), v.vec(b)))).alias(out))
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
 def _rotation(h: pd.Series, repair: pd.Series) -> pd.Series:
     """Row-major rotations R = V U^T from 3x3 covariances, one batched decomposition."""
     if len(h) == 0:

@@ -15,32 +15,38 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from structscreen.functions import vec as v
+from structscreen.plans.checks import must_be_empty
 from structscreen.plans.skew import attach, over_groups
 
 XYZ = ("x", "y", "z")
 
 
-def _cells(xyz, side: Column, names=("__cx", "__cy", "__cz")):
-    return {n: F.floor(F.col(c) / side) for n, c in zip(names, xyz)}
-
-
 _AROUND = [(i, j, k) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)]
-# one of each pair of opposite neighbours; enough for unordered self pairs
-_HALF = [o for o in _AROUND if o >= (0, 0, 0)]
+# own cube first, then one of each pair of opposite neighbours: enough for unordered pairs
+_HALF = sorted(o for o in _AROUND if o >= (0, 0, 0))
+_BITS = 21
 
 
-def _spread(df: DataFrame, offsets) -> DataFrame:
-    steps = F.array(*[F.array(*[F.lit(i) for i in o]) for o in offsets])
-    df = df.withColumn("__o", F.explode(steps))
-    for axis, name in enumerate(("__cx", "__cy", "__cz")):
-        df = df.withColumn(name, F.col(name) + F.col("__o")[axis])
-    return df
+def _cube(xyz, side: Column, origin=None, step: Column | None = None) -> Column:
+    """Cube of a point as one long: 21 low bits of each cube number.
 
+    Numbers that wrap around can only add candidates, which the exact distance removes;
+    the neighbours of one cube never share a key.
+    """
+    mask = F.lit((1 << _BITS) - 1).cast("long")
+    key = None
+    for n, c in enumerate(xyz):
+        at = F.floor((F.col(c) if origin is None else F.col(c) - origin[n]) / side)
+        part = F.shiftleft((at if step is None else at + step[n]).bitwiseAND(mask), (2 - n) * _BITS)
+        key = part if key is None else key.bitwiseOR(part)
+    return key
 
-def _side(df: DataFrame, prefix: str, by, cols, xyz, radius: Column) -> DataFrame:
-    df = df.withColumns(_cells(xyz, radius))
-    keep = dict.fromkeys([*cols, *xyz])
-    return df.select(*by, "__cx", "__cy", "__cz", *[F.col(c).alias(prefix + c) for c in keep])
+
+def _spread_cubes(df: DataFrame, xyz, side: Column, offsets, origin=None) -> DataFrame:
+    """One copy per neighbouring cube: adds ``__o`` (number of the neighbour) and ``__cube``."""
+    steps = F.array(*[F.array(*[F.lit(i) for i in o]) for o in offsets])  # a constant
+    copies = df.select("*", F.posexplode(steps).alias("__o", "__step"))
+    return copies.withColumn("__cube", _cube(xyz, side, origin, F.col("__step"))).drop("__step")
 
 
 def radius_join(
@@ -56,22 +62,26 @@ def radius_join(
     """
     by, pa, pb = list(by), *prefixes
     if isinstance(radius, str):
-        a_cols = [*a_cols, radius]
+        a_cols, b_cols = [*a_cols, radius], [*b_cols, radius]
         side_col = F.col(radius)
         near = F.sqrt("__d2") / F.col(pa + radius) <= 1
     else:
         side_col = F.lit(float(radius))
         near = F.col("__d2") < side_col * side_col if strict else F.col("__d2") <= side_col * side_col
-    left = _side(a, pa, by, a_cols, xyz, side_col)
-    right = _spread(_side(b, pb, by, b_cols, xyz, side_col), _AROUND)
-    keys = by + ["__cx", "__cy", "__cz"]
+    left = a.select(
+        *by, _cube(xyz, side_col).alias("__cube"), *[F.col(c).alias(pa + c) for c in dict.fromkeys([*a_cols, *xyz])]
+    )
+    right = _spread_cubes(b.select(*dict.fromkeys([*by, *b_cols, *xyz])), xyz, side_col, _AROUND).select(
+        *by, "__cube", *[F.col(c).alias(pb + c) for c in dict.fromkeys([*b_cols, *xyz])]
+    )
+    keys = by + ["__cube"]
     d2 = v.dist2(tuple(F.col(pa + c) for c in xyz), tuple(F.col(pb + c) for c in xyz))
     return (
-        left.join(right.drop("__o"), keys, "inner")
+        left.join(right, keys, "inner")
         .withColumn("__d2", d2)
         .where(near)
         .withColumn("distance", F.sqrt("__d2"))
-        .drop("__cx", "__cy", "__cz", "__d2")
+        .drop("__cube", "__d2")
     )
 
 
@@ -87,13 +97,9 @@ def radius_pairs(
     by, pa, pb = list(by), *prefixes
     r = F.lit(float(radius))
     cols = list(dict.fromkeys([id_col, *cols, *xyz]))
-    base = points.withColumns(_cells(xyz, r)).select(*by, "__cx", "__cy", "__cz", F.struct(*cols).alias("__p"))
-    left = base.withColumnRenamed("__p", "__l")
-    right = (
-        _spread(base, _HALF)
-        .withColumn("__same", F.col("__o") == F.array(F.lit(0), F.lit(0), F.lit(0)))
-        .drop("__o")
-        .withColumnRenamed("__p", "__q")
+    left = points.select(*by, _cube(xyz, r).alias("__cube"), F.struct(*cols).alias("__l"))
+    right = _spread_cubes(points.select(*dict.fromkeys([*by, *cols])), xyz, r, _HALF).select(
+        *by, F.struct(*cols).alias("__q"), "__o", "__cube"
     )
     l_xyz = tuple(F.col("__l")[c] for c in xyz)
     q_xyz = tuple(F.col("__q")[c] for c in xyz)
@@ -101,8 +107,8 @@ def radius_pairs(
     d2 = v.dist2(l_xyz, q_xyz)
     limit = r * r
     pairs = (
-        left.join(right, by + ["__cx", "__cy", "__cz"], "inner")
-        .where((~F.col("__same")) | (lid < qid))
+        left.join(right, by + ["__cube"], "inner")
+        .where((F.col("__o") > 0) | (lid < qid))
         .withColumn("__d2", d2)
         .where(F.col("__d2") < limit if strict else F.col("__d2") <= limit)
     )
@@ -159,11 +165,7 @@ def neighbor_graph(
     linked = edges.select(*by, F.col(f"a_{id_col}").alias(id_col), F.lit(1).alias("__ok")).distinct()
     alone = attach(points.select(*by, id_col), linked, [*by, id_col], "left").where("__ok IS NULL")
     message = F.concat(F.lit("isolated point "), F.col(id_col).cast("string"))
-    failing = alone.select(
-        *[F.lit(None).cast(f.dataType).alias(f.name) if f.name != "distance"
-          else F.raise_error(message).cast("double").alias("distance") for f in edges.schema]
-    )
-    return edges.unionByName(failing)
+    return edges.unionByName(must_be_empty(alone, message, edges))
 
 
 # ------------------------------------------------------------------- nearest neighbours
@@ -213,33 +215,33 @@ def knn_join(
     def located(df):
         return attach(df, extent, by, "inner")
 
-    def cell(level):
-        side = F.col("__span") / F.pow(F.lit(2.0), level)
-        return {
-            f"__c{a}": F.floor((F.col(c) - F.col(f"__min_{c}")) / side)
-            for a, c in zip(("x", "y", "z"), xyz)
-        }
+    origin = [F.col(f"__min_{c}") for c in xyz]
+
+    def side(level):
+        return F.col("__span") / F.pow(F.lit(2.0), level)
 
     levels = F.explode(F.sequence(F.lit(0), F.col("__depth"))).alias("__level")
-    key = by + ["__level", "__cx", "__cy", "__cz"]
-    leveled = located(pts).select("*", levels).withColumns(cell(F.col("__level")))
+    key = by + ["__level", "__cube"]
+    here = _cube(xyz, side(F.col("__level")), origin=origin)
+    leveled = located(pts).select("*", levels).withColumn("__cube", here)
     counts = leveled.groupBy(*key).agg(F.count(F.lit(1)).alias("__n")).where(
         (F.col("__n") >= need) | (F.col("__level") == 0)
     )
     q = located(queries.select(*by, F.col(q_id).alias("__q"), *xyz))
     best = (
-        q.select("*", levels).withColumns(cell(F.col("__level")))
+        q.select("*", levels).withColumn("__cube", here)
         .join(counts, key, "inner")
         .groupBy(*by, "__q")
         .agg(F.max(F.struct("__level", "__n", *xyz, "__span", *[f"__min_{c}" for c in xyz])).alias("__b"))
         .select(*by, "__q", "__b.*")
     )
-    diagonal = F.col("__span") / F.pow(F.lit(2.0), F.col("__level")) * F.lit(math.sqrt(3.0) * (1 + 1e-9))
+    diagonal = side(F.col("__level")) * F.lit(math.sqrt(3.0) * (1 + 1e-9))
     best = best.withColumn(
         "__reach", F.when(F.col("__n") >= need, diagonal)  # null: take the whole group
     ).withColumn("__level", F.greatest(F.col("__level") - 1, F.lit(0)))
-    probe = _spread(best.withColumns(cell(F.col("__level"))), _AROUND)
-    probe = probe.select(*key, "__q", "__reach", *[F.col(c).alias(f"__q_{c}") for c in xyz])
+    probe = _spread_cubes(best, xyz, side(F.col("__level")), _AROUND, origin).select(
+        *by, "__level", "__cube", "__q", "__reach", *[F.col(c).alias(f"__q_{c}") for c in xyz]
+    )
     found = probe.join(leveled.select(*key, p_id, *p_cols), key, "inner")
     d2 = v.dist2(tuple(F.col(f"__q_{c}") for c in xyz), tuple(F.col(c) for c in xyz))
     found = found.withColumn("distance", F.sqrt(d2)).where(

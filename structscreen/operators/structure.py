@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from structscreen import constants as k
@@ -62,16 +62,20 @@ def _with_partner(atoms: DataFrame, by, residue, index) -> DataFrame:
     """Add the model place of the symmetric partner (s*), null where there is none.
 
     Within a residue the n-th atom of class 1 partners the n-th of class 2; both classes
-    must have the same number of atoms present.
+    must have the same number of atoms present.  Everything is a window over one residue,
+    so the table is shuffled once, by residue.
     """
-    amb = atoms.where("amb > 0").select(*by, residue, "amb", index, "mx", "my", "mz")
-    sizes = amb.groupBy(*by, residue).agg(
-        F.count_if(F.col("amb") == 1).alias("__n1"), F.count_if(F.col("amb") == 2).alias("__n2")
-    ).where("__n1 = __n2").select(*by, residue)
-    amb = over_groups(amb.join(sizes, [*by, residue], "left_semi"), [*by, residue, "amb"], [index], __at=("row_number",))
-    other = amb.select(*by, residue, (3 - F.col("amb")).alias("amb"), "__at", F.col("mx").alias("sx"), F.col("my").alias("sy"), F.col("mz").alias("sz"))
-    swapped = amb.join(other, [*by, residue, "amb", "__at"], "inner").select(*by, index, "sx", "sy", "sz")
-    return attach(atoms, swapped, [*by, index])
+    res = Window.partitionBy(*by, residue)
+    counts = [F.count_if(F.col("amb") == c).over(res) for c in (1, 2)]
+    out = atoms.withColumns({"__n1": counts[0], "__n2": counts[1]})
+    out = out.withColumn("__at", F.row_number().over(Window.partitionBy(*by, residue, "amb").orderBy(index)))
+    # in the order (n-th, class) partners stand side by side
+    pairs = Window.partitionBy(*by, residue, F.col("amb") > 0).orderBy("__at", "amb")
+    place = F.struct("mx", "my", "mz")
+    partner = F.when(F.col("amb") == 1, F.lead(place).over(pairs)).when(F.col("amb") == 2, F.lag(place).over(pairs))
+    out = out.withColumn("__s", F.when((F.col("__n1") == F.col("__n2")) & (F.col("amb") > 0), partner))
+    out = out.withColumn("__swaps", (F.col("__n1") == F.col("__n2")) & (F.col("__n1") > 0))
+    return out.select(*atoms.columns, "__swaps", *[F.col("__s")[f"m{c}"].alias(f"s{c}") for c in XYZ])
 
 
 def resolve_symmetry(atoms: DataFrame, by, *, residue="res_idx", index="atom_idx", radius=15.0, seq_sep=0) -> DataFrame:
@@ -82,23 +86,24 @@ def resolve_symmetry(atoms: DataFrame, by, *, residue="res_idx", index="atom_idx
     """
     by = list(by)
     with_s = _with_partner(atoms, by, residue, index)
-    swappable = with_s.where("sx IS NOT NULL").select(*by, residue).distinct()
-    src = with_s.join(swappable, [*by, residue], "left_semi").select(
-        *by, F.col(residue).alias("res"), F.col("rx").alias("x"), F.col("ry").alias("y"), F.col("rz").alias("z"),
-        "mx", "my", "mz", F.coalesce("sx", "mx").alias("sx"), F.coalesce("sy", "my").alias("sy"), F.coalesce("sz", "mz").alias("sz"),
-    )
-    dst = atoms.where("amb = 0").select(
-        *by, F.col(residue).alias("res"), F.col("rx").alias("x"), F.col("ry").alias("y"), F.col("rz").alias("z"), "mx", "my", "mz"
+    place = [F.col("rx").alias("x"), F.col("ry").alias("y"), F.col("rz").alias("z")]
+    src = with_s.where("__swaps").select(
+        *by, F.col(residue).alias("res"), *place, "mx", "my", "mz", *[F.coalesce(f"s{c}", f"m{c}").alias(f"s{c}") for c in XYZ]
     )
+    dst = atoms.where("amb = 0").select(*by, F.col(residue).alias("res"), *place, "mx", "my", "mz")
     pairs = radius_join(dst, src, radius, by, a_cols=["res", "mx", "my", "mz"], b_cols=["res", "mx", "my", "mz", "sx", "sy", "sz"])
     pairs = pairs.where(F.abs(F.col("a_res") - F.col("b_res")) > seq_sep)
     far = v.vec("a_m")
-    plain = conserved(F.abs(v.dist(v.vec("b_m"), far) - F.col("distance")))
-    turned = conserved(F.abs(v.dist(v.vec("b_s"), far) - F.col("distance")))
-    better = pairs.groupBy(*by, F.col("b_res").alias(residue)).agg(F.sum(plain).alias("p"), F.sum(turned).alias("s")).where("s > p")
+    changes = pairs.select(
+        *by, F.col("b_res").alias(residue), F.abs(v.dist(v.vec("b_m"), far) - F.col("distance")).alias("p"),
+        F.abs(v.dist(v.vec("b_s"), far) - F.col("distance")).alias("s"),
+    )
+    better = changes.groupBy(*by, residue).agg(
+        F.sum(conserved(F.col("p"))).alias("p"), F.sum(conserved(F.col("s"))).alias("s")
+    ).where("s > p")
     chosen = attach(with_s, better.select(*by, residue, F.lit(True).alias("__swap")), [*by, residue])
     take = F.col("__swap") & F.col("sx").isNotNull()
-    return chosen.withColumns({f"m{c}": F.when(take, F.col(f"s{c}")).otherwise(F.col(f"m{c}")) for c in XYZ}).drop("sx", "sy", "sz", "__swap")
+    return chosen.withColumns({f"m{c}": F.when(take, F.col(f"s{c}")).otherwise(F.col(f"m{c}")) for c in XYZ}).select(*atoms.columns)
 
 
 def lddt_pairs(
@@ -125,9 +130,10 @@ def lddt_pairs(
     pairs = radius_pairs(points, radius, by, id_col="idx", cols=["res", "mx", "my", "mz", "site"])
     pairs = pairs.where(F.abs(F.col("a_res") - F.col("b_res")) > seq_sep)
     change = F.abs(v.dist(v.vec("a_m"), v.vec("b_m")) - F.col("distance"))
-    return pairs.select(
-        *by, "a_idx", "b_idx", "a_res", "b_res", conserved(change).alias("kept"), (F.col("a_site") & F.col("b_site")).alias("site")
+    pairs = pairs.select(
+        *by, "a_idx", "b_idx", "a_res", "b_res", change.alias("change"), (F.col("a_site") & F.col("b_site")).alias("site")
     )
+    return pairs.withColumn("kept", conserved(F.col("change"))).drop("change")
 
 
 def lddt(atoms: DataFrame, by=("pose_id",), **options) -> DataFrame:

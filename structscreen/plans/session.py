@@ -12,6 +12,9 @@ SETTINGS = {
     # A radius join is followed by an aggregate; splitting a crowded cell is worth the
     # extra exchange.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # A join whose partitions all turn out small is hashed instead of sorted; larger ones
+    # keep the sort-merge form, which can spill.
+    "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64m",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
 

@@ -267,7 +267,7 @@ def avg_rank(df: DataFrame, by, col: str, out: str, ascending: bool = True) -> D
     )
     if heavy is None:
         w_rank = Window.partitionBy(*by).orderBy(F.col(signed).asc_nulls_last())
-        w_same = Window.partitionBy(*by, signed)
+        w_same = w_rank.rangeBetween(Window.currentRow, Window.currentRow)  # the tied rows
         rank = F.rank().over(w_rank) + (F.count(F.lit(1)).over(w_same) - 1) / F.lit(2.0)
         return df.withColumn(out, F.when(F.col(signed).isNotNull(), rank)).drop(signed)
     # One row per distinct value first: the running count then needs no tie handling.

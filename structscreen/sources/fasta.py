@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from structscreen.functions.text import msa_view
+from structscreen.plans.checks import must_be_empty
 from structscreen.plans.skew import over_groups
 
 
@@ -43,12 +44,9 @@ def _numbered_records(spark: SparkSession, paths) -> DataFrame:
 
 def check_unique_labels(seqs: DataFrame, by=("file",)) -> DataFrame:
     """The same rows; computing them fails if a label occurs twice in a file."""
-    twice = seqs.groupBy(*by, "label").agg(F.count(F.lit(1)).alias("__n"), *[
-        F.first(c).alias(c) for c in seqs.columns if c not in (*by, "label")
-    ])
+    twice = seqs.groupBy(*by, "label").agg(F.count(F.lit(1)).alias("__n")).where("__n > 1")
     message = F.concat(F.lit("duplicate sequence label "), F.col("label"))
-    label = F.when(F.col("__n") > 1, F.raise_error(message).cast("string")).otherwise(F.col("label"))
-    return twice.withColumn("label", label).select(*seqs.columns)
+    return seqs.unionByName(must_be_empty(twice, message, seqs))  # only labels are shuffled
 
 
 def read_fasta(spark: SparkSession, paths, on_duplicate: str = "error") -> DataFrame:
