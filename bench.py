@@ -9,6 +9,7 @@ import time
 from pyspark.sql import SparkSession
 
 from structscreen.bindings import load
+from structscreen.plans.session import BUILD_SETTINGS
 
 HEADLINE = (
     "all_policies_report", "select_rmsd_combined_rank", "average_ranks", "final_rerank", "weighted_affinity",
@@ -22,11 +23,14 @@ HEADLINE = (
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", str(os.cpu_count() or 4))
-    spark = (
+    builder = (
         SparkSession.builder.master(f"local[{cpus}]").appName("structscreen-bench")
         .config("spark.sql.shuffle.partitions", cpus).config("spark.driver.memory", os.environ.get("BENCH_MEMORY", "8g"))
-        .config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").getOrCreate()
+        .config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
     )
+    for key, value in BUILD_SETTINGS.items():
+        builder = builder.config(key, value)
+    spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     registry = load()
     names = os.environ.get("BENCH_QUERIES", "").split() or HEADLINE

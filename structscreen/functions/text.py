@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from itertools import chain
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from structscreen import constants as k
 
@@ -24,39 +28,51 @@ def vocabulary() -> list[str]:
 
 def split_symbols(text: Column) -> Column:
     """Known angle-bracket symbols stay whole, every other visible character is one symbol."""
-    specials = "|".join(t for t in vocabulary() if t.startswith("<"))
-    return F.regexp_extract_all(text, F.lit(rf"({specials}|\S)"), F.lit(1))
+    return F.regexp_extract_all(text, F.lit(f"({_symbol_pattern()})"), F.lit(1))
+
+
+def _symbol_pattern() -> str:
+    return "|".join([*[re.escape(t) for t in vocabulary() if len(t) > 1], r"\S"])
 
 
 def token_ids(
     text: Column, *, truncate: int | None = None, bos=True, eos=True, on_unknown="error"
 ) -> Column:
-    """Vocabulary indices of a sequence; truncation happens before BOS/EOS are added."""
-    index = {s: i for i, s in enumerate(vocabulary())}
-    table = literal_map({s: i for s, i in index.items() if len(s) > 1})
-    # single symbols stand in a row in the vocabulary, so their place in one string is enough
-    singles, first = "".join(k.RESIDUE_TOKENS), len(k.LEADING_TOKENS)
-    unknown = (
-        F.lit(index["<unk>"])
-        if on_unknown == "unk"
-        else F.raise_error(F.lit("symbol outside the vocabulary")).cast("int")
-    )
+    """Vocabulary indices of a sequence; truncation happens before BOS/EOS are added.
 
-    def one(s):
-        at = F.instr(F.lit(singles), s)
-        return F.when((F.length(s) == 1) & (at > 0), at + F.lit(first - 1)).otherwise(
-            F.coalesce(F.try_element_at(table, s), unknown)
-        )
-
-    ids = F.transform(split_symbols(text), one)
-    if truncate is not None:
-        ids = F.slice(ids, 1, truncate)
-    parts = [ids]
-    if bos:
-        parts.insert(0, F.array(F.lit(index["<cls>"])))
-    if eos:
-        parts.append(F.array(F.lit(index["<eos>"])))
-    return F.concat(*parts)
+    Sequences run to tens of thousands of symbols, so the lookup works on whole Arrow
+    batches with a byte table; texts with bracketed symbols are split first.
+    """
+    index = {s: i for i, s in enumerate(vocabulary())}
+    unknown = index["<unk>"]
+    table = np.full(256, -1, dtype=np.int32)
+    for symbol, i in index.items():
+        if len(symbol) == 1:
+            table[ord(symbol)] = i
+    blank = np.zeros(256, dtype=bool)
+    blank[[ord(c) for c in " \t\n\r\f\v"]] = True
+    pattern = re.compile(_symbol_pattern())
+    head = np.array([index["<cls>"]] if bos else [], dtype=np.int32)
+    tail = np.array([index["<eos>"]] if eos else [], dtype=np.int32)
+
+    def encode(sequence: str) -> np.ndarray:
+        if "<" not in sequence and sequence.isascii():
+            raw = np.frombuffer(sequence.encode(), dtype=np.uint8)
+            ids = table[raw[~blank[raw]]]
+        else:
+            ids = np.array([index.get(s, -1) for s in pattern.findall(sequence)], dtype=np.int32)
+        if (ids < 0).any():
+            if on_unknown != "unk":
+                raise ValueError("symbol outside the vocabulary")
+            ids = np.where(ids < 0, unknown, ids).astype(np.int32)
+        return np.concatenate([head, ids[:truncate], tail])
+
+    @F.arrow_udf(T.ArrayType(T.IntegerType()))
+    def encode_batch(texts: pa.Array) -> pa.Array:
+        rows = [None if t is None else encode(t) for t in texts.to_pylist()]
+        return pa.array(rows, pa.list_(pa.int32()))
+
+    return encode_batch(text)
 
 
 def pad_ids(ids: Column, width: Column) -> Column:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from structscreen.functions import vec as v
 from structscreen.plans.checks import must_be_empty
-from structscreen.plans.skew import attach, over_groups
+from structscreen.plans.skew import attach, hashed_if_small, over_groups, spread
 
 XYZ = ("x", "y", "z")
 
@@ -45,7 +45,7 @@ def _cube(xyz, side: Column, origin=None, step: Column | None = None) -> Column:
 def _spread_cubes(df: DataFrame, xyz, side: Column, offsets, origin=None) -> DataFrame:
     """One copy per neighbouring cube: adds ``__o`` (number of the neighbour) and ``__cube``."""
     steps = F.array(*[F.array(*[F.lit(i) for i in o]) for o in offsets])  # a constant
-    copies = df.select("*", F.posexplode(steps).alias("__o", "__step"))
+    copies = spread(df).select("*", F.posexplode(steps).alias("__o", "__step"))
     return copies.withColumn("__cube", _cube(xyz, side, origin, F.col("__step"))).drop("__step")
 
 
@@ -77,7 +77,7 @@ def radius_join(
     keys = by + ["__cube"]
     d2 = v.dist2(tuple(F.col(pa + c) for c in xyz), tuple(F.col(pb + c) for c in xyz))
     return (
-        left.join(right, keys, "inner")
+        hashed_if_small(left).join(right, keys, "inner")
         .withColumn("__d2", d2)
         .where(near)
         .withColumn("distance", F.sqrt("__d2"))
@@ -97,29 +97,25 @@ def radius_pairs(
     by, pa, pb = list(by), *prefixes
     r = F.lit(float(radius))
     cols = list(dict.fromkeys([id_col, *cols, *xyz]))
-    left = points.select(*by, _cube(xyz, r).alias("__cube"), F.struct(*cols).alias("__l"))
+    left = points.select(*by, _cube(xyz, r).alias("__cube"), *[F.col(c).alias(f"__l_{c}") for c in cols])
     right = _spread_cubes(points.select(*dict.fromkeys([*by, *cols])), xyz, r, _HALF).select(
-        *by, F.struct(*cols).alias("__q"), "__o", "__cube"
+        *by, "__cube", "__o", *[F.col(c).alias(f"__q_{c}") for c in cols]
     )
-    l_xyz = tuple(F.col("__l")[c] for c in xyz)
-    q_xyz = tuple(F.col("__q")[c] for c in xyz)
-    lid, qid = F.col("__l")[id_col], F.col("__q")[id_col]
-    d2 = v.dist2(l_xyz, q_xyz)
+    lid, qid = F.col(f"__l_{id_col}"), F.col(f"__q_{id_col}")
+    d2 = v.dist2(tuple(F.col(f"__l_{c}") for c in xyz), tuple(F.col(f"__q_{c}") for c in xyz))
     limit = r * r
     pairs = (
-        left.join(right, by + ["__cube"], "inner")
+        hashed_if_small(left).join(right, by + ["__cube"], "inner")
         .where((F.col("__o") > 0) | (lid < qid))
         .withColumn("__d2", d2)
         .where(F.col("__d2") < limit if strict else F.col("__d2") <= limit)
     )
-    first = F.when(lid < qid, F.col("__l")).otherwise(F.col("__q"))
-    second = F.when(lid < qid, F.col("__q")).otherwise(F.col("__l"))
-    pairs = pairs.select(*by, first.alias("__a"), second.alias("__b"), F.sqrt("__d2").alias("distance"))
+    in_order = lid < qid
     return pairs.select(
         *by,
-        *[F.col("__a")[c].alias(pa + c) for c in cols],
-        *[F.col("__b")[c].alias(pb + c) for c in cols],
-        "distance",
+        *[F.when(in_order, F.col(f"__l_{c}")).otherwise(F.col(f"__q_{c}")).alias(pa + c) for c in cols],
+        *[F.when(in_order, F.col(f"__q_{c}")).otherwise(F.col(f"__l_{c}")).alias(pb + c) for c in cols],
+        F.sqrt("__d2").alias("distance"),
     )
 
 

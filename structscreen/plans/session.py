@@ -18,6 +18,10 @@ SETTINGS = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
 
+# Settings a session must be built with: large plans are built faster when Python does
+# not look up the call site of every column expression.
+BUILD_SETTINGS = {"spark.python.sql.dataFrameDebugging.enabled": "false"}
+
 
 def tune(spark: SparkSession) -> SparkSession:
     for key, value in SETTINGS.items():

@@ -54,6 +54,16 @@ def spread(df: DataFrame, below_bytes: int = 1 << 30) -> DataFrame:
     return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
 
 
+def hashed_if_small(df: DataFrame) -> DataFrame:
+    """Let a join hash this side instead of sorting both, if the whole side is small.
+
+    The limit is on the side as a whole, so even a side with a single key fits one task.
+    Larger sides keep the sort-merge form, which spills and which adaptive execution
+    splits at crowded keys.
+    """
+    return df.hint("shuffle_hash") if plan_bytes(df) < CHECK_BYTES else df
+
+
 def attach(left: DataFrame, right: DataFrame, keys, how="left", small=False) -> DataFrame:
     """Null-safe equi-join on equally named keys; the right keys do not stay.
 
