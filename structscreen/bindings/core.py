@@ -101,10 +101,9 @@ class Tables:
             *[(xyz[i] + e[6 + i]).alias("m" + c) for i, c in enumerate("xyz")],
         )
 
-    def ligand(self, every: int = 5) -> DataFrame:
-        """Ligand atoms: the l* place of every fifth point of a complex."""
-        p = self.points().where(F.col("idx") % every == 0)
-        return p.select("cid", F.col("idx").alias("lig_idx"), "chain", *[F.col("l" + c).alias(c) for c in "xyz"])
+    def ligand(self) -> DataFrame:
+        """Ligand atoms: the l* place of every point of a complex."""
+        return self.points().select("cid", F.col("idx").alias("lig_idx"), "chain", *[F.col("l" + c).alias(c) for c in "xyz"])
 
     def seqs(self) -> DataFrame:
         seq = F.upper(F.regexp_replace("text", "[^A-Za-z]", ""))

@@ -23,7 +23,7 @@ def d_sql(a: str, b: str, pa="", pb="") -> str:
     return "sqrt(" + " + ".join(f"({a}.{pa}{c}-{b}.{pb}{c})*({a}.{pa}{c}-{b}.{pb}{c})" for c in XYZ) + ")"
 
 
-LIG = POINTS + ", lig AS (SELECT cid, idx AS lig_idx, chain, lx AS x, ly AS y, lz AS z FROM pts WHERE idx % 5 = 0)"
+LIG = POINTS + ", lig AS (SELECT cid, idx AS lig_idx, chain, lx AS x, ly AS y, lz AS z FROM pts)"
 DAB = d_sql("a", "b")
 MAB = d_sql("a", "b", "m", "m")
 
@@ -107,7 +107,7 @@ def pocket_around_centroid(t: Tables):
 SELECT a.cid, a.idx, pocket_rank::INTEGER AS pocket_rank FROM pts a JOIN c b ON a.cid=b.cid WHERE pocket_rank <= 2 AND chain < 5 AND {DAB} < 4""")
 def extract_pockets(t: Tables):
     pts = t.points().withColumn("resid", F.col("idx")).withColumn("chain", F.when(F.col("chain") < 5, "A").otherwise("B"))
-    lig = t.ligand().withColumn("pocket_rank", F.floor((F.col("lig_idx") % 50) / 5).cast("int") + 1)
+    lig = t.ligand().withColumn("pocket_rank", (F.col("lig_idx") % 50).cast("int") + 1)
     centres = lig.select("cid", "pocket_rank", *[F.col(c).alias(f"center_{c}") for c in XYZ])
     return sp.extract_pockets(pts, pts, centres, 4.0, 2, by=BY).select("cid", "idx", "pocket_rank")
 
@@ -174,11 +174,11 @@ def lddt_symmetry_choice(t: Tables):
     return st.resolve_symmetry(_lddt_atoms(t), BY, radius=6.0).select("cid", "atom_idx", "mx", "my", "mz")
 
 
-@query("cross_lddt", f"""WITH {POINTS}, q AS (SELECT cid, idx, lx AS x, ly AS y, lz AS z, lx+mx-x AS mx, ly+mx-x AS my, lz AS mz FROM pts WHERE idx % 5 = 0)
+@query("cross_lddt", f"""WITH {POINTS}, q AS (SELECT cid, idx, lx AS x, ly AS y, lz AS z, lx+mx-x AS mx, ly+mx-x AS my, lz AS mz FROM pts)
 SELECT a.cid, round(sum(((abs({MAB}-{DAB})<0.5)::INT+(abs({MAB}-{DAB})<1)::INT+(abs({MAB}-{DAB})<2)::INT+(abs({MAB}-{DAB})<4)::INT)*0.25)/(count(*)+1e-12),6) AS cross_lddt, count(*) AS n_pairs
 FROM pts a JOIN q b ON a.cid=b.cid WHERE {DAB} < 6 GROUP BY 1""")
 def cross_lddt(t: Tables):
-    q = t.points().where("idx % 5 = 0").select(
+    q = t.points().select(
         "cid", F.col("lx").alias("x"), F.col("ly").alias("y"), F.col("lz").alias("z"), (F.col("lx") + F.col("mx") - F.col("x")).alias("mx"),
         (F.col("ly") + F.col("mx") - F.col("x")).alias("my"), F.col("lz").alias("mz"),
     )

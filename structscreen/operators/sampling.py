@@ -27,10 +27,10 @@ def balanced_sample(df: DataFrame, key: str, n: int | None = None, *, order, see
     keys = over_groups(sizes, [], [key], __key_no=("row_number",))
     if n is None:
         n = df.count()
-    n_keys = F.broadcast(keys.agg(F.count(F.lit(1)).alias("__keys")))  # one row
-    draws = spark.range(n).select(F.col("id").alias("draw_no")).join(n_keys, how="cross")
+    n_keys = keys.agg(F.count(F.lit(1))).scalar()
+    draws = spark.range(n).select(F.col("id").alias("draw_no"))
     picked = draws.select(
-        "draw_no", (F.pmod(draw(seed, F.col("draw_no")), F.col("__keys")) + 1).alias("__key_no"),
+        "draw_no", (F.pmod(draw(seed, F.col("draw_no")), n_keys) + 1).alias("__key_no"),
         draw(seed + 1, F.col("draw_no")).alias("__d"),
     ).join(keys, "__key_no", "inner")
     picked = picked.select("draw_no", key, (F.pmod(F.col("__d"), F.col("__size")) + 1).alias("__row"))
@@ -65,10 +65,9 @@ def sample_n(df: DataFrame, n: int, *, keys, seed=0) -> DataFrame:
 
 def split_frac(df: DataFrame, frac: float, *, keys, seed=0, out="is_train") -> DataFrame:
     """Mark exactly floor(frac * rows) rows as train."""
-    total = F.broadcast(df.agg(F.count(F.lit(1)).alias("__total")))  # one row
+    total = df.agg(F.count(F.lit(1))).scalar()
     numbered = over_groups(df.withColumn("__d", draw(seed, *[F.col(c) for c in keys])), [], ["__d", *keys], __i=("row_number",))
-    limit = F.floor(F.col("__total") * F.lit(frac))
-    return numbered.join(total, how="cross").withColumn(out, F.col("__i") <= limit).drop("__d", "__i", "__total")
+    return numbered.withColumn(out, F.col("__i") <= F.floor(total * F.lit(frac))).drop("__d", "__i")
 
 
 def group_kfold(df: DataFrame, level: str, k: int = 5) -> DataFrame:

@@ -212,13 +212,12 @@ def job_fingerprint(jobs: DataFrame, order: str = "row_idx", ligand="ligand", pr
         F.struct(F.lit(1).alias("side"), F.col(order).alias("at"), F.col(protein).alias("text")),
     )).alias("p")).select("p.*").where("text IS NOT NULL")
     sized = parts.select("side", "at", F.crc32(F.encode("text", "UTF-8")).alias("crc"), F.octet_length("text").cast("long").alias("n"))
-    total = F.broadcast(sized.agg(F.sum("n").alias("total")))  # one row
+    total = sized.agg(F.sum("n")).scalar()
     run = over_groups(sized, [], ["side", "at"], upto=("sum", "n"))
 
     @F.pandas_udf("long")
     def shifted(crc: pd.Series, after: pd.Series) -> pd.Series:
         return pd.Series(_times_x_to_8n(crc.to_numpy(), after.to_numpy()).astype("int64"))
 
-    return run.join(total, how="cross").agg(
-        F.coalesce(F.bit_xor(shifted("crc", F.col("total") - F.col("upto"))), F.lit(0).cast("long")).alias("fingerprint")
-    )
+    moved = run.withColumn("after", total - F.col("upto")).select(shifted("crc", "after").alias("crc"))
+    return moved.agg(F.coalesce(F.bit_xor("crc"), F.lit(0).cast("long")).alias("fingerprint"))
