@@ -12,6 +12,8 @@ from structscreen.plans.skew import avg_rank
 
 TIE = ("l_partkey", "l_suppkey", "l_linenumber")
 TIE_SQL = "l_partkey, l_suppkey, l_linenumber"
+# the four keys repeat once in the smallest tables; the values tell such rows apart
+ROW = (*TIE, "affinity", "rmsd", "clashScore", "pocket_rmsd", "dataset_name")
 GROUP = "entryName, conformation"
 M = 2147483647
 A = 1103515245
@@ -38,7 +40,7 @@ SCORES = {
 def picked_sql(policy: str, no: int) -> str:
     return (
         f"SELECT {no} AS policy_no, '{policy}' AS selection, * FROM (SELECT *, row_number() OVER (PARTITION BY {GROUP} "
-        f"ORDER BY {SCORES[policy]}, {TIE_SQL}) AS rn FROM ranked) WHERE rn = 1"
+        f"ORDER BY {SCORES[policy]}, {', '.join(ROW)}) AS rn FROM ranked) WHERE rn = 1"
     )
 
 
@@ -55,12 +57,12 @@ FROM per_set JOIN per_run USING (selection, conformation)"""
 @query("all_policies_report", f"WITH {RANKED}, chosen AS ("
        + " UNION ALL ".join(picked_sql(p, i) for i, p in enumerate(rk.POLICIES)) + "), " + SUMMARY.format(no="policy_no,"))
 def all_policies_report(t: Tables):
-    return rk.show_all_metrics(t.poses(), tie=TIE)
+    return rk.show_all_metrics(t.poses(), tie=ROW, draw_keys=TIE)
 
 
 @query("run_summary_combined_policy", f"WITH {RANKED}, chosen AS ({picked_sql('rmsd_combined_rank', 0)}), " + SUMMARY.format(no=""))
 def run_summary_combined_policy(t: Tables):
-    chosen = rk.select_poses(t.poses(), "rmsd_combined_rank", tie=TIE)
+    chosen = rk.select_poses(t.poses(), "rmsd_combined_rank", tie=ROW, draw_keys=TIE)
     return rk.summarize(chosen, ["selection"])
 
 
@@ -74,7 +76,7 @@ def _selection(policy: str):
 
     @query(f"select_{policy}", sql)
     def run(t: Tables):
-        return rk.select_poses(t.poses(), policy, tie=TIE).select("entryName", "conformation", *TIE, "affinity")
+        return rk.select_poses(t.poses(), policy, tie=ROW, draw_keys=TIE).select("entryName", "conformation", *TIE, "affinity")
 
 
 for _p in rk.POLICIES:

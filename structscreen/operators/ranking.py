@@ -76,12 +76,15 @@ def without_failed(poses: DataFrame, legacy_sentinel=False) -> DataFrame:
 
 
 def select_policies(
-    poses: DataFrame, policies=POLICIES, by=GROUP, *, tie, seed=7, keep=None, legacy_sentinel=False,
+    poses: DataFrame, policies=POLICIES, by=GROUP, *, tie, draw_keys=None, seed=7, keep=None,
+    legacy_sentinel=False,
 ) -> DataFrame:
     """Best pose per group under each policy, all policies in one grouped pass.
 
     Each policy is one ``min`` over (score, tie, row) structs, so the partial aggregates
-    run before the shuffle and no group is ever sorted or gathered.
+    run before the shuffle and no group is ever sorted or gathered.  ``tie`` must tell the
+    rows of a group apart; ``draw_keys`` are the integer keys of the random policy
+    (``tie`` by default).
     """
     by, tie = list(by), list(tie)
     keep = list(keep or [c for c in poses.columns if c not in by])
@@ -89,7 +92,7 @@ def select_policies(
     ranked = with_ranks(without_failed(poses, legacy_sentinel), by, needed)
     best = []
     for p in policies:
-        score = policy_score(p, seed, tie)
+        score = policy_score(p, seed, draw_keys or tie)
         order = F.struct(score.isNull().alias("no_score"), score.alias("score"), *[F.col(c).alias(f"t_{c}") for c in tie])
         best.append(F.min(F.struct(order.alias("o"), F.struct(*keep).alias("row"))).alias(p))
     chosen = ranked.groupBy(*by).agg(*best)
@@ -100,8 +103,8 @@ def select_policies(
     return chosen.select(*by, rows.alias("p")).select(*by, "p.policy_no", "p.selection", "p.row.*")
 
 
-def select_poses(poses: DataFrame, policy: str, by=GROUP, *, tie, seed=7, legacy_sentinel=False) -> DataFrame:
-    return select_policies(poses, (policy,), by, tie=tie, seed=seed, legacy_sentinel=legacy_sentinel).drop("policy_no")
+def select_poses(poses: DataFrame, policy: str, by=GROUP, *, tie, **options) -> DataFrame:
+    return select_policies(poses, (policy,), by, tie=tie, **options).drop("policy_no")
 
 
 def summarize(poses: DataFrame, extra=()) -> DataFrame:
@@ -115,9 +118,9 @@ def summarize(poses: DataFrame, extra=()) -> DataFrame:
     return attach(per_set, per_run, [*extra, "conformation"], "inner")
 
 
-def show_all_metrics(poses: DataFrame, *, tie, seed=7, by=GROUP) -> DataFrame:
+def show_all_metrics(poses: DataFrame, *, tie, draw_keys=None, seed=7, by=GROUP) -> DataFrame:
     """Summary of every selection policy, labelled and numbered in report order."""
-    chosen = select_policies(poses, by=by, tie=tie, seed=seed, keep=["dataset_name", "clashScore", "rmsd", "pocket_rmsd"])
+    chosen = select_policies(poses, by=by, tie=tie, draw_keys=draw_keys, seed=seed, keep=["dataset_name", "clashScore", "rmsd", "pocket_rmsd"])
     return summarize(chosen, ["policy_no", "selection"])
 
 
