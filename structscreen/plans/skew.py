@@ -36,8 +36,8 @@ def _conf_int(df: DataFrame, key: str, default: int) -> int:
 def plan_bytes(df: DataFrame) -> int:
     """Size estimate of the optimized plan; very large when it cannot be had."""
     try:
-        stats = df._jdf.queryExecution().optimizedPlan().stats()
-        return int(stats.sizeInBytes().toString())
+        size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+        return int(str(size))
     except Exception:
         return 1 << 62
 
