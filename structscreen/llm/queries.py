@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from structscreen.llm import quality, urls
+from structscreen.llm import quality, simhash, urls, vectors
 
 QUERIES: dict[str, object] = {}
 ORACLES: dict[str, str] = {}
@@ -91,3 +91,16 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 def op4(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return quality.judge(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+# 5 ------------------------------------------------------------------------------------
+@query("op5_simhash_near_dedup")
+def op5(spark, sf_dir):
+    return simhash.near_duplicates(table(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "fingerprint", "component_id")
+
+
+# 8 ------------------------------------------------------------------------------------
+@query("op8_embedding_near_dedup")
+def op8(spark, sf_dir):
+    found = vectors.near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
+    return found.select(F.col("id").alias("vec_id"), "n_links", "component_id", "kept")
