@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from structscreen.llm import quality, simhash, urls, vectors
+from structscreen.llm import quality, simhash, substrings, urls, vectors
 
 QUERIES: dict[str, object] = {}
 ORACLES: dict[str, str] = {}
@@ -29,6 +29,30 @@ _WORDS_SQL = "regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')"
 _BLANK_SQL = "'[\\x20\\x09-\\x0D]+'"
 
 
+# 2 ------------------------------------------------------------------------------------
+SUBSTRING_SQL = f"""
+WITH words AS (
+  SELECT doc_id, pos, word FROM (SELECT doc_id, unnest({_WORDS_SQL}) AS word, generate_subscripts({_WORDS_SQL}, 1) AS pos FROM documents)),
+windows AS (
+  SELECT doc_id, pos, md5(string_agg(word, ' ') OVER w) AS k, count(*) OVER w AS n FROM words
+  WINDOW w AS (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 12 FOLLOWING)),
+starts AS (SELECT doc_id, pos, min(doc_id) OVER (PARTITION BY k) < doc_id AS gone FROM windows WHERE n = 13),
+marked AS (
+  SELECT w.doc_id, w.pos, w.word, coalesce(max(s.gone::INT) OVER (PARTITION BY w.doc_id ORDER BY w.pos ROWS BETWEEN 12 PRECEDING AND CURRENT ROW), 0) AS gone
+  FROM words w LEFT JOIN starts s ON w.doc_id = s.doc_id AND w.pos = s.pos),
+kept AS (
+  SELECT doc_id, count(*)::BIGINT AS n_words, sum(gone)::BIGINT AS n_removed, sha256(coalesce(string_agg(word, ' ' ORDER BY pos) FILTER (gone = 0), '')) AS kept_sha256
+  FROM marked GROUP BY doc_id)
+SELECT d.doc_id, coalesce(k.n_words, 0)::BIGINT AS n_words, coalesce(k.n_removed, 0)::BIGINT AS n_removed, coalesce(k.kept_sha256, sha256('')) AS kept_sha256
+FROM documents d LEFT JOIN kept k USING (doc_id)"""
+
+
+@query("op2_substring_dedup", SUBSTRING_SQL)
+def op2(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return substrings.drop_repeats(docs).select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 # 3 ------------------------------------------------------------------------------------
 URL_RULES = (
     ("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"),
