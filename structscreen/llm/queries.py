@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from structscreen.llm import quality, simhash, substrings, urls, vectors
+from structscreen.llm import bpe, quality, simhash, substrings, urls, vectors
 
 QUERIES: dict[str, object] = {}
 ORACLES: dict[str, str] = {}
@@ -29,6 +29,20 @@ _WORDS_SQL = "regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')"
 _BLANK_SQL = "'[\\x20\\x09-\\x0D]+'"
 
 
+# 1 ------------------------------------------------------------------------------------
+def vocabulary_path() -> str:
+    """The public byte-level vocabulary, as installed beside Python on every machine."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query("op1_bpe_encoding_and_decoding")
+def op1(spark, sf_dir):
+    docs = bpe.round_trip(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary_path())
+    return docs.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
+
+
 # 2 ------------------------------------------------------------------------------------
 SUBSTRING_SQL = f"""
 WITH words AS (
