@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from structscreen.llm import bpe, quality, simhash, substrings, urls, vectors
+from structscreen.llm import bpe, quality, simhash, substrings, urls, vectors, warc
 
 QUERIES: dict[str, object] = {}
 ORACLES: dict[str, str] = {}
@@ -142,3 +142,19 @@ def op5(spark, sf_dir):
 def op8(spark, sf_dir):
     found = vectors.near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
     return found.select(F.col("id").alias("vec_id"), "n_links", "component_id", "kept")
+
+
+# 10 -----------------------------------------------------------------------------------
+WARC_SQL = """
+WITH p AS (SELECT page_id, sha1(coalesce(html, '')) AS digest, octet_length(encode(coalesce(html, '')))::BIGINT AS size FROM pages),
+h AS (SELECT digest, max(page_id) AS holder FROM p WHERE size >= 1000 GROUP BY digest)
+SELECT page_id, size AS payload_bytes, p.digest AS payload_digest,
+       CASE WHEN holder IS NULL OR holder = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN holder <> page_id THEN holder END AS refers_to
+FROM p LEFT JOIN h ON p.digest = h.digest"""
+
+
+@query("op10_warc_writer", WARC_SQL)
+def op10(spark, sf_dir):
+    found = warc.archive(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
