@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from structscreen.llm import bpe, quality, simhash, substrings, urls, vectors, warc
+from structscreen.llm import bpe, html_text, quality, simhash, substrings, urls, vectors, warc
 
 QUERIES: dict[str, object] = {}
 ORACLES: dict[str, str] = {}
@@ -144,6 +144,12 @@ def op8(spark, sf_dir):
     return found.select(F.col("id").alias("vec_id"), "n_links", "component_id", "kept")
 
 
+# 7 ------------------------------------------------------------------------------------
+@query("op7_html_extraction")
+def op7(spark, sf_dir):
+    return html_text.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 # 10 -----------------------------------------------------------------------------------
 WARC_SQL = """
 WITH p AS (SELECT page_id, sha1(coalesce(html, '')) AS digest, octet_length(encode(coalesce(html, '')))::BIGINT AS size FROM pages),
