@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from structscreen.llm import bpe, html_text, quality, simhash, substrings, urls, vectors, warc
+from structscreen.llm import bpe, html_text, mixing, quality, simhash, substrings, toxicity, urls, vectors, warc
+from structscreen.llm.common import word_array
 
 QUERIES: dict[str, object] = {}
 ORACLES: dict[str, str] = {}
@@ -144,12 +145,39 @@ def op8(spark, sf_dir):
     return found.select(F.col("id").alias("vec_id"), "n_links", "component_id", "kept")
 
 
+# 6 ------------------------------------------------------------------------------------
+@query("op6_toxicity")
+def op6(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    fold = F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8")) % 5
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), fold != 0)
+    scored = toxicity.add_score(docs, model)
+    return scored.select("doc_id", (fold == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 # 7 ------------------------------------------------------------------------------------
 @query("op7_html_extraction")
 def op7(spark, sf_dir):
     return html_text.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
 
+# 9 ------------------------------------------------------------------------------------
+#: Large sources and languages give way to small ones; forms of text move halfway to equal shares.
+MIX_TARGETS: mixing.Targets = {"source": 0.7, "lang": 0.8, "topic": 0.5}
+MIX_FRACTION = 0.6
+
+
+def with_topic(docs: DataFrame) -> DataFrame:
+    """Documents with their form as topic and their words as tokens."""
+    return docs.withColumns({"topic": mixing.text_form(F.col("text")), "n_tokens": F.size(word_array("text")).cast("long")})
+
+
+@query("op9_mixing_sources_to_target_weights")
+def op9(spark, sf_dir):
+    docs = with_topic(table(spark, sf_dir, "documents")).select("doc_id", "source", "lang", "topic", "n_tokens")
+    return mixing.mix(docs, MIX_TARGETS, "n_tokens", MIX_FRACTION)
+
+
 # 10 -----------------------------------------------------------------------------------
 WARC_SQL = """
 WITH p AS (SELECT page_id, sha1(coalesce(html, '')) AS digest, octet_length(encode(coalesce(html, '')))::BIGINT AS size FROM pages),
