@@ -1,17 +1,19 @@
 """From raw documents to token rows: five stages, each written as Parquet and read again.
 
-``STAGES`` lists (name, function); a function takes (spark, docs, sf_dir) and returns the rows
-it keeps.  All but the last return the columns of ``documents``.
+``STAGES`` lists (name, function); a function takes (spark, docs, sf_dir) and returns the rows it
+keeps.  All but the last return the columns of ``documents``; the last returns token ids.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from structscreen.llm import quality
+from structscreen.llm import bpe, mixing, quality, simhash, substrings
 from structscreen.llm.common import shared_dir
+from structscreen.llm.queries import MIX_FRACTION, MIX_TARGETS, vocabulary_path, with_topic
 
-#: No SQL form: fingerprints, raking and BPE have none; tests/llm compares with brute force.
+#: No SQL form: fingerprints and BPE have none; tests/llm compares every stage with brute force.
 ORACLE_SQL = None
 
 
@@ -20,7 +22,50 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.keep_good(docs)
 
 
-STAGES = [("quality rules", quality_rules)]
+def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near copies: the one that names the class.
+
+    Rows without an id belong to no named class and stay; an id names one document, so rows that
+    repeat the kept id stay with it.
+    """
+    found = simhash.near_duplicates(docs).where("id = component_id").select(F.col("id").alias("_id")).distinct()
+    kept = docs.where("doc_id IS NOT NULL").join(found, F.col("doc_id") == F.col("_id"), "left_semi")
+    return kept.unionByName(docs.where("doc_id IS NULL"))
+
+
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the passages that start in an earlier one; untouched texts stay as they are."""
+    found = substrings.drop_repeats(docs)
+    cut = F.col("n_removed") > 0
+    return found.select(
+        *[F.when(cut, F.col("kept_text")).otherwise(F.col("text")).alias("text") if c == "text"
+          else F.when(cut, F.char_length("kept_text").cast("long")).otherwise(F.col("n_chars")).alias("n_chars") if c == "n_chars" else F.col(c) for c in docs.columns]
+    )
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents drawn by the calibrated probabilities of their source, language and form."""
+    mixed = mixing.mix(with_topic(docs), MIX_TARGETS, "n_tokens", MIX_FRACTION)
+    return mixed.where("sampled").select(*docs.columns)
+
+
+def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids (little-endian unsigned 32-bit integers) and their number, beside the document's id and origin.
+
+    The decoded text must be the text; a row that fails the round trip raises.
+    """
+    coded = bpe.round_trip(docs, vocabulary_path())
+    checked = F.when(F.col("decoded") == F.coalesce("text", F.lit("")), F.col("ids")).otherwise(F.raise_error(F.concat(F.lit("no round trip: "), F.col("doc_id").cast("string"))))
+    return coded.select("doc_id", "lang", "source", "n_tokens", checked.alias("ids"))
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("SimHash near-dedup", simhash_near_dedup),
+    ("substring dedup", substring_dedup),
+    ("mixing sources to target weights", mix_sources),
+    ("BPE encoding and decoding", encode_tokens),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
