@@ -151,7 +151,7 @@ def write_archives(records: DataFrame, folder: str) -> DataFrame:
                 if file is None:
                     name = f"part-{task.partitionId():06d}-{len(done):04d}-{task.taskAttemptId()}-{uuid.uuid4().hex[:8]}.warc.zst"
                     path, count, size = f"{base}/{name}", 0, 0
-                    file = system.open_output_stream(path)
+                    file = system.open_output_stream(path, compression=None)  # the records are compressed already
                     if data:
                         file.write(struct.pack("<II", DICTIONARY_FRAME, len(data)) + data)
                 frame = packer.compress(record(row["id"], row["url"], row["payload"], row["digest"], row["size"], row["refers_to"]))
@@ -186,7 +186,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for path in batch.column(0).to_pylist():
             system, inner = pyarrow.fs.FileSystem.from_uri(path)
             rows, size = [], 0
-            with system.open_input_stream(inner) as file:
+            with system.open_input_stream(inner, compression=None) as file:
                 for data in frames(file):
                     headers, block = parse(data)
                     _, _, payload = block.partition(b"\r\n\r\n")
