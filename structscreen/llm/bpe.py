@@ -34,8 +34,6 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from structscreen.llm.common import split_small_input
-
 #: The byte-level pre-split of the vocabulary at hand (a fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Letters and numbers that the vocabulary's pre-split does not know as such (fixed values): code
@@ -51,7 +49,9 @@ NEWER = (
     (0x1E6E0, 0x1E6E2), (0x1E6E4, 0x1E6E5), (0x1E6E7, 0x1E6ED), (0x1E6F0, 0x1E6F4), (0x1E6FE, 0x1E6FF), (0x2B73A, 0x2B73F),
     (0x2B81E, 0x2B81E), (0x2CEA2, 0x2CEAD), (0x323B0, 0x33479), (0x3D000, 0x3FC3F),
 )
-REMEMBERED = 400_000
+REMEMBERED = 200_000
+_STEPS = 500_000
+_TAKEN = 300_000
 _NEVER = 1 << 60
 
 
@@ -89,6 +89,7 @@ class Automaton:
         self.origin: list[int] = [-1]
         self.lost: list[tuple[bytes, int]] = [(b"", _NEVER)]
         self._taken: dict[int, dict[bytes, int]] = {}
+        self._held = 0
         self._steps: dict[int, bool] = {}
         for rank, (u, v) in enumerate(merges):
             self._gadget(rank, u, v)
@@ -129,7 +130,12 @@ class Automaton:
         """Arcs missing at a state, with the time they went: its own loss and those of all it was split from."""
         found = self._taken.get(state)
         if found is None:
-            found = self._taken[state] = self._chain(state)
+            found = self._chain(state)
+            self._held += len(found)
+            if self._held > _TAKEN:
+                self._taken.clear()
+                self._held = len(found)
+            self._taken[state] = found
         return found
 
     def _chain(self, state: int) -> dict[bytes, int]:
@@ -153,7 +159,7 @@ class Automaton:
 
     def step(self, state: int, number: int) -> bool:
         """Is there an arc with this token at this state?"""
-        if len(self._steps) > 2_000_000:
+        if len(self._steps) > _STEPS:
             self._steps.clear()
         found = self._steps[state << 20 | number] = self._has(state, self.tokens[number], self.taken(state))
         return found
@@ -283,7 +289,18 @@ def decode(df: DataFrame, path: str, ids_col: str = "ids", out: str = "decoded")
 
 
 def round_trip(df: DataFrame, path: str, text_col: str = "text") -> DataFrame:
-    """``df`` with ``ids``, ``n_tokens`` and ``decoded``; columns of these names are replaced."""
-    kept = df.select(*[F.col(c) for c in df.columns if c not in ("ids", "n_tokens", "decoded")])
-    both = decode(encode(split_small_input(kept), path, text_col), path)
-    return both.withColumn("n_tokens", (F.octet_length("ids") / 4).cast("long"))
+    """``df`` with ``ids``, ``n_tokens`` and ``decoded``; columns of these names are replaced.
+
+    Both directions in one pass, so that a task holds one compiled automaton.
+    """
+    @F.pandas_udf("ids binary, decoded string")
+    def both(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        own = codec(path)
+        for batch in texts:
+            ids = [own.encode(t) for t in batch]
+            yield pd.DataFrame({"ids": ids, "decoded": [own.decode(i) for i in ids]}, dtype=object)
+
+    kept = [c for c in df.columns if c not in ("ids", "n_tokens", "decoded")]
+    return df.withColumn("_both", both(F.col(text_col).cast("string"))).select(
+        *kept, F.col("_both.ids").alias("ids"), (F.octet_length("_both.ids") / 4).cast("long").alias("n_tokens"), F.col("_both.decoded").alias("decoded")
+    )
