@@ -39,7 +39,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     Links may repeat, point either way or to themselves; nulls link nothing.  Ids of no link do
     not occur in the result.
     """
-    ends = edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where(F.col(a).isNotNull() & F.col(b).isNotNull())
+    known = edges.where(F.col(a).isNotNull() & F.col(b).isNotNull())
+    ends = known.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b"))
     now = written(ends.distinct())
     seen = None
     while True:

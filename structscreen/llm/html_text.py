@@ -3,8 +3,8 @@
 A page is cut into blocks (runs of text between block-level tags); the root-to-leaf path of block
 tags is the block's tag path.  Per path the text length and the punctuation of its blocks are
 summed and divided by their number; both ratios are smoothed along the page with a Gaussian and
-fused (text ratio times one plus punctuation ratio, times the share of text outside links).  A
-path whose mean fused value reaches ``SHARE`` of the page's length-weighted mean is content, and
+fused (geometric mean of plain and smoothed text ratio, times one plus the smoothed punctuation
+ratio, times the share of text outside links).  A path whose mean fused value reaches ``SHARE`` of the page's length-weighted mean is content, and
 content paths select their blocks.
 
 Parts that are never the article leave before the ratios are taken: navigation, page headers and
@@ -173,7 +173,7 @@ def main_text(html: str | None) -> str:
         weight = np.convolve(np.ones(len(values)), _KERNEL)[2:-2]
         return np.convolve(values, _KERNEL)[2:-2] / weight
 
-    fused = smooth(text_ratio[of]) * (1 + smooth(mark_ratio[of])) * (1 - link_share[of])
+    fused = np.sqrt(text_ratio[of] * smooth(text_ratio[of])) * (1 + smooth(mark_ratio[of])) * (1 - link_share[of])
     score = np.bincount(of, fused) / number
     threshold = SHARE * float((fused * length).sum() / length.sum())
     inside = np.array([n[2] for n in nodes])
