@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from structscreen import constants as k
@@ -78,12 +79,13 @@ def nearest_neighbors(t: Tables):
     return g.select("cid", F.col("a_idx").alias("i"), F.col("b_idx").alias("j"), "distance", "neighbor_rank")
 
 
-@query("tiered_neighbors", f"""WITH {POINTS}, q AS (SELECT cid, idx % 50 AS pos, CASE WHEN idx % 7 <> 3 THEN x END AS x, y, z FROM pts),
+@query("tiered_neighbors", f"""WITH {POINTS}, q AS (SELECT cid, idx % 50 + 3 * ((idx % 50) // 7) AS pos, CASE WHEN idx % 7 <> 3 THEN x END AS x, y, z FROM pts),
 e AS (SELECT a.cid, a.pos AS i, b.pos AS j, CASE WHEN a.x IS NOT NULL AND b.x IS NOT NULL THEN sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)+(a.z-b.z)*(a.z-b.z)+1e-8)
   ELSE 1e8+abs(a.pos-b.pos)*1e6 END AS d FROM q a JOIN q b ON a.cid=b.cid)
 SELECT cid, i, j, round(d,6) AS adjusted, d < 5e7 AS has_coordinates FROM (SELECT *, row_number() OVER (PARTITION BY cid, i ORDER BY d, j) AS rn FROM e) WHERE rn <= 6""")
 def tiered_neighbors(t: Tables):
-    p = t.points().select("cid", (F.col("idx") % 50).alias("pos"), F.when(F.col("idx") % 7 != 3, F.col("x")).alias("x"), "y", "z")
+    i = F.col("idx") % 50  # positions with gaps
+    p = t.points().select("cid", (i + 3 * F.floor(i / 7)).alias("pos"), F.when(F.col("idx") % 7 != 3, F.col("x")).alias("x"), "y", "z")
     return sp.knn_tiered(p, 6, BY).select("cid", "i", "j", "adjusted", "has_coordinates")
 
 
@@ -104,9 +106,11 @@ def pocket_around_centroid(t: Tables):
 
 
 @query("extract_pockets", f"""WITH {LIG}, c AS (SELECT cid, x, y, z, row_number() OVER (PARTITION BY cid ORDER BY lig_idx) AS pocket_rank FROM lig)
-SELECT a.cid, a.idx, pocket_rank::INTEGER AS pocket_rank FROM pts a JOIN c b ON a.cid=b.cid WHERE pocket_rank <= 2 AND chain < 5 AND {DAB} < 4""")
+SELECT a.cid, a.idx, pocket_rank::INTEGER AS pocket_rank FROM pts a JOIN c b ON a.cid=b.cid WHERE pocket_rank <= 2 AND chain < 5 AND idx % 11 <> 4 AND {DAB} < 4""")
 def extract_pockets(t: Tables):
-    pts = t.points().withColumn("resid", F.col("idx")).withColumn("chain", F.when(F.col("chain") < 5, "A").otherwise("B"))
+    # a residue is one point; chains A and B repeat each other's numbers, every 11th row is no ATOM
+    number = F.row_number().over(Window.partitionBy("cid", F.col("chain") < 5).orderBy("idx"))
+    pts = t.points().withColumns({"resid": number, "record": F.when(F.col("idx") % 11 == 4, "HETATM").otherwise("ATOM")}).withColumn("chain", F.when(F.col("chain") < 5, "A").otherwise("B"))
     lig = t.ligand().withColumn("pocket_rank", (F.col("lig_idx") % 50).cast("int") + 1)
     centres = lig.select("cid", "pocket_rank", *[F.col(c).alias(f"center_{c}") for c in XYZ])
     return sp.extract_pockets(pts, pts, centres, 4.0, 2, by=BY).select("cid", "idx", "pocket_rank")
@@ -423,7 +427,7 @@ def _side_chain_atoms(t: Tables):
 
 
 def _names(res: str) -> list[str]:
-    return (["N", "CA", "C", "CB"] + k.SIDE_CHAIN.get(res, "").split())[:10]
+    return (["N", "CA", "C", "CB"] + list(k.SIDE_CHAIN.get(res, ())))[:10]
 
 
 def _chi_sql() -> str:
@@ -431,7 +435,7 @@ def _chi_sql() -> str:
     parts = []
     for n, res in enumerate(RES):
         names = _names(res)
-        path = k.CHI_PATH.get(res, "").split()
+        path = list(k.CHI_PATH.get(res, ()))
         for chi in range(1, len(path) - 2):
             four = [names.index(a) for a in path[chi - 1:chi + 3]]
             pts = [[f"max(CASE WHEN idx%10={p} THEN {c} END)" for c in XYZ] for p in four]

@@ -303,7 +303,7 @@ def normalized_similarity(t: Tables):
     return tb.normalize_scores(pair, q, g)
 
 
-@query("combine_caches", """SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, array_to_string(list_concat(max([l_quantity, l_discount]), max([l_tax])), '|') AS vals FROM lineitem GROUP BY 1,2,3,4""")
+@query("combine_caches", """SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, array_to_string([l_quantity, l_discount, l_tax], '|') AS vals FROM lineitem""")
 def combine_caches(t: Tables):
     keys = ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")
     name = F.concat_ws("_", *keys)

@@ -12,6 +12,7 @@ from structscreen.operators import metrics as me
 from structscreen.operators import structure as st
 from structscreen.operators import tables as tb
 from structscreen.plans.skew import checkpoint_folder
+from structscreen.sources.tables import write_screening_batches
 from structscreen.streaming import incremental as inc
 from structscreen.streaming import runtime as rt
 
@@ -297,11 +298,13 @@ def stream_meter(t: Tables):
     stream = t.spark.readStream.schema(t.events.schema).parquet(f"{t.dir}/events*.parquet").withColumn("t", F.col("value") % 10 / 10)
     out = inc.stream_meter(stream, ["value"])
     run = (
-        out.writeStream.outputMode("complete").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True)
-        .foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(f"{folder}/out")).start()
+        out.writeStream.outputMode("update").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True)
+        .foreachBatch(lambda df, i: df.write.mode("overwrite").parquet(f"{folder}/out/batch_id={i}")).start()
     )
     run.awaitTermination()
-    done = t.spark.read.parquet(f"{folder}/out")
+    # a window counts as last updated; state of windows behind the watermark is dropped
+    done = t.spark.read.parquet(f"{folder}/out").groupBy("window_start", "bin").agg(F.max_by(F.struct("value", "n"), "batch_id").alias("r"))
+    done = done.select("window_start", "bin", "r.value", "r.n")
     return done.withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd"))
 
 
@@ -322,8 +325,7 @@ def stream_merge(t: Tables):
     """Prediction files of screening batches read as a stream and joined to the batch inputs."""
     folder = _run_folder(t, "landing")
     rows = t.orders.select(F.substring("o_orderpriority", 1, 1).alias("batch"), F.concat(F.lit("idx_"), "o_orderkey").alias("name"), F.col("o_totalprice").alias("affinity"))
-    for batch in ("1", "2", "3", "4", "5"):  # the five priorities of the data model
-        rows.where(F.col("batch") == batch).select("name", "affinity").write.csv(f"{folder}/{batch}/affinity_prediction.csv", header=True)
+    write_screening_batches(rows, folder)
     inputs = t.orders.select(F.substring("o_orderpriority", 1, 1).alias("batch"), F.col("o_orderkey").alias("row_idx"), "o_custkey")
     merged = inc.stream_merge(inc.stream_predictions(t.spark, folder), inputs)
     run = merged.writeStream.option("checkpointLocation", f"{folder}-state").trigger(availableNow=True).format("parquet").option("path", f"{folder}-out").start()

@@ -286,7 +286,7 @@ def mean_confidence(t: Tables):
     return cl.mean_confidence(_atoms(t))
 
 
-@query("keep_listed_residues", f"WITH {STRUCT} SELECT structure_id, line_idx FROM a WHERE (chain, resid) IN (SELECT chain, resid FROM a WHERE b_factor >= 80)")
+@query("keep_listed_residues", f"WITH {STRUCT} SELECT structure_id, line_idx FROM a WHERE (structure_id, chain, resid) IN (SELECT structure_id, chain, resid FROM a WHERE b_factor >= 80)")
 def keep_listed_residues(t: Tables):
     return cl.keep_residues(_atoms(t), _atoms(t).where("b_factor >= 80"), ("chain", "resid")).select("structure_id", "line_idx")
 

@@ -176,9 +176,7 @@ def prediction_files(t: Tables):
 
     folder = _run_folder(t, "batches")
     rows = t.orders.select(F.substring("o_orderpriority", 1, 1).alias("batch"), F.concat(F.lit("idx_"), "o_orderkey").alias("name"), F.col("o_totalprice").alias("affinity"))
-    for batch in ("1", "2", "3", "4", "5"):  # the five priorities of the data model
-        part = rows.where(F.col("batch") == batch).select("name", "affinity")
-        part.write.csv(f"{folder}/{batch}/affinity_prediction.csv", header=True)
+    ts.write_screening_batches(rows, folder)
     return ts.read_screening_batches(t.spark, folder).select("batch", "name", "affinity")
 
 

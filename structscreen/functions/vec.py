@@ -132,17 +132,6 @@ def with_local_frame(df: DataFrame, n: str, ca: str, c: str, out=("e1_", "e2_",
     return df.drop("__frame")
 
 
-def with_side_chain_direction(df: DataFrame, out: str, n: str, ca: str, c: str) -> DataFrame:
-    """Approximate side-chain direction: -sqrt(1/3) bisector - sqrt(2/3) normal."""
-    def direction(uc, un):
-        return let([unit(add(uc, un)), unit(cross(uc, un))], lambda bisector, normal: as_struct(add(
-            scale(bisector, F.lit(-math.sqrt(1 / 3))), scale(normal, F.lit(-math.sqrt(2 / 3)))
-        )))
-
-    df = df.withColumn("__d", let([unit(sub(vec(c), vec(ca))), unit(sub(vec(n), vec(ca)))], direction))
-    return with_vec(df, out, tuple(F.col("__d")[a] for a in AXES)).drop("__d")
-
-
 def to_local(point, origin, frame):
     """Coordinates of a point in a local frame given as three unit vectors."""
     d = sub(point, origin)
@@ -197,14 +186,24 @@ def matrix_from_quaternion(w, x, y, z) -> Column:
 
 
 def matrix_from_axis_angle(v) -> Column:
-    """Row-major rotation matrix of a rotation vector (axis times angle)."""
+    """Row-major rotation matrix of a rotation vector (axis times angle).
+
+    R = cos a I + (sin a / a) [v]x + ((1 - cos a) / a^2) v v^T, with both quotients by
+    half-angle sines, which lose nothing near zero; at zero they are 1 and 1/2.
+    """
     angle = norm(v)
-    half = angle / F.lit(2.0)
-    # sin(a/2)/a tends to 1/2; the series keeps small angles exact
-    k = F.when(angle < 1e-6, F.lit(0.5) - angle * angle / F.lit(48.0)).otherwise(
-        F.sin(half) / F.when(angle < 1e-6, F.lit(1.0)).otherwise(angle)
+    none = angle == 0
+    safe = F.when(none, F.lit(1.0)).otherwise(angle)
+    turn = F.when(none, F.lit(1.0)).otherwise(F.sin(safe) / safe)
+    half = F.when(none, F.lit(0.5)).otherwise(F.sin(safe / 2) / safe)
+    spread = F.when(none, F.lit(0.5)).otherwise(F.lit(2.0) * half * half)
+    c = F.cos(angle)
+    x, y, z = v
+    return F.array(
+        c + spread * x * x, spread * x * y - turn * z, spread * x * z + turn * y,
+        spread * y * x + turn * z, c + spread * y * y, spread * y * z - turn * x,
+        spread * z * x - turn * y, spread * z * y + turn * x, c + spread * z * z,
     )
-    return matrix_from_quaternion(F.cos(half), *[c * k for c in v])
 
 
 def radial_basis(value: Column, v_min: float, v_max: float, n: int = 16) -> Column:

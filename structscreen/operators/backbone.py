@@ -47,7 +47,7 @@ def _chi_places() -> dict[str, list[tuple[int, int, int]]]:
     """RES_ATOM -> [(chi number, 0 main / 1 alternative, place 0..3)] from the chi paths."""
     places: dict[str, list[tuple[int, int, int]]] = {}
     for res, path in k.CHI_PATH.items():
-        atoms = path.split()
+        atoms = list(path)
         for chi in range(1, len(atoms) - 2):
             for place, atom in enumerate(atoms[chi - 1:chi + 3]):
                 places.setdefault(f"{res}_{atom}", []).append((chi, 0, place))
@@ -67,12 +67,11 @@ def chi_angles(atoms: DataFrame, residue=RESIDUE) -> DataFrame:
     points of an angle side by side.
     """
     keys = [*residue, "resname"]
-    table = literal_map({a: ";".join(f"{c},{alt},{p}" for c, alt, p in lst) for a, lst in _chi_places().items()})
-    uses = F.try_element_at(table, F.concat_ws("_", "resname", "atom_name"))
-    rows = atoms.where("hetero = ' '").withColumn("__u", uses).where("__u IS NOT NULL")
-    rows = rows.select(*keys, *XYZ, F.explode(F.split("__u", ";")).alias("__u"))
-    part = F.split("__u", ",")
-    rows = rows.select(*keys, *XYZ, part[0].cast("int").alias("chi"), part[1].cast("int").alias("__alt"), part[2].cast("int").alias("__p"))
+    flat = [(*name.split("_"), *use) for name, uses in _chi_places().items() for use in uses]
+    table = atoms.sparkSession.createDataFrame(flat, "__r string, __n string, chi int, __alt int, __p int")
+    uses = (F.col("resname") == F.col("__r")) & (F.col("atom_name") == F.col("__n"))
+    rows = atoms.where("hetero = ' '").join(F.broadcast(table), uses)  # a fixed table of some hundred rows
+    rows = rows.select(*keys, *XYZ, "chi", "__alt", "__p")
     points = rows.groupBy(*keys, "chi").agg(*[
         F.max(F.when((F.col("__alt") == a) & (F.col("__p") == p), F.col(c))).alias(f"__{a}{p}_{c}")
         for a in (0, 1) for p in range(4) for c in XYZ
@@ -98,8 +97,8 @@ def chi_bonds() -> list[tuple[str, int, str, str, list[str]]]:
     """(residue, chi, axis atom 1, axis atom 2, atoms that turn), from the side-chain lists."""
     out = []
     for res, path in k.CHI_PATH.items():
-        atoms = path.split()
-        side = k.SIDE_CHAIN[res].split()
+        atoms = list(path)
+        side = k.SIDE_CHAIN[res]
         for chi in range(1, len(atoms) - 2):
             inner = set(atoms[:chi + 2])
             if chi > 1:

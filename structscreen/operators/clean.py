@@ -23,7 +23,10 @@ def clean_atoms(atoms: DataFrame, keep_chain: str | None = None) -> DataFrame:
 
 
 def drop_elements(atoms: DataFrame, elements=("H", "D"), names=()) -> DataFrame:
-    return atoms.where(~F.col("element").isin(*elements) & ~F.col("atom_name").isin(*(names or ("",))))
+    """Atoms of other elements and names; a null element or name is no match and stays."""
+    given = lambda c: F.coalesce(c, F.lit(""))
+    keep = ~given("element").isin(*elements)
+    return atoms.where(keep & ~given("atom_name").isin(*names) if names else keep)
 
 
 def only_atoms(atoms: DataFrame, names=("CA",)) -> DataFrame:
@@ -48,14 +51,16 @@ def filter_residues(
 
 
 def load_backbone(atoms: DataFrame, by=STRUCTURE, chains: list[str] | None = None) -> DataFrame:
-    """N, CA and C atoms, of some chains if given; a chain that is not there is an error."""
+    """N, CA and C atoms, of some chains if given; a structure that lacks one of them is an error."""
     out = atoms.where(F.col("atom_name").isin("N", "CA", "C") & (F.col("hetero") == " "))
     if chains is None:
         return out
     out = out.where(F.col("chain").isin(*chains))
-    wanted = out.sparkSession.createDataFrame([(c,) for c in chains], "chain string")
-    missing = wanted.exceptAll(out.select("chain").distinct())
-    message = F.concat(F.lit("chain not found: "), F.col("chain"))
+    has = [F.max(F.when(F.col("chain") == c, True)).alias(f"__c{i}") for i, c in enumerate(chains)]
+    found = atoms.select(*by, F.when(F.col("atom_name").isin("N", "CA", "C") & (F.col("hetero") == " "), F.col("chain")).alias("chain")).groupBy(*by).agg(*has)
+    lacking = F.concat_ws(",", *[F.when(F.col(f"__c{i}").isNull(), F.lit(c)) for i, c in enumerate(chains)])
+    missing = found.where(lacking != "")
+    message = F.concat(F.lit("chain not found: "), lacking, F.lit(" in "), F.concat_ws("/", *[F.col(c).cast("string") for c in by]))
     return out.unionByName(must_be_empty(missing, message, out))
 
 
@@ -111,8 +116,9 @@ def apply_gap_mask(residues: DataFrame, masks: DataFrame, by=STRUCTURE, *, index
     return residues.join(kept, [*by, index], "left_semi")
 
 
-def keep_residues(atoms: DataFrame, ids: DataFrame, keys=("chain", "resid", "insertion")) -> DataFrame:
-    return atoms.join(ids.select(*keys).distinct(), list(keys), "left_semi")
+def keep_residues(atoms: DataFrame, ids: DataFrame, keys=("chain", "resid", "insertion"), by=STRUCTURE) -> DataFrame:
+    """Atoms of the listed residues; ids of one structure say nothing about another."""
+    return attach(atoms, ids.select(*by, *keys).distinct(), [*by, *keys], "left_semi")
 
 
 def filter_ligands(ligands: DataFrame, max_heavy: int | None = None, single_fragment=True, *, n_heavy="n_heavy", smiles="smiles") -> DataFrame:

@@ -274,14 +274,15 @@ def knn_tiered(residues: DataFrame, k: int, by=(), *, id_col: str = "pos", xyz=X
         *by, F.col(f"a_{id_col}").alias("i"), F.col(f"b_{id_col}").alias("j"),
         F.sqrt(F.col("distance") * F.col("distance") + F.lit(1e-8)).alias("adjusted"),
     )
-    # by separation: positions i-k+1 .. i+k-1 are enough for a residue without coordinates
+    # by separation: k - 1 residues to each side, in the order of positions (which may have
+    # gaps), are enough for a residue without coordinates
+    numbered = over_groups(tagged.select(*by, F.col(id_col).alias("j"), "__has"), by, ["j"], __no=("row_number",))
     offsets = F.explode(F.sequence(F.lit(-(k - 1)), F.lit(k - 1)))
     lost = (
-        tagged.where(~F.col("__has")).select(*by, F.col(id_col).alias("i"))
-        .withColumn("__o", offsets).withColumn("j", F.col("i") + F.col("__o")).drop("__o")
+        numbered.where(~F.col("__has")).select(*by, F.col("j").alias("i"), "__no")
+        .withColumn("__o", offsets).withColumn("__no", (F.col("__no") + F.col("__o")).cast("long")).drop("__o")
     )
-    every = tagged.select(*by, F.col(id_col).alias("j"))
-    lost = lost.join(every, [*by, "j"], "inner")
+    lost = lost.join(numbered.select(*by, "__no", "j"), [*by, "__no"], "inner")
     # a residue with coordinates needs missing ones only in a group with fewer than k real
     sizes = tagged.groupBy(*by).agg(F.count_if("__has").alias("__real"))
     short = sizes.where(F.col("__real") < k)
@@ -345,13 +346,19 @@ def extract_pockets(atoms: DataFrame, residues: DataFrame, pockets: DataFrame, r
     """Atoms of one chain that belong to residues near each of the first pocket centres.
 
     ``residues`` has one representative point (CB, CA for glycine) per residue with
-    columns ``by``, resid, x, y, z; ``pockets`` has ``by``, pocket_rank (1-based row
-    order), center_x, center_y, center_z.
+    columns ``by``, chain, resid, x, y, z and, if it has one, insertion; ``pockets`` has ``by``,
+    pocket_rank (1-based row order), center_x, center_y, center_z.  Only ATOM records count
+    where ``atoms`` has a record column.
     """
     by = list(by)
     centres = pockets.where(F.col("pocket_rank") <= top_n).select(
         *by, "pocket_rank", *[F.col(f"center_{c}").alias(c) for c in XYZ]
     )
-    hits = radius_join(residues, centres, radius, by, a_cols=["resid"], b_cols=["pocket_rank"])
-    hits = hits.select(*by, F.col("a_resid").alias("resid"), F.col("b_pocket_rank").alias("pocket_rank")).distinct()
-    return atoms.where(F.col("chain") == chain).join(hits, [*by, "resid"], "inner")
+    keys = ["resid", *(["insertion"] if "insertion" in residues.columns and "insertion" in atoms.columns else [])]
+    mine = residues.where(F.col("chain") == chain)
+    hits = radius_join(mine, centres, radius, by, a_cols=keys, b_cols=["pocket_rank"])
+    hits = hits.select(*by, *[F.col(f"a_{c}").alias(c) for c in keys], F.col("b_pocket_rank").alias("pocket_rank")).distinct()
+    own = atoms.where(F.col("chain") == chain)
+    if "record" in atoms.columns:
+        own = own.where(F.col("record") == "ATOM")
+    return own.join(hits, [*by, *keys], "inner")

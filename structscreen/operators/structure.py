@@ -27,7 +27,7 @@ def clash_score(
     pair are kept when they have protein atoms: all zeros.
     """
     by = list(by)
-    heavy = protein.where(F.col(element) != "H").withColumn("vdw", vdw_radius(F.col(element)))
+    heavy = protein.where(F.coalesce(F.col(element), F.lit("")) != "H").withColumn("vdw", vdw_radius(F.col(element)))
     lig = ligand.withColumn("vdw", vdw_radius(F.col(symbol)))
     pairs = radius_join(heavy, lig, thr, by, a_cols=["vdw", *protein_cols], b_cols=["vdw", *ligand_cols])
     if mask is not None:
@@ -54,7 +54,7 @@ def conserved(deviation: Column, strict=False) -> Column:
 
 
 def symmetry_class(resname: Column, atom_name: Column) -> Column:
-    table = {f"{r}_{a}": c for r, pair in k.SYMMETRIC_ATOMS.items() for c, atoms in enumerate(pair, 1) for a in atoms}
+    table = {f"{r}_{a}": c for r, atoms in k.SYMMETRIC_ATOMS.items() for a, c in atoms.items()}
     return F.coalesce(F.try_element_at(literal_map(table), F.concat_ws("_", resname, atom_name)), F.lit(0))
 
 
@@ -150,8 +150,10 @@ def lddt(atoms: DataFrame, by=("pose_id",), **options) -> DataFrame:
         F.coalesce(F.sum(F.when(site, F.col("kept"))), F.lit(0)).alias("bs_conserved"),
         (F.count_if(site) * 4).alias("bs_total"),
     )
+    counts = ["conserved_distances", "total_n_distances", "bs_conserved", "bs_total"]
+    out = attach(atoms.select(*by).distinct(), out, by).na.fill(0, counts) if by else out  # groups without a pair score 0
     return out.withColumns({
-        "lddt": F.col("conserved_distances") / F.col("total_n_distances"),
+        "lddt": F.coalesce(F.try_divide("conserved_distances", "total_n_distances"), F.lit(0.0)),
         "bs_lddt": F.col("bs_conserved") / (F.lit(k.SITE_EPS) + F.col("bs_total")),
     })
 
@@ -174,7 +176,10 @@ def cross_lddt(ref_ca: DataFrame, ref_lig: DataFrame, by=("pose_id",), *, radius
     pairs = radius_join(ref_ca, ref_lig, radius, by, a_cols=["mx", "my", "mz"], b_cols=["mx", "my", "mz"])
     change = F.abs(v.dist(v.vec("a_m"), v.vec("b_m")) - F.col("distance"))
     score = F.sum(conserved(change, strict=True) * F.lit(0.25)) / (F.count(F.lit(1)) + F.lit(float(eps)))
-    return pairs.groupBy(*by).agg(score.alias("cross_lddt"), F.count(F.lit(1)).alias("n_pairs"))
+    out = pairs.groupBy(*by).agg(score.alias("cross_lddt"), F.count(F.lit(1)).alias("n_pairs"))
+    if not by:
+        return out
+    return attach(ref_lig.select(*by).distinct(), out, by).na.fill(0.0, ["cross_lddt"]).na.fill(0, ["n_pairs"])
 
 
 # ------------------------------------------------------------------ geometry violations
@@ -283,7 +288,10 @@ def contact_precision(pred: DataFrame, lengths: DataFrame, by=("structure_id",),
     )
     p = {b: F.col(f"h{b}") / F.greatest(first(b), F.lit(1)) for b in tenths}
     mean = sum((p[b] for b in range(2, 11)), p[1]) / 10
-    return hits.select(*keys, mean.alias("auc"), p[10].alias("p_at_l"), p[5].alias("p_at_l2"), p[2].alias("p_at_l5"))
+    scored = hits.select(*keys, mean.alias("auc"), p[10].alias("p_at_l"), p[5].alias("p_at_l2"), p[2].alias("p_at_l5"))
+    names = F.explode(F.array(*[F.lit(r[0]) for r in ranges])).alias("contact_range")
+    every = lengths.select(*by, names)  # ranges without a pair score 0
+    return attach(every, scored, keys).na.fill(0.0, ["auc", "p_at_l", "p_at_l2", "p_at_l5"])
 
 
 def symmetrize(long: DataFrame, by=(), value="value") -> DataFrame:

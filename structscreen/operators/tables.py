@@ -116,16 +116,19 @@ def per_distinct(df: DataFrame, key: str, fn) -> DataFrame:
 def combine_caches(dfs: list[DataFrame], name="name", values="values") -> DataFrame:
     """Arrays of several caches per name, concatenated in cache order.
 
-    A name that one cache lacks is an error.  Should a cache hold a name twice, its
-    greatest array counts.  One grouped pass with partial aggregates; nothing is gathered.
+    A name that one cache lacks, or holds twice, is an error.  One grouped pass with partial
+    aggregates; nothing is gathered.
     """
     tagged = reduce(lambda a, b: a.unionByName(b), [
         d.select(name, F.lit(i).alias("__i"), F.col(values).alias("__v")) for i, d in enumerate(dfs)
     ])
     parts = [f"__v{i}" for i in range(len(dfs))]
-    merged = tagged.groupBy(name).agg(*[F.max(F.when(F.col("__i") == i, F.col("__v"))).alias(c) for i, c in enumerate(parts)])
-    failed = F.raise_error(F.concat(F.lit("not in every cache: "), F.col(name).cast("string")))
-    known = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in parts])
+    merged = tagged.groupBy(name).agg(
+        *[F.max(F.when(F.col("__i") == i, F.col("__v"))).alias(c) for i, c in enumerate(parts)],
+        *[F.count_if(F.col("__i") == i).alias(f"__n{i}") for i in range(len(dfs))],
+    )
+    failed = F.raise_error(F.concat(F.lit("not once in every cache: "), F.col(name).cast("string")))
+    known = reduce(lambda a, b: a & b, [F.col(f"__n{i}") == 1 for i in range(len(dfs))])
     return merged.select(
         F.when(known, F.col(name)).otherwise(failed.cast(dfs[0].schema[name].dataType)).alias(name), F.concat(*parts).alias(values)
     )

@@ -293,11 +293,14 @@ def avg_rank(df: DataFrame, by, col: str, out: str, ascending: bool = True) -> D
 
 
 def checkpoint_folder(spark) -> str:
-    """The shared folder the cluster names; a temporary one only where none is set (tests)."""
+    """The shared folder the cluster names; a folder of this machine only in a local session."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if folder is None:
         import tempfile
 
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="structscreen-checkpoint-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from structscreen.functions.text import msa_view
 from structscreen.plans.checks import must_be_empty
 from structscreen.plans.skew import over_groups
+from structscreen.sources.lines import id_of, numbered_pieces
 
 
 def parse_records(records: DataFrame, text="value", keep=("file", "rec_idx"), line_idx: str | None = None) -> DataFrame:
@@ -26,16 +27,10 @@ def parse_records(records: DataFrame, text="value", keep=("file", "rec_idx"), li
 def _numbered_records(spark: SparkSession, paths) -> DataFrame:
     """(file, rec_idx, first_line, value): records in file order with their header's line number.
 
-    The separator "newline plus >" keeps files splittable; the order inside a file comes
-    from ``zipWithIndex`` (one extra counting pass), line numbers from a running sum of
-    the lines of earlier records.
+    The separator "newline plus >" keeps files splittable; line numbers come from a running
+    sum of the lines of earlier records.
     """
-    raw = spark.read.option("lineSep", "\n>").text(paths).select(F.input_file_name().alias("file"), "value")
-    numbered = spark.createDataFrame(
-        raw.rdd.zipWithIndex().map(lambda t: (t[0][0], t[1], t[0][1])), "file string, __n long, value string"
-    )
-    start = numbered.groupBy("file").agg(F.min("__n").alias("__s"))
-    numbered = numbered.join(start, "file").withColumn("rec_idx", F.col("__n") - F.col("__s"))
+    numbered = numbered_pieces(spark, paths, "\n>").withColumnRenamed("n", "rec_idx")
     lines = F.length("value") - F.length(F.replace("value", F.lit("\n"), F.lit(""))) + 1
     return over_groups(
         numbered.withColumn("__l", lines.cast("long")), ["file"], ["rec_idx"], __upto=("sum", "__l")
@@ -56,11 +51,10 @@ def read_fasta(spark: SparkSession, paths, on_duplicate: str = "error") -> DataF
     return check_unique_labels(seqs) if on_duplicate == "error" else seqs
 
 
-def read_msa(spark: SparkSession, paths, nseq: int | None = None, keep_gaps=True, keep_insertions=True, to_upper=False) -> DataFrame:
+def read_msa(spark: SparkSession, paths, nseq: int | None = None, keep_gaps=True, keep_insertions=True, to_upper=False, id_pattern: str | None = None) -> DataFrame:
     """(msa_id, rec_idx, label, sequence) of alignment files; labels may be empty or repeated."""
     records = parse_records(_numbered_records(spark, paths))
-    stem = F.regexp_extract("file", r"([^/]+?)(?:\.[^./]*)?$", 1)
-    return msa_rows(records.withColumn("msa_id", stem), nseq, keep_gaps, keep_insertions, to_upper)
+    return msa_rows(records.withColumn("msa_id", id_of(F.col("file"), id_pattern)), nseq, keep_gaps, keep_insertions, to_upper)
 
 
 def msa_rows(records: DataFrame, nseq=None, keep_gaps=True, keep_insertions=True, to_upper=False) -> DataFrame:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from structscreen.sources.lines import with_line_idx
+from structscreen.plans.skew import attach, over_groups
+from structscreen.sources.lines import id_of, with_line_idx
 
 HEADER_LINES = 4
 
@@ -75,7 +76,15 @@ def directed_bonds(bonds: DataFrame, by=("mol_id",)) -> DataFrame:
     )
 
 
-def read_sdf(spark: SparkSession, paths, repair_counts=False) -> tuple[DataFrame, DataFrame]:
-    lines = with_line_idx(spark, paths)
-    stem = F.regexp_extract("file", r"([^/]+?)(?:\.[^./]*)?$", 1)
-    return parse_mol_lines(lines.withColumn("mol_id", stem), ("mol_id",), repair_counts)
+def read_sdf(spark: SparkSession, paths, repair_counts=False, id_pattern: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(atoms, bonds) of mol files with any number of blocks: keys ``mol_id`` and ``record_idx``.
+
+    Blocks end with ``$$$$``; the block number is a running count of those lines.
+    """
+    lines = with_line_idx(spark, paths).withColumn("__end", F.startswith("line", F.lit("$$$$")).cast("int"))
+    counted = over_groups(lines, ["file"], ["line_idx"], __ends=("sum", "__end"))
+    blocks = counted.withColumn("record_idx", (F.col("__ends") - F.col("__end")).cast("int"))
+    start = blocks.groupBy("file", "record_idx").agg(F.min("line_idx").alias("__start"))
+    placed = attach(blocks, start, ["file", "record_idx"])
+    body = placed.select(id_of(F.col("file"), id_pattern).alias("mol_id"), "record_idx", (F.col("line_idx") - F.col("__start")).alias("line_idx"), "line")
+    return parse_mol_lines(body, ("mol_id", "record_idx"), repair_counts)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from structscreen.plans.skew import over_groups
@@ -16,27 +16,40 @@ def explode_lines(files: DataFrame, text: str = "value", keep=("file",)) -> Data
     )
 
 
-def with_line_idx(spark: SparkSession, paths, large: bool = False) -> DataFrame:
-    """Numbered lines per file: (file, line_idx, line).
+#: Patterns for ``id_of``: the file name without folder and last extension.
+STEM = r"([^/]+?)(?:\.[^./]*)?$"
 
-    Many small files are read whole, one row per file, and split inside the executors.
-    ``large`` keeps big files splittable: lines are read in parallel and numbered with
-    ``zipWithIndex``, which costs one extra counting pass.
+
+def id_of(file: Column, pattern: str | None = None) -> Column:
+    """Id of a file's rows: its whole path, or the first group of ``pattern`` in the path.
+
+    Only the path is unique over many folders; result layouts repeat file names.
     """
-    if not large:
-        files = spark.read.text(paths, wholetext=True).select(
-            F.input_file_name().alias("file"), "value"
-        )
-        return explode_lines(files)
-    raw = spark.read.text(paths).select(F.input_file_name().alias("file"), "value")
-    schema = "file string, line string, __n long"
-    numbered = spark.createDataFrame(
-        raw.rdd.zipWithIndex().map(lambda t: (t[0][0], t[0][1], t[1])), schema
-    )
-    start = numbered.groupBy("file").agg(F.min("__n").alias("__s"))
-    return numbered.join(start, "file").select(
-        "file", (F.col("__n") - F.col("__s")).alias("line_idx"), "line"
+    return file if pattern is None else F.regexp_extract(file, pattern, 1)
+
+
+def numbered_pieces(spark: SparkSession, paths, separator: str) -> DataFrame:
+    """(file, n, value): pieces between separators, numbered from 0 in file order.
+
+    Files stay splittable and nothing leaves the JVM.  A piece's number in its split comes
+    from the running row id; the pieces of earlier splits are added from a table of one row
+    per split, so no key holds more than one split.
+    """
+    raw = spark.read.option("lineSep", separator).text(paths).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("__b"),
+        F.monotonically_increasing_id().alias("__m"), "value",
     )
+    splits = raw.groupBy("file", "__b").agg(F.min("__m").alias("__first"), F.count(F.lit(1)).alias("__rows"))
+    before = Window.partitionBy("file").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    shift = F.coalesce(F.sum("__rows").over(before), F.lit(0)) - F.col("__first")
+    starts = splits.select(F.col("file").alias("__f"), F.col("__b").alias("__s"), shift.alias("__shift"))
+    at = (F.col("file") == F.col("__f")) & (F.col("__b") == F.col("__s"))
+    return raw.join(starts, at).select("file", (F.col("__m") + F.col("__shift")).alias("n"), "value")
+
+
+def with_line_idx(spark: SparkSession, paths) -> DataFrame:
+    """Numbered lines per file: (file, line_idx, line)."""
+    return numbered_pieces(spark, paths, "\n").select("file", F.col("n").alias("line_idx"), F.regexp_replace("value", "\r$", "").alias("line"))
 
 
 def read_ids(spark: SparkSession, path, limit: int | None = None) -> DataFrame:

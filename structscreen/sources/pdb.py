@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from structscreen.sources.lines import explode_lines, running_model, with_line_idx
+from structscreen.sources.lines import id_of, running_model, with_line_idx
 
 # --- fixed values: column layout of an atom record, (name, first column, width, type) --
 ATOM_FIELDS = (
@@ -56,10 +56,9 @@ def parse_atom_lines(lines: DataFrame, by=("file",)) -> DataFrame:
     return atoms.select(*by, *ATOM_COLUMNS)
 
 
-def read_pdb(spark: SparkSession, paths, large: bool = False) -> DataFrame:
-    atoms = parse_atom_lines(with_line_idx(spark, paths, large))
-    stem = F.regexp_extract("file", r"([^/]+?)(?:\.[^./]*)?$", 1)
-    return atoms.select(stem.alias("structure_id"), *ATOM_COLUMNS)
+def read_pdb(spark: SparkSession, paths, id_pattern: str | None = None) -> DataFrame:
+    atoms = parse_atom_lines(with_line_idx(spark, paths))
+    return atoms.select(id_of(F.col("file"), id_pattern).alias("structure_id"), *ATOM_COLUMNS)
 
 
 def _fixed(value: Column, width: int, digits: int) -> Column:
@@ -229,13 +228,12 @@ def parse_cif_lines(lines: DataFrame, by=("file",)) -> DataFrame:
     return out.select(*by, *ATOM_COLUMNS)
 
 
-def read_mmcif(spark: SparkSession, paths, large: bool = False) -> DataFrame:
-    atoms = parse_cif_lines(with_line_idx(spark, paths, large))
-    stem = F.regexp_extract("file", r"([^/]+?)(?:\.[^./]*)?$", 1)
-    return atoms.select(stem.alias("structure_id"), *ATOM_COLUMNS)
+def read_mmcif(spark: SparkSession, paths, id_pattern: str | None = None) -> DataFrame:
+    atoms = parse_cif_lines(with_line_idx(spark, paths))
+    return atoms.select(id_of(F.col("file"), id_pattern).alias("structure_id"), *ATOM_COLUMNS)
 
 
 __all__ = [
     "parse_atom_lines", "read_pdb", "pdb_lines", "write_pdb", "rewrite_altloc_lines", "format_models",
-    "parse_cif_lines", "read_mmcif", "format_atom_line", "explode_lines",
+    "parse_cif_lines", "read_mmcif", "format_atom_line",
 ]

@@ -31,14 +31,32 @@ def read_jobs(spark: SparkSession, path, overrides: dict[str, str] | None = None
     return df
 
 
-def read_screening_batches(spark: SparkSession, root: str) -> DataFrame:
-    """Prediction files of all batch folders under ``root`` as one table with ``batch``."""
-    df = spark.read.schema(PREDICTION_SCHEMA).csv(f"{root}/*/affinity_prediction.csv", header=True)
+def read_screening_batches(spark: SparkSession, root: str, schema: str | None = None) -> DataFrame:
+    """Prediction files of all batch folders under ``root`` as one table with ``batch``.
+
+    Without a schema the header names the columns; all but the name are numbers.  A file
+    whose header differs is an error, so no column is lost or taken for another.
+    """
+    files = batch_files(root)
+    if schema is None:
+        names = spark.read.csv(files, header=True).columns
+        schema = ", ".join(f"`{c}` {'string' if c == 'name' else 'double'}" for c in names)
+    df = spark.read.schema(schema).csv(files, header=True, enforceSchema=False)
     return df.withColumn("batch", batch_of(F.input_file_name()))
 
 
+def batch_files(root: str) -> str:
+    """Glob of the prediction files: plain batch folders, or folders that Spark partitioned by batch and file."""
+    return f"{root}/*/{{affinity_prediction.csv,file=affinity_prediction.csv}}"
+
+
 def batch_of(path: Column) -> Column:
-    return F.regexp_extract(path, r"([^/]+)/affinity_prediction\.csv(?:/|$)", 1)
+    return F.regexp_extract(path, r"([^/=]+)/(?:file=)?affinity_prediction\.csv(?:/|$)", 1)
+
+
+def write_screening_batches(predictions: DataFrame, root: str) -> None:
+    """Predictions with a ``batch`` column into one folder per batch, in one pass."""
+    predictions.withColumn("file", F.lit("affinity_prediction.csv")).write.partitionBy("batch", "file").csv(root, header=True)
 
 
 def write_predictions(summary: DataFrame, complete: DataFrame, out: str, fmt="csv", mode="errorifexists") -> None:

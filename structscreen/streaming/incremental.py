@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from structscreen.operators.tables import pending
-from structscreen.sources.tables import PREDICTION_SCHEMA, batch_of
+from structscreen.plans.checks import must_be_empty
+from structscreen.sources.tables import PREDICTION_SCHEMA, batch_files, batch_of
 
 
 def process_incremental(stream: DataFrame, fn: Callable[[DataFrame], DataFrame], out: str, checkpoint: str, *, key="name", once=True):
@@ -16,11 +17,14 @@ def process_incremental(stream: DataFrame, fn: Callable[[DataFrame], DataFrame],
 
     Each batch first drops the keys that are already in ``out`` and then writes under its
     own batch folder in overwrite mode, so a batch that is run again after a crash gives
-    the same rows once.
+    the same rows once.  Equal rows of a batch count once; different rows of one key are an
+    error, since nothing says which of them holds.
     """
     def one(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        jobs = batch.dropDuplicates([key])
+        jobs = batch.distinct()
+        twice = jobs.groupBy(key).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1")
+        jobs = jobs.unionByName(must_be_empty(twice, F.concat(F.lit("different rows for "), F.col(key).cast("string")), jobs))
         try:
             done = spark.read.parquet(out).where(F.col("batch_id") != batch_id).select(key)
             jobs = pending(jobs, done, key=key)
@@ -33,11 +37,14 @@ def process_incremental(stream: DataFrame, fn: Callable[[DataFrame], DataFrame],
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
-def stream_predictions(spark: SparkSession, root: str) -> DataFrame:
-    """Prediction files of screening batches as they land, with batch and file time."""
-    files = spark.readStream.schema(PREDICTION_SCHEMA).option("header", "true").csv(f"{root}/*/affinity_prediction.csv")
+def stream_predictions(spark: SparkSession, root: str, schema: str = PREDICTION_SCHEMA) -> DataFrame:
+    """Prediction files of screening batches as they land, with batch and file time.
+
+    ``schema`` must name the columns of the files; another header is an error.
+    """
+    files = spark.readStream.schema(schema).option("header", "true").option("enforceSchema", "false").csv(batch_files(root))
     return files.select(
-        "name", "affinity", batch_of(F.col("_metadata.file_path")).alias("batch"),
+        *files.columns, batch_of(F.col("_metadata.file_path")).alias("batch"),
         F.col("_metadata.file_modification_time").alias("landed"),
     )
 

@@ -30,7 +30,7 @@ END
 
 def test_pdb_read_clean_write_read(spark, tmp_path):
     (tmp_path / "one.pdb").write_text(PDB)
-    atoms = pdb.read_pdb(spark, str(tmp_path / "one.pdb"))
+    atoms = pdb.read_pdb(spark, str(tmp_path / "one.pdb"), id_pattern=li.STEM)
     assert atoms.count() == 6 and {r.structure_id for r in atoms.collect()} == {"one"}
     kept = cl.clean_atoms(atoms)
     assert sorted(r.atom_number for r in kept.collect()) == [1, 2, 4, 5]
@@ -42,11 +42,21 @@ def test_pdb_read_clean_write_read(spark, tmp_path):
     assert li.with_line_idx(spark, f"{out}/structure_id=one/*.txt").where("line LIKE 'ATOM%' AND length(line) <> 80").count() == 0
 
 
-def test_large_file_numbering_equals_whole_file_numbering(spark, tmp_path):
-    (tmp_path / "a.txt").write_text("x\ny\n\nz\n")
-    small = li.with_line_idx(spark, str(tmp_path / "a.txt")).select("line_idx", "line").orderBy("line_idx").collect()
-    large = li.with_line_idx(spark, str(tmp_path / "a.txt"), large=True).select("line_idx", "line").orderBy("line_idx").collect()
-    assert small == large
+def test_lines_are_numbered_over_splits_and_folders(spark, tmp_path):
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        want = {}
+        for folder in ("a", "b"):  # equal names in two folders stay apart
+            (tmp_path / folder).mkdir()
+            lines = [f"{folder} line {i}" * (i % 4) for i in range(200)]
+            (tmp_path / folder / "x.txt").write_text("\r\n".join(lines) + "\n")
+            want |= {(folder, i): line for i, line in enumerate(lines)}
+        rows = li.with_line_idx(spark, f"{tmp_path}/*/x.txt").collect()
+        assert {(r.file.split("/")[-2], r.line_idx): r.line for r in rows} == want and len(rows) == 400
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
 
 
 def test_fasta_labels_and_duplicates(spark, tmp_path):
@@ -194,3 +204,48 @@ def test_screening_batches_merge_as_they_land(spark, tmp_path):
     q = merged.writeStream.format("memory").queryName("merged").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert sorted(r.ligand for r in spark.table("merged").collect()) == ["x", "y", "z"]
+
+
+def test_ids_come_from_whole_paths(spark, tmp_path):
+    for folder in ("a", "b"):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "one.pdb").write_text(PDB)
+    atoms = pdb.read_pdb(spark, f"{tmp_path}/*/one.pdb")
+    assert atoms.select("structure_id").distinct().count() == 2 and atoms.count() == 12
+    by_folder = pdb.read_pdb(spark, f"{tmp_path}/*/one.pdb", id_pattern=r"([^/]+)/one\.pdb$")
+    assert {r.structure_id for r in by_folder.collect()} == {"a", "b"}
+
+
+def test_rules_that_dropped_rows_are_errors(spark, tmp_path):
+    from structscreen.operators import rigid as rg
+    from structscreen.operators import tables as tb
+
+    cache = spark.createDataFrame([("a", [1.0]), ("a", [2.0])], "name string, values array<double>")
+    with pytest.raises(Exception, match="not once in every cache"):
+        tb.combine_caches([cache, cache.limit(1)]).collect()
+    metal = spark.createDataFrame([("Po", 1.0, 2.0, 3.0)], "symbol string, x double, y double, z double")
+    assert rg.center_of_mass(metal).first()["y"] == 2.0
+    src, out, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+    spark.createDataFrame([("a", 1), ("a", 1), ("b", 2), ("b", 3)], "name string, v int").write.parquet(src)
+    stream = spark.readStream.schema("name string, v int").parquet(src)
+    with pytest.raises(Exception, match="different rows for b"):
+        inc.process_incremental(stream, lambda d: d, out, state).awaitTermination()
+
+
+def test_prediction_files_keep_all_columns(spark, tmp_path):
+    preds = spark.createDataFrame([("1", "x", 0.5, 1.5), ("6", "y", 0.6, 2.5)], "batch string, name string, lddt double, affinity double")
+    ts.write_screening_batches(preds, str(tmp_path / "r"))
+    got = ts.read_screening_batches(spark, str(tmp_path / "r"))
+    assert sorted(map(tuple, got.select("batch", "name", "lddt", "affinity").collect())) == [("1", "x", 0.5, 1.5), ("6", "y", 0.6, 2.5)]
+    with pytest.raises(Exception, match="header"):
+        ts.read_screening_batches(spark, str(tmp_path / "r"), "name string, affinity double, rank int").collect()
+
+
+def test_several_blocks_of_one_mol_file(spark, tmp_path):
+    from structscreen.sources import ligand as lg
+
+    block = "mol\n  x\n\n  2  1  0  0  0  0  0  0  0  0999 V2000\n    0.0000    0.0000    0.0000 C   0  0\n    1.0000    0.0000    0.0000 O   0  0\n  1  2  1  0\nM  END\n$$$$\n"
+    (tmp_path / "two.sdf").write_text(block + block.replace(" O ", " N "))
+    atoms, bonds = lg.read_sdf(spark, str(tmp_path / "two.sdf"), id_pattern=li.STEM)
+    assert sorted((r.mol_id, r.record_idx, r.symbol) for r in atoms.collect()) == [("two", 0, "C"), ("two", 0, "O"), ("two", 1, "C"), ("two", 1, "N")]
+    assert bonds.count() == 2

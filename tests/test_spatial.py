@@ -176,3 +176,56 @@ def test_pocket_rmsd_without_near_atom(spark):
     far = spark.createDataFrame([(0, 999.0, 0.0, 0.0)], "g int, x double, y double, z double")
     for r in rg.protein_rmsd(pairs, far, ["g"]).collect():
         assert r.protein_rmsd == pytest.approx(1.0) and r.pocket_rmsd == -1.0
+
+
+def test_pockets_keep_chains_and_structures_apart(spark):
+    from structscreen.operators import clean as cl
+
+    atoms = spark.createDataFrame([
+        ("s", "A", 7, " ", "ATOM", 100.0, 0.0, 0.0), ("s", "B", 7, " ", "ATOM", 0.0, 0.0, 0.0), ("s", "A", 8, " ", "ATOM", 1.0, 0.0, 0.0),
+        ("s", "A", 9, " ", "HETATM", 1.0, 1.0, 0.0), ("t", "A", 7, " ", "ATOM", 0.0, 0.0, 0.0),
+    ], "structure_id string, chain string, resid int, insertion string, record string, x double, y double, z double")
+    centre = spark.createDataFrame([("s", 1, 0.0, 0.0, 0.0)], "structure_id string, pocket_rank int, center_x double, center_y double, center_z double")
+    got = sp.extract_pockets(atoms, atoms, centre, 5.0)
+    assert [(r.structure_id, r.chain, r.resid) for r in got.collect()] == [("s", "A", 8)]
+    kept = cl.keep_residues(atoms, atoms.where("structure_id = 't'"))
+    assert [(r.structure_id, r.resid) for r in kept.collect()] == [("t", 7)]
+
+
+def test_missing_chain_is_checked_per_structure(spark):
+    from structscreen.operators import clean as cl
+
+    atoms = spark.createDataFrame([("s", "A", "CA", " "), ("t", "B", "CA", " "), ("t", "A", "N", " ")], "structure_id string, chain string, atom_name string, hetero string")
+    with pytest.raises(Exception, match="chain not found: B in s"):
+        cl.load_backbone(atoms, chains=["A", "B"]).collect()
+    assert cl.load_backbone(atoms, chains=["A"]).count() == 2
+
+
+def test_positions_with_gaps_and_empty_ranges_and_null_elements(spark):
+    from structscreen.operators import clean as cl
+    from structscreen.operators import structure as st
+
+    res = spark.createDataFrame([("g", p, None if p == 10 else float(p), 0.0, 0.0) for p in (1, 5, 10, 15, 20)], "g string, pos long, x double, y double, z double")
+    lost = [r for r in sp.knn_tiered(res, 3, ["g"]).collect() if r.i == 10]
+    assert sorted(r.j for r in lost) == [5, 10, 15]
+    pred = spark.createDataFrame([("p", 0, 4, 0.9, 1)], "structure_id string, i int, j int, score double, target int")
+    lengths = spark.createDataFrame([("p", 10), ("q", 10)], "structure_id string, length int")
+    got = {(r.structure_id, r.contact_range): r.p_at_l for r in st.contact_precision(pred, lengths).collect()}
+    assert len(got) == 8 and got[("p", "local")] == pytest.approx(0.1) and got[("q", "long")] == 0.0
+    plain = spark.createDataFrame([(None, "CA"), ("H", "HA"), ("C", "CB")], "element string, atom_name string")
+    assert cl.drop_elements(plain).count() == 2
+
+
+def test_rotation_from_axis_angle(spark):
+    from structscreen.functions import vec as v
+
+    rows = [(0.0, 0.0, 0.0), (1e-9, 0.0, 0.0), (0.3, -0.2, 0.9), (0.0, 0.0, math.pi), (1e-4, 2e-4, -1e-4)]
+    df = spark.createDataFrame(rows, "x double, y double, z double")
+    m = df.select("x", "y", "z", v.matrix_from_axis_angle(v.vec()).alias("m")).collect()
+    for r in m:
+        w = np.array([[0, -r.z, r.y], [r.z, 0, -r.x], [-r.y, r.x, 0]])
+        want, term = np.eye(3), np.eye(3)
+        for k in range(1, 40):
+            term = term @ w / k
+            want = want + term
+        np.testing.assert_allclose(np.array(r.m).reshape(3, 3), want, atol=1e-12)
