@@ -14,12 +14,12 @@ document with a smaller id; windows are judged on the input.
    tree of packed bits with rank counts, and symbol counts.  Backward search over the wavelet
    tree yields the matching statistics of all windows at once; an interval that still holds
    another segment after ``WINDOW`` words is reported with the least document id in it.
-3. Reports are joined back to the places of each segment, and each document drops the words
-   covered.
+3. Reports name the places of each segment, and each document drops the words covered.
 
 An anchor with more documents than ``HOT`` (or a millionth of all pairs, if that is more) is not
-kept together: its windows travel alone, sharded by their whole content.  At most a million
-anchors can be that hot; this bounds the broadcast set of them.
+kept together: its windows travel alone, sharded by their whole content, and their places meet
+the reports in a join that adaptive execution can split.  At most a million anchors can be that
+hot; this bounds the broadcast set of them.
 
 Defined cases: null or empty texts have no words; a null id is neither smaller nor larger than
 any, so its document stays whole and removes nothing; rows of equal id never remove each other's
@@ -28,6 +28,7 @@ words; equal rows get equal results; other columns are carried along.
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,11 +37,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from structscreen.llm.common import split_small_input, written
+from structscreen.llm.common import written
 
 WINDOW = 13
-GRAM = 6
-HOT = 2000
+GRAM = 5
+HOT = 20_000
 _REACH = WINDOW - GRAM + 1
 _BLOCK_BYTES = 8 << 20
 _INDEX_WORDS = 400_000
@@ -66,7 +67,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Slices of a few MB of text (or one document): (rows, texts as bytes)."""
     for batch in batches:
-        texts = batch.column("text").cast(pa.large_binary()).to_pylist()
+        texts = batch.column("body").cast(pa.large_binary()).to_pylist()
         start, size = 0, 0
         for row, text in enumerate(texts):
             size += len(text or b"")
@@ -76,7 +77,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch,
 
 
 def _anchors(texts: list[bytes], hashes: _WordHashes):
-    """Words of all texts, first word of each text, and per window: start, row, anchor place and hash."""
+    """Words of all texts, first word of each text, and per window: start, row and anchor."""
     words: list[bytes] = []
     counts = np.zeros(len(texts), dtype=np.int64)
     for row, text in enumerate(texts):
@@ -86,23 +87,27 @@ def _anchors(texts: list[bytes], hashes: _WordHashes):
     first = np.concatenate(([0], np.cumsum(counts)))
     empty = np.zeros(0, dtype=np.int64)
     if len(words) < WINDOW:
-        return words, first, empty, empty, empty, empty.view(np.uint64)
+        return words, first, empty, empty, empty.view(np.uint64)
     each = np.frombuffer(b"".join(map(hashes.__getitem__, words)), dtype=">u8").astype(np.uint64)
     grams = np.zeros(len(words) - GRAM + 1, dtype=np.uint64)
     for k in range(GRAM):
         grams *= _FACTOR
         grams += each[k:len(words) - GRAM + 1 + k]
     grams = _mix(grams)
-    place = np.lib.stride_tricks.sliding_window_view(grams, _REACH).argmin(axis=1)
+    least, width = grams, 1
+    while width < _REACH:  # sliding minimum by doubling
+        step = min(width, _REACH - width)
+        least = np.minimum(least[:-step], least[step:])
+        width += step
     starts = np.arange(len(words) - WINDOW + 1)
     row = np.repeat(np.arange(len(texts)), counts)
     inside = row[starts] == row[starts + WINDOW - 1]
-    starts, place = starts[inside], (place + starts)[inside]
-    return words, first, starts, row[starts], place, grams[place]
+    starts = starts[inside]
+    return words, first, starts, row[starts], least[starts]
 
 
 def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, text) -> (r, anchor, doc, n).
+    """(id, body) -> (r, anchor, doc, n).
 
     Rows with ``n``: one per anchor of a block, its least document and the number of documents.
     Rows without: further places of anchors that the block itself holds twice, ready as they are
@@ -111,10 +116,10 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hashes = _WordHashes()
     for rows, texts in _blocks(batches):
         docs = rows.column("id").to_numpy(zero_copy_only=False)
-        _, _, _, row, place, anchor = _anchors(texts, hashes)
+        _, _, _, row, anchor = _anchors(texts, hashes)
         if not len(row):
             continue
-        change = np.flatnonzero(np.concatenate(([True], (place[1:] != place[:-1]) | (row[1:] != row[:-1]))))
+        change = np.flatnonzero(np.concatenate(([True], (anchor[1:] != anchor[:-1]) | (row[1:] != row[:-1]))))
         anchor, doc = anchor[change], docs[row[change]]
         order = np.lexsort((doc, anchor))
         anchor, doc = anchor[order], doc[order]
@@ -159,25 +164,42 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(anchor), pa.array(n)], ["doc", "anchor", "n"])
 
 
-_SEGMENTS = "route long, digest long, segment binary, docs array<long>, checks array<long>, places array<int>"
+_SEGMENTS = "route int, segment binary, least long, most long, places binary"
+_PLACE = struct.Struct("<qqi")  # document id, hash of its text, first word of the segment
+_PLACES = np.dtype([("doc", "<i8"), ("check", "<i8"), ("start", "<i4")])
+
+
+def _signed(x: int, bits: int = 64) -> int:
+    return x - (1 << bits) if x >> (bits - 1) else x
+
+
+def _digests(segment: bytes) -> tuple[int, int]:
+    """128 bits that stand for a segment."""
+    return _signed(xxhash.xxh64_intdigest(segment)), _signed(xxhash.xxh64_intdigest(segment, 1))
+
+
+def _live(rows: pa.RecordBatch, texts: list[bytes], hashes: _WordHashes, wanted: str):
+    """Words, first words and the windows whose anchor is in the list column ``wanted``."""
+    words, first, starts, row, anchor = _anchors(texts, hashes)
+    anchor = anchor.view(np.int64)
+    live = np.isin(anchor, np.unique(rows.column(wanted).flatten().to_numpy(zero_copy_only=False)))
+    return words, first, starts[live], row[live], anchor[live]
 
 
 def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, text, live, hot) -> one row per different segment of a block, with all its places."""
+    """(id, body, live, hot) -> one row per different segment of a block, with all its places.
+
+    A window of a hot anchor is a segment of its own and comes without places.
+    """
     hashes = _WordHashes()
-    signed = lambda x: x - (1 << 64) if x >> 63 else x
     for rows, texts in _blocks(batches):
         docs = rows.column("id").to_pylist()
-        checks = [signed(xxhash.xxh64_intdigest(t)) for t in texts]
-        words, first, starts, row, place, anchor = _anchors(texts, hashes)
-        known = [np.unique(rows.column(c).flatten().to_numpy(zero_copy_only=False)) for c in ("live", "hot")]
-        anchor = anchor.view(np.int64)
-        live = np.isin(anchor, known[0])
-        starts, row, place, anchor = starts[live], row[live], place[live], anchor[live]
+        checks = [_signed(xxhash.xxh64_intdigest(t)) for t in texts]
+        words, first, starts, row, anchor = _live(rows, texts, hashes, "live")
         if not len(starts):
             continue
-        alone = np.isin(anchor, known[1])
-        head = np.concatenate(([True], (starts[1:] != starts[:-1] + 1) | (place[1:] != place[:-1]) | (row[1:] != row[:-1]))) | alone
+        alone = np.isin(anchor, np.unique(rows.column("hot").flatten().to_numpy(zero_copy_only=False)))
+        head = np.concatenate(([True], (starts[1:] != starts[:-1] + 1) | (anchor[1:] != anchor[:-1]) | (row[1:] != row[:-1]))) | alone
         heads = np.flatnonzero(head)
         ends = np.concatenate((heads[1:], [len(starts)])) - 1
         found: dict[bytes, list] = {}
@@ -185,17 +207,32 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             segment = b" ".join(words[a:b])
             at = found.get(segment)
             if at is None:
-                digest = signed(xxhash.xxh64_intdigest(segment))
-                at = found[segment] = [digest if single else key, digest, [], [], []]
-            at[2].append(docs[r])
-            at[3].append(checks[r])
-            at[4].append(a - int(first[r]))
+                route = _signed((_digests(segment)[0] if single else key) & 0xFFFFFFFF, 32)
+                at = found[segment] = [route, docs[r], docs[r], None if single else b""]
+            at[1], at[2] = min(at[1], docs[r]), max(at[2], docs[r])
+            if not single:
+                at[3] += _PLACE.pack(docs[r], checks[r], a - int(first[r]))
         lists = list(found.values())
         yield pa.RecordBatch.from_arrays([
-            pa.array([x[0] for x in lists], pa.int64()), pa.array([x[1] for x in lists], pa.int64()), pa.array(list(found), pa.binary()),
-            pa.array([x[2] for x in lists], pa.list_(pa.int64())), pa.array([x[3] for x in lists], pa.list_(pa.int64())),
-            pa.array([x[4] for x in lists], pa.list_(pa.int32())),
-        ], ["route", "digest", "segment", "docs", "checks", "places"])
+            pa.array([x[0] for x in lists], pa.int32()), pa.array(list(found), pa.binary()), pa.array([x[1] for x in lists], pa.int64()),
+            pa.array([x[2] for x in lists], pa.int64()), pa.array([x[3] for x in lists], pa.binary()),
+        ], ["route", "segment", "least", "most", "places"])
+
+
+def _hot_places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, body, hot) -> (one, two, d, check, start) of every window with a hot anchor."""
+    hashes = _WordHashes()
+    for rows, texts in _blocks(batches):
+        docs, checks = rows.column("id").to_pylist(), [_signed(xxhash.xxh64_intdigest(t)) for t in texts]
+        words, first, starts, row, _ = _live(rows, texts, hashes, "hot")
+        digests = [_digests(b" ".join(words[a:a + WINDOW])) for a in starts.tolist()]
+        yield pa.RecordBatch.from_arrays([
+            pa.array([x[0] for x in digests], pa.int64()), pa.array([x[1] for x in digests], pa.int64()), pa.array([docs[r] for r in row.tolist()], pa.int64()),
+            pa.array([checks[r] for r in row.tolist()], pa.int64()), pa.array(starts - first[row], pa.int32()),
+        ], ["one", "two", "d", "check", "start"])
+
+
+_BELOW = np.array([(1 << k) - 1 for k in range(64)], dtype=np.uint64)
 
 
 class WaveletTree:
@@ -204,18 +241,18 @@ class WaveletTree:
     def __init__(self, symbols: np.ndarray, alphabet: int):
         self.levels = max(1, int(alphabet - 1).bit_length())
         self.bits, self.ranks, self.zeros = [], [], []
-        current, n = symbols, len(symbols)
+        current, n = symbols.astype(np.int32), len(symbols)
         for level in range(self.levels - 1, -1, -1):
             bit = ((current >> level) & 1).astype(bool)
             packed = np.zeros(8 * (n // 64 + 1), dtype=np.uint8)
             packed[: (n + 7) // 8] = np.packbits(bit, bitorder="little")
             packed = packed.view("<u8")
             self.bits.append(packed)
-            self.ranks.append(np.concatenate(([0], np.cumsum(np.bitwise_count(packed).astype(np.int64)))))
+            self.ranks.append(np.concatenate(([0], np.cumsum(np.bitwise_count(packed), dtype=np.int64))).astype(np.int32))
             self.zeros.append(n - int(bit.sum()))
             current = np.concatenate((current[~bit], current[bit]))
         # where each symbol's run starts on the last level
-        starts = np.zeros(alphabet, dtype=np.int64)
+        starts = np.zeros(alphabet, dtype=np.int32)
         kinds, at = np.unique(current, return_index=True)
         order = np.argsort(at)
         starts[kinds[order]] = at[order]
@@ -225,9 +262,9 @@ class WaveletTree:
         """Occurrences of ``symbol`` before ``place``, for arrays of both."""
         for k in range(self.levels):
             word = place >> 6
-            ones = self.ranks[k][word] + np.bitwise_count(self.bits[k][word] & ((np.uint64(1) << (place & 63).astype(np.uint64)) - np.uint64(1)))
-            up = (symbol >> (self.levels - 1 - k)) & 1
-            place = np.where(up == 1, self.zeros[k] + ones, place - ones)
+            ones = self.ranks[k][word] + np.bitwise_count(self.bits[k][word] & _BELOW[place & 63])
+            up = (symbol & (1 << (self.levels - 1 - k))) != 0
+            place = np.where(up, ones + self.zeros[k], place - ones)
         return place - self.starts[symbol]
 
 
@@ -247,7 +284,7 @@ class FMIndex:
             after = np.full(n, -1, dtype=np.int64)
             after[: n - step] = rank[step:]
             key = rank * (n + alphabet + 2) + after + 1
-            order = np.argsort(key, kind="stable")
+            order = np.argsort(key)
             sorted_key = key[order]
             fresh = np.concatenate(([0], np.cumsum(sorted_key[1:] != sorted_key[:-1])))
             rank = np.empty(n, dtype=np.int64)
@@ -256,7 +293,8 @@ class FMIndex:
                 break
             step *= 2
         self.order = order
-        self.counts = np.concatenate(([0], np.cumsum(np.bincount(text, minlength=alphabet))))
+        self.symbols = text.astype(np.int32)
+        self.counts = np.concatenate(([0], np.cumsum(np.bincount(text, minlength=alphabet)))).astype(np.int32)
         self.tree = WaveletTree(text[order - 1], alphabet)
 
     def search(self, ends: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -266,36 +304,46 @@ class FMIndex:
         at full length.  The others match nothing but themselves.
         """
         which = np.arange(len(ends))
-        symbol = self.text[ends]
+        symbol = self.symbols[ends]
         low, high = self.counts[symbol], self.counts[symbol + 1]
         for back in range(1, length):
             more = high - low > 1
             which, low, high = which[more], low[more], high[more]
             if not len(which):
                 break
-            symbol = self.text[ends[which] - back]
-            base = self.counts[symbol]
-            low, high = base + self.tree.rank(symbol, low), base + self.tree.rank(symbol, high)
+            symbol = self.symbols[ends[which] - back]
+            both = np.tile(self.counts[symbol], 2) + self.tree.rank(np.tile(symbol, 2), np.concatenate((low, high)))
+            low, high = both[: len(which)], both[len(which):]
         more = high - low > 1
         return which[more], low[more], high[more]
 
 
-def _first_documents(segments: list[bytes], least: np.ndarray) -> list[np.ndarray]:
-    """Per segment and window: the least document id among the segments that hold the window."""
-    ids: dict[bytes, int] = {}
-    parts: list[int] = []
-    for segment in segments:
-        for word in segment.split(b" "):
-            parts.append(ids.setdefault(word, len(ids) + 1))
-        parts.append(0)
-    text = np.array(parts, dtype=np.int64)
-    index = FMIndex(text, len(ids) + 1)
-    owner = np.concatenate(([0], np.cumsum(text == 0)[:-1]))
-    closes = np.flatnonzero(text == 0)
-    opens = np.concatenate(([0], closes[:-1] + 1))
-    windows = closes - opens - WINDOW + 1
+class _Numbers(dict):
+    """word -> number from 1 in order of appearance."""
+
+    def __missing__(self, word: bytes) -> int:
+        found = self[word] = len(self) + 1
+        return found
+
+
+def _first_documents(segments: list[bytes], least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Per window of all segments, in order: the least document id among the segments that hold
+    it; and where the windows of each segment begin (one entry more than segments)."""
+    numbers = _Numbers()
+    words = b" ".join(segments).split(b" ")
+    lengths = np.fromiter((x.count(b" ") + 1 for x in segments), dtype=np.int64, count=len(segments))
+    spelled = np.fromiter(map(numbers.__getitem__, words), dtype=np.int64, count=len(words))
+    closes = np.cumsum(lengths + 1) - 1
+    text = np.zeros(len(words) + len(segments), dtype=np.int64)
+    inside = np.ones(len(text), dtype=bool)
+    inside[closes] = False
+    text[inside] = spelled
+    index = FMIndex(text, len(numbers) + 1)
+    owner = np.repeat(np.arange(len(segments)), lengths + 1)
+    opens = closes - lengths
+    windows = lengths - WINDOW + 1
     base = np.concatenate(([0], np.cumsum(windows)))
-    ends = np.arange(base[-1]) - np.repeat(base[:-1], windows) + np.repeat(opens, windows) + WINDOW - 1
+    ends = np.arange(base[-1]) + np.repeat(opens - base[:-1] + WINDOW - 1, windows)
     first = np.repeat(least, windows)
     which, low, high = index.search(ends, WINDOW)
     if len(which):
@@ -305,58 +353,88 @@ def _first_documents(segments: list[bytes], least: np.ndarray) -> list[np.ndarra
         by_suffix = np.concatenate((least[owner[index.order]], [0]))
         cuts = np.stack((kinds, tops), axis=1).ravel()
         first[which] = np.minimum.reduceat(by_suffix, cuts)[::2][back]
-    return np.split(first, base[1:-1])
+    return first, base
+
+
+def _hits_of(places: list[bytes], of: list[int], first: np.ndarray, base: np.ndarray) -> list[pa.Array]:
+    """(d, check, windows): the windows of each place that start in an earlier document.
+
+    ``places[k]`` are packed places of segment ``of[k]``.
+    """
+    at = np.frombuffer(b"".join(places), dtype=_PLACES)
+    segment = np.repeat(np.array(of, dtype=np.int64), [len(x) // _PLACES.itemsize for x in places])
+    number = (base[1:] - base[:-1])[segment]
+    row = np.repeat(np.arange(len(at)), number)
+    step = np.arange(len(row)) - np.repeat(np.cumsum(number) - number, number)
+    hit = first[base[segment[row]] + step] < at["doc"][row]
+    row, step = row[hit], step[hit]
+    doc, check, window = at["doc"][row], at["check"][row], at["start"][row] + step.astype(np.int32)
+    order = np.lexsort((check, doc))
+    doc, check, window = doc[order], check[order], window[order]
+    heads = np.flatnonzero(np.concatenate(([True], (doc[1:] != doc[:-1]) | (check[1:] != check[:-1])))) if len(doc) else np.zeros(0, dtype=np.int64)
+    offsets = pa.array(np.concatenate((heads, [len(doc)])), pa.int32())
+    return [pa.array(doc[heads]), pa.array(check[heads]), pa.ListArray.from_arrays(offsets, pa.array(window, pa.int32()))]
+
+
+_FOUND = "d long, check long, windows array<int>, one long, two long, first long"
 
 
 def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (route, digest, segment, least, most) sorted by route -> (route, digest, firsts).
+    """Rows of ``_SEGMENTS`` sorted by route -> ``_FOUND``.
 
     Whole routes are gathered to about ``_INDEX_WORDS`` words; each such shard gets an index.
-    Only segments are reported of which some window starts in an earlier document.
+    A row is either a document (d, check) with windows that start in an earlier document, or a
+    window (one, two) of a hot anchor with the first document that it starts in.
     """
     held: dict[bytes, list] = {}
     size, last = 0, None
 
     def report():
         segments, values = list(held), list(held.values())
-        firsts = _first_documents(segments, np.array([v[2] for v in values], dtype=np.int64))
-        kept = [k for k, v in enumerate(values) if firsts[k].min() < v[3]]
+        first, base = _first_documents(segments, np.array([v[0] for v in values], dtype=np.int64))
+        earlier = np.minimum.reduceat(first, base[:-1]) < np.array([v[1] for v in values], dtype=np.int64)
+        found = np.flatnonzero(earlier).tolist()
+        hot = [(*_digests(segments[k]), int(first[base[k]])) for k in found if values[k][2] is None]
+        of = [k for k in found if values[k][2] is not None]
+        hits = _hits_of([values[k][2] for k in of], of, first, base)
+        n, m = len(hits[0]), len(hot)
+        none = [pa.nulls(m, x.type) for x in hits]
         return pa.RecordBatch.from_arrays([
-            pa.array([values[k][0] for k in kept], pa.int64()), pa.array([values[k][1] for k in kept], pa.int64()),
-            pa.array([firsts[k].tolist() for k in kept], pa.list_(pa.int64())),
-        ], ["route", "digest", "firsts"])
+            *[pa.concat_arrays([x, y]) for x, y in zip(hits, none)],
+            *[pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array([h[k] for h in hot], pa.int64())]) for k in range(3)],
+        ], ["d", "check", "windows", "one", "two", "first"])
 
     for batch in batches:
-        columns = [batch.column(c).to_pylist() for c in ("route", "digest", "segment", "least", "most")]
-        for route, digest, segment, least, most in zip(*columns):
+        columns = [batch.column(c).to_pylist() for c in ("route", "segment", "least", "most", "places")]
+        for route, segment, least, most, places in zip(*columns):
             if size > _INDEX_WORDS and route != last:
                 yield report()
                 held, size = {}, 0
             last = route
             at = held.get(segment)
             if at is None:
-                held[segment] = [route, digest, least, most]
+                held[segment] = [least, most, places]
                 size += segment.count(b" ") + 2
             else:
-                at[2], at[3] = min(at[2], least), max(at[3], most)
+                at[0], at[1] = min(at[0], least), max(at[1], most)
+                at[2] = None if places is None else at[2] + places
     if held:
         yield report()
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows with ``text`` and ``found`` (check, windows) -> the same with n_words, n_removed, kept_text in place of found."""
-    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    """Rows with ``body`` and ``found`` (check, windows) -> the same with n_words, n_removed, kept_text in place of found."""
     for batch in batches:
         at = batch.schema.get_field_index("found")
         others = [k for k in range(batch.num_columns) if k != at]
         found = batch.column(at).to_pylist()
         n_words, n_removed, kept = [], [], []
-        for text, marks in zip(batch.column("text").cast(pa.large_binary()).to_pylist(), found):
+        for text, marks in zip(batch.column("body").cast(pa.large_binary()).to_pylist(), found):
             words = (text or b"").split()
             n_words.append(len(words))
             gone = 0
             if marks:
-                check, stay = signed(xxhash.xxh64_intdigest(text)), np.ones(len(words), dtype=bool)
+                check, stay = _signed(xxhash.xxh64_intdigest(text)), np.ones(len(words), dtype=bool)
                 for mark in marks:
                     if mark["check"] == check:
                         for start in mark["windows"]:
@@ -374,23 +452,29 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def drop_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``df`` with ``n_words``, ``n_removed`` and ``kept_text`` (kept words joined by one space)."""
     carried = [c for c in df.columns if c not in (id_col, text_col, "n_words", "n_removed", "kept_text")]
-    renamed = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *[F.col(c).alias(f"_c{k}") for k, c in enumerate(carried)])
-    docs = renamed.select(F.col("id").cast("long").alias("id"), "text").where("id IS NOT NULL AND text IS NOT NULL")
-    pairs = split_small_input(docs).mapInArrow(_pairs, "r long, anchor long, doc long, n long")
+    renamed = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("body"), *[F.col(c).alias(f"_c{k}") for k, c in enumerate(carried)])
+    docs = renamed.where("id IS NOT NULL")  # both joins below read the same exchange of it
+    pairs = docs.select("id", "body").mapInArrow(_pairs, "r long, anchor long, doc long, n long")
     shared = written(pairs.repartition("r").sortWithinPartitions("r").mapInArrow(_shared, "doc long, anchor long, n long"))
     total = shared.count()
     hot = shared.where(F.col("n") > max(HOT, total // 1_000_000)).select(F.col("anchor").alias("h")).distinct()  # a million at most
     marked = shared.join(F.broadcast(hot), F.col("anchor") == F.col("h"), "left")
     per_doc = marked.groupBy(F.col("doc").alias("d")).agg(F.collect_set("anchor").alias("live"), F.collect_set("h").alias("hot"))
-    segments = docs.join(per_doc, F.col("id") == F.col("d")).select("id", "text", "live", "hot").mapInArrow(_segments, _SEGMENTS)
-    shards = segments.select("route", "digest", "segment", F.array_min("docs").alias("least"), F.array_max("docs").alias("most"))
-    reports = shards.repartition("route").sortWithinPartitions("route").mapInArrow(_index, "route long, digest long, firsts array<long>")
-    places = segments.select(F.col("route").alias("r"), F.col("digest").alias("g"), F.arrays_zip("docs", "checks", "places").alias("at"))
-    hits = places.join(reports, (F.col("r") == F.col("route")) & (F.col("g") == F.col("digest"))).select(F.explode("at").alias("at"), "firsts")
-    windows = F.filter(F.transform("firsts", lambda f, i: F.when(f < F.col("at.docs"), F.col("at.places") + i)), lambda x: x.isNotNull())
-    found = hits.select(F.col("at.docs").alias("d"), F.struct(F.col("at.checks").alias("check"), windows.alias("windows")).alias("mark")).where("size(mark.windows) > 0")
-    by_doc = found.groupBy("d").agg(F.collect_list("mark").alias("found"))
-    joined = renamed.join(by_doc, F.col("id").cast("long") == F.col("d"), "left").drop("d")
+    with_anchors = docs.join(per_doc, F.col("id") == F.col("d"))
+    segments = with_anchors.select("id", "body", "live", "hot").mapInArrow(_segments, _SEGMENTS)
+    # no more documents than HOT stand behind a row with places; the others meet in a join that can be split
+    indexed = written(segments.repartition("route").sortWithinPartitions("route").mapInArrow(_index, _FOUND))
+    hits = indexed.where("d IS NOT NULL").select("d", "check", "windows")
+    reports = indexed.where("one IS NOT NULL").select(F.col("one").alias("o"), F.col("two").alias("t"), "first")
+    places = with_anchors.where("size(hot) > 0").select("id", "body", "hot").mapInArrow(_hot_places, "one long, two long, d long, check long, start int")
+    hot_hits = places.join(reports, (F.col("one") == F.col("o")) & (F.col("two") == F.col("t"))).where("first < d")
+    found = hits.unionAll(hot_hits.select("d", "check", F.array("start").alias("windows")))
+    by_doc = found.groupBy("d").agg(F.collect_list(F.struct("check", "windows")).alias("found"))
+    joined = docs.join(by_doc, F.col("id") == F.col("d"), "left").drop("d")
+    nameless = renamed.where("id IS NULL").withColumn("found", F.lit(None).cast(joined.schema["found"].dataType))
     schema = [f"{f.name} {f.dataType.simpleString()}" for f in renamed.schema]
-    out = joined.select(*renamed.columns, "found").mapInArrow(_cut, ", ".join([*schema, "n_words long", "n_removed long", "kept_text string"]))
-    return out.select(F.col("id").alias(id_col), F.col("text").alias(text_col), *[F.col(f"_c{k}").alias(c) for k, c in enumerate(carried)], "n_words", "n_removed", "kept_text")
+    out = joined.unionByName(nameless).mapInArrow(_cut, ", ".join([*schema, "n_words long", "n_removed long", "kept_text string"]))
+    return out.select(
+        F.col("id").cast(df.schema[id_col].dataType).alias(id_col), F.col("body").alias(text_col),
+        *[F.col(f"_c{k}").alias(c) for k, c in enumerate(carried)], "n_words", "n_removed", "kept_text",
+    )
