@@ -54,12 +54,3 @@ def written(df: DataFrame) -> DataFrame:
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
-
-def split_small_input(df: DataFrame) -> DataFrame:
-    """Deal a table of few files out over the cores before a costly step per row.
-
-    Scan splits follow ``spark.sql.files.maxPartitionBytes``; rows are heavy here, so they
-    are dealt evenly (round robin, no key, nothing can be skewed).
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(max(cores, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))

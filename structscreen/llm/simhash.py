@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from structscreen.llm.common import split_small_input, written
+from structscreen.llm.common import written
 from structscreen.llm.components import components, sorted_groups, spanning_pairs
 
 SHINGLE = 3
@@ -118,7 +118,7 @@ def link_fingerprints(fps: DataFrame) -> DataFrame:
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id, fingerprint, component_id)`` per row: 16 hex digits, least id reachable by links."""
-    fps = written(add_fingerprint(split_small_input(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))), "text").select("id", "fp"))
+    fps = written(add_fingerprint(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "text").select("id", "fp"))
     kinds = fps.groupBy("fp").agg(F.min("id").alias("least"))
     found = components(link_fingerprints(kinds.select("fp")))
     members = kinds.join(found, kinds["fp"] == found["id"], "left").select(
