@@ -180,7 +180,7 @@ def _map(t: Tables):
     ).select("id", "i", F.col("j").cast("long").alias("j"), F.col("v").cast("double").alias("value"))
 
 
-@query("symmetrize", f"WITH {MAP} SELECT a.id, a.i, a.j, round(a.value + b.value,6) AS value FROM mp a JOIN mp b ON a.id=b.id AND a.i=b.j AND a.j=b.i")
+@query("symmetrize", f"WITH {MAP} SELECT id, i, j, round(sum(value),6) AS value FROM (SELECT id, i, j, value FROM mp UNION ALL SELECT id, j, i, value FROM mp) GROUP BY 1,2,3")
 def symmetrize(t: Tables):
     return st.symmetrize(_map(t), ["id"])
 

@@ -75,6 +75,11 @@ CIF_HEAD = ("data_x", "#", "loop_", "_atom_site.group_PDB", "_atom_site.id", "_a
 @query("mmcif_round_trip", f"""WITH {POINTS} SELECT cid AS structure_id, (idx % 50)::INTEGER AS atom_number, CASE WHEN idx % 5 = 4 THEN 'O5''' ELSE {NAME_SQL} END AS atom_name, CASE WHEN chain < 5 THEN 'A' ELSE 'B' END AS chain,
   round(x,3) AS x, round(z,3) AS z, CASE WHEN idx % 10 = 9 THEN 'H_LIG' ELSE ' ' END AS hetero FROM pts""")
 def mmcif_round_trip(t: Tables):
+    return pdb.parse_cif_lines(cif_lines(t), ["structure_id"]).select("structure_id", "atom_number", "atom_name", "chain", "x", "z", "hetero")
+
+
+def cif_lines(t: Tables):
+    """One mmCIF block per complex as numbered lines."""
     a = _atom_table(t)
     i = F.col("line_idx")
     het = i % 10 == 9
@@ -86,8 +91,7 @@ def mmcif_round_trip(t: Tables):
     body = a.select("structure_id", (i % 50 + len(CIF_HEAD)).alias("line_idx"), row.alias("line"))
     head = a.select("structure_id").distinct().select("structure_id", F.posexplode(F.array(*[F.lit(h) for h in CIF_HEAD])).alias("line_idx", "line"))
     tail = a.select("structure_id").distinct().select("structure_id", F.lit(1000).alias("line_idx"), F.lit("#").alias("line"))
-    lines = body.unionByName(head.withColumn("line_idx", F.col("line_idx").cast("long"))).unionByName(tail)
-    return pdb.parse_cif_lines(lines, ["structure_id"]).select("structure_id", "atom_number", "atom_name", "chain", "x", "z", "hetero")
+    return body.unionByName(head.withColumn("line_idx", F.col("line_idx").cast("long"))).unionByName(tail)
 
 
 def _mol_lines(t: Tables):
