@@ -256,7 +256,21 @@ def protein_and_pocket_rmsd(t: Tables):
     return rg.protein_rmsd(_pairs(t), t.ligand(), BY, radius=1.0)
 
 
-@query("kabsch_fit")
+# the best rotation as the eigenvector of the largest eigenvalue of the 4 x 4 quaternion matrix, by power iteration
+_COV = ", ".join(f"covar_pop({a}, m{b}) AS s{a}{b}" for a in XYZ for b in XYZ)
+_QUATERNION = f"""s AS (SELECT cid, count(*) AS n, {", ".join(f"avg({c}) AS a{c}, avg(m{c}) AS q{c}_" for c in XYZ)}, {_COV},
+  {"+".join(f"var_pop({c})+var_pop(m{c})" for c in XYZ)} AS c FROM pts GROUP BY 1),
+k AS (SELECT *, sxx+syy+szz AS k00, syz-szy AS k01, szx-sxz AS k02, sxy-syx AS k03, sxx-syy-szz AS k11, sxy+syx AS k12, szx+sxz AS k13, syy-sxx-szz AS k22, syz+szy AS k23, szz-sxx-syy AS k33 FROM s),
+p(cid, i, qw, qx, qy, qz) AS (SELECT cid, 0, 1.0::DOUBLE, 0.1::DOUBLE, 0.1::DOUBLE, 0.1::DOUBLE FROM k UNION ALL
+  SELECT cid, i + 1, w/m, x/m, y/m, z/m FROM (SELECT *, sqrt(w*w+x*x+y*y+z*z) AS m FROM (SELECT p.cid, i, (k00+c)*qw+k01*qx+k02*qy+k03*qz AS w, k01*qw+(k11+c)*qx+k12*qy+k13*qz AS x,
+    k02*qw+k12*qx+(k22+c)*qy+k23*qz AS y, k03*qw+k13*qx+k23*qy+(k33+c)*qz AS z FROM p JOIN k ON p.cid = k.cid WHERE i < 300))),
+r AS (SELECT k.*, qw*qw+qx*qx-qy*qy-qz*qz AS r0, 2*(qx*qy-qw*qz) AS r1, 2*(qx*qz+qw*qy) AS r2, 2*(qx*qy+qw*qz) AS r3, qw*qw-qx*qx+qy*qy-qz*qz AS r4, 2*(qy*qz-qw*qx) AS r5,
+  2*(qx*qz-qw*qy) AS r6, 2*(qy*qz+qw*qx) AS r7, qw*qw-qx*qx-qy*qy+qz*qz AS r8 FROM k JOIN p ON p.cid = k.cid WHERE i = 300)"""
+
+
+@query("kabsch_fit", f"""WITH RECURSIVE {POINTS}, {_QUATERNION}
+SELECT cid, n, round(sqrt(greatest(c - 2*(r0*sxx+r3*sxy+r6*sxz+r1*syx+r4*syy+r7*syz+r2*szx+r5*szy+r8*szz), 0)), 6) AS rmsd, {", ".join(f"round(r{i}, 6) AS r{i}" for i in range(9))},
+  round(qx_-(r0*ax+r1*ay+r2*az), 6) AS t0, round(qy_-(r3*ax+r4*ay+r5*az), 6) AS t1, round(qz_-(r6*ax+r7*ay+r8*az), 6) AS t2 FROM r""")
 def kabsch_fit(t: Tables):
     return rg.kabsch(_pairs(t), BY).select("cid", "n", "rmsd", *[F.col("r")[i].alias(f"r{i}") for i in range(9)], *[F.col("t")[i].alias(f"t{i}") for i in range(3)])
 

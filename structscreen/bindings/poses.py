@@ -317,7 +317,10 @@ def combine_caches(t: Tables):
     )
 
 
-@query("job_fingerprint")
+@query("job_fingerprint", """WITH RECURSIVE t(n, k, c) AS (SELECT i, 0, i FROM range(256) r(i) UNION ALL SELECT n, k + 1, xor(c >> 1, 3988292384 * (c & 1)) FROM t WHERE k < 8),
+tbl AS (SELECT list(c ORDER BY n) AS l FROM t WHERE k = 8),
+txt AS (SELECT string_agg(s_name, '' ORDER BY s_suppkey) || string_agg(s_nationkey::VARCHAR, '' ORDER BY s_suppkey) AS s FROM supplier)
+SELECT xor(list_reduce(list_prepend(4294967295, list_transform(string_split(s, ''), lambda x: ascii(x)::BIGINT)), lambda c, b: xor(c >> 8, l[(xor(c, b) & 255) + 1])), 4294967295)::BIGINT AS fingerprint FROM tbl, txt""")
 def job_fingerprint(t: Tables):
     jobs = rk.with_job_name(t.supplier.select("s_suppkey", F.col("s_name").alias("ligand"), F.col("s_nationkey").cast("string").alias("protein_path")), ["s_suppkey"])
     return tb.job_fingerprint(jobs)
