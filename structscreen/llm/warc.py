@@ -120,24 +120,38 @@ def train_dictionary(samples: list[bytes]) -> bytes:
         return b"".join(samples)[-DICTIONARY_BYTES:]
 
 
-def plan_records(df: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> DataFrame:
-    """(id, url, payload, digest, size, refers_to) of each row."""
+def payload_rows(df: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> DataFrame:
+    """(id, url, payload, digest, size) of each row."""
     payload = F.encode(F.coalesce(F.col(payload_col).cast("string"), F.lit("")), "UTF-8")
-    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), payload.alias("payload")).select(
+    return df.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), payload.alias("payload")).select(
         "id", "url", "payload", F.sha1("payload").alias("digest"), F.octet_length("payload").cast("long").alias("size")
     )
+
+
+def mark_revisits(rows: DataFrame) -> DataFrame:
+    """``payload_rows`` with ``refers_to``: the page that a revisit refers to, else null."""
     several = rows.where(F.col("size") >= REVISIT_BYTES).groupBy("digest").agg(F.max("id").alias("holder"), F.count(F.lit(1)).alias("n")).where("n > 1")
     joined = rows.join(several.select(F.col("digest").alias("d"), "holder"), F.col("digest") == F.col("d"), "left")
     return joined.select("id", "url", "payload", "digest", "size", F.when(~F.col("holder").eqNullSafe(F.col("id")), F.col("holder")).alias("refers_to"))
 
 
-def write_archives(records: DataFrame, folder: str) -> DataFrame:
-    """Archive the rows of ``plan_records`` into ``folder``; the manifest (path, n_records, n_bytes)."""
-    wanted = records.where(F.col("refers_to").isNull() & F.col("size").between(1, SAMPLE_BYTES))
-    sample = wanted.orderBy(F.xxhash64("id"), "digest").limit(SAMPLE_RECORDS).select("id", "url", "payload", "digest", "size").collect()
-    dictionary = records.sparkSession.sparkContext.broadcast(
-        train_dictionary([record(r["id"], r["url"], bytes(r["payload"]), r["digest"], r["size"], None) for r in sample])
-    )
+def sample_dictionary(rows: DataFrame) -> bytes:
+    """A dictionary trained on at most ``SAMPLE_RECORDS`` records of the rows.
+
+    Ids and digests alone are ordered; the chosen few are then picked up by one more scan.
+    """
+    wanted = rows.where(F.col("size").between(1, SAMPLE_BYTES))
+    picked = wanted.select("id", "digest").orderBy(F.xxhash64("id"), "id", "digest").limit(SAMPLE_RECORDS).distinct()
+    picked = picked.select(F.col("id").alias("i"), F.col("digest").alias("g"))
+    chosen = wanted.join(F.broadcast(picked), F.col("id").eqNullSafe(F.col("i")) & (F.col("digest") == F.col("g")), "left_semi")
+    sample = chosen.limit(SAMPLE_RECORDS).collect()
+    sample.sort(key=lambda r: (r["digest"], r["id"] is not None, r["id"] or 0))
+    return train_dictionary([record(r["id"], r["url"], bytes(r["payload"]), r["digest"], r["size"], None) for r in sample])
+
+
+def write_archives(records: DataFrame, folder: str, trained: bytes) -> DataFrame:
+    """Archive the rows of ``mark_revisits`` into ``folder``; the manifest (path, n_records, n_bytes)."""
+    dictionary = records.sparkSession.sparkContext.broadcast(trained)  # DICTIONARY_BYTES at most
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
@@ -212,4 +226,5 @@ def read_archives(manifest: DataFrame) -> DataFrame:
 
 def archive(df: DataFrame, folder: str | None = None, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> DataFrame:
     """Write ``df`` as WARC files (into a new shared folder by default) and read them back."""
-    return read_archives(write_archives(plan_records(df, id_col, url_col, payload_col), folder or shared_dir(df.sparkSession)))
+    rows = payload_rows(df, id_col, url_col, payload_col)
+    return read_archives(write_archives(mark_revisits(rows), folder or shared_dir(df.sparkSession), sample_dictionary(rows)))

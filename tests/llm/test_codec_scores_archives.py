@@ -97,7 +97,8 @@ def test_archives_round_trip(spark, tmp_path):
     rows = [(1, "http://a", big), (2, "http://b\r\nX: y", big), (3, None, big), (4, "u", bigger), (5, "u", bigger), (6, "u", None), (7, "u", ""), (8, "u", "\r\n\r\nWARC/1.1\r\n" * 3), (9, "u", "z" * 2_000_000), (None, "u", big), (3, None, big)]
     df = spark.createDataFrame([(*r, "old") for r in rows], "page_id long, url string, html string, payload_digest string").repartition(3)
     folder = f"file://{tmp_path}/arc"
-    manifest = warc.write_archives(warc.plan_records(df), folder)
+    records = warc.payload_rows(df)
+    manifest = warc.write_archives(warc.mark_revisits(records), folder, warc.sample_dictionary(records))
     got = warc.read_archives(manifest).collect()
     assert len(got) == len(rows) and manifest.agg({"n_records": "sum"}).first()[0] == len(rows)
     want = {}
