@@ -303,18 +303,16 @@ def normalized_similarity(t: Tables):
     return tb.normalize_scores(pair, q, g)
 
 
-@query("combine_caches", """SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, array_to_string([l_quantity, l_discount, l_tax], '|') AS vals FROM lineitem""")
+@query("combine_caches", """SELECT o_orderkey, o_custkey, array_to_string([o_totalprice::DOUBLE, o_custkey::DOUBLE, o_totalprice::DOUBLE], '|') AS vals FROM orders""")
 def combine_caches(t: Tables):
-    keys = ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")
+    keys = ("o_orderkey", "o_custkey")
     name = F.concat_ws("_", *keys)
-    first = t.lineitem.select(name.alias("name"), F.array("l_quantity", "l_discount").alias("values"))
-    second = t.lineitem.select(name.alias("name"), F.array("l_tax").alias("values"))
+    price = F.col("o_totalprice").cast("double")
+    first = t.orders.select(name.alias("name"), F.array(price, F.col("o_custkey").cast("double")).alias("values"))
+    second = t.orders.select(name.alias("name"), F.array(price).alias("values"))
     out = tb.combine_caches([first, second])
     part = F.split("name", "_")
-    return out.select(
-        *[part[i].cast("int" if k == "l_linenumber" else "long").alias(k) for i, k in enumerate(keys)],
-        F.array_join(F.col("values").cast("array<string>"), "|").alias("vals"),
-    )
+    return out.select(*[part[i].cast("long").alias(k) for i, k in enumerate(keys)], F.array_join(F.col("values").cast("array<string>"), "|").alias("vals"))
 
 
 @query("job_fingerprint", """WITH RECURSIVE t(n, k, c) AS (SELECT i, 0, i FROM range(256) r(i) UNION ALL SELECT n, k + 1, xor(c >> 1, 3988292384 * (c & 1)) FROM t WHERE k < 8),
