@@ -189,7 +189,8 @@ def _live(rows: pa.RecordBatch, texts: list[bytes], hashes: _WordHashes, wanted:
 def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(id, body, live, hot) -> one row per different segment of a block, with all its places.
 
-    A window of a hot anchor is a segment of its own and comes without places.
+    A window of a hot anchor is a segment of its own and comes without places, but with its least
+    and largest document.
     """
     hashes = _WordHashes()
     for rows, texts in _blocks(batches):
@@ -208,9 +209,10 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at = found.get(segment)
             if at is None:
                 route = _signed((_digests(segment)[0] if single else key) & 0xFFFFFFFF, 32)
-                at = found[segment] = [route, docs[r], docs[r], None if single else b""]
-            at[1], at[2] = min(at[1], docs[r]), max(at[2], docs[r])
-            if not single:
+                at = found[segment] = [route, docs[r], docs[r], None] if single else [route, None, None, b""]
+            if single:
+                at[1], at[2] = min(at[1], docs[r]), max(at[2], docs[r])
+            else:
                 at[3] += _PLACE.pack(docs[r], checks[r], a - int(first[r]))
         lists = list(found.values())
         yield pa.RecordBatch.from_arrays([
@@ -391,8 +393,15 @@ def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def report():
         segments, values = list(held), list(held.values())
-        first, base = _first_documents(segments, np.array([v[0] for v in values], dtype=np.int64))
-        earlier = np.minimum.reduceat(first, base[:-1]) < np.array([v[1] for v in values], dtype=np.int64)
+        least, most = (np.array([v[k] or 0 for v in values], dtype=np.int64) for k in (0, 1))
+        placed = np.array([v[2] is not None for v in values])
+        if placed.any():  # the others know theirs
+            held_in = np.frombuffer(b"".join(v[2] for v in values if v[2] is not None), dtype=_PLACES)["doc"]
+            sizes = np.array([len(v[2]) // _PLACES.itemsize for v in values if v[2] is not None])
+            least[placed] = np.minimum.reduceat(held_in, np.cumsum(sizes) - sizes)
+            most[placed] = np.maximum.reduceat(held_in, np.cumsum(sizes) - sizes)
+        first, base = _first_documents(segments, least)
+        earlier = np.minimum.reduceat(first, base[:-1]) < most
         found = np.flatnonzero(earlier).tolist()
         hot = [(*_digests(segments[k]), int(first[base[k]])) for k in found if values[k][2] is None]
         of = [k for k in found if values[k][2] is not None]
@@ -415,9 +424,10 @@ def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if at is None:
                 held[segment] = [least, most, places]
                 size += segment.count(b" ") + 2
-            else:
+            elif places is None:
                 at[0], at[1] = min(at[0], least), max(at[1], most)
-                at[2] = None if places is None else at[2] + places
+            else:
+                at[2] += places
     if held:
         yield report()
 
@@ -460,13 +470,13 @@ def drop_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     hot = shared.where(F.col("n") > max(HOT, total // 1_000_000)).select(F.col("anchor").alias("h")).distinct()  # a million at most
     marked = shared.join(F.broadcast(hot), F.col("anchor") == F.col("h"), "left")
     per_doc = marked.groupBy(F.col("doc").alias("d")).agg(F.collect_set("anchor").alias("live"), F.collect_set("h").alias("hot"))
-    with_anchors = docs.join(per_doc, F.col("id") == F.col("d"))
-    segments = with_anchors.select("id", "body", "live", "hot").mapInArrow(_segments, _SEGMENTS)
+    segments = docs.join(per_doc, F.col("id") == F.col("d")).select("id", "body", "live", "hot").mapInArrow(_segments, _SEGMENTS)
     # no more documents than HOT stand behind a row with places; the others meet in a join that can be split
     indexed = written(segments.repartition("route").sortWithinPartitions("route").mapInArrow(_index, _FOUND))
     hits = indexed.where("d IS NOT NULL").select("d", "check", "windows")
     reports = indexed.where("one IS NOT NULL").select(F.col("one").alias("o"), F.col("two").alias("t"), "first")
-    places = with_anchors.where("size(hot) > 0").select("id", "body", "hot").mapInArrow(_hot_places, "one long, two long, d long, check long, start int")
+    hot_of = marked.where("h IS NOT NULL").groupBy(F.col("doc").alias("d")).agg(F.collect_set("h").alias("hot"))
+    places = docs.join(hot_of, F.col("id") == F.col("d")).select("id", "body", "hot").mapInArrow(_hot_places, "one long, two long, d long, check long, start int")
     hot_hits = places.join(reports, (F.col("one") == F.col("o")) & (F.col("two") == F.col("t"))).where("first < d")
     found = hits.unionAll(hot_hits.select("d", "check", F.array("start").alias("windows")))
     by_doc = found.groupBy("d").agg(F.collect_list(F.struct("check", "windows")).alias("found"))
