@@ -8,8 +8,10 @@ ratio, times the share of text outside links).  A path whose mean fused value re
 content paths select their blocks.
 
 Parts that are never the article leave before the ratios are taken: navigation, page headers and
-footers, asides, forms, scripts, styles, hidden elements, and elements whose class, id or role
-says menu, advert, notice, comments and the like.  If a page marks its article (``article``,
+footers, asides, forms, scripts, styles and hidden elements.  Elements whose class, id or role says
+menu, advert, notice, comments and the like (whole names, or names joined from such words alone)
+are paths of their own that weigh ``APART`` in the score.  Neither holds for a hidden or marked
+element around the article, nor a mark for one around most of the page's text (``_lifted``).  If a page marks its article (``article``,
 ``main``), paths inside it are content unless they are mostly links, however short, and paths
 outside are not.  A heading right before selected blocks belongs to them.
 
@@ -32,6 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 SHARE = 0.25
+APART = 0.05  # weight of paths in elements that a class, id or role sets apart
 LINKED = 0.6  # a path with a larger share of link text is a list of links
 _KERNEL = np.exp(-0.5 * (np.arange(-2, 3) / 1.0) ** 2)
 
@@ -60,28 +63,80 @@ _TOKEN = re.compile(
     r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)(/?)>|<[!?/][^>]*>",
     re.S | re.I,
 )
-_ATTRIBUTE = re.compile(r"""(class|id|role|hidden|style|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 _HIDING = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _PUNCTUATION = re.compile(r"[.,;:!?。，、；：！？…]")
-_WORD = re.compile(r"[a-z]+|[0-9]+")
+_PARTS = re.compile(r"[-_]+")
+_BESIDE = frozenset("site list box slot unit links bar".split())  # parts that say nothing beside a mark
 
 
-def _said_apart(attributes: str) -> bool:
-    """Do the attributes say that the element is not part of the article?"""
-    for name, value in _ATTRIBUTE.findall(attributes):
-        name, value = name.lower(), value.strip("\"'").lower()
-        if name in ("class", "id") and not _MARKS.isdisjoint(_WORD.findall(value)):
-            return True
-        if name == "role" and value in _ROLES or name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and _HIDING.search(value):
-            return True
-    return False
+def _attributes(text: str) -> dict[str, str]:
+    """Values of an element's attributes by lower-case name; the first of a name counts."""
+    found: dict[str, str] = {}
+    for name, value in _ATTRIBUTE.findall(text):
+        found.setdefault(name.lower(), unescape(value.strip("\"'")).lower())
+    return found
+
+
+def _is_mark(token: str) -> bool:
+    """Is a whole class or id name a mark, or joined from marks alone (``cookie-notice``, ``comment-list``)?"""
+    parts = [x for x in _PARTS.split(token) if x]
+    return not _MARKS.isdisjoint(parts) and all(x in _MARKS or x in _BESIDE for x in parts)
+
 
+def _said_apart(given: dict[str, str], tag: str, article: bool) -> str:
+    """Do the attributes say that the element is not part of the article? ``hidden``, ``mark`` or nothing."""
+    if "hidden" in given or given.get("aria-hidden") == "true" or _HIDING.search(given.get("style", "")):
+        return "hidden"
+    names = () if tag in _HEADINGS else (*given.get("class", "").split(), *given.get("id", "").split())
+    if given.get("role") in _ROLES or any(_is_mark(x) and not (article and x == "header") for x in names):
+        return "mark"
+    return ""
 
-def blocks(html: str) -> list[tuple[str, str, bool, int]]:
-    """(tag path, text, inside the marked article, characters of it in links) of the blocks that can be content."""
-    found: list[tuple[str, str, bool, int]] = []
-    # open elements: tag, block path, is dropped, is in the article, is in an article's own header
-    stack: list[tuple[str, str, bool, bool, bool]] = [("", "", False, False, False)]
+
+def _lifted(found: list[tuple[str, str, bool, int, tuple[int, ...]]], hidden: set[int]) -> set[int]:
+    """Marked elements that hold the article: their marks do not count.
+
+    A mark is lifted from an element if no article worth a tenth of its text lies outside all marks, and it holds most
+    of the text of articles and more than lies outside all marks, or (if it is not hidden) most of the page's text.
+    """
+    length = np.array([len(n[1]) for n in found], dtype=np.float64)
+    own = np.where([n[2] for n in found], length, 0.0)
+    inside: dict[int, list[int]] = {}
+    marked = np.zeros(len(found), dtype=np.int64)
+    for k, n in enumerate(found):
+        marked[k] = len(n[4])
+        for e in n[4]:
+            inside.setdefault(e, []).append(k)
+    lifted: set[int] = set()
+    for e in sorted(inside):  # outer elements first
+        held, article = length[inside[e]].sum(), own[inside[e]].sum()
+        most = 2 * held > length.sum() and e not in hidden
+        if not most and 2 * article <= own.sum():
+            continue
+        free = marked == 0
+        if 10 * own[free].sum() < held and (most or held > length[free].sum()):
+            marked[inside[e]] -= 1
+            lifted.add(e)
+    return lifted
+
+
+def blocks(html: str) -> list[tuple[str, str, bool, int, bool]]:
+    """(tag path, text, inside the marked article, characters of it in links, said to be apart) of the blocks that can be content."""
+    found, hidden, inline = _parsed(html, None)
+    lifted = _lifted(found, hidden) if any(n[4] for n in found) else set()
+    if inline:  # known by now: marked words within a line leave it, without a cut
+        found = _parsed(html, lifted)[0]
+    return [(*n[:4], not lifted.issuperset(n[4])) for n in found if lifted.issuperset(hidden.intersection(n[4]))]
+
+
+def _parsed(html: str, lifted: set[int] | None) -> tuple[list[tuple[str, str, bool, int, tuple[int, ...]]], set[int], bool]:
+    """Blocks with the places of the marked elements around them, the hidden ones of these, and whether one is inline."""
+    found: list[tuple[str, str, bool, int, tuple[int, ...]]] = []
+    # open elements: tag, block path, is dropped, is in the article, is in an article's own header, marked elements around
+    stack: list[tuple[str, str, bool, bool, bool, tuple[int, ...]]] = [("", "", False, False, False, ())]
+    hidden: set[int] = set()
+    marked_inline = False
     text: list[str] = []
     linked: list[str] = []
 
@@ -90,7 +145,7 @@ def blocks(html: str) -> list[tuple[str, str, bool, int]]:
         if whole:
             top = stack[-1]
             inside = len(" ".join(unescape("".join(linked)).split())) if linked else 0
-            found.append((top[1], whole, top[3], inside))
+            found.append((top[1], whole, top[3], inside, top[5]))
         text.clear()
         linked.clear()
 
@@ -101,7 +156,7 @@ def blocks(html: str) -> list[tuple[str, str, bool, int]]:
                 linked.append(piece)
 
     def pop_to(depth: int) -> None:
-        if any(s[0] not in _INLINE for s in stack[depth:]):
+        if any(s[0] not in _INLINE for s in stack[depth:]) or stack[-1][5] != stack[depth - 1][5]:
             flush()
         del stack[depth:]
 
@@ -133,26 +188,36 @@ def blocks(html: str) -> list[tuple[str, str, bool, int]]:
             flush()
         if tag in _VOID or match[5]:
             continue
-        _, path, dropped, article, header = stack[-1]
-        is_article = tag in _ARTICLE or 'role="main"' in match[4]
+        _, path, dropped, article, header, around = stack[-1]
+        given = _attributes(match[4]) if match[4] else {}
+        is_article = tag in _ARTICLE or given.get("role") == "main"
+        said = ""
         if not dropped:
             if tag == "header":
                 header = article
                 dropped = not article
             elif tag in _DROPPED:
                 dropped = True
-            elif tag not in ("html", "body") and tag not in _ARTICLE and match[4] and _said_apart(match[4]):
-                dropped = True
+            elif tag not in ("html", "body") and tag not in _ARTICLE and given and (said := _said_apart(given, tag, article)):
+                if inline and lifted is not None:
+                    dropped = match.start() not in lifted
+                else:
+                    if inline:
+                        marked_inline = True
+                        flush()
+                    around = (*around, match.start())
+                if said == "hidden":
+                    hidden.add(match.start())
         if header and tag not in _HEADINGS and not inline and tag != "header" and not any(s[0] in _HEADINGS for s in stack):
             dropped = dropped or tag in ("p", "ul", "ol", "time", "address")
         if not inline:
-            path = f"{path}/{tag}"
+            path = f"{path}/{tag}{said and '!'}"
         if tag == "a" and any(s[0] == "a" for s in stack):
             pop_to(next(k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == "a"))
-        stack.append((tag, path, dropped, article or is_article, header))
+        stack.append((tag, path, dropped, article or is_article, header, around))
     put(html[at:])
     flush()
-    return found
+    return found, hidden, marked_inline
 
 
 def main_text(html: str | None) -> str:
@@ -173,17 +238,18 @@ def main_text(html: str | None) -> str:
         weight = np.convolve(np.ones(len(values)), _KERNEL)[2:-2]
         return np.convolve(values, _KERNEL)[2:-2] / weight
 
-    fused = np.sqrt(text_ratio[of] * smooth(text_ratio[of])) * (1 + smooth(mark_ratio[of])) * (1 - link_share[of])
+    apart = np.array([n[4] for n in nodes])
+    fused = np.sqrt(text_ratio[of] * smooth(text_ratio[of])) * (1 + smooth(mark_ratio[of])) * (1 - link_share[of]) * np.where(apart, APART, 1.0)
     score = np.bincount(of, fused) / number
     threshold = SHARE * float((fused * length).sum() / length.sum())
-    inside = np.array([n[2] for n in nodes])
+    inside = np.array([n[2] for n in nodes]) & ~apart
     marked = bool(inside.any())
     if marked:
         chosen = inside & (link_share[of] <= LINKED)
     else:
         chosen = (score[of] >= threshold) & (link_share[of] <= LINKED)
         for k in range(len(nodes) - 2, -1, -1):
-            if chosen[k + 1] and nodes[k][0].rpartition("/")[2] in _HEADINGS:
+            if chosen[k + 1] and not apart[k] and nodes[k][0].rpartition("/")[2] in _HEADINGS:
                 chosen[k] = True
     return "\n\n".join(n[1] for n, c in zip(nodes, chosen.tolist()) if c)
 

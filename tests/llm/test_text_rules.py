@@ -112,6 +112,23 @@ def test_unmarked_page_by_ratios():
     assert len(html_text.main_text("<p>" + "long text. " * 100_000 + "</p>")) > 1_000_000
 
 
+ARTICLE = "<article><h1 class='article-header'>The title</h1><p>First sentence of it, with words.</p><p>Second one.</p></article>"
+
+
+@pytest.mark.parametrize("around", [
+    "<div class='overflow-hidden'>{}</div>", "<div class='layout has-sidebar'>{}</div>", "<div class='page no-sidebar'>{}</div>", "<div title='a hidden gem'>{}</div>",
+    "<div data-hidden='false'>{}</div>", "<div data-id='menu-1'>{}</div>", "<div class='overlay'><ol class='comment-list'><li>Nice one, that. And long, too, yes.</ol>{}</div>",
+    "<span id=search>{}</span>", "<div hidden>{}</div>", "<div class=sidebar><p>Other words here, a few.</p></div><div id=modal>{}</div>", "{}<div hidden><p>Unseen words, hidden away.</p></div>",
+])
+def test_marks_do_not_drop_the_article(around):
+    assert html_text.main_text(around.format(ARTICLE)) == "The title\n\nFirst sentence of it, with words.\n\nSecond one."
+
+
+def test_marks_weigh_in_the_score():
+    assert html_text.main_text("<div class=widget><p>Most of the text, in a marked part; yes.</p></div><p>x</p>") == "Most of the text, in a marked part; yes."
+    assert html_text.main_text("<p>one <span class=ad>buy</span> two</p>") == "one two"
+
+
 def test_raking_meets_marginals_and_budget(spark):
     rng = np.random.default_rng(3)
     rows = [(i, ["a", "b", None][rng.integers(3)] if i % 3 else "a", ["x", "y"][rng.integers(2)], "f" if i % 5 else "g", int(rng.integers(0, 50))) for i in range(3000)]
