@@ -11,9 +11,13 @@ Parts that are never the article leave before the ratios are taken: navigation,
 footers, asides, forms, scripts, styles and hidden elements.  Elements whose class, id or role says
 menu, advert, notice, comments and the like (whole names, or names joined from such words alone)
 are paths of their own that weigh ``APART`` in the score.  Neither holds for a hidden or marked
-element around the article, nor a mark for one around most of the page's text (``_lifted``).  If a page marks its article (``article``,
-``main``), paths inside it are content unless they are mostly links, however short, and paths
-outside are not.  A heading right before selected blocks belongs to them.
+element around the article, nor a mark for one around most of the page's text (``_lifted``).
+
+If a page marks its article (``article``, ``main``, role main), paths inside it weigh up to
+``INSIDE`` times as much and have a lower threshold, both by the share of the page's unlinked
+text that the article holds: from half on every path inside is content unless it is mostly links,
+however short, and cards beside an unmarked main text are judged as any other path.  Paths outside
+are content by their score.  A heading right before selected blocks belongs to them.
 
 Defined cases: null or empty html gives empty text; text outside any tag is a block of the root
 path; unclosed elements end where their parent ends or a sibling must begin; an unclosed comment,
@@ -35,6 +39,7 @@ from pyspark.sql.types import StringType
 
 SHARE = 0.25
 APART = 0.05  # weight of paths in elements that a class, id or role sets apart
+INSIDE = 4.0  # weight of paths inside the marked article, to the power of its share of the text
 LINKED = 0.6  # a path with a larger share of link text is a list of links
 _KERNEL = np.exp(-0.5 * (np.arange(-2, 3) / 1.0) ** 2)
 
@@ -211,7 +216,7 @@ def _parsed(html: str, lifted: set[int] | None) -> tuple[list[tuple[str, str, bo
         if header and tag not in _HEADINGS and not inline and tag != "header" and not any(s[0] in _HEADINGS for s in stack):
             dropped = dropped or tag in ("p", "ul", "ol", "time", "address")
         if not inline:
-            path = f"{path}/{tag}{said and '!'}"
+            path = f"{path}/{tag}{'@' if is_article and tag not in _ARTICLE else ''}{said and '!'}"
         if tag == "a" and any(s[0] == "a" for s in stack):
             pop_to(next(k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == "a"))
         stack.append((tag, path, dropped, article or is_article, header, around))
@@ -240,17 +245,16 @@ def main_text(html: str | None) -> str:
 
     apart = np.array([n[4] for n in nodes])
     fused = np.sqrt(text_ratio[of] * smooth(text_ratio[of])) * (1 + smooth(mark_ratio[of])) * (1 - link_share[of]) * np.where(apart, APART, 1.0)
+    unlinked = np.where(apart, 0.0, length * (1 - link_share[of]))
+    inside = np.array([n[2] for n in nodes]) & ~apart
+    trust = np.where(inside, (unlinked * inside).sum() / max(1.0, unlinked.sum()), 0.0)
+    fused *= INSIDE ** trust
     score = np.bincount(of, fused) / number
     threshold = SHARE * float((fused * length).sum() / length.sum())
-    inside = np.array([n[2] for n in nodes]) & ~apart
-    marked = bool(inside.any())
-    if marked:
-        chosen = inside & (link_share[of] <= LINKED)
-    else:
-        chosen = (score[of] >= threshold) & (link_share[of] <= LINKED)
-        for k in range(len(nodes) - 2, -1, -1):
-            if chosen[k + 1] and not apart[k] and nodes[k][0].rpartition("/")[2] in _HEADINGS:
-                chosen[k] = True
+    chosen = (score[of] >= threshold * np.maximum(0.0, 1 - 2 * trust)) & (link_share[of] <= LINKED)
+    for k in range(len(nodes) - 2, -1, -1):
+        if chosen[k + 1] and not apart[k] and nodes[k][0].rpartition("/")[2] in _HEADINGS:
+            chosen[k] = True
     return "\n\n".join(n[1] for n, c in zip(nodes, chosen.tolist()) if c)
 
 

@@ -129,6 +129,25 @@ def test_marks_weigh_in_the_score():
     assert html_text.main_text("<p>one <span class=ad>buy</span> two</p>") == "one two"
 
 
+def test_cards_beside_an_unmarked_main_text():
+    said = [f"Sentence number {i} of the main text, with some more words in it. And another one, too; yes." for i in range(6)]
+    main, whole = "".join(f"<p>{x}</p>" for x in said), "\n\n".join(["Title", *said])
+    cards = "".join(f"<article><h3><a href=/{i}>Other story {i}</a></h3><p>A short teaser.</p></article>" for i in range(4))
+    plain = "".join(f"<article><p>Teaser {i}.</p></article>" for i in range(4))
+    for beside in (cards, plain):
+        assert html_text.main_text(f"<div><h1>Title</h1>{main}</div><div>{beside}</div>") == whole
+        assert html_text.main_text(f"<div>{beside}</div><div><h1>Title</h1>{main}</div>") == whole
+    both = html_text.main_text(f"<article><p>{said[0]}</p></article><div>{main}</div>")
+    assert both == "\n\n".join([said[0], *said])
+
+
+def test_marked_article_keeps_short_paths():
+    cells = "<table><tr><td>1<td>2</table><ul><li>a<li>b</ul>"
+    page = f"<div>Small print.</div><article><h1>T</h1><p>{'Many words, in a long row. ' * 200}</p>{cells}</article><div>Call us now.</div>"
+    text = html_text.main_text(page)
+    assert text.startswith("T\n\nMany words") and text.endswith("1\n\n2\n\na\n\nb") and "print" not in text
+
+
 def test_raking_meets_marginals_and_budget(spark):
     rng = np.random.default_rng(3)
     rows = [(i, ["a", "b", None][rng.integers(3)] if i % 3 else "a", ["x", "y"][rng.integers(2)], "f" if i % 5 else "g", int(rng.integers(0, 50))) for i in range(3000)]
