@@ -92,6 +92,32 @@ def test_toxic_words_are_learned(spark, docs):
     assert toxicity.add_score(docs([(1, "a"), (2, None)]), none).where("score > 0.01").count() == 0
 
 
+@pytest.mark.parametrize("said", ["worthlessness", "kys", "lo ka mimi"])
+def test_toxic_terms_that_ordinary_texts_hold_too(said):
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice(["ka", "lo", "mi", "ter", "on", "sha", "the"]) for _ in range(rng.randrange(1, 4)))
+
+    def text(bad):
+        words = [word() for _ in range(80)]
+        for _ in range(4 * bad):
+            words[rng.randrange(80)] = said
+        return " ".join(words)
+
+    labels = [int(i % 4 == 0) for i in range(700)]
+    texts = [text(y) for y in labels]
+    for i in (1, 2, 3, 5, 6, 7):
+        texts[i] += f" {said}"  # quoted, or mislabelled
+    model = toxicity.train(texts, labels)
+    held = [text(i % 2) for i in range(200)]
+    assert np.mean([(model.score(t) >= 0.5) == i % 2 for i, t in enumerate(held)]) > 0.9
+
+
+def test_passages_of_long_labelled_texts_are_learned(spark, docs):
+    rows = [(i, f"a{i} b{i} " * 6000 + ("rudeword " * 6000 if i % 2 else "kindword " * 6000)) for i in range(20)]
+    found = toxicity.sample_rows(docs(rows), spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id long, toxic int"), toxicity.F.lit(True), "doc_id", "text", "toxic")
+    assert len(found) == 20 and all(r["_p"] == 1 and len(r["_t"]) <= toxicity.LONGEST + toxicity.PASSAGES and ("rudeword" in r["_t"]) == r["_y"] for r in found)
+
+
 def test_archives_round_trip(spark, tmp_path):
     big, bigger = "é" * 700, "x" * 999
     rows = [(1, "http://a", big), (2, "http://b\r\nX: y", big), (3, None, big), (4, "u", bigger), (5, "u", bigger), (6, "u", None), (7, "u", ""), (8, "u", "\r\n\r\nWARC/1.1\r\n" * 3), (9, "u", "z" * 2_000_000), (None, "u", big), (3, None, big)]
