@@ -23,14 +23,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near copies: the one that names the class.
-
-    Rows without an id belong to no named class and stay; an id names one document, so rows that
-    repeat the kept id stay with it.
-    """
-    found = simhash.near_duplicates(docs).where("id = component_id").select(F.col("id").alias("_id")).distinct()
-    kept = docs.where("doc_id IS NOT NULL").join(found, F.col("doc_id") == F.col("_id"), "left_semi")
-    return kept.unionByName(docs.where("doc_id IS NULL"))
+    """One document of each class of near copies: that of the least id; rows with null or repeated ids are judged like any other."""
+    return simhash.one_per_class(docs)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

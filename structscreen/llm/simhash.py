@@ -116,16 +116,41 @@ def link_fingerprints(fps: DataFrame) -> DataFrame:
     return dealt.repartition("t", "cell", "i", "j").sortWithinPartitions("t", "cell", "i", "j").mapInArrow(_verify, "a long, b long")
 
 
+def _classes(kinds: DataFrame) -> DataFrame:
+    """``(k, class, least)``: the class of each fingerprint of ``kinds`` (fp, least)."""
+    found = components(link_fingerprints(kinds.select("fp")))
+    return kinds.join(found, kinds["fp"] == found["id"], "left").select(F.col("fp").alias("k"), F.coalesce("component", "fp").alias("class"), "least")
+
+
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id, fingerprint, component_id)`` per row: 16 hex digits, least id reachable by links."""
     fps = written(add_fingerprint(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "text").select("id", "fp"))
     kinds = fps.groupBy("fp").agg(F.min("id").alias("least"))
-    found = components(link_fingerprints(kinds.select("fp")))
-    members = kinds.join(found, kinds["fp"] == found["id"], "left").select(
-        F.col("fp").alias("k"), F.coalesce("component", "fp").alias("class"), "least"
-    )
+    members = _classes(kinds)
     named = members.groupBy("class").agg(F.min("least").alias("component_id")).withColumnRenamed("class", "c")
     by_fp = members.join(named, F.col("class") == F.col("c")).select("k", "component_id")
     return fps.join(by_fp, F.col("fp") == F.col("k"), "left").select(
         "id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
+
+
+def one_per_class(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of ``df`` per class of near duplicates: of the least id (null ids last), then of the least hash of the whole row.
+
+    Null and repeated ids are judged by their texts like any other; of equal rows one stays.
+    """
+    row = F.xxhash64(*[F.col(c) for c in df.columns])
+    fps = written(add_fingerprint(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), row.alias("row")), "text").select("id", "row", "fp"))
+    rows = fps.groupBy("fp", "id", "row").agg(F.count(F.lit(1)).alias("n"))
+    kinds = rows.groupBy("fp").agg(F.min(F.struct(F.col("id").isNull().alias("unnamed"), "id", "row", "n")).alias("least"))
+    best = _classes(kinds).groupBy("class").agg(F.min("least").alias("b")).select(F.col("b.id").alias("_id"), F.col("b.row").alias("_r"), F.col("b.n").alias("_n"))
+    best = written(best)
+
+    def kept(keys: DataFrame) -> DataFrame:
+        return df.withColumn("_row", row).join(keys, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_row") == F.col("_r")), "left_semi")
+
+    once = kept(best.where("_n = 1"))
+    several = best.where("_n > 1")
+    if not several.isEmpty():
+        once = once.unionByName(kept(several).dropDuplicates([id_col, "_row"]))
+    return once.drop("_row")

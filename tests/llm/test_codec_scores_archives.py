@@ -168,3 +168,13 @@ def test_pipeline_stages(spark, docs):
         assert seen[corpus_pipeline.STAGES[k][0]].columns == ["doc_id", "text", "lang", "source", "n_chars"]
     for t in seen.values():
         t.unpersist()
+
+
+def test_pipeline_keeps_one_of_each_class_without_ids(spark, docs):
+    import corpus_pipeline
+
+    rng = random.Random(4)
+    a, b, c, d = (" ".join(f"word{rng.randrange(5000)}" for _ in range(80)) for _ in range(4))
+    rows = [(1, a), (None, a), (1, a), (None, b), (None, b), (2, c), (2, d), (3, c)]
+    got = corpus_pipeline.simhash_near_dedup(spark, docs(rows), "").collect()
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in got) == sorted([(1, a), (0, b), (2, c), (2, d)])
