@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from structscreen.llm import bpe, html_text, mixing, quality, simhash, substrings, toxicity, urls, vectors, warc
+from structscreen.llm import bpe, html_text, mixing, phrases, quality, simhash, substrings, toxicity, urls, vectors, warc
 from structscreen.llm.common import word_array
 
 QUERIES: dict[str, object] = {}
@@ -192,3 +192,35 @@ FROM p LEFT JOIN h ON p.digest = h.digest"""
 def op10(spark, sf_dir):
     found = warc.archive(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+# 11 -----------------------------------------------------------------------------------
+PHRASE_LEAST, PHRASE_LONGEST, PHRASE_FIRST = 100, 5, 2000
+_GRAM_PARTS = "\n  UNION ALL ".join(
+    f"SELECT lang, array_to_string(w[i:i + {k - 1}], ' ') AS g, {k} AS k FROM (SELECT lang, w, unnest(range(1, len(w) - {k - 2})) AS i FROM pieces WHERE len(w) >= {k})" for k in range(1, PHRASE_LONGEST + 1)
+)
+PHRASE_SQL = f"""
+WITH cut AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), '{urls.UPPER}', '{urls.LOWER}'), '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
+pieces AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM cut),
+grams AS (SELECT lang, g, k, count(*)::HUGEINT AS f FROM (
+  {_GRAM_PARTS}) GROUP BY lang, g, k),
+sizes AS (SELECT lang, sum(len(w))::HUGEINT AS n FROM pieces GROUP BY lang),
+candidates AS (SELECT lang, g, k, f, string_split(g, ' ') AS w FROM grams WHERE k > 1 AND f >= {PHRASE_LEAST}),
+inside AS (
+  SELECT DISTINCT b.lang, b.g FROM candidates b JOIN candidates c
+    ON b.lang = c.lang AND c.k > b.k AND c.f >= b.f AND contains(' ' || c.g || ' ', ' ' || b.g || ' ')),
+cuts AS (SELECT lang, g, k, f, unnest(range(1, k)) AS place, w FROM candidates c ANTI JOIN inside USING (lang, g)),
+scored AS (
+  SELECT c.lang, c.g, c.f, x.f AS l, y.f AS r, n, 1000 * c.f * n // (x.f * y.f) AS score, place
+  FROM cuts c JOIN sizes USING (lang)
+  JOIN grams x ON x.lang = c.lang AND x.g = array_to_string(c.w[1:place], ' ') JOIN grams y ON y.lang = c.lang AND y.g = array_to_string(c.w[place + 1:], ' ')),
+lowest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, place) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, f DESC, g) AS rank, g AS phrase, f::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score
+FROM lowest QUALIFY rank <= {PHRASE_FIRST}"""
+
+
+@query("op11_phrase_collocation_mining", PHRASE_SQL)
+def op11(spark, sf_dir):
+    found = phrases.mine(table(spark, sf_dir, "documents").select("lang", "text"), least=PHRASE_LEAST, longest=PHRASE_LONGEST)
+    return phrases.ranked(found, PHRASE_FIRST).select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
