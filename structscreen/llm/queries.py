@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from structscreen.llm import bpe, html_text, mixing, phrases, quality, simhash, substrings, toxicity, urls, vectors, warc
+from structscreen.llm import bpe, html_text, mixing, phrases, quality, simhash, spelling, substrings, toxicity, urls, vectors, warc
 from structscreen.llm.common import word_array
 
 QUERIES: dict[str, object] = {}
@@ -224,3 +224,10 @@ FROM lowest QUALIFY rank <= {PHRASE_FIRST}"""
 def op11(spark, sf_dir):
     found = phrases.mine(table(spark, sf_dir, "documents").select("lang", "text"), least=PHRASE_LEAST, longest=PHRASE_LONGEST)
     return phrases.ranked(found, PHRASE_FIRST).select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+
+
+# 13 -----------------------------------------------------------------------------------
+@query("op13_spelling_variant_grouping")
+def op13(spark, sf_dir):
+    found = spelling.variants(spelling.count_words(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    return found.select("word", "form", "root", "n", "n_near", "form_n")
