@@ -34,8 +34,9 @@ from pyspark.sql import functions as F
 
 from structscreen.llm.common import shared_dir, written
 
-SHARD_WORDS = 1_000_000
-_OPEN_WORDS = 2_000_000  # words of all shards that a task has begun
+SHARD_WORDS = 2_000_000
+_OPEN_WORDS = 3_000_000  # words of all shards that a task has begun
+_SENT_ROWS = 1_000_000  # most phrases (three longs each) that are sent to every task at once
 _SLICE = 1 << 22
 _SEPARATORS = bytes.maketrans(b",;:!?\n\x0b\x0c\r", b"." * 9)
 
@@ -210,6 +211,11 @@ def _bucketed(df: DataFrame, buckets: int) -> DataFrame:
     return found
 
 
+def _sent(df: DataFrame) -> DataFrame:
+    """A written table of a few numbers a row for a join: broadcast only if its rows are few, else joined by exchange."""
+    return F.broadcast(df) if df.limit(_SENT_ROWS + 1).count() <= _SENT_ROWS else df
+
+
 def mine(df: DataFrame, text_col: str = "text", lang_col: str = "lang", least: int = 100, longest: int = 5, share: int = 100) -> DataFrame:
     """Phrases of 2 to ``longest`` words with at least ``least`` occurrences in their language.
 
@@ -243,7 +249,7 @@ def mine(df: DataFrame, text_col: str = "text", lang_col: str = "lang", least: i
         ))
         levels.append(alive)
         if size < longest:
-            listed = found.join(alive.select("prefix", "suffix", "gram"), ["prefix", "suffix"]).groupBy("shard").agg(F.collect_list(F.struct("gram", "low", "back", "n")).alias("alive"))
+            listed = found.join(_sent(alive.select("prefix", "suffix", "gram")), ["prefix", "suffix"]).groupBy("shard").agg(F.collect_list(F.struct("gram", "low", "back", "n")).alias("alive"))
     kept = None
     for k, (level, longer) in enumerate(zip(levels, [*levels[1:], None])):
         level = level.withColumn("words", F.lit(k + 2))
