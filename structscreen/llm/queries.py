@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from structscreen.llm import bpe, html_text, mixing, phrases, quality, simhash, spelling, substrings, toxicity, urls, vectors, warc
+from structscreen.llm import bpe, forest, html_text, mixing, phrases, quality, simhash, spelling, substrings, toxicity, urls, vectors, warc
 from structscreen.llm.common import word_array
 
 QUERIES: dict[str, object] = {}
@@ -231,3 +231,10 @@ def op11(spark, sf_dir):
 def op13(spark, sf_dir):
     found = spelling.variants(spelling.count_words(table(spark, sf_dir, "documents").select("doc_id", "text")))
     return found.select("word", "form", "root", "n", "n_near", "form_n")
+
+
+# 12 -----------------------------------------------------------------------------------
+@query("op12_approximate_nearest_neighbours")
+def op12(spark, sf_dir):
+    vectors_of = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return forest.nearest(vectors_of, F.col("vec_id") % 20 == 0, 20).select("query_id", "rank", F.col("id").alias("vec_id"), "score")
