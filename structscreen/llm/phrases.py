@@ -1,20 +1,21 @@
 """Phrase mining: word sequences that occur together more often than their parts suggest.
 
 1. Texts are lower-cased (A-Z), cut at ``[.,;:!?\\x0A-\\x0D]`` into pieces and into words at blanks and
-   tabs.  Texts of one language are laid end to end into shards of about ``SHARD_WORDS`` words;
-   a shard numbers its words and is written once.  Pieces are never cut, so no phrase is lost.
-2. Word counts are summed across shards.  Words below the least count become marks, and each
-   shard is compiled into two FM-indexes over word numbers, of the text and of the reversed text;
-   suffixes are ordered to the depth of the longest phrase.  They are written in buckets of
-   shards: no later step moves them.
+   tabs.  Texts of one language are laid end to end into chunks, which number their words and are written once.
+   Pieces are never cut, so no phrase is lost.
+2. Word counts are summed across chunks.  Words below the least count become marks.  Chunks of a language are put
+   together to shards of about ``SHARD_WORDS`` words, and each shard is compiled into two FM-indexes over word
+   numbers, of the text and of the reversed text; suffixes are ordered to the depth of the longest phrase.  The indexes are
+   written in buckets of shards: no later step moves them.
 3. Level by level, every phrase alive is extended to both sides: its interval of the one BWT holds
    the words before it, its interval of the other those behind it.  A longer phrase is reported
    where the two meet, that is, if both the phrase without its first and that without its last
    word are alive; the extensions keep the two intervals in step.  Counts are summed across shards, those
-   below the least count die, and the rest goes back to its shards with its intervals.
+   below the least count die, and the next level starts from the intervals of those alive.
 
-A phrase is known by the numbers of its prefix and suffix, so counting moves pairs of longs, one row
-per shard and phrase; a frequent phrase has as many rows as there are shards that hold it.
+A phrase is known by the numbers of its prefix and suffix, so counting moves two longs and a count, one row per shard and
+phrase.  The phrases alive are sent to the tasks if they are at most ``SENT_ROWS`` rows of ``SENT_BYTES`` bytes; else they are
+joined by exchange.
 
 Defined cases: a null text is empty; a null language counts as ``und``, with rows of that name;
 rows repeated count again; no other column is read; an empty table has no phrase.  Only a single
@@ -35,13 +36,13 @@ from pyspark.sql import functions as F
 from structscreen.llm.common import shared_dir, written
 
 SHARD_WORDS = 2_000_000
-_OPEN_WORDS = 3_000_000  # words of all shards that a task has begun
-_SENT_ROWS = 1_000_000  # most phrases (three longs each) that are sent to every task at once
+SENT_ROWS, SENT_BYTES = 500_000, 32 << 20
+_CHUNK_WORDS, _OPEN_WORDS = 1_000_000, 2_000_000  # of one chunk; of all chunks that a task has begun
 _SLICE = 1 << 22
 _SEPARATORS = bytes.maketrans(b",;:!?\n\x0b\x0c\r", b"." * 9)
 
 
-class _Shard(dict):
+class _Chunk(dict):
     """Word numbers from 1, in order of appearance (0: a mark), and the text so far."""
 
     def __init__(self):
@@ -59,21 +60,21 @@ class _Shard(dict):
         return len(words)
 
 
-_SHARDS = "shard long, lang string, n_words long, words array<binary>, counts array<long>, text binary"
+_CHUNKS = "chunk long, lang string, n_words long, words array<binary>, counts array<long>, text binary"
 
 
-def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(lang, body) -> one row per shard."""
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lang, body) -> one row per chunk."""
     task, made = TaskContext.get().partitionId(), 0
-    begun: dict[str, _Shard] = {}
+    begun: dict[str, _Chunk] = {}
 
     def close(lang: str) -> pa.RecordBatch:
         nonlocal made
-        shard = begun.pop(lang)
-        text = np.concatenate(shard.parts)
-        counts = np.bincount(text, minlength=len(shard))[1:]
+        chunk = begun.pop(lang)
+        text = np.concatenate(chunk.parts)
+        counts = np.bincount(text, minlength=len(chunk))[1:]
         made += 1
-        row = {"shard": (task << 32) + made, "lang": lang, "n_words": int(counts.sum()), "words": list(shard)[1:], "counts": counts, "text": text.tobytes()}
+        row = {"chunk": (task << 32) + made, "lang": lang, "n_words": int(counts.sum()), "words": list(chunk)[1:], "counts": counts, "text": text.tobytes()}
         kinds = [pa.int64(), pa.string(), pa.int64(), pa.list_(pa.binary()), pa.list_(pa.int64()), pa.binary()]
         return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row.values(), kinds)], list(row))
 
@@ -83,10 +84,10 @@ def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             start = 0
             while start < len(text):
                 end = text.find(b".", start + _SLICE) + 1 or len(text)
-                shard = begun.setdefault(lang, _Shard())
-                shard.add(text[start:end] + b".")
+                chunk = begun.setdefault(lang, _Chunk())
+                chunk.add(text[start:end] + b".")
                 start = end
-                if shard.size >= SHARD_WORDS:
+                if chunk.size >= _CHUNK_WORDS:
                     yield close(lang)
                 elif sum(s.size for s in begun.values()) >= _OPEN_WORDS:
                     yield close(max(begun, key=lambda k: begun[k].size))
@@ -155,50 +156,123 @@ def extensions(forward: Bwt, backward: Bwt, low: np.ndarray, back: np.ndarray, s
     return prefix[two], suffix[one], count[one], meet, right_back[two]
 
 
-def _compile(batches: Iterator[pa.RecordBatch], depth: int) -> Iterator[pa.RecordBatch]:
-    """(shard, text, alive) -> (shard, grams, forward, backward): number ``k`` from 1 is word ``grams[k - 1]``."""
+def _living(text: np.ndarray) -> np.ndarray:
+    """The text without words alone between marks and with single marks."""
+    here = text > 0
+    text = np.where(here & (np.roll(here, 1) | np.roll(here, -1)), text, 0)
+    return text[(text > 0) | (np.roll(text, 1) > 0)]
+
+
+def _relabel(batches: Iterator[pa.RecordBatch], known: dict[str, dict[bytes, int]] | None) -> Iterator[pa.RecordBatch]:
+    """(shard, lang, text, words or alive) -> (shard, grams, text): number ``k`` from 1 of a text is word ``grams[k - 1]``.
+
+    ``known`` has the frequent words of each language, or the rows bring theirs in ``alive`` (number, gram).
+    """
     for batch in batches:
         for row in range(batch.num_rows):
-            text = np.frombuffer(batch.column(1)[row].as_py(), dtype=np.int32)
-            alive = batch.column(2)[row].values
-            number, gram = (alive.field(k).to_numpy(zero_copy_only=False) for k in (0, 1))
-            order = np.argsort(number)
-            table = np.zeros(int(max(text.max(initial=0), number.max())) + 1, dtype=np.int64)
-            table[number[order]] = np.arange(1, len(number) + 1)
-            text = table[text]
-            here = text > 0
-            text[~(here & (np.roll(here, 1) | np.roll(here, -1)))] = 0  # nothing begins or ends with a word alone
-            text = text[(text > 0) | (np.roll(text, 1) > 0)]
+            text = np.frombuffer(batch.column("text")[row].as_py(), dtype=np.int32)
+            if known is None:
+                listed = batch.column("alive")[row].values
+                number, gram = (listed.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (0, 1))
+            else:
+                of = known.get(batch.column("lang")[row].as_py(), {})
+                found = [(k + 1, of[w]) for k, w in enumerate(batch.column("words")[row].as_py()) if w in of]
+                number, gram = np.array(found, dtype=np.int64).reshape(-1, 2).T
+            table = np.zeros(int(max(text.max(initial=0), number.max(initial=0))) + 1, dtype=np.int32)
+            table[number] = np.arange(1, len(number) + 1)
+            text = _living(table[text])
             if len(text):
                 yield pa.RecordBatch.from_arrays([
-                    pa.array([batch.column(0)[row].as_py()], pa.int64()), pa.array([gram[order]], pa.list_(pa.int64())),
-                    pa.array([Bwt.of(text, depth).tobytes()], pa.binary()), pa.array([Bwt.of(text[::-1], depth).tobytes()], pa.binary()),
-                ], ["shard", "grams", "forward", "backward"])
+                    batch.column("shard").slice(row, 1), pa.array([gram], pa.list_(pa.int64())), pa.array([text.tobytes()], pa.binary()),
+                ], ["shard", "grams", "text"])
+
+
+_INDEX = "shard string, grams array<long>, forward binary, backward binary"
+
+
+def _compile(batches: Iterator[pa.RecordBatch], depth: int) -> Iterator[pa.RecordBatch]:
+    """Chunks (shard, grams, text) sorted by shard -> one index row per shard."""
+    shard, held = None, []
+
+    def index() -> pa.RecordBatch:
+        grams, place = np.unique(np.concatenate([g for g, _ in held]), return_inverse=True)
+        starts = np.cumsum([0, *(len(g) for g, _ in held)])
+        text = np.concatenate([np.concatenate(([0], place[a:b] + 1)).astype(np.int32)[t] for (_, t), a, b in zip(held, starts, starts[1:])])
+        return pa.RecordBatch.from_arrays([
+            pa.array([shard]), pa.array([grams], pa.list_(pa.int64())),
+            pa.array([Bwt.of(text, depth).tobytes()], pa.binary()), pa.array([Bwt.of(text[::-1], depth).tobytes()], pa.binary()),
+        ], ["shard", "grams", "forward", "backward"])
+
+    for batch in batches:
+        for row in range(batch.num_rows):
+            name = batch.column("shard")[row].as_py()
+            if name != shard and held:
+                yield index()
+                held = []
+            shard = name
+            held.append((np.array(batch.column("grams")[row].values), np.frombuffer(batch.column("text")[row].as_py(), dtype=np.int32)))
+    if held:
+        yield index()
+
 
+_LIVING = "shard string, prefix array<long>, suffix array<long>, n array<int>, low array<int>, back array<int>"
+_PARTS = ("prefix", "suffix", "n", "low", "back")
 
-_GRAMS = "shard long, prefix long, suffix long, n int, low int, back int"
 
+class _Alive:
+    """Phrases alive by (prefix, suffix), for look-ups by the array."""
 
-def _extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Index rows, with the phrases alive from the third level on -> ``_GRAMS``."""
+    def __init__(self, rows: pa.Table):
+        prefix, suffix, self.gram = (rows.column(c).to_numpy() for c in ("prefix", "suffix", "gram"))
+        self.prefixes, one = np.unique(prefix, return_inverse=True)
+        self.suffixes, two = np.unique(suffix, return_inverse=True)
+        key = one * len(self.suffixes) + two
+        order = np.argsort(key)
+        self.key, self.gram = key[order], self.gram[order]
+
+    def find(self, prefix: np.ndarray, suffix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(which, gram) of the pairs that are alive."""
+
+        def at(known: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            place = np.minimum(np.searchsorted(known, asked), len(known) - 1)
+            return place, known[place] == asked
+
+        if not len(self.key):
+            return np.zeros(0, dtype=np.int64), self.gram
+        one, fits = at(self.prefixes, prefix)
+        two, too = at(self.suffixes, suffix)
+        place, there = at(self.key, one * len(self.suffixes) + two)
+        which = np.flatnonzero(fits & too & there)
+        return which, self.gram[place[which]]
+
+
+def _extend(batches: Iterator[pa.RecordBatch], known: _Alive | None) -> Iterator[pa.RecordBatch]:
+    """Index rows -> ``_LIVING``: one row per shard, the phrases one word longer than those alive.
+
+    On the first level these are all words; later those of the rows' own phrases that ``known`` has, or the list ``alive`` (gram, low, back, n).
+    """
     for batch in batches:
         for row in range(batch.num_rows):
             forward, backward = (Bwt(np.frombuffer(batch.column(c)[row].as_py(), dtype=np.int32)) for c in ("forward", "backward"))
-            if "alive" in batch.schema.names:
-                alive = batch.column("alive")[row].values
-                gram, low, back, size = (alive.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in ("gram", "low", "back", "n"))
-                order = np.argsort(low)
-                gram, low, back, size = gram[order], low[order], back[order], size[order]
-            else:
-                gram = np.array(batch.column("grams")[row].values)
+            column = lambda c: np.array(batch.column(c)[row].values, dtype=np.int64)  # noqa: B023, E731
+            if "grams" in batch.schema.names:
+                gram = column("grams")
                 counts = np.bincount(forward.symbols, minlength=len(gram) + 1)
                 size = counts[1:]
                 low = back = np.cumsum(counts)[:-1]
+            elif known is None:
+                alive = batch.column("alive")[row].values
+                gram, low, back, size = (alive.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in ("gram", "low", "back", "n"))
+            else:
+                which, gram = known.find(column("prefix"), column("suffix"))
+                low, back, size = (column(c)[which] for c in ("low", "back", "n"))
+            order = np.argsort(low)
+            gram, low, back, size = gram[order], low[order], back[order], size[order]
             prefix, suffix, count, low, back = extensions(forward, backward, low, back, size)
-            yield pa.RecordBatch.from_arrays([
-                pa.array(np.full(len(count), batch.column("shard")[row].as_py(), dtype=np.int64)), pa.array(gram[prefix]), pa.array(gram[suffix]),
-                pa.array(count, pa.int32()), pa.array(low, pa.int32()), pa.array(back, pa.int32()),
-            ], ["shard", "prefix", "suffix", "n", "low", "back"])
+            if len(count):
+                found = (gram[prefix], gram[suffix], count, low, back)
+                lists = [pa.array([v], pa.list_(pa.int64() if k < 2 else pa.int32())) for k, v in enumerate(found)]
+                yield pa.RecordBatch.from_arrays([batch.column("shard").slice(row, 1), *lists], ["shard", *_PARTS])
 
 
 def _bucketed(df: DataFrame, buckets: int) -> DataFrame:
@@ -211,9 +285,10 @@ def _bucketed(df: DataFrame, buckets: int) -> DataFrame:
     return found
 
 
-def _sent(df: DataFrame) -> DataFrame:
-    """A written table of a few numbers a row for a join: broadcast only if its rows are few, else joined by exchange."""
-    return F.broadcast(df) if df.limit(_SENT_ROWS + 1).count() <= _SENT_ROWS else df
+def _few(df: DataFrame, text: str | None = None) -> pa.Table | None:
+    """The rows of a written table if they are few enough to be sent to every task."""
+    size = df.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length(text) if text else F.lit(0)).alias("bytes")).first()
+    return df.toArrow() if size["n"] <= SENT_ROWS and (size["bytes"] or 0) <= SENT_BYTES else None
 
 
 def mine(df: DataFrame, text_col: str = "text", lang_col: str = "lang", least: int = 100, longest: int = 5, share: int = 100) -> DataFrame:
@@ -225,22 +300,47 @@ def mine(df: DataFrame, text_col: str = "text", lang_col: str = "lang", least: i
     extended >= share * a``: a longer one stands for it.
     """
     docs = df.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.col(text_col).cast("binary").alias("body"))
-    shards = written(docs.mapInArrow(_shards, _SHARDS))
-    buckets = max(1, -(-shards.count() // 2))
-    words = shards.select("lang", F.inline(F.arrays_zip(F.col("words").alias("word"), F.col("counts").alias("n"))))
+    chunks = written(docs.mapInArrow(_chunks, _CHUNKS))
+    sizes = written(chunks.groupBy("lang").agg(F.sum("n_words").alias("n")))
+    words = chunks.select("lang", F.inline(F.arrays_zip(F.col("words").alias("word"), F.col("counts").alias("n"))))
     frequent = words.groupBy("lang", "word").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
     alive = written(frequent.select(
         F.monotonically_increasing_id().alias("gram"), "lang", F.col("word").cast("string").alias("phrase"), "f", F.array("f").alias("heads"), F.array("f").alias("tails"),
     ))
-    at = shards.select("shard", "lang", F.posexplode("words").alias("place", "word"))
-    known = alive.select("gram", F.col("lang").alias("of"), F.col("phrase").cast("binary").alias("w"))
-    listed = at.join(known, (F.col("lang") == F.col("of")) & (F.col("word") == F.col("w"))).groupBy("shard").agg(F.collect_list(F.struct(F.col("place") + 1, "gram")).alias("alive"))
-    dealt = shards.select("shard", "text").repartition(buckets, "shard").join(listed, "shard")
-    index = _bucketed(dealt.select("shard", "text", "alive").mapInArrow(lambda b: _compile(b, longest), "shard long, grams array<long>, forward binary, backward binary"), buckets)
-    levels = []
+    spellings = alive.select("gram", "lang", F.col("phrase").cast("binary").alias("word"))
+    # a shard is some chunks of one language
+    groups = sizes.select(F.col("lang").alias("of"), F.ceil(F.col("n") / SHARD_WORDS).alias("groups"))
+    groups = F.broadcast(groups) if _few(groups, "of") is not None else groups
+    buckets = int(sizes.agg(F.sum(F.ceil(F.col("n") / SHARD_WORDS))).first()[0] or 1)
+    shard = F.concat("lang", F.lit(":"), F.pmod(F.xxhash64("chunk"), F.col("groups")).cast("string")).alias("shard")
+    dealt = chunks.join(groups, F.col("lang") == F.col("of")).select("chunk", shard, "lang", "words", "text")
+    few = _few(spellings, "word")
+    if few is not None:
+        known: dict[str, dict[bytes, int]] = {}
+        for lang, word, gram in zip(*(few.column(c).to_pylist() for c in ("lang", "word", "gram"))):
+            known.setdefault(lang, {})[word] = gram
+        relabelled = dealt.drop("chunk").mapInArrow(lambda b: _relabel(b, known), "shard string, grams array<long>, text binary")
+    else:
+        at = dealt.select("chunk", F.col("lang").alias("of"), F.posexplode("words").alias("place", "w"))
+        listed = at.join(spellings, (F.col("of") == F.col("lang")) & (F.col("w") == F.col("word"))).groupBy("chunk").agg(F.collect_list(F.struct(F.col("place") + 1, "gram")).alias("alive"))
+        relabelled = dealt.drop("words").join(listed, "chunk").select("shard", "lang", "text", "alive").mapInArrow(lambda b: _relabel(b, None), "shard string, grams array<long>, text binary")
+    gathered = relabelled.repartition(buckets, "shard").sortWithinPartitions("shard")
+    index = _bucketed(gathered.mapInArrow(lambda b: _compile(b, longest), _INDEX), buckets)
+    levels, states = [], index
     for size in range(2, longest + 1):
-        found = written((index if size == 2 else index.drop("grams").join(listed, "shard")).mapInArrow(_extend, _GRAMS))
-        sums = found.groupBy("prefix", "suffix").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
+        few = _few(alive.select("prefix", "suffix", "gram")) if size > 2 else None
+        if few is not None:
+            known_pairs = _Alive(few)
+            states = index.drop("grams").join(found, "shard")
+        elif size > 2:
+            each = found.select("shard", F.inline(F.arrays_zip(*_PARTS)))
+            listed = each.join(alive.select("prefix", "suffix", "gram"), ["prefix", "suffix"]).groupBy("shard").agg(F.collect_list(F.struct("gram", "low", "back", "n")).alias("alive"))
+            states, known_pairs = index.drop("grams").join(listed, "shard"), None
+        else:
+            known_pairs = None
+        found = _bucketed(states.mapInArrow(lambda b, k=known_pairs: _extend(b, k), _LIVING), buckets)
+        each = found.select(F.inline(F.arrays_zip("prefix", "suffix", "n")))
+        sums = each.groupBy("prefix", "suffix").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
         first = alive.select(F.col("gram").alias("prefix"), "lang", F.col("phrase").alias("start"), "heads")
         second = alive.select(F.col("gram").alias("suffix"), F.substring_index("phrase", " ", -1).alias("end"), "tails")
         alive = written(sums.join(first, "prefix").join(second, "suffix").select(
@@ -248,8 +348,6 @@ def mine(df: DataFrame, text_col: str = "text", lang_col: str = "lang", least: i
             F.concat("heads", F.array("f")).alias("heads"), F.concat("tails", F.array("f")).alias("tails"),
         ))
         levels.append(alive)
-        if size < longest:
-            listed = found.join(_sent(alive.select("prefix", "suffix", "gram")), ["prefix", "suffix"]).groupBy("shard").agg(F.collect_list(F.struct("gram", "low", "back", "n")).alias("alive"))
     kept = None
     for k, (level, longer) in enumerate(zip(levels, [*levels[1:], None])):
         level = level.withColumn("words", F.lit(k + 2))
@@ -260,7 +358,6 @@ def mine(df: DataFrame, text_col: str = "text", lang_col: str = "lang", least: i
             rows = level.join(most, "gram", "left").where(F.expr(f"extended IS NULL OR cast(100 AS decimal(3)) * extended < cast({share} AS decimal(3)) * f"))
         rows = rows.select("lang", "phrase", "words", "f", "heads", "tails", "extended")
         kept = rows if kept is None else kept.unionAll(rows)
-    sizes = shards.groupBy("lang").agg(F.sum("n_words").alias("n"))
     whole = "(cast(1000 AS decimal(4)) * cast(f AS decimal(19)) * cast(n AS decimal(19)))"
     cuts = F.expr(f"""array_min(transform(sequence(1, words - 1), k -> struct(
         {whole} div (cast(heads[k - 1] AS decimal(19)) * cast(tails[words - k - 1] AS decimal(19))) AS score, k AS cut, heads[k - 1] AS l, tails[words - k - 1] AS r)))""")
