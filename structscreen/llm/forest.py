@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from structscreen.llm.common import written
 
 SAMPLE, LEAF, TREES, DIRECTIONS = 65_536, 256, 8, 16
-FIRST, REACH = 2_000, 0.6
+FIRST, REACH = 2_000, 0.65
 TILE, CHUNK = 4_096, 100_000
 
 
