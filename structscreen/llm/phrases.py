@@ -35,9 +35,9 @@ from pyspark.sql import functions as F
 
 from structscreen.llm.common import shared_dir, written
 
-SHARD_WORDS = 2_000_000
+SHARD_WORDS = 1_500_000
 SENT_ROWS, SENT_BYTES = 500_000, 32 << 20
-_CHUNK_WORDS, _OPEN_WORDS = 1_000_000, 2_000_000  # of one chunk; of all chunks that a task has begun
+_CHUNK_WORDS, _OPEN_WORDS = 500_000, 1_500_000  # of one chunk; of all chunks that a task has begun
 _SLICE = 1 << 22
 _SEPARATORS = bytes.maketrans(b",;:!?\n\x0b\x0c\r", b"." * 9)
 
@@ -98,7 +98,7 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
     """Places of a circular text ordered by the ``depth`` symbols from there, by prefix doubling."""
     rank, width = text.astype(np.int64), 1
-    order = np.argsort(rank, kind="stable")
+    order = np.zeros(0, dtype=np.int64)
     while width < depth:
         step = min(width, depth - width)
         key = rank * (int(rank.max()) + 1) + np.roll(rank, -step)
@@ -191,29 +191,22 @@ _INDEX = "shard string, grams array<long>, forward binary, backward binary"
 
 
 def _compile(batches: Iterator[pa.RecordBatch], depth: int) -> Iterator[pa.RecordBatch]:
-    """Chunks (shard, grams, text) sorted by shard -> one index row per shard."""
-    shard, held = None, []
-
-    def index() -> pa.RecordBatch:
-        grams, place = np.unique(np.concatenate([g for g, _ in held]), return_inverse=True)
-        starts = np.cumsum([0, *(len(g) for g, _ in held)])
-        text = np.concatenate([np.concatenate(([0], place[a:b] + 1)).astype(np.int32)[t] for (_, t), a, b in zip(held, starts, starts[1:])])
-        return pa.RecordBatch.from_arrays([
+    """Chunks (shard, grams, text) of whole shards -> one index row per shard."""
+    held: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
+    for batch in batches:
+        for row in range(batch.num_rows):
+            grams, text = np.array(batch.column("grams")[row].values), np.frombuffer(batch.column("text")[row].as_py(), dtype=np.int32)
+            held.setdefault(batch.column("shard")[row].as_py(), []).append((grams, text))
+    for shard in list(held):
+        chunks = held.pop(shard)
+        grams, place = np.unique(np.concatenate([g for g, _ in chunks]), return_inverse=True)
+        starts = np.cumsum([0, *(len(g) for g, _ in chunks)])
+        text = np.concatenate([np.concatenate(([0], place[a:b] + 1)).astype(np.int32)[t] for (_, t), a, b in zip(chunks, starts, starts[1:])])
+        yield pa.RecordBatch.from_arrays([
             pa.array([shard]), pa.array([grams], pa.list_(pa.int64())),
             pa.array([Bwt.of(text, depth).tobytes()], pa.binary()), pa.array([Bwt.of(text[::-1], depth).tobytes()], pa.binary()),
         ], ["shard", "grams", "forward", "backward"])
 
-    for batch in batches:
-        for row in range(batch.num_rows):
-            name = batch.column("shard")[row].as_py()
-            if name != shard and held:
-                yield index()
-                held = []
-            shard = name
-            held.append((np.array(batch.column("grams")[row].values), np.frombuffer(batch.column("text")[row].as_py(), dtype=np.int32)))
-    if held:
-        yield index()
-
 
 _LIVING = "shard string, prefix array<long>, suffix array<long>, n array<int>, low array<int>, back array<int>"
 _PARTS = ("prefix", "suffix", "n", "low", "back")
@@ -308,12 +301,12 @@ def mine(df: DataFrame, text_col: str = "text", lang_col: str = "lang", least: i
         F.monotonically_increasing_id().alias("gram"), "lang", F.col("word").cast("string").alias("phrase"), "f", F.array("f").alias("heads"), F.array("f").alias("tails"),
     ))
     spellings = alive.select("gram", "lang", F.col("phrase").cast("binary").alias("word"))
-    # a shard is some chunks of one language
-    groups = sizes.select(F.col("lang").alias("of"), F.ceil(F.col("n") / SHARD_WORDS).alias("groups"))
-    groups = F.broadcast(groups) if _few(groups, "of") is not None else groups
-    buckets = int(sizes.agg(F.sum(F.ceil(F.col("n") / SHARD_WORDS))).first()[0] or 1)
-    shard = F.concat("lang", F.lit(":"), F.pmod(F.xxhash64("chunk"), F.col("groups")).cast("string")).alias("shard")
-    dealt = chunks.join(groups, F.col("lang") == F.col("of")).select("chunk", shard, "lang", "words", "text")
+    # a shard is some chunks of one language that follow each other; only their sizes are ordered
+    so_far = F.sum("n_words").over(Window.partitionBy("lang").orderBy("chunk"))
+    groups = written(chunks.select(F.col("chunk").alias("of"), F.concat("lang", F.lit(":"), F.floor((so_far - 1) / SHARD_WORDS).cast("string")).alias("shard")))
+    buckets = max(1, groups.select("shard").distinct().count())
+    groups = F.broadcast(groups) if _few(groups, "shard") is not None else groups
+    dealt = chunks.join(groups, F.col("chunk") == F.col("of")).select("chunk", "shard", "lang", "words", "text")
     few = _few(spellings, "word")
     if few is not None:
         known: dict[str, dict[bytes, int]] = {}
@@ -324,7 +317,7 @@ def mine(df: DataFrame, text_col: str = "text", lang_col: str = "lang", least: i
         at = dealt.select("chunk", F.col("lang").alias("of"), F.posexplode("words").alias("place", "w"))
         listed = at.join(spellings, (F.col("of") == F.col("lang")) & (F.col("w") == F.col("word"))).groupBy("chunk").agg(F.collect_list(F.struct(F.col("place") + 1, "gram")).alias("alive"))
         relabelled = dealt.drop("words").join(listed, "chunk").select("shard", "lang", "text", "alive").mapInArrow(lambda b: _relabel(b, None), "shard string, grams array<long>, text binary")
-    gathered = relabelled.repartition(buckets, "shard").sortWithinPartitions("shard")
+    gathered = relabelled.repartition(buckets, "shard")
     index = _bucketed(gathered.mapInArrow(lambda b: _compile(b, longest), _INDEX), buckets)
     levels, states = [], index
     for size in range(2, longest + 1):
