@@ -15,14 +15,18 @@ element around the article, nor a mark for one around most of the page's text (`
 
 If a page marks its article (``article``, ``main``, role main), paths inside it weigh up to
 ``INSIDE`` times as much and have a lower threshold, both by the share of the page's unlinked
-text that the article holds: from half on every path inside is content unless it is mostly links,
-however short, and cards beside an unmarked main text are judged as any other path.  Paths outside
-are content by their score.  A heading right before selected blocks belongs to them.
+text that the article holds: from half on every path inside is content, however short and even
+if it is mostly links, and cards beside an unmarked main text are judged as any other path.  Paths
+outside are content by their score, and so are short ones between content of the same parent.  A heading right before
+selected blocks belongs to them.
+
+Markup is read forward only: quoted strings count after ``=``, and a ``<`` whose tag does not close before the next ``<`` is
+text.  Paths, marks and open elements are numbers and counters, so time and memory grow with the page, whatever its depth.
 
 Defined cases: null or empty html gives empty text; text outside any tag is a block of the root
 path; unclosed elements end where their parent ends or a sibling must begin; an unclosed comment,
-script or style runs to the end of the page; equal rows give equal results; other columns are
-carried along.
+script or style runs to the end of the page; formulas and the words of ``object`` belong to their line; equal rows give equal
+results; other columns are carried along.
 """
 
 from __future__ import annotations
@@ -46,9 +50,10 @@ _KERNEL = np.exp(-0.5 * (np.arange(-2, 3) / 1.0) ** 2)
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = ("script", "style", "textarea", "title", "noscript", "template", "iframe", "xmp", "noembed", "noframes")
 _INLINE = frozenset(
-    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark meter output progress q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br img picture".split()
+    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark meter output progress q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br img picture "
+    "object math svg canvas audio video select button datalist".split()
 )
-_DROPPED = frozenset("nav footer aside form head script style select button svg canvas object audio video dialog menu noscript template iframe textarea title option datalist math".split())
+_DROPPED = frozenset("nav footer aside form head script style select button svg canvas audio video dialog menu noscript template iframe textarea title option datalist annotation annotation-xml".split())
 _ARTICLE = frozenset(("article", "main"))
 _HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 _CLOSED_BY = {  # an open element that ends when one of these begins
@@ -63,11 +68,10 @@ _MARKS = frozenset((
     "related", "recommended", "recommendations", "share", "sharing", "social", "widget", "widgets", "search", "searchbox", "pagination", "pager", "copyright", "disclaimer", "skip", "hidden",
 ))
 _ROLES = frozenset(("navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "alertdialog", "menu", "menubar", "toolbar"))
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(" + "|".join(_RAW) + r")\b[^>]*>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)(/?)>|<[!?/][^>]*>",
-    re.S | re.I,
-)
+_IN_LINE = 2
+_NAME = re.compile(r"[a-zA-Z][a-zA-Z0-9:-]*")
+_INSIDE_TAG = re.compile(r"""(?:[^<>"'=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+|["'])*+""")
+_ENDS = {name: re.compile(rf"</{name}\s*>", re.I) for name in _RAW}
 _ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 _HIDING = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _PUNCTUATION = re.compile(r"[.,;:!?。，、；：！？…]")
@@ -99,139 +103,237 @@ def _said_apart(given: dict[str, str], tag: str, article: bool) -> str:
     return ""
 
 
-def _lifted(found: list[tuple[str, str, bool, int, tuple[int, ...]]], hidden: set[int]) -> set[int]:
-    """Marked elements that hold the article: their marks do not count.
-
-    A mark is lifted from an element if no article worth a tenth of its text lies outside all marks, and it holds most
-    of the text of articles and more than lies outside all marks, or (if it is not hidden) most of the page's text.
+def _tags(html: str) -> Iterator[tuple[int, int, str, str, bool]]:
+    """(begin, end, name, attributes, closes) of the markup in page order; comments and raw elements have no name."""
+    at = 0
+    while (begin := html.find("<", at)) >= 0:
+        at = begin + 1
+        if html.startswith("<!--", begin):
+            end = html.find("-->", begin + 4) + 3 or 0
+            at = end if end > 2 else len(html)
+            yield begin, at, "", "", False
+        elif html.startswith("<![CDATA[", begin):
+            end = html.find("]]>", begin) + 3
+            at = end if end > 2 else len(html)
+            yield begin, at, "", "", False
+        elif html[at:at + 1] in ("!", "?") or html[at:at + 1] == "/" and not html[at + 1:at + 2].isalpha():
+            end = _INSIDE_TAG.match(html, at).end()
+            if html[end:end + 1] == ">":
+                at = end + 1
+                yield begin, at, "", "", False
+        else:
+            closes = html[at:at + 1] == "/"
+            name = _NAME.match(html, at + closes)
+            if not name:
+                continue
+            end = _INSIDE_TAG.match(html, name.end()).end()
+            if html[end:end + 1] != ">":
+                continue
+            tag, given = name[0].lower(), html[name.end():end]
+            at = end + 1
+            if tag in _ENDS and not closes:
+                over = _ENDS[tag].search(html, at)
+                at = over.end() if over else len(html)
+                yield begin, at, "", "", False
+            else:
+                yield begin, at, tag, given, closes
+
+
+class _Page:
+    """What one pass over a page finds.
+
+    ``blocks`` holds (path, text, inside the marked article, characters in links, mark); paths and marks are numbers whose parents
+    are known.  Path 0 is the root, mark 0 stands for no marked element around.
     """
-    length = np.array([len(n[1]) for n in found], dtype=np.float64)
-    own = np.where([n[2] for n in found], length, 0.0)
-    inside: dict[int, list[int]] = {}
-    marked = np.zeros(len(found), dtype=np.int64)
-    for k, n in enumerate(found):
-        marked[k] = len(n[4])
-        for e in n[4]:
-            inside.setdefault(e, []).append(k)
-    lifted: set[int] = set()
-    for e in sorted(inside):  # outer elements first
-        held, article = length[inside[e]].sum(), own[inside[e]].sum()
-        most = 2 * held > length.sum() and e not in hidden
-        if not most and 2 * article <= own.sum():
-            continue
-        free = marked == 0
-        if 10 * own[free].sum() < held and (most or held > length[free].sum()):
-            marked[inside[e]] -= 1
-            lifted.add(e)
-    return lifted
-
 
-def blocks(html: str) -> list[tuple[str, str, bool, int, bool]]:
-    """(tag path, text, inside the marked article, characters of it in links, said to be apart) of the blocks that can be content."""
-    found, hidden, inline = _parsed(html, None)
-    lifted = _lifted(found, hidden) if any(n[4] for n in found) else set()
-    if inline:  # known by now: marked words within a line leave it, without a cut
-        found = _parsed(html, lifted)[0]
-    return [(*n[:4], not lifted.issuperset(n[4])) for n in found if lifted.issuperset(hidden.intersection(n[4]))]
-
-
-def _parsed(html: str, lifted: set[int] | None) -> tuple[list[tuple[str, str, bool, int, tuple[int, ...]]], set[int], bool]:
-    """Blocks with the places of the marked elements around them, the hidden ones of these, and whether one is inline."""
-    found: list[tuple[str, str, bool, int, tuple[int, ...]]] = []
-    # open elements: tag, block path, is dropped, is in the article, is in an article's own header, marked elements around
-    stack: list[tuple[str, str, bool, bool, bool, tuple[int, ...]]] = [("", "", False, False, False, ())]
-    hidden: set[int] = set()
-    marked_inline = False
+    def __init__(self):
+        self.blocks: list[tuple[int, str, bool, int, int]] = []
+        self.paths: dict[tuple[int, str], int] = {(-1, ""): 0}
+        self.marks: list[tuple[int, int, bool]] = [(-1, -1, False)]  # parent, place in the page, hidden
+        self.marked_inline = False
+
+
+class _Open:
+    """The open elements, with counts by name and the way from each to the next one that a sibling may end or that ends the search."""
+
+    def __init__(self):
+        # tag, path, is dropped (``_IN_LINE``: as a part of a line), is in the article, mark, place of the next entry that matters to a new block
+        self.stack: list[tuple[str, int, bool, bool, int, int]] = [("", 0, False, False, 0, 0)]
+        self.count: dict[str, int] = {}
+        self.headings = 0
+
+    def push(self, tag: str, path: int, dropped: bool, article: bool, mark: int) -> None:
+        place = len(self.stack)
+        matters = tag == "p" or tag in _CLOSED_BY or tag in _SCOPES
+        self.stack.append((tag, path, dropped, article, mark, place if matters else self.stack[-1][5]))
+        self.count[tag] = self.count.get(tag, 0) + 1
+        self.headings += tag in _HEADINGS
+
+    def last(self, tag: str) -> int:
+        """Place of the last open element of this name, 0 if there is none."""
+        if not self.count.get(tag):
+            return 0
+        place = len(self.stack) - 1
+        while self.stack[place][0] != tag:
+            place -= 1
+        return place
+
+    def ended_by(self, tag: str) -> int:
+        """Place of the element that ends where a block ``tag`` begins, 0 if none does."""
+        place = self.stack[-1][5]
+        while place:
+            name = self.stack[place][0]
+            if name == "p" or tag in _CLOSED_BY.get(name, ()):
+                return place
+            if name in _SCOPES:
+                return 0
+            place = self.stack[place - 1][5]
+        return 0
+
+    def pop_to(self, place: int) -> bool:
+        """Close all from ``place`` on; was a block or a marked element among them?"""
+        gone = self.stack[place:]
+        cuts = gone[-1][4] != self.stack[place - 1][4] or gone[-1][1] != self.stack[place - 1][1]
+        del self.stack[place:]
+        for tag, *_ in gone:
+            self.count[tag] -= 1
+            self.headings -= tag in _HEADINGS
+        return cuts
+
+
+def _parsed(html: str, lifted: set[int] | None) -> _Page:
+    """Blocks and marks of a page; with ``lifted``, words in marked inline elements leave their line without a cut."""
+    page, is_open = _Page(), _Open()
     text: list[str] = []
     linked: list[str] = []
 
-    def flush() -> None:
+    def flush(top: tuple) -> None:
         whole = " ".join(unescape("".join(text)).split())
         if whole:
-            top = stack[-1]
             inside = len(" ".join(unescape("".join(linked)).split())) if linked else 0
-            found.append((top[1], whole, top[3], inside, top[5]))
+            page.blocks.append((top[1], whole, top[3], inside, top[4]))
         text.clear()
         linked.clear()
 
     def put(piece: str) -> None:
-        if piece and not stack[-1][2]:
+        if piece and not is_open.stack[-1][2]:
             text.append(piece)
-            if any(s[0] == "a" for s in stack):
+            if is_open.count.get("a"):
                 linked.append(piece)
 
-    def pop_to(depth: int) -> None:
-        if any(s[0] not in _INLINE for s in stack[depth:]) or stack[-1][5] != stack[depth - 1][5]:
-            flush()
-        del stack[depth:]
+    def pop_to(place: int) -> None:
+        top = is_open.stack[-1]
+        if is_open.pop_to(place):
+            flush(top)
 
     at = 0
-    for match in _TOKEN.finditer(html):
-        put(html[at:match.start()])
-        at = match.end()
-        tag = match[3]
-        if tag is None:
+    for begin, end, tag, attributes, closes in _tags(html):
+        put(html[at:begin])
+        at = end
+        if not tag:
             continue
-        tag = tag.lower()
-        if match[2]:
-            depth = next((k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == tag), 0)
-            if depth:
-                pop_to(depth)
+        if closes:
+            if place := is_open.last(tag):
+                pop_to(place)
             continue
         if tag == "br":
             put(" ")
             continue
-        inline = tag in _INLINE
+        # nothing within a formula or a dropped part of a line cuts it
+        within = is_open.stack[-1][2] == _IN_LINE or bool(is_open.count.get("math"))
+        inline = within or tag in _INLINE
         if not inline:
-            for k in range(len(stack) - 1, 0, -1):
-                name = stack[k][0]
-                if name == "p" or tag in _CLOSED_BY.get(name, ()):
-                    pop_to(k)
-                    break
-                if name in _SCOPES:
-                    break
-            flush()
-        if tag in _VOID or match[5]:
+            if place := is_open.ended_by(tag):
+                pop_to(place)
+            flush(is_open.stack[-1])
+        if tag in _VOID or attributes.endswith("/"):
             continue
-        _, path, dropped, article, header, around = stack[-1]
-        given = _attributes(match[4]) if match[4] else {}
+        _, path, dropped, article, mark, _ = is_open.stack[-1]
+        given = _attributes(attributes) if attributes.strip() else {}
         is_article = tag in _ARTICLE or given.get("role") == "main"
         said = ""
         if not dropped:
             if tag == "header":
-                header = article
                 dropped = not article
             elif tag in _DROPPED:
-                dropped = True
+                dropped = _IN_LINE if inline else True
             elif tag not in ("html", "body") and tag not in _ARTICLE and given and (said := _said_apart(given, tag, article)):
                 if inline and lifted is not None:
-                    dropped = match.start() not in lifted
+                    dropped = begin not in lifted
                 else:
                     if inline:
-                        marked_inline = True
-                        flush()
-                    around = (*around, match.start())
-                if said == "hidden":
-                    hidden.add(match.start())
-        if header and tag not in _HEADINGS and not inline and tag != "header" and not any(s[0] in _HEADINGS for s in stack):
-            dropped = dropped or tag in ("p", "ul", "ol", "time", "address")
+                        page.marked_inline = True
+                        flush(is_open.stack[-1])
+                    page.marks.append((mark, begin, said == "hidden"))
+                    mark = len(page.marks) - 1
+            if article and tag in ("time", "address") and is_open.count.get("header") and not is_open.headings:
+                dropped = True  # date and names of the article's own header
         if not inline:
-            path = f"{path}/{tag}{'@' if is_article and tag not in _ARTICLE else ''}{said and '!'}"
-        if tag == "a" and any(s[0] == "a" for s in stack):
-            pop_to(next(k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == "a"))
-        stack.append((tag, path, dropped, article or is_article, header, around))
+            name = f"{tag}{'@' if is_article and tag not in _ARTICLE else ''}{said and '!'}"
+            path = page.paths.setdefault((path, name), len(page.paths))
+        if tag == "a" and (place := is_open.last("a")):
+            pop_to(place)
+        is_open.push(tag, path, dropped, article or is_article, mark)
     put(html[at:])
-    flush()
-    return found, hidden, marked_inline
+    flush(is_open.stack[-1])
+    return page
+
+
+def _lifted(page: _Page) -> set[int]:
+    """Places of marked elements that hold the article: their marks do not count.
+
+    A mark is lifted from an element if no article worth a tenth of its text lies outside all marks, and it holds most
+    of the text of articles and more than lies outside all marks, or (if it is not hidden) most of the page's text.
+    """
+    length, own = np.zeros(len(page.marks)), np.zeros(len(page.marks))
+    for _, text, article, _, mark in page.blocks:
+        length[mark] += len(text)
+        own[mark] += len(text) if article else 0
+    held, article = length.copy(), own.copy()
+    for mark in range(len(page.marks) - 1, 0, -1):  # parents come before their children
+        held[page.marks[mark][0]] += held[mark]
+        article[page.marks[mark][0]] += article[mark]
+    free, free_own = float(length[0]), float(own[0])
+    clear = np.zeros(len(page.marks), dtype=bool)
+    clear[0] = True
+    lifted: set[int] = set()
+    for mark, (parent, place, hidden) in enumerate(page.marks):
+        if not mark:
+            continue
+        most = 2 * held[mark] > held[0] and not hidden
+        if (most or 2 * article[mark] > article[0]) and 10 * free_own < held[mark] and (most or held[mark] > free):
+            lifted.add(place)
+            if clear[parent]:
+                clear[mark] = True
+                free += float(length[mark])
+                free_own += float(own[mark])
+    return lifted
+
+
+def blocks(html: str) -> tuple[list[tuple[int, str, bool, int, bool]], list[tuple[int, str]]]:
+    """Blocks that can be content, and (parent, name) of every tag path.
+
+    A block is (tag path, text, inside the marked article, characters of it in links, said to be apart).
+    """
+    page = _parsed(html, None)
+    lifted = _lifted(page) if len(page.marks) > 1 else set()
+    if page.marked_inline:
+        page = _parsed(html, lifted)
+    apart, unseen = [False], [False]
+    for parent, place, hidden in page.marks[1:]:
+        kept = place in lifted
+        apart.append(apart[parent] or not kept)
+        unseen.append(unseen[parent] or hidden and not kept)
+    return [(*b[:4], apart[b[4]]) for b in page.blocks if not unseen[b[4]]], list(page.paths)
 
 
 def main_text(html: str | None) -> str:
     """Selected blocks in page order, joined by two line breaks."""
-    nodes = blocks(html) if html else []
+    nodes, paths = blocks(html) if html else ([], [])
     if not nodes:
         return ""
-    names = {path: k for k, path in enumerate(dict.fromkeys(n[0] for n in nodes))}
-    of = np.array([names[n[0]] for n in nodes])
+    numbers = {path: k for k, path in enumerate(dict.fromkeys(n[0] for n in nodes))}
+    of = np.array([numbers[n[0]] for n in nodes])
     length = np.array([len(n[1]) for n in nodes], dtype=np.float64)
     marks = np.array([len(_PUNCTUATION.findall(n[1])) for n in nodes], dtype=np.float64)
     links = np.array([n[3] for n in nodes], dtype=np.float64)
@@ -251,9 +353,17 @@ def main_text(html: str | None) -> str:
     fused *= INSIDE ** trust
     score = np.bincount(of, fused) / number
     threshold = SHARE * float((fused * length).sum() / length.sum())
-    chosen = (score[of] >= threshold * np.maximum(0.0, 1 - 2 * trust)) & (link_share[of] <= LINKED)
+    listed = (link_share[of] > LINKED) & (trust < 0.5)
+    chosen = (score[of] >= threshold * np.maximum(0.0, 1 - 2 * trust)) & ~listed
+    parents = np.array([paths[n[0]][0] for n in nodes])
+    picked = np.flatnonzero(chosen)
+    if len(picked):  # what stands between content of one parent
+        before = picked[np.maximum(np.searchsorted(picked, np.arange(len(nodes)), side="right") - 1, 0)]
+        after = picked[np.minimum(np.searchsorted(picked, np.arange(len(nodes))), len(picked) - 1)]
+        between = (before < np.arange(len(nodes))) & (after > np.arange(len(nodes))) & (parents[before] == parents) & (parents[after] == parents)
+        chosen |= between & ~listed & ~apart
     for k in range(len(nodes) - 2, -1, -1):
-        if chosen[k + 1] and not apart[k] and nodes[k][0].rpartition("/")[2] in _HEADINGS:
+        if chosen[k + 1] and not apart[k] and paths[nodes[k][0]][1] in _HEADINGS:
             chosen[k] = True
     return "\n\n".join(n[1] for n, c in zip(nodes, chosen.tolist()) if c)
 
