@@ -10,10 +10,14 @@ Only the cell table is iterated.  Up to ``MAX_CELLS`` cells (counted first) it i
 on the driver and broadcast back; beyond, the same steps run as Spark aggregates and joins over a
 written cell table, and documents meet it in an ordinary join.
 
+Targets that no weights of the cells can meet (a value whose cells all lie where another target
+wants none, say) leave a rest: ``off`` is the largest distance of a marginal from its target, as a share
+of all tokens, and the same in every row.  Beyond ``TOLERANCE`` a strict call raises an error.
+
 Defined cases: a null dimension is a value of its own; null tokens count as zero and negative ones
 too; cells without tokens have weight zero and probability zero; targets for values that do not
 occur are left out, values without a target keep none of their weight, and what is left is scaled
-to the whole; a null id draws by the hash of null; equal rows draw alike; other columns are
+to the whole; a null id draws by the hash of its row (columns of maps apart); equal rows draw alike; other columns are
 carried along.
 """
 
@@ -28,7 +32,8 @@ from structscreen.llm.common import WORD_BREAKS, word_array, written
 MAX_CELLS = 100_000
 ROUNDS = 200
 CLOSE = 1e-9
-_ADDED = ("weight", "prob", "sampled")
+TOLERANCE = 1e-3
+_ADDED = ("weight", "prob", "sampled", "off")
 
 #: A dimension's targets: an exponent (target share ~ token share ** exponent) or value -> share.
 Targets = dict[str, "float | dict[str | None, float]"]
@@ -56,8 +61,9 @@ def target_of(sums: dict, wanted: "float | dict") -> dict:
     return {k: total * v / whole if whole > 0 else 0.0 for k, v in share.items()}
 
 
-def rake(cells: list[tuple], tokens: np.ndarray, targets: list["float | dict"], rounds: int = ROUNDS) -> np.ndarray:
-    """Cell weights whose marginals meet the targets; ``cells`` holds one value per dimension."""
+def rake(cells: list[tuple], tokens: np.ndarray, targets: list["float | dict"], rounds: int = ROUNDS) -> tuple[np.ndarray, float]:
+    """Cell weights whose marginals meet the targets, and by how much they miss them at most; ``cells`` holds one value per dimension."""
+    off, whole = 0.0, max(1.0, float(tokens.sum()))
     weights = tokens.astype(np.float64).copy()
     places, goals = [], []
     for k, wanted in enumerate(targets):
@@ -71,9 +77,9 @@ def rake(cells: list[tuple], tokens: np.ndarray, targets: list["float | dict"],
             sums = np.bincount(at, weights, len(goal))
             weights *= np.divide(goal, sums, out=np.zeros(len(goal)), where=sums > 0)[at]
         off = max(float(np.abs(np.bincount(at, weights, len(goal)) - goal).max(initial=0.0)) for at, goal in zip(places, goals))
-        if off <= CLOSE * max(1.0, tokens.sum()):
+        if off <= CLOSE * whole:
             break
-    return weights
+    return weights, off / whole
 
 
 def scale_to_budget(tokens: np.ndarray, weights: np.ndarray, budget: float) -> float:
@@ -92,8 +98,9 @@ def scale_to_budget(tokens: np.ndarray, weights: np.ndarray, budget: float) -> f
     return float((tokens / weights)[-1])
 
 
-def _rake_distributed(cells: DataFrame, dims: list[str], targets: list["float | dict"], rounds: int) -> DataFrame:
+def _rake_distributed(cells: DataFrame, dims: list[str], targets: list["float | dict"], rounds: int) -> tuple[DataFrame, float]:
     """As ``rake`` for a cell table of any size: (dims.., t, w)."""
+    off = 0.0
     total = cells.agg(F.sum("t")).first()[0] or 0.0
     now = written(cells.withColumn("w", F.col("t")))
     for k, wanted in enumerate(targets):
@@ -121,7 +128,7 @@ def _rake_distributed(cells: DataFrame, dims: list[str], targets: list["float |
             off = max(off, worst or 0.0)
         if off <= CLOSE * max(1.0, total):
             break
-    return now.select(*dims, "t", "w")
+    return now.select(*dims, "t", "w"), off / max(1.0, total)
 
 
 def _scale_distributed(cells: DataFrame, budget: float) -> float:
@@ -135,14 +142,14 @@ def _scale_distributed(cells: DataFrame, budget: float) -> float:
 
 def draw(id_col: Column, seed: int) -> Column:
     """A number in [0, 1) from 52 bits of a hash of the id."""
-    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(id_col.cast("string"), F.lit("null"))))
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), id_col))
     return F.conv(F.substring(digest, 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))
 
 
-def mix(df: DataFrame, targets: Targets, tokens_col: str, fraction: float = 0.5, id_col: str = "doc_id", seed: int = 42, max_cells: int = MAX_CELLS) -> DataFrame:
-    """``df`` with ``weight`` (raked share per token), ``prob`` and ``sampled``; columns of these names are replaced.
+def mix(df: DataFrame, targets: Targets, tokens_col: str, fraction: float = 0.5, id_col: str = "doc_id", seed: int = 42, max_cells: int = MAX_CELLS, strict: bool = False) -> DataFrame:
+    """``df`` with ``weight`` (raked share per token), ``prob``, ``sampled`` and ``off``; columns of these names are replaced.
 
-    ``fraction`` of all tokens is the budget.
+    ``fraction`` of all tokens is the budget; ``strict`` raises an error if ``off`` is beyond ``TOLERANCE``.
     """
     dims = list(targets)
     keys = {d: f"_d{k}" for k, d in enumerate(dims)}
@@ -152,18 +159,22 @@ def mix(df: DataFrame, targets: Targets, tokens_col: str, fraction: float = 0.5,
     if cells.limit(max_cells + 1).count() <= max_cells:
         rows = sorted(cells.collect(), key=lambda r: tuple((v is not None, v or "") for v in r[:-1]))
         tokens = np.array([r["t"] for r in rows], dtype=np.float64)
-        weights = rake([tuple(r[:-1]) for r in rows], tokens, list(targets.values()))
+        weights, off = rake([tuple(r[:-1]) for r in rows], tokens, list(targets.values()))
         s = scale_to_budget(tokens, weights, fraction * tokens.sum())
         share = np.divide(weights, tokens, out=np.zeros(len(rows)), where=tokens > 0)
         schema = ", ".join(f"k{i} string" for i in range(len(dims))) + ", weight double, prob double"
         found = df.sparkSession.createDataFrame([(*r[:-1], float(a), float(min(1.0, s * a))) for r, a in zip(rows, share)], schema)
         found = F.broadcast(found)  # at most max_cells rows
     else:
-        raked = _rake_distributed(cells, list(keys.values()), list(targets.values()), ROUNDS)
+        raked, off = _rake_distributed(cells, list(keys.values()), list(targets.values()), ROUNDS)
         total = cells.agg(F.sum("t")).first()[0] or 0.0
         s = _scale_distributed(raked, fraction * total)
         share = F.when(F.col("t") > 0, F.col("w") / F.col("t")).otherwise(0.0)
         found = raked.select(*[F.col(key).alias(f"k{i}") for i, key in enumerate(keys.values())], share.alias("weight"), F.least(F.lit(1.0), F.lit(s) * share).alias("prob"))
     on = [F.col(key).eqNullSafe(F.col(f"k{i}")) for i, key in enumerate(keys.values())]
+    if strict and off > TOLERANCE:
+        raise ValueError(f"no weights of the cells meet the targets of {', '.join(dims)}: a marginal is off by {off:.3g} of all tokens")
+    row = F.xxhash64(*[F.col(f.name) for f in base.schema if "map<" not in f.dataType.simpleString()])
+    name = F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("row "), row.cast("string")))
     joined = named.join(found, on)
-    return joined.select(*base.columns, "weight", "prob", (draw(F.col(id_col), seed) < F.col("prob")).alias("sampled"))
+    return joined.select(*base.columns, "weight", "prob", (draw(name, seed) < F.col("prob")).alias("sampled"), F.lit(off).alias("off"))

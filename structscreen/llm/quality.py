@@ -5,6 +5,8 @@ each measure (lengths, symbol, stop-word and line ratios); ``compile_rules`` tur
 into Boolean columns of the same projection.  Only DataFrame functions are used; a row is
 judged where it lies, so there is no shuffle and nothing that grows with the table.
 
+The stop-word rule is open for languages that the list does not cover, if a language column is named; a null language is judged.
+
 Defined cases: a null or empty text has no words and fails the base rule; ratios over zero
 words or lines are 0; a measure never is null, so a rule never is null; equal rows get equal
 verdicts; other columns are carried along, and the working columns have a prefix of their own.
@@ -30,6 +32,9 @@ STOP_WORDS = (
     "el", "los", "las", "y", "que", "del", "se", "por", "con", "no", "una", "su", "para", "es", "al", "lo", "como", "más", "o",
 )
 
+#: Languages of the list above.
+STOP_LANGUAGES = ("en", "de", "fr", "es")
+
 #: (rule, measure, least allowed, most allowed); None leaves a side open.
 RULES = (
     ("mean_word_length", "mean_word_chars", 1.5, 25.0),
@@ -127,23 +132,26 @@ def measures() -> dict[str, Column]:
     }
 
 
-def compile_rules(rules=RULES) -> dict[str, Column]:
+def compile_rules(rules=RULES, lang_col: str | None = None) -> dict[str, Column]:
     """Rule name -> Boolean column (true: the row fails)."""
+    covered = F.lower(F.col(lang_col).cast("string")).isin(*STOP_LANGUAGES) if lang_col else None
     known, out = measures(), {}
     for name, measure, least, most in rules:
         fails = [known[measure] < least] if least is not None else []
         fails += [known[measure] > most] if most is not None else []
         out[name] = reduce(lambda a, b: a | b, fails, F.lit(False))
+        if measure == "stop_ratio" and covered is not None:
+            out[name] = out[name] & F.coalesce(covered, F.lit(True))
     return out
 
 
-def judge(df: DataFrame, text_col: str = "text", rules=RULES) -> DataFrame:
+def judge(df: DataFrame, text_col: str = "text", rules=RULES, lang_col: str | None = None) -> DataFrame:
     """``df`` with ``n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed kept failed_rules``.
 
     ``failed_rules`` names the rules of the table that the row fails.  Columns of ``df`` with
     one of these names are replaced.
     """
-    compiled = compile_rules(rules)
+    compiled = compile_rules(rules, lang_col)
     added = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     base = (F.col("_q_n_words") < MIN_WORDS) | (100 * F.col("_q_n_repeat_words") > MAX_REPEAT_PERCENT * F.col("_q_n_words"))
     failed = F.filter(F.array(*[F.when(fails, F.lit(name)) for name, fails in compiled.items()]), lambda x: x.isNotNull())
@@ -154,8 +162,8 @@ def judge(df: DataFrame, text_col: str = "text", rules=RULES) -> DataFrame:
     ).withColumn("kept", ~F.col("base_failed") & (F.size("failed_rules") == 0))
 
 
-def keep_good(df: DataFrame, text_col: str = "text", rules=RULES) -> DataFrame:
+def keep_good(df: DataFrame, text_col: str = "text", rules=RULES, lang_col: str | None = None) -> DataFrame:
     """Rows that pass, with the columns of ``df``."""
     base = (F.col("_q_n_words") < MIN_WORDS) | (100 * F.col("_q_n_repeat_words") > MAX_REPEAT_PERCENT * F.col("_q_n_words"))
-    bad = reduce(lambda a, b: a | b, compile_rules(rules).values(), base)
+    bad = reduce(lambda a, b: a | b, compile_rules(rules, lang_col).values(), base)
     return counts(df, text_col).where(~bad).select(*[F.col(c) for c in df.columns])

@@ -101,17 +101,18 @@ def _rules_sql() -> str:
     for _, measure, least, most in quality.RULES:
         a, b = ratios[measure]
         value = f"(CASE WHEN {b} > 0 THEN {a}::DOUBLE / {b} ELSE 0.0 END)"
-        tests += [f"{value} >= {least}::DOUBLE"] if least is not None else []
+        free = f"lang IS NOT NULL AND lower(lang) NOT IN {quality.STOP_LANGUAGES} OR " if measure == "stop_ratio" else ""
+        tests += [f"({free}{value} >= {least}::DOUBLE)"] if least is not None else []
         tests += [f"{value} <= {most}::DOUBLE"] if most is not None else []
     return " AND ".join(tests)
 
 
 QUALITY_SQL = f"""
 WITH base AS (
-  SELECT doc_id, {_WORDS_SQL} AS w, coalesce(text, '') AS t,
+  SELECT doc_id, lang, {_WORDS_SQL} AS w, coalesce(text, '') AS t,
          list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: length(regexp_replace(x, {_BLANK_SQL}, '', 'g')) > 0) AS lines FROM documents),
 counted AS (
-  SELECT doc_id, len(w)::BIGINT AS n_words, length(regexp_replace(t, {_BLANK_SQL}, '', 'g'))::BIGINT AS word_chars,
+  SELECT doc_id, lang, len(w)::BIGINT AS n_words, length(regexp_replace(t, {_BLANK_SQL}, '', 'g'))::BIGINT AS word_chars,
          length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g'))::BIGINT AS n_symbols, length(regexp_replace(t, '[^!]+', '', 'g'))::BIGINT AS n_shouts,
          len(lines)::BIGINT AS n_lines, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
          len(list_filter(w, lambda x: lower(x) IN ({", ".join(repr(x) for x in dict.fromkeys(quality.STOP_WORDS))})))::BIGINT AS n_stop FROM base),
@@ -128,8 +129,8 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 
 @query("op4_quality_rules", QUALITY_SQL)
 def op4(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return quality.judge(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return quality.judge(docs, lang_col="lang").select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 # 5 ------------------------------------------------------------------------------------

@@ -15,7 +15,7 @@ which is written as a table; only files of the manifest are read.  A lost execut
 tasks under other names and leaves nothing half written in sight.
 
 Defined cases: a null payload is an empty one; a null id is the least, keeps its record and is
-null again when read; equal rows give equal records; a null URL leaves the header out; line
+null again when read; equal rows give equal records, but for the name of a record without id, which is drawn; a null URL leaves the header out; line
 breaks in a URL are percent-encoded; an empty table gives no files and no rows; other columns are
 not archived.
 """
@@ -220,8 +220,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def read_archives(manifest: DataFrame) -> DataFrame:
     """Records of the files of a manifest; a revisit's payload is null, its digest and length are those of the full payload."""
-    paths = manifest.select("path")
-    return paths.repartition("path").mapInArrow(_read, _READ)
+    return manifest.select("path").repartition(max(1, manifest.count())).mapInArrow(_read, _READ)  # a task per archive
 
 
 def archive(df: DataFrame, folder: str | None = None, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> DataFrame:
