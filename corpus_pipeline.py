@@ -2,6 +2,9 @@
 
 ``STAGES`` lists (name, function); a function takes (spark, docs, sf_dir) and returns the rows it
 keeps.  All but the last return the columns of ``documents``; the last returns token ids.
+
+Columns that ``documents`` does not define travel through a stage in one struct, so that none of them, whatever its
+name, meets the columns that an operator adds.  Empty tables pass every stage.
 """
 
 from __future__ import annotations
@@ -13,34 +16,51 @@ from structscreen.llm import bpe, mixing, quality, simhash, substrings
 from structscreen.llm.common import shared_dir
 from structscreen.llm.queries import MIX_FRACTION, MIX_TARGETS, vocabulary_path, with_topic
 
-#: No SQL form: fingerprints and BPE have none; tests/llm compares every stage with brute force.
+#: No SQL form: fingerprints and BPE have none; tests/llm checks the stages on small tables.
 ORACLE_SQL = None
 
+_OWN = ("doc_id", "text", "lang", "source", "n_chars")
+_CARRIED = "_carried_columns"
+
+
+def _carried(docs: DataFrame) -> DataFrame:
+    """``docs`` with the columns of documents and all others in one struct."""
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in _OWN]
+    return docs.select(*[c for c in docs.columns if c in _OWN], *([F.struct(*others).alias(_CARRIED)] if others else []))
+
+
+def _unpacked(kept: DataFrame, like: DataFrame) -> DataFrame:
+    """The columns of ``like``, in its order, of a table made from ``_carried``."""
+    return kept.select(*[F.col(c) if c in _OWN else F.col(_CARRIED)[c].alias(c) for c in like.columns])
+
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the rule table."""
-    return quality.keep_good(docs)
+    return _unpacked(quality.keep_good(_carried(docs), lang_col="lang"), docs)
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near copies: that of the least id; rows with null or repeated ids are judged like any other."""
-    return simhash.one_per_class(docs)
+    return _unpacked(simhash.one_per_class(_carried(docs)), docs)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages that start in an earlier one; untouched texts stay as they are."""
-    found = substrings.drop_repeats(docs)
+    found = substrings.drop_repeats(_carried(docs))
     cut = F.col("n_removed") > 0
-    return found.select(
-        *[F.when(cut, F.col("kept_text")).otherwise(F.col("text")).alias("text") if c == "text"
-          else F.when(cut, F.char_length("kept_text").cast("long")).otherwise(F.col("n_chars")).alias("n_chars") if c == "n_chars" else F.col(c) for c in docs.columns]
-    )
+    found = found.withColumns({
+        "text": F.when(cut, F.col("kept_text")).otherwise(F.col("text")), "n_chars": F.when(cut, F.char_length("kept_text").cast("long")).otherwise(F.col("n_chars")),
+    })
+    return _unpacked(found, docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents drawn by the calibrated probabilities of their source, language and form."""
-    mixed = mixing.mix(with_topic(docs), MIX_TARGETS, "n_tokens", MIX_FRACTION)
-    return mixed.where("sampled").select(*docs.columns)
+    """Documents drawn by the calibrated probabilities of their source, language and form.
+
+    The form of a text is the topic; a column ``topic`` of the input is carried along and not looked at.
+    """
+    mixed = mixing.mix(with_topic(_carried(docs)), MIX_TARGETS, "n_tokens", MIX_FRACTION)
+    return _unpacked(mixed.where("sampled"), docs)
 
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,7 +68,7 @@ def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
     The decoded text must be the text; a row that fails the round trip raises.
     """
-    coded = bpe.round_trip(docs, vocabulary_path())
+    coded = bpe.round_trip(docs.select("doc_id", "text", "lang", "source"), vocabulary_path())
     checked = F.when(F.col("decoded") == F.coalesce("text", F.lit("")), F.col("ids")).otherwise(F.raise_error(F.concat(F.lit("no round trip: "), F.col("doc_id").cast("string"))))
     return coded.select("doc_id", "lang", "source", "n_tokens", checked.alias("ids"))
 
