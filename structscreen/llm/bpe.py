@@ -49,7 +49,7 @@ NEWER = (
     (0x1E6E0, 0x1E6E2), (0x1E6E4, 0x1E6E5), (0x1E6E7, 0x1E6ED), (0x1E6F0, 0x1E6F4), (0x1E6FE, 0x1E6FF), (0x2B73A, 0x2B73F),
     (0x2B81E, 0x2B81E), (0x2CEA2, 0x2CEAD), (0x323B0, 0x33479), (0x3D000, 0x3FC3F),
 )
-REMEMBERED = 200_000
+REMEMBERED, REMEMBERED_CHARS = 200_000, 128  # words that a worker keeps, and the longest kept
 _STEPS = 500_000
 _TAKEN = 300_000
 _NEVER = 1 << 60
@@ -228,9 +228,11 @@ class Codec:
 
         class Memory(dict):
             def __missing__(self, word: str) -> bytes:
-                if len(self) > REMEMBERED:
-                    self.clear()
-                found = self[word] = b"".join(map(outer._packed.__getitem__, outer.automaton.encode(word.encode("utf-8"))))
+                found = b"".join(map(outer._packed.__getitem__, outer.automaton.encode(word.encode("utf-8"))))
+                if len(word) <= REMEMBERED_CHARS:
+                    if len(self) > REMEMBERED:
+                        self.clear()
+                    self[word] = found
                 return found
 
         self._memory = Memory()

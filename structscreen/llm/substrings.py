@@ -49,12 +49,14 @@ _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
 class _WordHashes(dict):
-    """word -> eight hash bytes; starts anew when it has grown large."""
+    """word -> eight hash bytes; keeps no long words and starts anew when it has grown large."""
 
     def __missing__(self, word: bytes) -> bytes:
-        if len(self) > 500_000:
-            self.clear()
-        found = self[word] = xxhash.xxh3_64_digest(word)
+        found = xxhash.xxh3_64_digest(word)
+        if len(word) <= 128:
+            if len(self) > 500_000:
+                self.clear()
+            self[word] = found
         return found
 
 
