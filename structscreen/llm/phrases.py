@@ -35,10 +35,11 @@ from pyspark.sql import functions as F
 
 from structscreen.llm.common import shared_dir, written
 
-SHARD_WORDS = 1_500_000
+SHARD_WORDS = 1_000_000
 SENT_ROWS, SENT_BYTES = 500_000, 32 << 20
 _CHUNK_WORDS, _OPEN_WORDS = 500_000, 1_500_000  # of one chunk; of all chunks that a task has begun
 _SLICE = 1 << 22
+_ROW = 1 << 16  # phrases in a row of a level's table
 _SEPARATORS = bytes.maketrans(b",;:!?\n\x0b\x0c\r", b"." * 9)
 
 
@@ -239,32 +240,38 @@ class _Alive:
         return which, self.gram[place[which]]
 
 
-def _extend(batches: Iterator[pa.RecordBatch], known: _Alive | None) -> Iterator[pa.RecordBatch]:
-    """Index rows -> ``_LIVING``: one row per shard, the phrases one word longer than those alive.
+def _remain(batches: Iterator[pa.RecordBatch], known: _Alive) -> Iterator[pa.RecordBatch]:
+    """``_LIVING`` rows -> (shard, gram, low, back, n): the phrases that ``known`` has."""
+    for batch in batches:
+        for row in range(batch.num_rows):
+            prefix, suffix, n, low, back = (batch.column(c)[row].values.to_numpy(zero_copy_only=False) for c in _PARTS)
+            which, gram = known.find(prefix, suffix)
+            shard = pa.array([batch.column("shard")[row].as_py()] * len(which), pa.string())
+            yield pa.RecordBatch.from_arrays([shard, pa.array(gram), *(pa.array(c[which], pa.int32()) for c in (low, back, n))], ["shard", "gram", "low", "back", "n"])
+
+
+def _extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Index rows -> ``_LIVING``: the phrases of each shard that are one word longer than those alive.
 
-    On the first level these are all words; later those of the rows' own phrases that ``known`` has, or the list ``alive`` (gram, low, back, n).
+    On the first level these are all words; later those in the list ``alive`` (gram, low, back, n).
     """
     for batch in batches:
         for row in range(batch.num_rows):
             forward, backward = (Bwt(np.frombuffer(batch.column(c)[row].as_py(), dtype=np.int32)) for c in ("forward", "backward"))
-            column = lambda c: np.array(batch.column(c)[row].values, dtype=np.int64)  # noqa: B023, E731
             if "grams" in batch.schema.names:
-                gram = column("grams")
+                gram = np.array(batch.column("grams")[row].values)
                 counts = np.bincount(forward.symbols, minlength=len(gram) + 1)
                 size = counts[1:]
                 low = back = np.cumsum(counts)[:-1]
-            elif known is None:
+            else:
                 alive = batch.column("alive")[row].values
                 gram, low, back, size = (alive.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in ("gram", "low", "back", "n"))
-            else:
-                which, gram = known.find(column("prefix"), column("suffix"))
-                low, back, size = (column(c)[which] for c in ("low", "back", "n"))
             order = np.argsort(low)
             gram, low, back, size = gram[order], low[order], back[order], size[order]
             prefix, suffix, count, low, back = extensions(forward, backward, low, back, size)
-            if len(count):
-                found = (gram[prefix], gram[suffix], count, low, back)
-                lists = [pa.array([v], pa.list_(pa.int64() if k < 2 else pa.int32())) for k, v in enumerate(found)]
+            found = (gram[prefix], gram[suffix], count, low, back)
+            for start in range(0, len(count), _ROW):
+                lists = [pa.array([v[start:start + _ROW]], pa.list_(pa.int64() if k < 2 else pa.int32())) for k, v in enumerate(found)]
                 yield pa.RecordBatch.from_arrays([batch.column("shard").slice(row, 1), *lists], ["shard", *_PARTS])
 
 
@@ -321,17 +328,16 @@ def mine(df: DataFrame, text_col: str = "text", lang_col: str = "lang", least: i
     index = _bucketed(gathered.mapInArrow(lambda b: _compile(b, longest), _INDEX), buckets)
     levels, states = [], index
     for size in range(2, longest + 1):
-        few = _few(alive.select("prefix", "suffix", "gram")) if size > 2 else None
-        if few is not None:
-            known_pairs = _Alive(few)
-            states = index.drop("grams").join(found, "shard")
-        elif size > 2:
-            each = found.select("shard", F.inline(F.arrays_zip(*_PARTS)))
-            listed = each.join(alive.select("prefix", "suffix", "gram"), ["prefix", "suffix"]).groupBy("shard").agg(F.collect_list(F.struct("gram", "low", "back", "n")).alias("alive"))
-            states, known_pairs = index.drop("grams").join(listed, "shard"), None
-        else:
-            known_pairs = None
-        found = _bucketed(states.mapInArrow(lambda b, k=known_pairs: _extend(b, k), _LIVING), buckets)
+        if size > 2:
+            few = _few(alive.select("prefix", "suffix", "gram"))
+            if few is not None:
+                remain = found.mapInArrow(lambda b, k=_Alive(few): _remain(b, k), "shard string, gram long, low int, back int, n int")
+            else:
+                each = found.select("shard", F.inline(F.arrays_zip(*_PARTS)))
+                remain = each.join(alive.select("prefix", "suffix", "gram"), ["prefix", "suffix"])
+            listed = remain.groupBy("shard").agg(F.collect_list(F.struct("gram", "low", "back", "n")).alias("alive"))
+            states = index.drop("grams").join(listed, "shard")
+        found = written(states.mapInArrow(_extend, _LIVING))
         each = found.select(F.inline(F.arrays_zip("prefix", "suffix", "n")))
         sums = each.groupBy("prefix", "suffix").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
         first = alive.select(F.col("gram").alias("prefix"), "lang", F.col("phrase").alias("start"), "heads")
