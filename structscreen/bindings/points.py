@@ -11,6 +11,7 @@ from structscreen.functions import text as tx
 from structscreen.functions import vec as v
 from structscreen.operators import backbone as bb
 from structscreen.operators import graph as gr
+from structscreen.operators import lddt as ld
 from structscreen.operators import learn as ln
 from structscreen.operators import rigid as rg
 from structscreen.operators import spatial as sp
@@ -139,12 +140,19 @@ def clash_score(t: Tables):
     return st.clash_score(t.points().withColumn("element", _element("idx")), lig, BY)
 
 
+def _lddt_names(idx):
+    """Residue, residue name and atom name of ten-atom residues, every third of them with symmetric atoms."""
+    pos = idx % 10
+    name = F.when(pos == 2, "CD1").when(pos == 3, "CE1").when(pos == 7, "CD2").when(pos == 8, "CE2").otherwise(F.concat(F.lit("X"), pos))
+    res = F.floor(idx / 10)
+    return res.alias("res_idx"), F.when(res % 3 == 0, "PHE").otherwise("ALA").alias("resname"), name.alias("atom_name")
+
+
 def _lddt_atoms(t: Tables):
-    """Ten-atom residues; atoms 2,3 are class 1, atoms 7,8 class 2 in every third residue."""
-    pos = F.col("idx") % 10
-    amb = F.when(F.floor(F.col("idx") / 10) % 3 != 0, 0).when(pos.isin(2, 3), 1).when(pos.isin(7, 8), 2).otherwise(0)
-    return t.points().select(
-        "cid", F.col("idx").alias("atom_idx"), F.floor(F.col("idx") / 10).alias("res_idx"), amb.alias("amb"),
+    """Atoms of one model per complex, their symmetry by residue and atom names."""
+    named = t.points().select("*", *_lddt_names(F.col("idx")))
+    return named.select(
+        "cid", F.col("idx").alias("atom_idx"), "res_idx", st.symmetry_class(F.col("resname"), F.col("atom_name")).alias("amb"),
         *[F.col(c).alias("r" + c) for c in XYZ], *["m" + c for c in XYZ],
     )
 
@@ -164,18 +172,49 @@ pr AS (SELECT a.cid, a.res AS ra, b.res AS rb, a.site AND b.site AS site, (abs({
 @query("lddt_with_binding_site", f"""WITH {LDDT} SELECT cid, sum(kept)::BIGINT AS conserved_distances, count(*)*4 AS total_n_distances, coalesce(sum(CASE WHEN site THEN kept END),0)::BIGINT AS bs_conserved,
   count(CASE WHEN site THEN 1 END)*4 AS bs_total, round(sum(kept)/(count(*)*4.0),6) AS lddt, round(coalesce(sum(CASE WHEN site THEN kept END),0)/(1e-5+count(CASE WHEN site THEN 1 END)*4),6) AS bs_lddt FROM pr GROUP BY 1""")
 def lddt_with_binding_site(t: Tables):
-    return st.lddt(_lddt_atoms(t), BY, radius=6.0, ligand=t.ligand(), cutoff=2.0)
+    return ld.lddt(_lddt_atoms(t), BY, radius=6.0, ligand=t.ligand(), cutoff=2.0)
 
 
 @query("lddt_per_residue", f"""WITH {LDDT}, e AS (SELECT cid, ra AS res_idx, kept FROM pr UNION ALL SELECT cid, rb, kept FROM pr)
 SELECT cid, res_idx, sum(kept)::BIGINT AS conserved, count(*)*4 AS total, round(sum(kept)/(count(*)*4.0),6) AS score FROM e GROUP BY 1,2""")
 def lddt_per_residue(t: Tables):
-    return st.lddt_per_residue(_lddt_atoms(t), BY, radius=6.0)
+    return ld.lddt_per_residue(_lddt_atoms(t), BY, radius=6.0)
 
 
 @query("lddt_symmetry_choice", f"WITH {LDDT} SELECT cid, idx AS atom_idx, round(mx,6) AS mx, round(my,6) AS my, round(mz,6) AS mz FROM ch")
 def lddt_symmetry_choice(t: Tables):
-    return st.resolve_symmetry(_lddt_atoms(t), BY, radius=6.0).select("cid", "atom_idx", "mx", "my", "mz")
+    return ld.resolve_symmetry(_lddt_atoms(t), BY, radius=6.0).select("cid", "atom_idx", "mx", "my", "mz")
+
+
+KEPT_MM = f"(abs({MAB}-{DAB})<=0.5)::INT+(abs({MAB}-{DAB})<=1)::INT+(abs({MAB}-{DAB})<=2)::INT+(abs({MAB}-{DAB})<=4)::INT"
+KEPT_SM = KEPT_MM.replace(MAB, d_sql("a", "b", "s", "m"))
+
+
+@query("lddt_of_poses", f"""WITH {LIG}, m AS (SELECT cid, pose, idx, idx//10 AS res, x, y, z, mx+pose*lx*0.1 AS mx, my+pose*ly*0.1 AS my, mz+pose*lz*0.1 AS mz,
+  CASE WHEN (idx//10)%3<>0 THEN 0 WHEN idx%10 IN (2,3) THEN 1 WHEN idx%10 IN (7,8) THEN 2 ELSE 0 END AS amb FROM pts, (VALUES (0),(1),(2)) s(pose) WHERE idx%50<45 AND (idx+pose)%17<>0),
+r AS (SELECT *, count(CASE WHEN amb=1 THEN 1 END) OVER (PARTITION BY cid, pose, res) AS n1, count(CASE WHEN amb=2 THEN 1 END) OVER (PARTITION BY cid, pose, res) AS n2,
+  row_number() OVER (PARTITION BY cid, pose, res, amb ORDER BY idx) AS nth FROM m),
+sw AS (SELECT a.*, coalesce(b.mx,a.mx) AS sx, coalesce(b.my,a.my) AS sy, coalesce(b.mz,a.mz) AS sz FROM r a
+  LEFT JOIN r b ON a.cid=b.cid AND a.pose=b.pose AND a.res=b.res AND a.amb>0 AND a.n1=a.n2 AND b.amb=3-a.amb AND b.nth=a.nth),
+cnt AS (SELECT a.cid, a.pose, a.res, sum({KEPT_MM}) AS p, sum({KEPT_SM}) AS s FROM sw a JOIN sw b ON a.cid=b.cid AND a.pose=b.pose AND a.res<>b.res AND b.amb=0
+  WHERE {DAB} < 6 AND a.amb>0 AND a.n1=a.n2 GROUP BY 1,2,3),
+ch AS (SELECT w.cid, w.pose, w.idx, w.res, w.x, w.y, w.z, CASE WHEN s>p THEN sx ELSE mx END AS mx, CASE WHEN s>p THEN sy ELSE my END AS my, CASE WHEN s>p THEN sz ELSE mz END AS mz
+  FROM sw w LEFT JOIN cnt USING (cid, pose, res)),
+st AS (SELECT *, EXISTS (SELECT 1 FROM lig b WHERE b.cid=a.cid AND b.lig_idx%3=a.pose AND {d_sql('a','b','m','')} < 2.5) AS site FROM ch a),
+pr AS (SELECT a.cid, a.pose, a.site AND b.site AS site, {KEPT_MM} AS kept FROM st a JOIN st b ON a.cid=b.cid AND a.pose=b.pose AND a.idx<b.idx AND a.res<>b.res WHERE {DAB} < 6)
+SELECT cid, pose::INTEGER AS pose, sum(kept)::BIGINT AS conserved_distances, count(*)*4 AS total_n_distances, coalesce(sum(CASE WHEN site THEN kept END),0)::BIGINT AS bs_conserved,
+  count(CASE WHEN site THEN 1 END)*4 AS bs_total, round(sum(kept)/(count(*)*4.0),6) AS lddt, round(coalesce(sum(CASE WHEN site THEN kept END),0)/(1e-5+count(CASE WHEN site THEN 1 END)*4),6) AS bs_lddt
+FROM pr GROUP BY 1, 2""")
+def lddt_of_poses(t: Tables):
+    # two atom tables of two chains each; every pose lacks some atoms and has a ligand of its own
+    chain = F.when(F.col("idx") % 50 < 45, "A").otherwise("B").alias("chain")
+    named = t.points().select("cid", "idx", chain, *_lddt_names(F.col("idx")), *XYZ, *["m" + c for c in XYZ], *["l" + c for c in XYZ])
+    posed = named.withColumn("pose", F.explode(F.array(*[F.lit(p) for p in range(3)]))).where((F.col("idx") + F.col("pose")) % 17 != 0)
+    model = posed.select("cid", "pose", "idx", "chain", "res_idx", "atom_name", *[(F.col("m" + c) + F.col("pose") * F.col("l" + c) * 0.1).alias(c) for c in XYZ])
+    names = {"residue": "res_idx", "order": "idx"}
+    atoms = ld.lddt_input(named.select("cid", "idx", "chain", "res_idx", "resname", "atom_name", *XYZ), model, BY, ["pose"], **names)
+    ligand = t.ligand().withColumn("pose", (F.col("lig_idx") % 3).cast("int"))
+    return ld.lddt_of_models(atoms, BY, ["pose"], radius=6.0, ligand=ligand, cutoff=2.5)
 
 
 @query("cross_lddt", f"""WITH {POINTS}, q AS (SELECT cid, idx, lx AS x, ly AS y, lz AS z, lx+mx-x AS mx, ly+mx-x AS my, lz AS mz FROM pts)

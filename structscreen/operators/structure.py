@@ -1,4 +1,4 @@
-"""Clash, lDDT, geometry violations, contacts, anisotropy."""
+"""Clash, ligand lDDT, geometry violations, contacts, anisotropy."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from structscreen import constants as k
 from structscreen.functions import vec as v
 from structscreen.functions.text import literal_map
-from structscreen.operators.spatial import XYZ, near_any, radius_join, radius_pairs
+from structscreen.operators.spatial import XYZ, radius_join, radius_pairs
 from structscreen.plans.skew import attach, over_groups
 
 
@@ -58,115 +58,6 @@ def symmetry_class(resname: Column, atom_name: Column) -> Column:
     return F.coalesce(F.try_element_at(literal_map(table), F.concat_ws("_", resname, atom_name)), F.lit(0))
 
 
-def _with_partner(atoms: DataFrame, by, residue, index) -> DataFrame:
-    """Add the model place of the symmetric partner (s*), null where there is none.
-
-    Within a residue the n-th atom of class 1 partners the n-th of class 2; both classes
-    must have the same number of atoms present.  Everything is a window over one residue,
-    so the table is shuffled once, by residue.
-    """
-    res = Window.partitionBy(*by, residue)
-    counts = [F.count_if(F.col("amb") == c).over(res) for c in (1, 2)]
-    out = atoms.withColumns({"__n1": counts[0], "__n2": counts[1]})
-    out = out.withColumn("__at", F.row_number().over(Window.partitionBy(*by, residue, "amb").orderBy(index)))
-    # in the order (n-th, class) partners stand side by side
-    pairs = Window.partitionBy(*by, residue, F.col("amb") > 0).orderBy("__at", "amb")
-    place = F.struct("mx", "my", "mz")
-    partner = F.when(F.col("amb") == 1, F.lead(place).over(pairs)).when(F.col("amb") == 2, F.lag(place).over(pairs))
-    out = out.withColumn("__s", F.when((F.col("__n1") == F.col("__n2")) & (F.col("amb") > 0), partner))
-    out = out.withColumn("__swaps", (F.col("__n1") == F.col("__n2")) & (F.col("__n1") > 0))
-    return out.select(*atoms.columns, "__swaps", *[F.col("__s")[f"m{c}"].alias(f"s{c}") for c in XYZ])
-
-
-def resolve_symmetry(atoms: DataFrame, by, *, residue="res_idx", index="atom_idx", radius=15.0, seq_sep=0) -> DataFrame:
-    """Per residue, take the swapped labels if that conserves strictly more distances.
-
-    Distances run from every atom of such a residue to the non-ambiguous atoms; both
-    labellings are counted in one pass over the pairs.
-    """
-    by = list(by)
-    with_s = _with_partner(atoms, by, residue, index)
-    place = [F.col("rx").alias("x"), F.col("ry").alias("y"), F.col("rz").alias("z")]
-    src = with_s.where("__swaps").select(
-        *by, F.col(residue).alias("res"), *place, "mx", "my", "mz", *[F.coalesce(f"s{c}", f"m{c}").alias(f"s{c}") for c in XYZ]
-    )
-    dst = atoms.where("amb = 0").select(*by, F.col(residue).alias("res"), *place, "mx", "my", "mz")
-    pairs = radius_join(dst, src, radius, by, a_cols=["res", "mx", "my", "mz"], b_cols=["res", "mx", "my", "mz", "sx", "sy", "sz"])
-    pairs = pairs.where(F.abs(F.col("a_res") - F.col("b_res")) > seq_sep)
-    far = v.vec("a_m")
-    changes = pairs.select(
-        *by, F.col("b_res").alias(residue), F.abs(v.dist(v.vec("b_m"), far) - F.col("distance")).alias("p"),
-        F.abs(v.dist(v.vec("b_s"), far) - F.col("distance")).alias("s"),
-    )
-    better = changes.groupBy(*by, residue).agg(
-        F.sum(conserved(F.col("p"))).alias("p"), F.sum(conserved(F.col("s"))).alias("s")
-    ).where("s > p")
-    chosen = attach(with_s, better.select(*by, residue, F.lit(True).alias("__swap")), [*by, residue])
-    take = F.col("__swap") & F.col("sx").isNotNull()
-    return chosen.withColumns({f"m{c}": F.when(take, F.col(f"s{c}")).otherwise(F.col(f"m{c}")) for c in XYZ}).select(*atoms.columns)
-
-
-def lddt_pairs(
-    atoms: DataFrame, by=("pose_id",), *, residue="res_idx", index="atom_idx", radius=15.0, seq_sep=0,
-    resolve=True, ligand: DataFrame | None = None, cutoff=4.0,
-) -> DataFrame:
-    """Unordered reference pairs with their conserved count and binding-site flag.
-
-    ``atoms``: by, index, residue, amb (0/1/2), rx ry rz (reference), mx my mz (model).
-    """
-    by = list(by)
-    if resolve:
-        atoms = resolve_symmetry(atoms, by, residue=residue, index=index, radius=radius, seq_sep=seq_sep)
-    site = F.lit(False)
-    if ligand is not None:
-        model = atoms.select(*by, index, *[F.col(f"m{c}").alias(c) for c in XYZ])
-        near = near_any(model, ligand, cutoff, by, id_col=index)
-        atoms = attach(atoms, near.withColumn("__site", F.lit(True)), [*by, index])
-        site = F.coalesce("__site", F.lit(False))
-    points = atoms.select(
-        *by, F.col(index).alias("idx"), F.col(residue).alias("res"), "mx", "my", "mz", site.alias("site"),
-        *[F.col(f"r{c}").alias(c) for c in XYZ],
-    )
-    pairs = radius_pairs(points, radius, by, id_col="idx", cols=["res", "mx", "my", "mz", "site"])
-    pairs = pairs.where(F.abs(F.col("a_res") - F.col("b_res")) > seq_sep)
-    change = F.abs(v.dist(v.vec("a_m"), v.vec("b_m")) - F.col("distance"))
-    pairs = pairs.select(
-        *by, "a_idx", "b_idx", "a_res", "b_res", change.alias("change"), (F.col("a_site") & F.col("b_site")).alias("site")
-    )
-    return pairs.withColumn("kept", conserved(F.col("change"))).drop("change")
-
-
-def lddt(atoms: DataFrame, by=("pose_id",), **options) -> DataFrame:
-    """lddt, conserved and total distances per group, and the binding-site values.
-
-    One pass over the pairs gives all of them.  The binding-site score is 0 when no atom
-    is near the ligand.
-    """
-    by = list(by)
-    pairs = lddt_pairs(atoms, by, **options)
-    site = F.col("site")
-    out = pairs.groupBy(*by).agg(
-        F.sum("kept").alias("conserved_distances"), (F.count(F.lit(1)) * 4).alias("total_n_distances"),
-        F.coalesce(F.sum(F.when(site, F.col("kept"))), F.lit(0)).alias("bs_conserved"),
-        (F.count_if(site) * 4).alias("bs_total"),
-    )
-    counts = ["conserved_distances", "total_n_distances", "bs_conserved", "bs_total"]
-    out = attach(atoms.select(*by).distinct(), out, by).na.fill(0, counts) if by else out  # groups without a pair score 0
-    return out.withColumns({
-        "lddt": F.coalesce(F.try_divide("conserved_distances", "total_n_distances"), F.lit(0.0)),
-        "bs_lddt": F.col("bs_conserved") / (F.lit(k.SITE_EPS) + F.col("bs_total")),
-    })
-
-
-def lddt_per_residue(atoms: DataFrame, by=("pose_id",), **options) -> DataFrame:
-    """Score, conserved and total per residue; each pair counts for both its residues."""
-    by = list(by)
-    pairs = lddt_pairs(atoms, by, **options)
-    ends = pairs.select(*by, F.explode(F.array("a_res", "b_res")).alias("res_idx"), "kept")
-    out = ends.groupBy(*by, "res_idx").agg(F.sum("kept").alias("conserved"), (F.count(F.lit(1)) * 4).alias("total"))
-    return out.withColumn("score", F.col("conserved") / F.col("total"))
-
-
 def cross_lddt(ref_ca: DataFrame, ref_lig: DataFrame, by=("pose_id",), *, radius=15.0, eps=k.WEIGHT_EPS) -> DataFrame:
     """lDDT of ligand-residue distances (strict thresholds).
 

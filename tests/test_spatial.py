@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from structscreen.functions import vec as v
+from structscreen.operators import lddt as ld
 from structscreen.operators import rigid as rg
 from structscreen.operators import spatial as sp
 from structscreen.operators import structure as st
@@ -141,9 +142,9 @@ def test_lddt_of_itself_is_one_and_ignores_motion(spark):
     atoms = lddt_atoms(cloud(spark, duplicates=False))
     ligand = cloud(spark, n=10, seed=9, duplicates=False)
     for table, lig in ((atoms, ligand), (turned(atoms, "m"), turned(ligand))):
-        for r in st.lddt(table, ["g"], ligand=lig, cutoff=6.0).collect():
+        for r in ld.lddt(table, ["g"], ligand=lig, cutoff=6.0).collect():
             assert r.lddt == 1.0 and r.bs_total > 0 and r.bs_lddt == pytest.approx(1.0, abs=1e-4)
-        per = st.lddt_per_residue(table, ["g"])
+        per = ld.lddt_per_residue(table, ["g"])
         assert per.where("score <> 1.0").count() == 0
 
 
@@ -153,16 +154,67 @@ def test_lddt_swaps_exchanged_symmetric_atoms(spark):
         atoms.where("amb > 0").select("g", F.when(F.col("amb") == 1, F.col("atom_idx") + 5).otherwise(F.col("atom_idx") - 5).alias("atom_idx"), *[F.col("m" + c).alias("o" + c) for c in "xyz"]),
         ["g", "atom_idx"], "left",
     ).withColumns({f"m{c}": F.coalesce(f"o{c}", f"m{c}") for c in "xyz"}).drop("ox", "oy", "oz")
-    assert [r.lddt for r in st.lddt(swapped, ["g"]).collect()] == [1.0, 1.0]
-    assert all(r.lddt < 1.0 for r in st.lddt(swapped, ["g"], resolve=False).collect())
+    assert [r.lddt for r in ld.lddt(swapped, ["g"]).collect()] == [1.0, 1.0]
+    assert all(r.lddt < 1.0 for r in ld.lddt(swapped, ["g"], resolve=False).collect())
 
 
 def test_lddt_without_near_atoms_is_zero(spark):
     far = spark.createDataFrame([(0, 999.0, 0.0, 0.0), (1, 999.0, 0.0, 0.0)], "g int, x double, y double, z double")
-    for r in st.lddt(lddt_atoms(cloud(spark, duplicates=False)), ["g"], ligand=far).collect():
+    for r in ld.lddt(lddt_atoms(cloud(spark, duplicates=False)), ["g"], ligand=far).collect():
         assert r.bs_lddt == 0 and r.bs_total == 0
 
 
+def two_chains(spark, n=60, seed=2):
+    """Reference and model atoms by name: chain A is scored, chain B comes later."""
+    rows = [(g, i, "A" if i < n else "B", (i % n) // 10, "PHE" if (i % n) // 10 % 2 else "ALA", ["X0", "X1", "CD1", "CE1", "X4", "X5", "X6", "CD2", "CE2", "X9"][i % 10], i) for g in range(2) for i in range(2 * n)]
+    rng = random.Random(seed)
+    placed = [(*r, *[rng.uniform(-6, 6) for _ in range(3)]) for r in rows]
+    return spark.createDataFrame(placed, "target int, line_idx int, chain string, residue_idx int, resname string, atom_name string, k int, x double, y double, z double")
+
+
+def brute_lddt(ref, model, radius):
+    """Score of one model by the definition: symmetric residues choose first, then all pairs are counted."""
+    kept = lambda a, b, ra, rb: sum(abs(np.linalg.norm(a - b) - np.linalg.norm(ra - rb)) <= t for t in (0.5, 1, 2, 4))
+    near = lambda a, b: a[0] != b[0] and np.linalg.norm(ref[a][0] - ref[b][0]) < radius
+    both = [a for a in ref if a in model]
+    chosen = dict(model)
+    for res in {a[0] for a in both}:
+        own = [a for a in both if a[0] == res and ref[a][1]]
+        one, two = ([a for a in sorted(own) if ref[a][1] == c] for c in (1, 2))
+        if not one or len(one) != len(two):
+            continue
+        other = dict(zip(one, two)) | dict(zip(two, one))
+        plain = [b for b in both if not ref[b][1]]
+        score = [sum(kept(model[t], model[b], ref[a][0], ref[b][0]) for a, t in names for b in plain if near(a, b)) for names in ([(a, a) for a in own], list(other.items()))]
+        if score[1] > score[0]:
+            chosen |= {a: model[t] for a, t in other.items()}
+    pairs = [(a, b) for a in both for b in both if a < b and near(a, b)]
+    return sum(kept(chosen[a], chosen[b], ref[a][0], ref[b][0]) for a, b in pairs), 4 * len(pairs)
+
+
+def test_lddt_of_many_models_from_atom_tables(spark):
+    ref = two_chains(spark)
+    poses = F.explode(F.sequence(F.lit(0), F.lit(70)))  # more than one block of models
+    jitter = lambda c, k: F.col(c) + F.sin(F.col("k") * k + F.col("pose") * 3) * F.col("pose") / 25
+    model = ref.withColumn("pose", poses).where((F.col("k") + F.col("pose")) % 13 != 0)
+    swap = F.when((F.col("pose") % 2 == 0) & (F.col("atom_name") == "CD1"), "CD2").when((F.col("pose") % 2 == 0) & (F.col("atom_name") == "CD2"), "CD1").otherwise(F.col("atom_name"))
+    model = model.select("target", "pose", "line_idx", "chain", "residue_idx", swap.alias("atom_name"), *[jitter(c, n).alias(c) for n, c in enumerate("xyz", 1)])
+    atoms = ld.lddt_input(ref, model)
+    got = {(r.target, r.pose): r for r in ld.lddt_of_models(atoms, radius=8.0).collect()}
+    assert len(got) == 2 * 71
+    amb = {"CD1": 1, "CE1": 1, "CD2": 2, "CE2": 2}
+    refs, models = {}, {}
+    for r in ref.where("chain = 'A'").collect():
+        refs.setdefault(r.target, {})[r.residue_idx, r.atom_name] = (np.array([r.x, r.y, r.z]), amb.get(r.atom_name, 0) if r.resname == "PHE" else 0)
+    for r in model.where("chain = 'A' AND pose IN (0, 1, 2, 33, 64, 70)").collect():
+        models.setdefault((r.target, r.pose), {})[r.residue_idx, r.atom_name] = np.array([r.x, r.y, r.z])
+    for key, places in models.items():
+        assert (got[key].conserved_distances, got[key].total_n_distances) == brute_lddt(refs[key[0]], places, 8.0), key
+    placed = ld._places(atoms.withColumn("id", F.struct("res_idx", "atom")), ["target", "pose"], "res_idx", "id", None, 0.0, True)
+    few = ld._blocks(placed.where("pose < 3"), ["target"], ["pose"], "res_idx", "id")[0].count()
+    assert few == ld._blocks(placed.where("pose < 60"), ["target"], ["pose"], "res_idx", "id")[0].count() == 120  # pairs are searched among as many points
+
+
 def test_clash_radii_are_case_sensitive_and_groups_without_pairs_stay(spark):
     protein = spark.createDataFrame([("a", "CL", 0.0), ("a", "H", 1.0), ("b", "C", 900.0)], "pose_id string, element string, x double").selectExpr("*", "0D AS y", "0D AS z")
     ligand = spark.createDataFrame([("a", "Cl", 3.0), ("b", "C", 0.0)], "pose_id string, symbol string, x double").selectExpr("*", "0D AS y", "0D AS z")
