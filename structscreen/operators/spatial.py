@@ -9,14 +9,12 @@ cube is split by the skew join of adaptive execution.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from structscreen.functions import vec as v
 from structscreen.plans.checks import must_be_empty
-from structscreen.plans.skew import attach, hashed_if_small, over_groups, spread
+from structscreen.plans.skew import attach, cut_lineage, hashed_if_small, over_groups, spread
 
 XYZ = ("x", "y", "z")
 
@@ -165,80 +163,105 @@ def neighbor_graph(
 
 
 # ------------------------------------------------------------------- nearest neighbours
+def _spread_bits(value: Column) -> Column:
+    """The low 21 bits of a long, two zero bits after each."""
+    def step(shift: int, mask: int):
+        return lambda x: x.bitwiseOR(F.shiftleft(x, shift)).bitwiseAND(F.lit(mask))
+
+    for shift, mask in ((32, 0x1F00000000FFFF), (16, 0x1F0000FF0000FF), (8, 0x100F00F00F00F00F), (4, 0x10C30C30C30C30C3), (2, 0x1249249249249249)):
+        value = F.transform(F.array(value), step(shift, mask))[0]  # a lambda variable is evaluated once however often it is used
+    return value
+
+
+def _order_along_curve(df: DataFrame, xyz, origin, span: Column) -> DataFrame:
+    """Add ``__z0 __z1 __z2``: place on a Z-curve through the table's cube, 51 bits per coordinate, which is all that a double holds."""
+    whole = [F.least(F.floor((F.col(c) - o) / span * F.lit(float(1 << 51))), F.lit((1 << 51) - 1)) for c, o in zip(xyz, origin)]
+    out = {}
+    for part in range(3):
+        bits = [_spread_bits(F.shiftright(w, 17 * (2 - part)).bitwiseAND(F.lit((1 << 17) - 1))) for w in whole]
+        out[f"__z{part}"] = F.shiftleft(bits[0], 2).bitwiseOR(F.shiftleft(bits[1], 1)).bitwiseOR(bits[2])
+    return df.withColumns(out)
+
+
+_CURVE = ("__z0", "__z1", "__z2")
+
+
+def _in_pieces(df: DataFrame, by) -> DataFrame:
+    """Rows dealt out by group and place on the curve; ``__piece`` tells pieces of a group apart.
+
+    A group of any size becomes many pieces.  Where the borders fall changes nothing but how tight a bound is.
+    """
+    return df.repartitionByRange(*by, *_CURVE).withColumn("__piece", F.spark_partition_id())
+
+
+def _reaches(q: DataFrame, pts: DataFrame, by, need: int, xyz) -> DataFrame:
+    """Queries with ``__reach``: a distance within which ``need`` points lie, null if the piece of the curve has too few.
+
+    A point has ``need`` points (itself included) within the ``need``-th distance to its neighbours on the curve; a query has
+    them within that and its distance to the point before or behind it.
+    """
+    here = F.struct(*xyz)
+    along = Window.partitionBy(*by, "__piece").orderBy(*_CURVE)
+    known = _in_pieces(pts, by).withColumn("__near", F.collect_list(here).over(along.rowsBetween(-need, need)))
+    distances = F.transform("__near", lambda p: F.sqrt(sum((p[c] - F.col(c)) * (p[c] - F.col(c)) for c in xyz)))
+    known = known.withColumn("__r", F.try_element_at(F.array_sort(distances), F.lit(need)))
+    mark = F.when(F.col("__r").isNotNull(), F.struct(*xyz, "__r"))
+    rows = known.select(*by, *xyz, *_CURVE, mark.alias("__p"), F.lit(None).cast(q.schema["__q"].dataType).alias("__q"), F.lit(False).alias("__asks")).unionByName(
+        q.select(*by, *xyz, *_CURVE, F.lit(None).cast(known.select(mark.alias("p")).schema["p"].dataType).alias("__p"), "__q", F.lit(True).alias("__asks"))
+    )
+    back = Window.partitionBy(*by, "__piece").orderBy(*[F.col(c).desc() for c in _CURVE]).rowsBetween(Window.unboundedPreceding, 0)
+    sides = {"__a": F.last("__p", ignorenulls=True).over(along.rowsBetween(Window.unboundedPreceding, 0)), "__b": F.last("__p", ignorenulls=True).over(back)}
+    told = _in_pieces(rows, by).withColumns(sides).where("__asks")
+
+    def within(side: str) -> Column:
+        return F.sqrt(sum((F.col(side)[c] - F.col(c)) * (F.col(side)[c] - F.col(c)) for c in xyz)) + F.col(side)["__r"]
+
+    return told.select(*by, "__q", *xyz, (F.least(within("__a"), within("__b")) * F.lit(1 + 1e-9)).alias("__reach"))
+
+
+def knn_candidates(queries: DataFrame, points: DataFrame, k: int, by, *, q_id: str, p_id: str, xyz=XYZ, exclude_same_id=False, p_cols=()) -> DataFrame:
+    """(by, __q, query place, __reach, p_id, p_cols): the points that ``knn_join`` measures, a few times ``k`` per query."""
+    by = list(by)
+    need = k + (1 if exclude_same_id else 0)
+    p_cols = [c for c in dict.fromkeys([*p_cols, *xyz]) if c != p_id]
+    w_same = Window.partitionBy(*by, *xyz).orderBy(p_id)
+    pts = points.select(*by, p_id, *p_cols).withColumn("__n", F.row_number().over(w_same)).where(F.col("__n") <= need).drop("__n")
+    both = queries.select(*xyz).unionByName(points.select(*xyz))
+    extent = both.agg(*[F.min(c).alias(c) for c in xyz], F.greatest(*[F.max(c) - F.min(c) for c in xyz]).alias("span")).first()
+    span = (extent["span"] or 0.0) * (1 + 1e-9) + 1e-9
+    origin = [F.lit(extent[c]) for c in xyz]
+    curve = lambda df: _order_along_curve(df, xyz, origin, F.lit(span))
+    q = queries.select(*by, F.col(q_id).alias("__q"), *xyz)
+    # kept as a table: where pieces end differs from run to run, and with it a reach
+    reached = cut_lineage(_reaches(curve(q).select(*by, "__q", *xyz, *_CURVE), curve(pts).select(*by, *xyz, *_CURVE), by, need, xyz))
+    # the finest grid whose cubes are no smaller than the reach; a double tells no more than 50 levels apart
+    reach = F.greatest(F.coalesce("__reach", F.lit(2 * span)), F.lit(span * 2.0 ** -50))
+    reached = reached.withColumn("__level", F.ceil(F.log2(reach)).cast("int"))
+    side = F.pow(F.lit(2.0), F.col("__level"))
+    key = [*by, "__level", "__cube"]
+    probe = _spread_cubes(reached, xyz, side, _AROUND).select(*key, "__q", "__reach", *[F.col(c).alias(f"__q_{c}") for c in xyz])
+    # a point stands in the grids of the levels that the queries of its group use
+    used = reached.groupBy(*by).agg(F.collect_set("__level").alias("__levels"))
+    leveled = attach(pts, used, by, "inner").select("*", F.explode("__levels").alias("__level"))
+    leveled = leveled.withColumn("__cube", _cube(xyz, side)).select(*key, p_id, *p_cols)
+    return probe.join(leveled, key, "inner")
+
+
 def knn_join(
     queries: DataFrame, points: DataFrame, k: int, by=(), *, q_id: str, p_id: str,
-    xyz=XYZ, exclude_same_id=False, p_cols=(), max_level: int = 20,
+    xyz=XYZ, exclude_same_id=False, p_cols=(),
 ) -> DataFrame:
     """Exact k nearest points of each query inside its group.
 
-    Points are counted in nested grids (cube side halves per level).  For each query the
-    finest level whose own cube already holds enough points bounds the k-th distance by
-    the cube diagonal, so one search over the 27 cubes of the next coarser level is
-    exact.  Everything is an equi-join on (group, level, cube); the number of candidates
-    follows the local density, not the group size.  Of points with equal coordinates
-    only the first ``k`` (+1 when the query itself may be among them) by id can ever be
+    Points and queries lie along a Z-curve.  The neighbours on the curve bound the k-th distance; the bound picks the grid
+    whose cubes are as large, and one equi-join on (group, level, cube) with the 27 cubes around finds all that is nearer.  Depth follows
+    the local density: a far outlier, a crowd or a huge group costs no other query anything.  Of points with
+    equal coordinates only the first ``k`` (+1 when the query itself may be among them) by id can ever be
     chosen, so the others leave before the join.
     """
     by = list(by)
-    if not by:
-        one = F.lit(0).alias("__all")
-        return knn_join(
-            queries.select("*", one), points.select("*", one), k, ["__all"], q_id=q_id, p_id=p_id,
-            xyz=xyz, exclude_same_id=exclude_same_id, p_cols=p_cols, max_level=max_level,
-        ).drop("__all")
-    need = k + (1 if exclude_same_id else 0)
     p_cols = [c for c in dict.fromkeys([*p_cols, *xyz]) if c != p_id]
-    w_same = Window.partitionBy(*by, *xyz).orderBy(p_id)
-    pts = (
-        points.select(*by, p_id, *p_cols)
-        .withColumn("__n", F.row_number().over(w_same)).where(F.col("__n") <= need).drop("__n")
-    )
-    both = queries.select(*by, *xyz, F.lit(0).alias("__p")).unionByName(
-        pts.select(*by, *xyz, F.lit(1).alias("__p"))
-    )
-    span = F.greatest(*[F.max(c) - F.min(c) for c in xyz])
-    extent = both.groupBy(*by).agg(
-        *[F.min(c).alias(f"__min_{c}") for c in xyz],
-        (span * F.lit(1.0 + 1e-9) + F.lit(1e-9)).alias("__span"),
-        F.sum("__p").alias("__np"),
-    )
-    depth = F.least(
-        F.lit(max_level),
-        F.greatest(F.ceil(F.log2(F.greatest(F.col("__np"), F.lit(1)) / F.lit(need)) / 3) + 3, F.lit(0)),
-    ).cast("int")
-    extent = extent.withColumn("__depth", depth).drop("__np")
-
-    def located(df):
-        return attach(df, extent, by, "inner")
-
-    origin = [F.col(f"__min_{c}") for c in xyz]
-
-    def side(level):
-        return F.col("__span") / F.pow(F.lit(2.0), level)
-
-    levels = F.explode(F.sequence(F.lit(0), F.col("__depth"))).alias("__level")
-    key = by + ["__level", "__cube"]
-    here = _cube(xyz, side(F.col("__level")), origin=origin)
-    leveled = located(pts).select("*", levels).withColumn("__cube", here)
-    counts = leveled.groupBy(*key).agg(F.count(F.lit(1)).alias("__n")).where(
-        (F.col("__n") >= need) | (F.col("__level") == 0)
-    )
-    q = located(queries.select(*by, F.col(q_id).alias("__q"), *xyz))
-    best = (
-        q.select("*", levels).withColumn("__cube", here)
-        .join(counts, key, "inner")
-        .groupBy(*by, "__q")
-        .agg(F.max(F.struct("__level", "__n", *xyz, "__span", *[f"__min_{c}" for c in xyz])).alias("__b"))
-        .select(*by, "__q", "__b.*")
-    )
-    diagonal = side(F.col("__level")) * F.lit(math.sqrt(3.0) * (1 + 1e-9))
-    best = best.withColumn(
-        "__reach", F.when(F.col("__n") >= need, diagonal)  # null: take the whole group
-    ).withColumn("__level", F.greatest(F.col("__level") - 1, F.lit(0)))
-    probe = _spread_cubes(best, xyz, side(F.col("__level")), _AROUND, origin).select(
-        *by, "__level", "__cube", "__q", "__reach", *[F.col(c).alias(f"__q_{c}") for c in xyz]
-    )
-    found = probe.join(leveled.select(*key, p_id, *p_cols), key, "inner")
+    found = knn_candidates(queries, points, k, by, q_id=q_id, p_id=p_id, xyz=xyz, exclude_same_id=exclude_same_id, p_cols=p_cols)
     d2 = v.dist2(tuple(F.col(f"__q_{c}") for c in xyz), tuple(F.col(c) for c in xyz))
     found = found.withColumn("distance", F.sqrt(d2)).where(
         F.col("__reach").isNull() | (F.col("distance") <= F.col("__reach"))

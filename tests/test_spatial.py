@@ -281,3 +281,43 @@ def test_rotation_from_axis_angle(spark):
             term = term @ w / k
             want = want + term
         np.testing.assert_allclose(np.array(r.m).reshape(3, 3), want, atol=1e-12)
+
+
+def nearest_by_hand(points, queries, k, same):
+    out = {}
+    for q, a in queries.items():
+        near = sorted((math.dist(a, b), p) for p, b in points.items() if not same or p != q)[:k]
+        out[q] = [p for _, p in near]
+    return out
+
+
+@pytest.mark.parametrize("pieces", ["1", "40"])
+def test_neighbors_of_a_crowd_with_far_outliers(spark, pieces):
+    rng = random.Random(7)
+    points = {i: tuple(rng.gauss(1000, 1) for _ in range(3)) for i in range(900)}
+    points |= {1000 + i: tuple(rng.gauss(1000, 1e-6) for _ in range(3)) for i in range(60)}  # a crowd within the crowd
+    points |= {2000: (1e9, -1e9, 3.0), 2001: (1e9, -1e9, 4.0), 2002: (-1e9, 0.0, 0.0)}
+    points |= {3000 + i: (999.0, 1000.0, 1001.0) for i in range(20)}  # one place
+    df = spark.createDataFrame([(i, *p) for i, p in points.items()], "idx long, x double, y double, z double")
+    spark.conf.set("spark.sql.shuffle.partitions", pieces)
+    try:
+        got = {}
+        for r in sp.knn_join(df, df, 5, q_id="idx", p_id="idx", exclude_same_id=True).collect():
+            got.setdefault(r.a_idx, {})[r.neighbor_rank] = r.b_idx
+        want = nearest_by_hand(points, points, 5, True)
+        assert {q: [n[i] for i in range(1, 6)] for q, n in got.items()} == want
+        tried = sp.knn_candidates(df, df, 5, (), q_id="idx", p_id="idx", exclude_same_id=True)
+        sizes = {r["__q"]: r["n"] for r in tried.groupBy("__q").agg(F.count(F.lit(1)).alias("n")).collect()}
+        in_crowd = sorted(n for q, n in sizes.items() if q < 900)
+        if pieces == "1":  # a border of pieces can cost its neighbours a wider search
+            assert in_crowd[len(in_crowd) // 2] < 400 and sum(sizes[i] for i in range(1000, 1060)) / 60 < 100
+        far = {5000: (5e8, 5e8, 5e8), 5001: (1000.0, 1000.0, 1000.0)}
+        asked = spark.createDataFrame([(i, *p) for i, p in far.items()], "q long, x double, y double, z double")
+        found = {}
+        for r in sp.knn_join(asked, df, 3, q_id="q", p_id="idx").collect():
+            found.setdefault(r.a_q, {})[r.neighbor_rank] = r.b_idx
+        assert {q: [n[i] for i in (1, 2, 3)] for q, n in found.items()} == nearest_by_hand(points, far, 3, False)
+        assert sp.knn_join(asked, df.limit(0), 3, q_id="q", p_id="idx").count() == 0
+        assert sp.knn_join(asked.limit(0), df, 3, q_id="q", p_id="idx").count() == 0
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
