@@ -17,6 +17,7 @@ bound on everything broadcast or collected here.
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -307,8 +308,10 @@ def checkpoint_folder(spark) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the shared folder; survives the loss of executors."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(checkpoint_folder(df.sparkSession))
-    return df.checkpoint()
+    """The rows as a table in the shared folder: it survives the loss of executors.
+
+    Unlike a checkpoint it carries no constraints of the plan behind it; those of an iteration would grow with every round.
+    """
+    path = f"{checkpoint_folder(df.sparkSession).rstrip('/')}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

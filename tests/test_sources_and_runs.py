@@ -1,5 +1,6 @@
 """Readers, writers, user functions and streams on small files."""
 
+import random
 import time
 
 import pandas as pd
@@ -134,6 +135,66 @@ def test_rotatable_bonds_of_a_ring_with_two_tails(spark):
     assert (t.before, t.start, t.end, t.after) == (2, 3, 4, 5)
 
 
+def split_by_hand(edges):
+    """Bonds that split a connected molecule, with the side of each that lacks the smallest atom."""
+    out = {}
+    for cut in edges:
+        near = {}
+        for e in edges:
+            if e != cut:
+                for a, b in (e, e[::-1]):
+                    near.setdefault(a, []).append(b)
+        seen, open_ = {min(x for e in edges for x in e)}, [min(x for e in edges for x in e)]
+        while open_:
+            for b in near.get(open_.pop(), []):
+                if b not in seen:
+                    seen.add(b)
+                    open_.append(b)
+        rest = {x for e in edges for x in e} - seen
+        if rest:
+            out[cut] = rest
+    return out
+
+
+def test_bridges_and_masks_of_random_molecules(spark):
+    rng = random.Random(6)
+    mols, rows = {}, []
+    for m in range(12):
+        n = rng.randrange(2, 26)
+        names = rng.sample(range(100), n)
+        edges = {tuple(sorted((names[i], names[rng.randrange(max(0, i - 4), i)]))) for i in range(1, n)}
+        edges |= {tuple(sorted(rng.sample(names, 2))) for _ in range(rng.randrange(0, 4))} if n > 2 else set()
+        mols[m] = sorted(edges)
+        rows += [(m, *(e if rng.random() < 0.5 else e[::-1]), 1, i) for i, e in enumerate(mols[m])]
+    rows += [(50, 1, 2, 1, 0), (50, 2, 3, 1, 1), (50, 7, 8, 1, 2), (50, 8, 9, 1, 3), (50, 9, 7, 1, 4)]  # not connected: the part of the smallest atom
+    bonds = spark.createDataFrame(rows, "mol_id int, a int, b int, bond_type int, bond_idx int")
+    sides = {(r.mol_id, tuple(sorted((r.atom, r.parent)))): (r.below, r.total) for r in gr.bond_sides(bonds).collect()}
+    masks = {}
+    for r in gr.rotation_masks(bonds).collect():
+        masks.setdefault((r.mol_id, tuple(sorted((r.src, r.dst)))), set()).add(r.atom)
+    for m, edges in mols.items():
+        want = split_by_hand(edges)
+        total = len({x for e in edges for x in e})
+        assert {k[1]: v for k, v in sides.items() if k[0] == m} == {e: (len(s), total) for e, s in want.items()}
+        for e, below in want.items():
+            small = below if len(below) < total - len(below) else {x for f in edges for x in f} - below
+            assert masks.get((m, e)) == (small if len(small) > 1 else None)
+    assert {k[1] for k in sides if k[0] == 50} == {(1, 2), (2, 3)}
+
+
+def test_rounds_of_long_chains(spark, monkeypatch):
+    calls = []
+    monkeypatch.setattr(gr, "cut_lineage", lambda df, cut=gr.cut_lineage: calls.append(1) or cut(df))
+    rounds = {}
+    for n in (40, 2000):
+        calls.clear()
+        chain = spark.createDataFrame([(n, (i * 7) % n, ((i + 1) * 7) % n, 1) for i in range(n - 1)], "mol_id int, a int, b int, bond_type int")
+        tree = gr.spanning_tree(chain).collect()
+        rounds[n] = len(calls)
+        assert len(tree) == n and sorted(r.place for r in tree) == list(range(n)) and {r.total for r in tree} == {n}
+    assert rounds[2000] < 3 * rounds[40] < 200
+
+
 @pytest.mark.parametrize("p", [1, 2])
 def test_nearest_vectors_are_exact(spark, p):
     rows = [(i, [float((i * a) % 17) for a in (3, 5, 7, 11)]) for i in range(120)] + [(200 + i, [1.0, 1.0, 1.0, 1.0]) for i in range(30)]
