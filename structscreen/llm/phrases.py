@@ -35,9 +35,9 @@ from pyspark.sql import functions as F
 
 from structscreen.llm.common import shared_dir, written
 
-SHARD_WORDS = 1_000_000
+SHARD_WORDS = 400_000
 SENT_ROWS, SENT_BYTES = 500_000, 32 << 20
-_CHUNK_WORDS, _OPEN_WORDS = 500_000, 1_500_000  # of one chunk; of all chunks that a task has begun
+_CHUNK_WORDS, _OPEN_WORDS = 200_000, 600_000  # of one chunk; of all chunks that a task has begun
 _SLICE = 1 << 22
 _ROW = 1 << 16  # phrases in a row of a level's table
 _SEPARATORS = bytes.maketrans(b",;:!?\n\x0b\x0c\r", b"." * 9)
@@ -120,9 +120,8 @@ class Bwt:
 
     def __init__(self, symbols: np.ndarray):
         self.symbols = symbols
-        by_symbol = np.argsort(symbols, kind="stable")
-        self.last_to_first = np.empty(len(symbols), dtype=np.int64)
-        self.last_to_first[by_symbol] = np.arange(len(symbols))
+        self.last_to_first = np.empty(len(symbols), dtype=np.int32)
+        self.last_to_first[np.argsort(symbols, kind="stable")] = np.arange(len(symbols), dtype=np.int32)
 
     @staticmethod
     def of(text: np.ndarray, depth: int) -> np.ndarray:
@@ -130,16 +129,17 @@ class Bwt:
 
     def steps(self, low: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, ...]:
         """All symbols in disjoint intervals: (owner, symbol, number, smaller ones in the interval, low after a backward step)."""
+        starts = np.cumsum(size) - size
         owner = np.repeat(np.arange(len(low)), size)
-        place = np.arange(len(owner)) - np.repeat(np.cumsum(size) - size, size) + low[owner]
+        place = np.arange(len(owner)) + np.repeat(low - starts, size)
         key = owner * (int(self.symbols.max(initial=0)) + 1) + self.symbols[place]
         order = np.argsort(key, kind="stable")
-        heads = np.flatnonzero(np.concatenate(([True], np.diff(key[order]) != 0))) if len(key) else np.zeros(0, dtype=np.int64)
+        key = key[order]
+        heads = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, dtype=np.int64)
         number = np.diff(np.concatenate((heads, [len(key)])))
         first = order[heads]
-        owner = owner[first]
-        before = heads - (np.cumsum(size) - size)[owner]
-        return owner, self.symbols[place[first]], number, before, self.last_to_first[place[first]]
+        owner, place = owner[first], place[first]
+        return owner, self.symbols[place], number, heads - starts[owner], self.last_to_first[place]
 
 
 def extensions(forward: Bwt, backward: Bwt, low: np.ndarray, back: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, ...]:
