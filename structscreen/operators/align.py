@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from structscreen.functions import vec as v
-from structscreen.plans.skew import over_groups, spread
+from structscreen.plans.skew import over_groups
 
 XYZ = ("x", "y", "z")
 
@@ -83,7 +83,7 @@ def explode_alignment(df: DataFrame, by=("id",), ref="ref_aln", mod="mod_aln") -
             if cells:
                 yield _columns_of(batch, *texts, range(first, len(texts[0])), n_keys)
 
-    return spread(df.select(*by, ref, mod)).mapInArrow(run, schema)
+    return df.select(*by, ref, mod).mapInArrow(run, schema)
 
 
 def matched_pairs(columns: DataFrame, equal_only=False) -> DataFrame:

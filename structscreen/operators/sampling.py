@@ -22,7 +22,7 @@ def balanced_sample(df: DataFrame, key: str, n: int | None = None, *, order, see
     defaults to the number of rows.
     """
     spark = df.sparkSession
-    rows = over_groups(df, [key], list(order), __row=("row_number",))
+    rows = over_groups(df, [key], list(order), split=True, __row=("row_number",))
     sizes = df.groupBy(key).agg(F.count(F.lit(1)).alias("__size"))
     keys = over_groups(sizes, [], [key], __key_no=("row_number",))
     if n is None:
@@ -44,7 +44,7 @@ def balanced_pick(samples: DataFrame, by: str, *, rmsd="rmsd", cutoff=2.0, order
     there is one.  A complex with neither keeps a row without a sample.
     """
     ok = (F.col(rmsd) < cutoff).cast("int")
-    rows = over_groups(samples.withColumn("__ok", ok), [by, "__ok"], list(order), __n=("row_number",))
+    rows = over_groups(samples.withColumn("__ok", ok), [by, "__ok"], list(order), split=True, __n=("row_number",))
     sizes = samples.groupBy(by).agg(
         F.sum(ok).alias("__s"), F.count(F.lit(1)).alias("__all"), F.min(hash_key).alias("__h")
     )

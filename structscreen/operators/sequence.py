@@ -61,7 +61,7 @@ def _pack(df: DataFrame, length: str, order, fold) -> DataFrame:
     plan = histogram.repartition(1).sortWithinPartitions("__len").mapInPandas(
         fold, "__len long, __batch long, __first long, __cap long"
     )
-    numbered = over_groups(df.withColumn("__len", F.col(length).cast("long")), ["__len"], list(order), __i=("row_number",))
+    numbered = over_groups(df.withColumn("__len", F.col(length).cast("long")), ["__len"], list(order), split=True, __i=("row_number",))
     out = attach(numbered, plan, ["__len"], "inner", small=True)  # one row per distinct length
     late = F.ceil((F.col("__i") - F.col("__first")) / F.col("__cap"))
     batch = F.col("__batch") + F.when(F.col("__i") <= F.col("__first"), F.lit(0)).otherwise(late)

@@ -1,18 +1,15 @@
 """Ordered computations inside groups that may be very large.
 
-A Spark window sorts each group in one task.  That is right for the usual case of
-many small groups and wrong when one group holds a large part of the table.
-``over_groups`` and ``avg_rank`` look at the group sizes first:
-
-* if the optimizer's own size estimate says the whole input is small, or if no group
-  is heavy, they build the plain window (one shuffle);
-* otherwise every heavy group is cut into consecutive ranges of its sort order, the
-  window runs per range, and a small table of per-range totals carries the state over
-  the range borders.  Results are exactly those of the plain window.
-
-A group is heavy above ``max(min_rows, total / 10000)`` rows.  So there are at most
-10 000 heavy groups and at most 20 000 ranges, whatever the table holds; that is the
-bound on everything broadcast or collected here.
+A Spark window sorts each group in one task.  That is right for groups that are one thing
+(the residues of a structure, the poses of an entry) and wrong for a group that may hold any part
+of the table, or for the table as a whole.  Which of the two a group is, the caller knows, so it says so
+(``split``; a computation without groups is always split).  Sizes are not looked at while a plan is built.
+
+In the split form every group of more than ``max(minRows, total / 10000)`` rows is cut into consecutive ranges of its
+sort order, the window runs per range, and a small table of per-range totals carries the state over
+the range borders; all of it is one lazy plan, with the sizes as aggregates inside it.  Results are exactly those of the plain
+window.  There are at most 10 000 such groups and 20 000 ranges, whatever the table holds; that is the bound on what is
+broadcast.  The borders come from a sample by hash, so they are the same whenever they are computed.
 """
 
 from __future__ import annotations
@@ -23,48 +20,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-CHECK_BYTES = 64 * 1024 * 1024
 MIN_ROWS = 2_000_000
 MAX_HEAVY = 10_000
 _SAMPLES_PER_RANGE = 40
 _BLOCK = 64
 
 
-def _conf_int(df: DataFrame, key: str, default: int) -> int:
-    return int(df.sparkSession.conf.get(key, str(default)))
-
-
-def plan_bytes(df: DataFrame) -> int:
-    """Size estimate of the optimized plan; very large when it cannot be had."""
-    try:
-        size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-        return int(str(size))
-    except Exception:
-        return 1 << 62
-
-
-def spread(df: DataFrame, below_bytes: int = 1 << 30) -> DataFrame:
-    """Use all cores before a step that makes many rows out of one.
-
-    A small input comes in few partitions however much work each row carries; it is dealt
-    out over the default parallelism.  A large one already has more splits than cores and
-    stays as it is.
-    """
-    if plan_bytes(df) >= below_bytes:
-        return df
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
-
-
-def hashed_if_small(df: DataFrame) -> DataFrame:
-    """Let a join hash this side instead of sorting both, if the whole side is small.
-
-    The limit is on the side as a whole, so even a side with a single key fits one task.
-    Larger sides keep the sort-merge form, which spills and which adaptive execution
-    splits at crowded keys.
-    """
-    return df.hint("shuffle_hash") if plan_bytes(df) < CHECK_BYTES else df
-
-
 def attach(left: DataFrame, right: DataFrame, keys, how="left", small=False) -> DataFrame:
     """Null-safe equi-join on equally named keys; the right keys do not stay.
 
@@ -73,7 +34,8 @@ def attach(left: DataFrame, right: DataFrame, keys, how="left", small=False) ->
     """
     keys = list(keys)
     if not keys:  # the right side is a one-row total of the whole table
-        return left.join(F.broadcast(right), how="cross")
+        total = right.select(F.struct(*right.columns)).scalar()
+        return left.select("*", *[total[c].alias(c) for c in right.columns])
     renamed = right.select(
         *[F.col(k).alias(f"__r_{k}") for k in keys],
         *[F.col(c) for c in right.columns if c not in keys],
@@ -86,18 +48,13 @@ def attach(left: DataFrame, right: DataFrame, keys, how="left", small=False) ->
     return left.join(renamed, on, how).drop(*[f"__r_{k}" for k in keys])
 
 
-def heavy_groups(df: DataFrame, by: list[str]):
-    """(threshold, rows of heavy keys with their ``__n``), or ``None`` if there are none."""
-    min_rows = _conf_int(df, "structscreen.skew.minRows", MIN_ROWS)
-    if plan_bytes(df) < _conf_int(df, "structscreen.skew.checkBytes", CHECK_BYTES):
-        return None
+def heavy_groups(df: DataFrame, by: list[str]) -> DataFrame:
+    """(by, __n, __ranges) of the groups that are cut, fewer than ``MAX_HEAVY``."""
+    least = int(df.sparkSession.conf.get("structscreen.skew.minRows", str(MIN_ROWS)))
     sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("__n"))
-    total = sizes.agg(F.sum("__n")).first()[0] or 0
-    threshold = max(min_rows, total // MAX_HEAVY)
-    if total <= threshold:
-        return None
-    rows = sizes.where(F.col("__n") > threshold).collect()  # fewer than MAX_HEAVY rows
-    return (threshold, rows) if rows else None
+    total = df.agg(F.count(F.lit(1))).scalar()
+    threshold = F.greatest(F.lit(least), F.floor(total / MAX_HEAVY))
+    return sizes.where(F.col("__n") > threshold).withColumn("__ranges", F.ceil(F.col("__n") / threshold).cast("int"))
 
 
 def _window(by, order):
@@ -135,31 +92,25 @@ def _frames(by, order):
     )
 
 
-def over_groups(df: DataFrame, by, order, **specs) -> DataFrame:
+def over_groups(df: DataFrame, by, order, split: bool = False, **specs) -> DataFrame:
     """Add running columns per group, in ascending order of ``order``.
 
     Specs: ``("row_number",)``, ``("sum", c)``, ``("lag", c)``, ``("lead", c)``,
     ``("ffill", c)`` (last non-null so far), ``("bfill", c)`` (next non-null).
     ``order`` must identify rows within a group for the result to be determined.
+    ``split`` says that a group may hold any part of the table.
     """
     by, order = list(by), list(order)
-    keys = by
     if not by:
-        df, keys = df.withColumn("__all", F.lit(1)), ["__all"]
-    heavy = heavy_groups(df.select(*keys), keys)
-    if heavy is None:
-        frames = _frames(keys, order)
-        out = df.withColumns({n: _plain(s, *frames) for n, s in specs.items()})
-    else:
-        out = _over_heavy(df, keys, order, specs, *heavy)
-    return out if by else out.drop("__all")
-
-
-def _over_heavy(df, by, order, specs, threshold, rows):
-    spark = df.sparkSession
-    ranges = F.ceil(F.col("__n") / F.lit(threshold)).cast("int")
-    key_schema = df.select(*by).schema.add("__n", "long")
-    heavy = spark.createDataFrame(rows, key_schema).withColumn("__ranges", ranges)
+        return _over_split(df.withColumn("__all", F.lit(1)), ["__all"], order, specs).drop("__all")
+    if split:
+        return _over_split(df, by, order, specs)
+    frames = _frames(by, order)
+    return df.withColumns({n: _plain(s, *frames) for n, s in specs.items()})
+
+
+def _over_split(df, by, order, specs):
+    heavy = heavy_groups(df.select(*by), by)
     pos = F.struct(*[F.col(c) for c in order])
 
     # Split points: a hashed sample of bounded size per heavy group.
@@ -266,31 +217,33 @@ def _over_heavy(df, by, order, specs, threshold, rows):
     return joined.select(*kept, *out)
 
 
-def avg_rank(df: DataFrame, by, col: str, out: str, ascending: bool = True) -> DataFrame:
-    """Rank with ties sharing their mean position; null values get a null rank."""
+def avg_rank(df: DataFrame, by, col: str, out: str, ascending: bool = True, split: bool = False) -> DataFrame:
+    """Rank with ties sharing their mean position; null values get a null rank.
+
+    ``split`` says that a group may hold any part of the table; without groups it always does.
+    """
     by = list(by)
     signed = "__v"
     value = F.col(col) if ascending else -F.col(col)
     value = F.when(F.isnan(value.cast("double")), None).otherwise(value)
     df = df.withColumn(signed, value)
-    heavy = heavy_groups(df.select(*by), by) if by else heavy_groups(
-        df.select(F.lit(1).alias("__all")), ["__all"]
-    )
-    if heavy is None:
+    if by and not split:
         w_rank = Window.partitionBy(*by).orderBy(F.col(signed).asc_nulls_last())
         w_same = w_rank.rangeBetween(Window.currentRow, Window.currentRow)  # the tied rows
         rank = F.rank().over(w_rank) + (F.count(F.lit(1)).over(w_same) - 1) / F.lit(2.0)
         return df.withColumn(out, F.when(F.col(signed).isNotNull(), rank)).drop(signed)
-    # One row per distinct value first: the running count then needs no tie handling.
+    # One row per distinct value first: a frequent value is one row, and the running count needs no tie handling.
+    # Rows without a value have no rank and do not meet the others.
     distinct = (
         df.where(F.col(signed).isNotNull())
         .groupBy(*by, signed)
         .agg(F.count(F.lit(1)).alias("__same"))
     )
-    ranks = over_groups(distinct, by, [signed], __upto=("sum", "__same")).select(
+    ranks = over_groups(distinct, by, [signed], split=True, __upto=("sum", "__same")).select(
         *by, signed, (F.col("__upto") - (F.col("__same") - 1) / F.lit(2.0)).alias(out)
     )
-    return attach(df, ranks, by + [signed]).drop(signed)
+    ranked = attach(df.where(F.col(signed).isNotNull()), ranks, by + [signed]).drop(signed)
+    return ranked.unionByName(df.where(F.col(signed).isNull()).drop(signed).withColumn(out, F.lit(None).cast("double")))
 
 
 def checkpoint_folder(spark) -> str:

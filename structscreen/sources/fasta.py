@@ -33,7 +33,7 @@ def _numbered_records(spark: SparkSession, paths) -> DataFrame:
     numbered = numbered_pieces(spark, paths, "\n>").withColumnRenamed("n", "rec_idx")
     lines = F.length("value") - F.length(F.replace("value", F.lit("\n"), F.lit(""))) + 1
     return over_groups(
-        numbered.withColumn("__l", lines.cast("long")), ["file"], ["rec_idx"], __upto=("sum", "__l")
+        numbered.withColumn("__l", lines.cast("long")), ["file"], ["rec_idx"], split=True, __upto=("sum", "__l")
     ).select("file", "rec_idx", (F.col("__upto") - F.col("__l")).alias("first_line"), "value")
 
 

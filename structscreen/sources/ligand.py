@@ -82,7 +82,7 @@ def read_sdf(spark: SparkSession, paths, repair_counts=False, id_pattern: str |
     Blocks end with ``$$$$``; the block number is a running count of those lines.
     """
     lines = with_line_idx(spark, paths).withColumn("__end", F.startswith("line", F.lit("$$$$")).cast("int"))
-    counted = over_groups(lines, ["file"], ["line_idx"], __ends=("sum", "__end"))
+    counted = over_groups(lines, ["file"], ["line_idx"], split=True, __ends=("sum", "__end"))
     blocks = counted.withColumn("record_idx", (F.col("__ends") - F.col("__end")).cast("int"))
     start = blocks.groupBy("file", "record_idx").agg(F.min("line_idx").alias("__start"))
     placed = attach(blocks, start, ["file", "record_idx"])

@@ -25,9 +25,7 @@ def spark(tmp_path_factory):
 
 @pytest.fixture
 def heavy(spark):
-    """Make every group of more than a few rows count as heavy."""
+    """Cut every group of more than a few rows where groups are split."""
     spark.conf.set("structscreen.skew.minRows", "7")
-    spark.conf.set("structscreen.skew.checkBytes", "0")
     yield
     spark.conf.unset("structscreen.skew.minRows")
-    spark.conf.unset("structscreen.skew.checkBytes")
