@@ -4,6 +4,6 @@ from structscreen.bindings.core import REGISTRY
 
 
 def load():
-    from structscreen.bindings import files, points, poses, predictions, sequences, text_records  # noqa: F401
+    from structscreen.bindings import files, points, poses, predictions, sequences, text_records, whole  # noqa: F401
 
     return REGISTRY
