@@ -240,14 +240,18 @@ class _Alive:
         return which, self.gram[place[which]]
 
 
+_LISTED = "shard string, alive array<struct<gram: long, low: int, back: int, n: int>>"
+
+
 def _remain(batches: Iterator[pa.RecordBatch], known: _Alive) -> Iterator[pa.RecordBatch]:
-    """``_LIVING`` rows -> (shard, gram, low, back, n): the phrases that ``known`` has."""
+    """``_LIVING`` rows -> ``_LISTED``: those of a row's phrases that ``known`` has, as a list."""
     for batch in batches:
         for row in range(batch.num_rows):
             prefix, suffix, n, low, back = (batch.column(c)[row].values.to_numpy(zero_copy_only=False) for c in _PARTS)
             which, gram = known.find(prefix, suffix)
-            shard = pa.array([batch.column("shard")[row].as_py()] * len(which), pa.string())
-            yield pa.RecordBatch.from_arrays([shard, pa.array(gram), *(pa.array(c[which], pa.int32()) for c in (low, back, n))], ["shard", "gram", "low", "back", "n"])
+            if len(which):
+                kept = pa.StructArray.from_arrays([pa.array(gram), *(pa.array(c[which], pa.int32()) for c in (low, back, n))], ["gram", "low", "back", "n"])
+                yield pa.RecordBatch.from_arrays([batch.column("shard").slice(row, 1), pa.ListArray.from_arrays(pa.array([0, len(which)], pa.int32()), kept)], ["shard", "alive"])
 
 
 def _extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -331,11 +335,12 @@ def mine(df: DataFrame, text_col: str = "text", lang_col: str = "lang", least: i
         if size > 2:
             few = _few(alive.select("prefix", "suffix", "gram"))
             if few is not None:
-                remain = found.mapInArrow(lambda b, k=_Alive(few): _remain(b, k), "shard string, gram long, low int, back int, n int")
+                remain = found.mapInArrow(lambda b, k=_Alive(few): _remain(b, k), _LISTED)
+                listed = remain.groupBy("shard").agg(F.flatten(F.collect_list("alive")).alias("alive"))
             else:
                 each = found.select("shard", F.inline(F.arrays_zip(*_PARTS)))
                 remain = each.join(alive.select("prefix", "suffix", "gram"), ["prefix", "suffix"])
-            listed = remain.groupBy("shard").agg(F.collect_list(F.struct("gram", "low", "back", "n")).alias("alive"))
+                listed = remain.groupBy("shard").agg(F.collect_list(F.struct("gram", "low", "back", "n")).alias("alive"))
             states = index.drop("grams").join(listed, "shard")
         found = written(states.mapInArrow(_extend, _LIVING))
         each = found.select(F.inline(F.arrays_zip("prefix", "suffix", "n")))
