@@ -96,6 +96,29 @@ def nearest_chain(t: Tables):
     return sp.nearest_chain(t.points(), t.ligand().drop("chain"), BY, point_id="lig_idx")
 
 
+RESIDUES = f"""WITH {LIG}, a AS (SELECT *, idx // 5 AS resid, CASE idx % 5 WHEN 1 THEN 'CA' WHEN 4 THEN CASE WHEN (idx // 5) % 3 = 1 THEN 'O' ELSE 'CB' END WHEN 2 THEN CASE WHEN (idx // 5) % 7 = 2 THEN 'CB' ELSE 'C' END ELSE 'N' END AS name FROM pts),
+rs AS (SELECT cid, resid, x, y, z, min(idx) OVER (PARTITION BY cid, resid) AS first_line, row_number() OVER (PARTITION BY cid, resid ORDER BY (name <> 'CB')::INT, idx) AS nth FROM a WHERE name IN ('CA', 'CB'))"""
+
+
+def _residues(t: Tables):
+    r, i = F.floor(F.col("idx") / 5), F.col("idx") % 5
+    name = F.when(i == 1, "CA").when((i == 4) & (r % 3 != 1), "CB").when((i == 2) & (r % 7 == 2), "CB").otherwise("N")
+    atoms = t.points().select("cid", r.alias("resid"), name.alias("atom_name"), F.col("idx").alias("line_idx"), *XYZ)
+    return sp.representative_points(atoms, ["cid", "resid"])
+
+
+@query("representative_points", f"{RESIDUES} SELECT cid, resid, first_line, round(x,6) AS x, round(y,6) AS y, round(z,6) AS z FROM rs WHERE nth = 1")
+def representative_points(t: Tables):
+    return _residues(t)
+
+
+@query("nearest_residue", f"""{RESIDUES} SELECT cid, lig_idx, resid, round(d,6) AS distance FROM (SELECT b.cid, b.lig_idx, a.resid, {DAB} AS d,
+  row_number() OVER (PARTITION BY b.cid, b.lig_idx ORDER BY {DAB}, a.first_line) AS rn FROM rs a JOIN lig b ON a.cid=b.cid WHERE a.nth = 1) WHERE rn = 1""")
+def nearest_residue(t: Tables):
+    points = _residues(t).withColumnRenamed("first_line", "idx")
+    return sp.nearest_chain(points, t.ligand().drop("chain"), BY, chain="resid", point_id="lig_idx")
+
+
 @query("pocket_atoms_near_ligand", f"WITH {LIG} SELECT a.cid, a.idx FROM pts a WHERE EXISTS (SELECT 1 FROM lig b WHERE a.cid=b.cid AND {DAB} < 2)")
 def pocket_atoms_near_ligand(t: Tables):
     return sp.pocket_atoms(t.points(), t.ligand(), 2.0, BY).select("cid", "idx")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from structscreen.functions.text import draw
+from structscreen.functions.text import DRAW_MODULUS, draw
 from structscreen.plans.skew import attach, over_groups
 
 
@@ -58,8 +58,15 @@ def balanced_pick(samples: DataFrame, by: str, *, rmsd="rmsd", cutoff=2.0, order
 
 
 def sample_n(df: DataFrame, n: int, *, keys, seed=0) -> DataFrame:
-    """n rows without replacement: the rows with the smallest draws."""
-    numbered = over_groups(df.withColumn("__d", draw(seed, *[F.col(c) for c in keys])), [], ["__d", *keys], __i=("row_number",))
+    """n rows without replacement: the rows with the smallest draws.
+
+    Only rows below a draw that a few more than n are expected to stay under are numbered; should they be fewer than n, all are.
+    """
+    drawn = df.withColumn("__d", draw(seed, *[F.col(c) for c in keys]))
+    total = df.agg(F.count(F.lit(1))).scalar()
+    cut = F.lit(float(DRAW_MODULUS) * (n + 8 * n ** 0.5 + 64)) / F.greatest(total, F.lit(1))
+    enough = drawn.where(F.col("__d") < cut).agg(F.count(F.lit(1)) >= n).scalar()
+    numbered = over_groups(drawn.where((F.col("__d") < cut) | ~enough), [], ["__d", *keys], __i=("row_number",))
     return numbered.where(F.col("__i") <= n).drop("__d", "__i")
 
 

@@ -79,36 +79,38 @@ def pack_additive(df: DataFrame, budget: int, *, length="length", order=("idx",)
     return _pack(df, length, order, _fold_additive(budget))
 
 
-def hamming(a, b):
-    """Share of positions that differ between two equally long strings."""
-    pairs = F.arrays_zip(F.split(a, "").alias("a"), F.split(b, "").alias("b"))
-    return F.size(F.filter(pairs, lambda p: p["a"] != p["b"])).cast("double") / F.length(a)
+def _letters(seq: str):
+    return F.filter(F.split(seq, ""), lambda c: c != "")
 
 
-def greedy_select(msa: DataFrame, n: int, mode="max", *, idx="rec_idx", seq="sequence", checkpoint_every=10) -> DataFrame:
+def _counts_by_column(chosen: DataFrame, seq: str):
+    """How often each letter stands in each column of the chosen rows, as one value: a map from column to a map of letters."""
+    letters = chosen.select(F.posexplode(_letters(seq)).alias("at", "letter")).groupBy("at", "letter").agg(F.count(F.lit(1)).alias("n"))
+    columns = letters.groupBy("at").agg(F.map_from_entries(F.collect_list(F.struct("letter", "n"))).alias("counts"))
+    return columns.agg(F.map_from_entries(F.collect_list(F.struct("at", "counts")))).scalar()
+
+
+def greedy_select(msa: DataFrame, n: int, mode="max", *, idx="rec_idx", seq="sequence") -> DataFrame:
     """Greedy diverse (or similar) subset: first record, then repeatedly the row with the
     largest (smallest) mean Hamming distance to the chosen ones; ties to the first row.
 
-    One pass over the table per round: a running distance sum, and the next row as one
-    ``min`` over (score, index).  Only the chosen sequence itself comes to the driver.
+    The distances to all chosen rows come from the letter counts of their columns, so a round is one pass with one
+    ``min`` over (score, index), however many are chosen.  Chosen rows are a written table; none comes to the driver.
     """
     if mode not in ("max", "min"):
         raise ValueError("mode must be 'max' or 'min'")
     sign = -1.0 if mode == "max" else 1.0
-    state = msa.select(idx, seq).withColumn("__sum", F.lit(0.0))
-    head = state.agg(F.min(F.struct(idx, seq)).alias("p")).first()["p"]
-    if head is None:
-        return msa
-    chosen, last = [head[0]], head[1]
-    while len(chosen) < n:
-        state = state.withColumn("__sum", F.col("__sum") + hamming(F.lit(last), F.col(seq)))
-        if len(chosen) % checkpoint_every == 0:
-            state = cut_lineage(state)
-        nxt = state.where(~F.col(idx).isin(chosen)).agg(
-            F.min(F.struct((F.round(F.col("__sum"), 9) * sign).alias("s"), F.col(idx).alias("i"), F.col(seq).alias("q"))).alias("p")
-        ).first()["p"]
-        if nxt is None:
+    first = msa.agg(F.min(F.struct(idx, seq)).alias("p")).where("p IS NOT NULL").select("p.*")
+    chosen = cut_lineage(first)
+    for size in range(1, n):
+        counts = F.col("__counts")
+        agreeing = F.transform(_letters(seq), lambda c, i: F.coalesce(F.try_element_at(F.try_element_at(counts, i), c), F.lit(0)))
+        same = F.aggregate(agreeing, F.lit(0).cast("long"), lambda a, x: a + x)
+        apart = (F.length(seq) * size - same) / F.length(seq)
+        rest = msa.select(idx, seq).join(chosen.select(idx), idx, "left_anti").withColumn("__counts", _counts_by_column(chosen, seq))
+        best = rest.agg(F.min(F.struct((F.round(apart, 9) * sign).alias("s"), F.col(idx).alias("i"), F.col(seq).alias("q"))).alias("p"))
+        grown = cut_lineage(chosen.unionAll(best.where("p IS NOT NULL").select("p.i", "p.q")))
+        if grown.count() == size:
             break
-        chosen.append(nxt["i"])
-        last = nxt["q"]
-    return msa.where(F.col(idx).isin(chosen)).orderBy(idx)
+        chosen = grown
+    return msa.join(chosen.select(idx), idx, "left_semi").orderBy(idx)

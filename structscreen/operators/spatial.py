@@ -337,6 +337,14 @@ def knn_tiered(residues: DataFrame, k: int, by=(), *, id_col: str = "pos", xyz=X
     )
 
 
+def representative_points(atoms: DataFrame, by=("structure_id", "chain", "resid", "insertion"), *, atom="atom_name", order="line_idx") -> DataFrame:
+    """(by, first_line, x, y, z) per residue: its CB, or its CA without one; residues with neither have no row."""
+    names = F.col(atom).isin("CB", "CA")
+    place = F.struct(*[F.col(c) for c in XYZ])
+    best = atoms.where(names).groupBy(*by).agg(F.min(order).alias("first_line"), F.min_by(place, F.struct(F.col(atom) != "CB", F.col(order))).alias("__p"))
+    return best.select(*by, "first_line", "__p.*")
+
+
 def nearest_chain(residues: DataFrame, points: DataFrame, by=(), *, chain="chain", id_col="idx", point_id="point_id", xyz=XYZ) -> DataFrame:
     """Chain of the residue position (CB, or CA without CB) nearest to each point."""
     near = knn_join(points, residues, 1, by, q_id=point_id, p_id=id_col, p_cols=[chain], xyz=xyz)

@@ -1,9 +1,13 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from structscreen.functions import text as tx
 from structscreen.operators import align as al
+from structscreen.operators import sampling as sm
 from structscreen.operators import sequence as sq
+from structscreen.operators import spatial as sp
 from structscreen.operators.tables import job_fingerprint
 
 
@@ -127,3 +131,32 @@ def test_fingerprint_equals_checksum_of_the_joined_text(spark, heavy):
 def test_longest_fragment_first_of_equals(spark):
     df = spark.createDataFrame([("CC.CCO.NCO",), (None,), ("",)], "s string")
     assert [r[0] for r in df.select(tx.longest_fragment(F.col("s"))).collect()] == ["CCO", "", ""]
+
+
+@pytest.mark.parametrize("mode", ["max", "min"])
+def test_greedy_subset_equals_brute_force(spark, mode):
+    rng = random.Random(11)
+    rows = [(i, "".join(rng.choice("ACD-") for _ in range(7))) for i in rng.sample(range(500), 40)]
+    rows += [(900, rows[0][1]), (901, rows[0][1])]
+    df = spark.createDataFrame(rows, "rec_idx long, sequence string")
+    seqs, chosen = dict(rows), [min(rows)[0]]
+    while len(chosen) < 9:
+        far = lambda i: sum(sum(a != b for a, b in zip(seqs[i], seqs[j])) for j in chosen)
+        chosen.append(min((i for i in seqs if i not in chosen), key=lambda i: (-far(i) if mode == "max" else far(i), i)))
+    assert [r.rec_idx for r in sq.greedy_select(df, 9, mode).collect()] == sorted(chosen)
+    assert sq.greedy_select(df.limit(3), 9, mode).count() == 3 and sq.greedy_select(df.limit(0), 3, mode).count() == 0
+
+
+def test_sample_is_the_smallest_draws_however_they_fall(spark):
+    df = spark.range(3000).withColumn("same", F.lit(7))
+    smallest = [r.id for r in df.withColumn("d", tx.draw(5, F.col("id"))).orderBy("d", "id").limit(200).collect()]
+    assert sorted(r.id for r in sm.sample_n(df, 200, keys=["id"], seed=5).collect()) == sorted(smallest)
+    assert sm.sample_n(df, 200, keys=["same"], seed=5).count() == 200  # all draws alike
+    assert sm.sample_n(df, 9000, keys=["id"]).count() == 3000 and sm.sample_n(df.limit(0), 5, keys=["id"]).count() == 0
+
+
+def test_residues_stand_at_cb_or_ca(spark):
+    rows = [("s", 1, "CA", 1, 1.0), ("s", 1, "CB", 2, 2.0), ("s", 2, "CA", 3, 3.0), ("s", 3, "N", 4, 4.0), ("s", 4, "CB", 5, 5.0), ("s", 4, "CB", 6, 6.0)]
+    atoms = spark.createDataFrame(rows, "structure_id string, resid int, atom_name string, line_idx int, x double").selectExpr("*", "0D AS y", "0D AS z")
+    got = {r.resid: (r.first_line, r.x) for r in sp.representative_points(atoms, ["structure_id", "resid"]).collect()}
+    assert got == {1: (1, 2.0), 2: (3, 3.0), 4: (5, 5.0)}
