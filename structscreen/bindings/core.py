@@ -81,6 +81,10 @@ class Tables:
             raise AttributeError(name)
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
 
+    def dealt(self, df: DataFrame, key: str) -> DataFrame:
+        """A test table over all cores: each is one row group, which one task would read and work on."""
+        return df.repartition(self.spark.sparkContext.defaultParallelism, key)
+
     def poses(self) -> DataFrame:
         c = F.col
         return self.lineitem.select(
@@ -106,8 +110,7 @@ class Tables:
 
     def seqs(self) -> DataFrame:
         seq = F.upper(F.regexp_replace("text", "[^A-Za-z]", ""))
-        # the test tables are one row group each; a document is much work
-        return self.documents.select("doc_id", "source", "text").repartition("doc_id").select("doc_id", "source", F.concat_ws("_", "source", "doc_id").alias("label"), seq.alias("sequence"))
+        return self.dealt(self.documents.select("doc_id", "source", "text"), "doc_id").select("doc_id", "source", F.concat_ws("_", "source", "doc_id").alias("label"), seq.alias("sequence"))
 
     def aligned(self) -> DataFrame:
         """(doc_id, ref_aln, mod_aln) by the rules of the SQL form."""
