@@ -140,7 +140,19 @@ def op5(spark, sf_dir):
 
 
 # 8 ------------------------------------------------------------------------------------
-@query("op8_embedding_near_dedup")
+VECTOR_SQL = f"""
+WITH RECURSIVE v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+n AS (SELECT vec_id, e, sqrt(list_dot_product(e, e)) AS size FROM v),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM n a JOIN n b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_dot_product(a.e, b.e) >= {vectors.THRESHOLD} * a.size * b.size),
+reached(id, c) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT l.a, r.c FROM reached r JOIN links l ON l.b = r.id),
+counted AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT r.id AS vec_id, coalesce(max(c.n), 0)::BIGINT AS n_links, min(r.c)::BIGINT AS component_id, min(r.c) = r.id AS kept
+FROM reached r LEFT JOIN counted c ON c.a = r.id GROUP BY r.id"""
+
+
+@query("op8_embedding_near_dedup", VECTOR_SQL)
 def op8(spark, sf_dir):
     found = vectors.near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
     return found.select(F.col("id").alias("vec_id"), "n_links", "component_id", "kept")

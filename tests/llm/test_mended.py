@@ -112,3 +112,25 @@ def test_pipeline_leaves_other_columns_alone(spark):
     for _, stage in corpus_pipeline.STAGES:
         empty = stage(spark, empty, "")
         assert empty.count() == 0
+
+
+def test_planted_copies_of_vectors_equal_the_sql(spark):
+    import duckdb
+    import pyarrow as pa
+
+    from structscreen.llm import queries, vectors
+
+    rng = np.random.default_rng(12)
+    base = rng.normal(size=(60, 64))
+    rows = [(int(i), v.tolist()) for i, v in enumerate(base)]
+    rows += [(100 + 3 * i + k, (base[i] + rng.normal(size=64) * 0.05 * (k + 1)).tolist()) for i in range(30) for k in range(3)]  # chains of near copies
+    rows += [(300 + i, base[7].tolist()) for i in range(5)] + [(400, (-base[1]).tolist()), (401, (3 * base[2]).tolist()), (402, [0.0] * 64), (403, None)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted((r["id"], r["n_links"], r["component_id"], r["kept"]) for r in vectors.near_duplicate_vectors(df).collect())
+    table = pa.table({"vec_id": pa.array([i for i, _ in rows]), "embedding": pa.array([v for _, v in rows], pa.list_(pa.float64()))})
+    con = duckdb.connect()
+    con.register("embeddings", table)
+    found = con.execute(queries.VECTOR_SQL)
+    names = [d[0] for d in found.description]
+    want = sorted(tuple(r[names.index(c)] for c in ("vec_id", "n_links", "component_id", "kept")) for r in found.fetchall())
+    assert got == want and sum(r[1] > 0 for r in want) > 100
