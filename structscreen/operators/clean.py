@@ -50,12 +50,17 @@ def filter_residues(
     return rows.join(ca.select(*keys).distinct(), keys, "left_semi")
 
 
-def load_backbone(atoms: DataFrame, by=STRUCTURE, chains: list[str] | None = None) -> DataFrame:
-    """N, CA and C atoms, of some chains if given; a structure that lacks one of them is an error."""
+def load_backbone(atoms: DataFrame, by=STRUCTURE, chains: list[str] | None = None, on_missing: str = "error") -> DataFrame:
+    """N, CA and C atoms, of some chains if given.
+
+    A structure that lacks one of them is an error; with ``on_missing='keep'`` it simply has the others.
+    """
     out = atoms.where(F.col("atom_name").isin("N", "CA", "C") & (F.col("hetero") == " "))
     if chains is None:
         return out
     out = out.where(F.col("chain").isin(*chains))
+    if on_missing != "error":
+        return out
     has = [F.max(F.when(F.col("chain") == c, True)).alias(f"__c{i}") for i, c in enumerate(chains)]
     found = atoms.select(*by, F.when(F.col("atom_name").isin("N", "CA", "C") & (F.col("hetero") == " "), F.col("chain")).alias("chain")).groupBy(*by).agg(*has)
     lacking = F.concat_ws(",", *[F.when(F.col(f"__c{i}").isNull(), F.lit(c)) for i, c in enumerate(chains)])
