@@ -118,11 +118,16 @@ def with_virtual_cb(df: DataFrame, out: str, n: str, ca: str, c: str, length, an
 
 
 def with_local_frame(df: DataFrame, n: str, ca: str, c: str, out=("e1_", "e2_", "e3_")):
-    """Orthonormal frame at CA: e1 towards C, e2 in the N side of the plane, e3 normal."""
+    """Orthonormal frame at CA: e1 towards C, e2 in the N side of the plane, e3 normal.
+
+    ``unit`` leaves e1 a little short of one, so the part along it is taken with its own length; else e2 leans
+    towards e1 where N is nearly in line with CA and C.
+    """
     v1, v2 = sub(vec(c), vec(ca)), sub(vec(n), vec(ca))
 
     def second(e1):
-        return let([unit(sub(v2, scale(e1, dot(e1, v2))))], lambda e2: F.struct(
+        along = F.coalesce(F.try_divide(dot(e1, v2), norm2(e1)), F.lit(0.0))
+        return let([unit(sub(v2, scale(e1, along)))], lambda e2: F.struct(
             as_struct(e1).alias("a"), as_struct(e2).alias("b"), as_struct(cross(e1, e2)).alias("c")
         ))
 
