@@ -95,15 +95,17 @@ def cif_lines(t: Tables):
 
 
 def _mol_lines(t: Tables):
-    """One V2000 block per complex: fifty atoms, and bonds between neighbours."""
+    """One V2000 block per complex: its atoms (fifty; fewer where the table ends) and bonds between neighbours, as the counts line says."""
     i = F.col("idx") % 50
     tail = " ".join(["0"] * 12)
     p = t.points()
     atom = F.concat(F.format_string("%10.4f%10.4f%10.4f", "x", "y", "z"), F.lit(" "), F.rpad(F.when(i % 4 == 0, "N").otherwise("C"), 3, " "), F.lit(" " + tail[: 2 * 12 - 1]))
     atoms = p.select("cid", (i + 4).alias("line_idx"), atom.alias("line"))
-    bonds = p.where(i < 49).select("cid", (i + 54).alias("line_idx"), F.concat(F.format_string("%3d%3d%3d", i + 1, i + 2, i % 3 + 1), F.lit("  0  0  0  0")).alias("line"))
-    head = p.select("cid").distinct().select("cid", F.posexplode(F.array(F.lit(""), F.lit("  own"), F.lit(""), F.lit(" 50 49  0  0  0  0  0  0  0  0999 V2000"))).alias("line_idx", "line"))
-    end = p.select("cid").distinct().select("cid", F.lit(103).cast("long").alias("line_idx"), F.lit("M  END").alias("line"))
+    sizes = p.groupBy("cid").agg(F.count(F.lit(1)).alias("n"), F.count_if(i < 49).alias("m"))
+    bonds = p.where(i < 49).join(sizes, "cid").select("cid", (i + F.col("n") + 4).alias("line_idx"), F.concat(F.format_string("%3d%3d%3d", i + 1, i + 2, i % 3 + 1), F.lit("  0  0  0  0")).alias("line"))
+    counts = F.format_string("%3d%3d  0  0  0  0  0  0  0  0999 V2000", "n", "m")
+    head = sizes.select("cid", F.posexplode(F.array(F.lit(""), F.lit("  own"), F.lit(""), counts)).alias("line_idx", "line"))
+    end = sizes.select("cid", (F.col("n") + F.col("m") + 4).alias("line_idx"), F.lit("M  END").alias("line"))
     return atoms.unionByName(bonds).unionByName(head.withColumn("line_idx", F.col("line_idx").cast("long"))).unionByName(end)
 
 
