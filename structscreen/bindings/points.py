@@ -530,8 +530,11 @@ def _chi_sql() -> str:
 
 @query("side_chain_dihedrals", _chi_sql())
 def side_chain_dihedrals(t: Tables):
+    """Without the mask column, a masked angle is null; a chi with one last atom has the alternative 0."""
     out = bb.chi_angles(_side_chain_atoms(t))
-    return out.select("structure_id", "resid", "chi", *[F.round(c, 5).alias(c) for c in ("angle", "alt_angle")])
+    two = F.concat_ws(" ", "resname", "chi").isin(*[f"{res} {chi}" for res, (chi, _) in k.CHI_ALTERNATIVE.items()])
+    shown = {"angle": F.col("mask") == 1, "alt_angle": (F.col("mask") == 1) | ~two}
+    return out.select("structure_id", "resid", "chi", *[F.when(ok, F.round(c, 5)).alias(c) for c, ok in shown.items()])
 
 
 @query("rotate_side_chains", f"""WITH {POINTS} SELECT count(*) AS angles, 0 AS wrong FROM (SELECT 1 FROM pts WHERE (idx//10)%5 = 0 AND idx%10=0 UNION ALL SELECT 1 FROM pts WHERE (idx//10)%5 = 1 AND idx%10=0 UNION ALL SELECT 1 FROM pts WHERE (idx//10)%5 IN (2,3) AND idx%10=0)""")

@@ -43,19 +43,16 @@ def backbone_dihedrals(backbone: DataFrame, by=("structure_id",), *, index="pos"
     return out.drop("__b", "__next", "__prev")
 
 
-def _chi_places() -> dict[str, list[tuple[int, int, int]]]:
-    """RES_ATOM -> [(chi number, 0 main / 1 alternative, place 0..3)] from the chi paths."""
-    places: dict[str, list[tuple[int, int, int]]] = {}
+def _chi_atoms() -> list[tuple]:
+    """(residue, chi number, names of the four atoms, the same with the alternative last atom) from the chi paths."""
+    rows = []
     for res, path in k.CHI_PATH.items():
         atoms = list(path)
         for chi in range(1, len(atoms) - 2):
-            for place, atom in enumerate(atoms[chi - 1:chi + 3]):
-                places.setdefault(f"{res}_{atom}", []).append((chi, 0, place))
-        if res in k.CHI_ALTERNATIVE:
-            chi, last = k.CHI_ALTERNATIVE[res]
-            for place, atom in enumerate([*atoms[chi - 1:chi + 2], last]):
-                places.setdefault(f"{res}_{atom}", []).append((chi, 1, place))
-    return places
+            four = atoms[chi - 1:chi + 3]
+            other = k.CHI_ALTERNATIVE.get(res)
+            rows.append((res, chi, four, [*four[:3], other[1]] if other and other[0] == chi else None))
+    return rows
 
 
 def chi_angles(atoms: DataFrame, residue=RESIDUE) -> DataFrame:
@@ -63,17 +60,16 @@ def chi_angles(atoms: DataFrame, residue=RESIDUE) -> DataFrame:
 
     Angles are in [0, 2 pi).  For residues with two equivalent last atoms the larger angle
     is ``angle`` and the smaller one ``alt_angle``; both are needed or the chi is masked.
-    Each atom row goes to the angles it takes part in, and one grouped pass puts the four
-    points of an angle side by side.
+    Every chi of a residue has its row, masked where atoms are missing.  Each atom row goes to the
+    angles of its residue, and one grouped pass puts the four points of an angle side by side.
     """
     keys = [*residue, "resname"]
-    flat = [(*name.split("_"), *use) for name, uses in _chi_places().items() for use in uses]
-    table = atoms.sparkSession.createDataFrame(flat, "__r string, __n string, chi int, __alt int, __p int")
-    uses = (F.col("resname") == F.col("__r")) & (F.col("atom_name") == F.col("__n"))
-    rows = atoms.where("hetero = ' '").join(F.broadcast(table), uses)  # a fixed table of some hundred rows
-    rows = rows.select(*keys, *XYZ, "chi", "__alt", "__p")
+    table = atoms.sparkSession.createDataFrame(_chi_atoms(), "__r string, chi int, __0 array<string>, __1 array<string>")
+    rows = atoms.where("hetero = ' '").join(F.broadcast(table), F.col("resname") == F.col("__r"))  # a fixed table of some dozen rows
+    # the place of the atom in the angle, null or 0 if it has none
+    rows = rows.select(*keys, *XYZ, "chi", *[F.array_position(f"__{a}", F.col("atom_name")).alias(f"__at{a}") for a in (0, 1)])
     points = rows.groupBy(*keys, "chi").agg(*[
-        F.max(F.when((F.col("__alt") == a) & (F.col("__p") == p), F.col(c))).alias(f"__{a}{p}_{c}")
+        F.max(F.when(F.col(f"__at{a}") == p + 1, F.col(c))).alias(f"__{a}{p}_{c}")
         for a in (0, 1) for p in range(4) for c in XYZ
     ])
 
