@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -114,14 +116,17 @@ class Tables:
 
     def aligned(self) -> DataFrame:
         """(doc_id, ref_aln, mod_aln) by the rules of the SQL form."""
-        chars = F.filter(F.split("sequence", ""), lambda s: s != "")
-
-        def ref(c, i):
-            return F.when((i % 11 == 5) & (i % 7 != 3), F.lit("-")).otherwise(c)
-
-        def mod(c, i):
-            return F.when(i % 7 == 3, F.lit("-")).when(i % 13 == 2, F.lit("X")).otherwise(c)
-
-        return self.seqs().where("sequence <> ''").select(
-            "doc_id", "sequence", F.array_join(F.transform(chars, ref), "").alias("ref_aln"), F.array_join(F.transform(chars, mod), "").alias("mod_aln")
-        )
+        @F.arrow_udf("struct<ref_aln: string, mod_aln: string>")
+        def sides(texts: pa.Array) -> pa.Array:
+            refs, mods = [], []
+            for t in texts.to_pylist():  # letters A-Z only
+                ref, mod = (np.frombuffer(bytearray(t, "ascii"), dtype=np.uint8) for _ in range(2))
+                i = np.arange(len(ref))
+                ref[(i % 11 == 5) & (i % 7 != 3)] = ord("-")
+                mod[i % 13 == 2] = ord("X")
+                mod[i % 7 == 3] = ord("-")
+                refs.append(ref.tobytes().decode())
+                mods.append(mod.tobytes().decode())
+            return pa.StructArray.from_arrays([pa.array(refs, pa.string()), pa.array(mods, pa.string())], ["ref_aln", "mod_aln"])
+
+        return self.seqs().where("sequence <> ''").select("doc_id", "sequence", sides("sequence").alias("s")).select("doc_id", "sequence", "s.*")

@@ -19,6 +19,21 @@ def chars(text) -> Column:
     return F.filter(F.split(c, ""), lambda s: s != "")
 
 
+def code_points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le"), dtype="<u4")
+
+
+def text_of(points: np.ndarray) -> str:
+    return points.tobytes().decode("utf-32-le")
+
+
+def lists(values: pa.Array, sizes: list[int | None]) -> pa.Array:
+    """A list column from its entries and the length of each row, null for a null row."""
+    ends = np.cumsum([n or 0 for n in sizes], dtype=np.int32)
+    offsets = pa.array(np.concatenate([[0], ends]).astype(np.int32), mask=np.array([n is None for n in sizes] + [False]))
+    return pa.ListArray.from_arrays(offsets, values)
+
+
 _MAX_CELLS = 2_000_000
 
 
@@ -134,6 +149,53 @@ def drop_short_runs(df: DataFrame, by=("id",), idx="idx") -> DataFrame:
     return numbered.join(keep, [*by, "__run"], "left_semi").drop("__n", "__next", "__run")
 
 
+def kept_runs(text, dropped: str) -> Column:
+    """``drop_short_runs`` for a structure in one row: (start, length) of the runs that stay.
+
+    The index is the place in the text, and the characters of ``dropped`` are its breaks.
+    """
+    breaks = code_points(dropped)
+    fields = T.StructType([T.StructField("start", T.LongType()), T.StructField("length", T.LongType())])
+
+    @F.arrow_udf(T.ArrayType(fields))
+    def runs(texts: pa.Array) -> pa.Array:
+        sizes, starts, lengths = [], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for t in texts.to_pylist():
+            idx = np.flatnonzero(~np.isin(code_points(t), breaks)) if t else np.zeros(0, np.int64)
+            first = np.flatnonzero(np.diff(idx, prepend=-2) != 1)
+            length = np.diff(first, append=len(idx))
+            keep = length > 3
+            if len(length):
+                keep[0] = length[0] > 4  # the first run counts one less
+                keep[-1] = True
+            sizes.append(None if t is None else int(keep.sum()))
+            starts.append(idx[first[keep]])
+            lengths.append(length[keep])
+        both = pa.StructArray.from_arrays([np.concatenate(starts), np.concatenate(lengths)], ["start", "length"])
+        return lists(both, sizes)
+
+    return runs(text)
+
+
+def trusted_window_of(ref, mod, n=10) -> Column:
+    """``trusted_window`` for an alignment in one row: struct (start_idx, end_idx), -1 if there is none."""
+    @F.arrow_udf(T.StructType([T.StructField("start_idx", T.LongType()), T.StructField("end_idx", T.LongType())]))
+    def window(refs: pa.Array, mods: pa.Array) -> pa.Array:
+        found = []
+        for r, m in zip(refs.to_pylist(), mods.to_pylist()):
+            r, m = code_points(r or ""), code_points(m or "")
+            if len(r) != len(m):
+                raise ValueError("aligned strings differ in length")
+            edge = np.diff((r == m).astype(np.int8), prepend=0, append=0)
+            start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+            long = end - start >= n
+            found.append((start[long][0], end[long][-1]) if long.any() else (-1, -1))
+        pairs = np.array(found, dtype=np.int64).reshape(-1, 2)
+        return pa.StructArray.from_arrays([pairs[:, 0], pairs[:, 1]], ["start_idx", "end_idx"])
+
+    return window(ref, mod)
+
+
 def trusted_window(columns: DataFrame, by=("id",), n=10) -> DataFrame:
     """Start of the first and end of the last stretch of ``n`` equal columns, -1 if none."""
     by = list(by)
@@ -159,12 +221,48 @@ def gap_bounds(text: str) -> dict[str, Column]:
 
 
 def drop_ref_gaps(df: DataFrame, ref="ref_aln", mod="mod_aln") -> DataFrame:
-    """Remove the columns where the reference has a gap; row-local."""
-    pairs = F.filter(F.arrays_zip(chars(ref).alias("r"), chars(mod).alias("m")), lambda p: p["r"] != "-")
-    return df.withColumn("__p", pairs).withColumns({
-        ref: F.array_join(F.transform("__p", lambda p: p["r"]), ""),
-        mod: F.array_join(F.transform("__p", lambda p: p["m"]), ""),
-    }).drop("__p")
+    """Remove the columns where the reference has a gap; row-local, on whole Arrow batches."""
+    @F.arrow_udf(T.StructType([T.StructField("r", T.StringType()), T.StructField("m", T.StringType())]))
+    def without(refs: pa.Array, mods: pa.Array) -> pa.Array:
+        out = []
+        for r, m in zip(refs.to_pylist(), mods.to_pylist()):
+            if r is None or m is None:
+                out.append((None, None))
+                continue
+            r = code_points(r)
+            m = code_points(m)[:len(r)]
+            there = r != 45
+            out.append((text_of(r[there]), text_of(m[there[:len(m)]])))
+        return pa.StructArray.from_arrays([pa.array([p[i] for p in out], pa.string()) for i in (0, 1)], ["r", "m"])
+
+    return df.withColumn("__p", without(ref, mod)).withColumns({ref: F.col("__p")["r"], mod: F.col("__p")["m"]}).drop("__p")
+
+
+def fill_gaps_in(reference, model) -> Column:
+    """``fill_gaps`` for one coordinate of a structure in one row: arrays by place, null where the model lacks a residue."""
+    @F.arrow_udf(T.ArrayType(T.DoubleType()))
+    def fill(xs: pa.Array, ms: pa.Array) -> pa.Array:
+        sizes, out = [], [pa.array([], pa.float64())]
+        for x, m in zip(xs, ms):
+            if not (x.is_valid and m.is_valid):
+                sizes.append(None)
+                continue
+            x, m = x.values.to_numpy(zero_copy_only=False), m.values
+            there = m.is_valid().to_numpy(zero_copy_only=False)
+            m = m.to_numpy(zero_copy_only=False).copy()
+            ends, i = np.flatnonzero(there), np.flatnonzero(~there)
+            after = np.searchsorted(ends, i)
+            inside = (after > 0) & (after < len(ends))
+            i, after = i[inside], after[inside]
+            head, tail = ends[after - 1], ends[after]
+            decay = 1.0 - (i - head) / (tail - head)
+            m[i] = x[i] + (m[head] - x[head]) * decay + (m[tail] - x[tail]) * (1 - decay)
+            there[i] = True
+            sizes.append(len(m))
+            out.append(pa.array(m, mask=~there))
+        return lists(pa.concat_arrays(out), sizes)
+
+    return fill(reference, model)
 
 
 def fill_gaps(residues: DataFrame, by=("structure_id",), *, idx="ref_idx") -> DataFrame:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from structscreen import constants as k
 from structscreen.functions.text import one_letter
+from structscreen.operators.align import code_points, lists
 from structscreen.plans.checks import must_be_empty
 from structscreen.plans.skew import attach, over_groups
 
@@ -121,6 +124,26 @@ def apply_gap_mask(residues: DataFrame, masks: DataFrame, by=STRUCTURE, *, index
     return residues.join(kept, [*by, index], "left_semi")
 
 
+def gap_mask_kept(residues, mask) -> Column:
+    """``apply_gap_mask`` for a structure in one row: the residues of the array whose mask character is '0'."""
+    @F.arrow_udf(T.ArrayType(T.LongType()))
+    def keep(ids: pa.Array, masks: pa.Array) -> pa.Array:
+        sizes, out = [], [pa.array([], pa.int64())]
+        for i, m in zip(ids, masks.to_pylist()):
+            if not i.is_valid or m is None:
+                sizes.append(None)
+                continue
+            zero = code_points(m) == 48
+            if len(zero) != len(i.values):
+                raise ValueError("gap mask and structure differ in length")
+            kept = i.values.filter(pa.array(zero))
+            sizes.append(len(kept))
+            out.append(kept)
+        return lists(pa.concat_arrays(out), sizes)
+
+    return keep(residues, mask)
+
+
 def keep_residues(atoms: DataFrame, ids: DataFrame, keys=("chain", "resid", "insertion"), by=STRUCTURE) -> DataFrame:
     """Atoms of the listed residues; ids of one structure say nothing about another."""
     return attach(atoms, ids.select(*by, *keys).distinct(), [*by, *keys], "left_semi")
