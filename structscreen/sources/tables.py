@@ -75,8 +75,7 @@ def read_stats(spark: SparkSession, path) -> DataFrame:
 
 
 # ------------------------------------------------------------------ pose file names
-_CONFIDENT = r"^rank(\d+)_([^_]*)_lddt([-\d.]+)_affinity([-\d.]+)_confidence([-\d.]+)\.(sdf|pdb)$"
-_PLAIN = r"^rank(\d+)_([^_]*)_lddt([-\d.]+)_affinity([-\d.]+)\.(sdf|pdb)$"
+_FULL = r"^rank(\d+)_([^_]*)_lddt([-\d.]+)_affinity([-\d.]+)(?:_confidence([-\d.]+))?\.(?:sdf|pdb)$\R?"
 _RANKED = r"^rank(\d+)_confidence([-\d.]+)\.sdf$"
 
 
@@ -86,27 +85,34 @@ def parse_pose_filenames(files: DataFrame, name: str = "file_name", ranked: bool
     ``ranked`` selects the form that carries only a rank and a confidence.
     """
     c = F.col(name)
-    skipped = (c == "rank1.sdf") | F.contains(c, F.lit("_relaxed.")) | F.contains(c, F.lit("_step"))
-    kept = files.where(~skipped)
+
+    def skipped(n):
+        return (n == "rank1.sdf") | F.contains(n, F.lit("_relaxed.")) | F.contains(n, F.lit("_step"))
 
     def part(pattern, group, kind):
         return F.nullif(F.regexp_extract(c, pattern, group), F.lit("")).try_cast(kind)
 
     if ranked:
-        return kept.where(c.rlike(_RANKED)).withColumns({
+        return files.where(~skipped(c) & c.rlike(_RANKED)).withColumns({
             "rank": part(_RANKED, 1, "int"), "role": F.lit("ligand"), "lddt": F.lit(None).cast("double"),
             "affinity": F.lit(None).cast("double"), "confidence": part(_RANKED, 2, "double"),
         })
-    full = c.rlike(_CONFIDENT)
-
-    def either(group, kind):
-        return F.when(full, part(_CONFIDENT, group, kind)).otherwise(part(_PLAIN, group, kind))
-
-    return kept.where(full | c.rlike(_PLAIN)).withColumns({
-        "rank": either(1, "int"), "role": either(2, "string"), "lddt": either(3, "double"),
-        "affinity": either(4, "double"),
-        "confidence": F.when(full, part(_CONFIDENT, 5, "double")).otherwise(F.lit(0.0)),
-    })
+    # One match per name: no part holds an underscore.  The name is held in a lambda variable, so that an expression
+    # behind it is computed once and not for every use.
+    def parts(n):
+        told = F.transform(F.array(F.regexp_replace(n, _FULL, "/$1_$2_$3_$4_$5")), lambda r: F.when(r != n, F.split(r, "_")))[0]
+        return F.when(~skipped(n), told)
+
+    told = F.filter(F.transform(F.array(c), parts), lambda p: p.isNotNull())
+    matched = files.select("*", F.explode(told).alias("__parts"))  # a filter would compute the parts once more
+
+    def nth(i, kind):
+        return F.nullif(F.ltrim(F.col("__parts")[i], F.lit("/")) if i == 0 else F.col("__parts")[i], F.lit("")).try_cast(kind)
+
+    return matched.withColumns({
+        "rank": nth(0, "int"), "role": nth(1, "string"), "lddt": nth(2, "double"), "affinity": nth(3, "double"),
+        "confidence": F.when(F.col("__parts")[4] == "", F.lit(0.0)).otherwise(nth(4, "double")),
+    }).drop("__parts")
 
 
 def list_pose_files(spark: SparkSession, root: str) -> DataFrame:
