@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from uuid import uuid4
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from structscreen.bindings.core import POSES, Tables, query
@@ -247,15 +248,13 @@ def rejected_complexes(t: Tables):
 
 # ------------------------------------------------------------------- user functions
 def _score(pdf):
-    out = pdf[["o_orderkey", "sample_no"]].copy()
-    out["lddt"] = (pdf["o_orderkey"] % 97) / 97.0
-    out["affinity"] = pdf["o_totalprice"] / 10000.0 + pdf["sample_no"]
-    return out
+    key, no, price = (pdf[c].to_numpy() for c in ("o_orderkey", "sample_no", "o_totalprice"))
+    return pd.DataFrame({"o_orderkey": key, "sample_no": no, "lddt": (key % 97) / 97.0, "affinity": price / 10000.0 + no})
 
 
 @query("score_complexes", "SELECT o_orderkey, s::INTEGER AS sample_no, round((o_orderkey % 97)/97.0::DOUBLE,6) AS lddt, round(o_totalprice/10000+s,6) AS affinity FROM orders, range(1,4) r(s)")
 def score_complexes(t: Tables):
-    return rt.score_complexes(t.orders.select("o_orderkey", "o_totalprice"), _score, "o_orderkey long, sample_no int, lddt double, affinity double", samples=3)
+    return rt.score_complexes(t.dealt(t.orders.select("o_orderkey", "o_totalprice"), "o_orderkey"), _score, "o_orderkey long, sample_no int, lddt double, affinity double", samples=3)
 
 
 def _fragile(row):

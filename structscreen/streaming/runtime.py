@@ -17,7 +17,8 @@ def score_complexes(df: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], s
 
     ``fn`` gets a pandas frame of at most ``batch_size`` rows with an added ``sample_no``
     and returns rows of ``schema``.  Samples are spread over tasks, so a complex with many
-    samples does not stay in one task.
+    samples does not stay in one task.  The frames that ``fn`` returns travel back together, those of
+    one Arrow batch in one.
     """
     jobs = df.withColumn("sample_no", F.explode(F.sequence(F.lit(1), F.lit(samples))))
     if partitions:
@@ -25,8 +26,8 @@ def score_complexes(df: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], s
 
     def run(batches):
         for pdf in batches:
-            for i in range(0, len(pdf), batch_size):
-                yield fn(pdf.iloc[i:i + batch_size])
+            if len(pdf):
+                yield pd.concat([fn(pdf.iloc[i:i + batch_size]) for i in range(0, len(pdf), batch_size)], ignore_index=True)
 
     return jobs.mapInPandas(run, schema)
 
