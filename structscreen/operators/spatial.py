@@ -47,6 +47,21 @@ def _spread_cubes(df: DataFrame, xyz, side: Column, offsets, origin=None) -> Dat
     return copies.withColumn("__cube", _cube(xyz, side, origin, F.col("__step"))).drop("__step")
 
 
+def _within_reach(df: DataFrame, xyz, radius: Column, side: Column, offsets) -> DataFrame:
+    """``_spread_cubes`` to the neighbours that a point's radius reaches; a little more than the radius, for rounding."""
+    def sides(c):
+        at, reach = F.floor(F.col(c) / side), radius * (1 + 1e-9) + F.abs(F.col(c)) * 1e-12
+        return F.struct((F.floor((F.col(c) - reach) / side) < at).alias("low"), (F.floor((F.col(c) + reach) / side) > at).alias("high"))
+
+    near = df.withColumns({f"__s{n}": sides(c) for n, c in enumerate(xyz)})
+    steps = F.array(*[F.array(*[F.lit(i) for i in o]) for o in offsets])  # a constant
+    copies = near.select("*", F.posexplode(steps).alias("__o", "__step"))
+    for n in range(len(xyz)):
+        step = F.col("__step")[n]
+        copies = copies.where((step == 0) | ((step < 0) & F.col(f"__s{n}.low")) | ((step > 0) & F.col(f"__s{n}.high")))
+    return copies.withColumn("__cube", _cube(xyz, side, None, F.col("__step"))).drop("__step", *[f"__s{n}" for n in range(len(xyz))])
+
+
 def radius_join(
     a: DataFrame, b: DataFrame, radius, by=(), *, a_cols=(), b_cols=(), xyz=XYZ,
     strict=True, prefixes=("a_", "b_"),
@@ -85,18 +100,21 @@ def radius_join(
 
 def radius_pairs(
     points: DataFrame, radius, by=(), *, id_col: str, cols=(), xyz=XYZ, strict=True,
-    prefixes=("a_", "b_"),
+    prefixes=("a_", "b_"), side: float = 1.0,
 ) -> DataFrame:
     """Unordered self pairs (a id < b id) of a group with distance below ``radius``.
 
     Only half of the neighbouring cubes are visited; a pair from two cubes is turned
-    afterwards so that the smaller id stands first.
+    afterwards so that the smaller id stands first.  ``side`` is the side of a cube in radii, one or more: a
+    point is copied only to the cubes that its radius reaches, so thin points travel far less with larger
+    cubes (at 4 about 2 copies in place of 14) and measure more candidates.
     """
     by, pa, pb = list(by), *prefixes
     r = F.lit(float(radius))
     cols = list(dict.fromkeys([id_col, *cols, *xyz]))
-    left = points.select(*by, _cube(xyz, r).alias("__cube"), *[F.col(c).alias(f"__l_{c}") for c in cols])
-    right = _spread_cubes(points.select(*dict.fromkeys([*by, *cols])), xyz, r, _HALF).select(
+    width = F.lit(float(radius) * side)
+    left = points.select(*by, _cube(xyz, width).alias("__cube"), *[F.col(c).alias(f"__l_{c}") for c in cols])
+    right = _within_reach(points.select(*dict.fromkeys([*by, *cols])), xyz, r, width, _HALF).select(
         *by, "__cube", "__o", *[F.col(c).alias(f"__q_{c}") for c in cols]
     )
     lid, qid = F.col(f"__l_{id_col}"), F.col(f"__q_{id_col}")
