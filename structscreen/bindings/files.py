@@ -21,10 +21,11 @@ def _folder(t: Tables, name: str) -> str:
     return f"{checkpoint_folder(t.spark)}/{name}-{uuid4().hex}"
 
 
-def _write_lines(lines: DataFrame, by: str, path: str) -> None:
-    """Numbered lines as one text folder per value of ``by``."""
+def _write_lines(lines: DataFrame, by: str, path: str, parts: bool = False) -> None:
+    """Numbered lines as one text folder per value of ``by``: one file, or with ``parts`` as many as tasks sort it."""
     kept = lines.select(by, "line_idx", F.col("line").alias("value"))
-    kept.repartition(by).sortWithinPartitions(by, "line_idx").select(by, "value").write.partitionBy(by).text(path)
+    dealt = kept.repartitionByRange(by, "line_idx") if parts else kept.repartition(by)
+    dealt.sortWithinPartitions(by, "line_idx").select(by, "value").write.partitionBy(by).text(path)
 
 
 def _number_in(name: str) -> str:
@@ -101,9 +102,9 @@ def fasta_files(t: Tables):
 
 @query("line_files", """SELECT (l_suppkey % 5)::VARCHAR AS file_no, row_number() OVER (PARTITION BY l_suppkey % 5 ORDER BY l_orderkey, l_linenumber) - 1 AS line_idx, l_orderkey || ' ' || l_linenumber AS line FROM lineitem""")
 def line_files(t: Tables):
-    """Line numbers of files that are read in several splits."""
+    """Line numbers of texts in several files that are read in several splits."""
     folder = _folder(t, "lines")
     rows = t.lineitem.select((F.col("l_suppkey") % 5).alias("no"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("line_idx"), F.concat_ws(" ", "l_orderkey", "l_linenumber").alias("line"))
-    _write_lines(rows, "no", folder)
-    back = li.with_line_idx(t.spark, f"{folder}/no=*")
+    _write_lines(rows, "no", folder, parts=True)
+    back = li.with_line_idx(t.spark, f"{folder}/no=*", folders=True)
     return back.select(li.id_of(F.col("file"), _number_in("no")).alias("file_no"), "line_idx", "line")

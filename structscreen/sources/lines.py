@@ -28,28 +28,32 @@ def id_of(file: Column, pattern: str | None = None) -> Column:
     return file if pattern is None else F.regexp_extract(file, pattern, 1)
 
 
-def numbered_pieces(spark: SparkSession, paths, separator: str) -> DataFrame:
+def numbered_pieces(spark: SparkSession, paths, separator: str, folders: bool = False) -> DataFrame:
     """(file, n, value): pieces between separators, numbered from 0 in file order.
 
+    With ``folders`` the files of a folder are one text in the order of their names, as Spark writes
+    a sorted table, and ``file`` is the folder.
+
     Files stay splittable and nothing leaves the JVM.  A piece's number in its split comes
     from the running row id; the pieces of earlier splits are added from a table of one row
     per split, so no key holds more than one split.
     """
     raw = spark.read.option("lineSep", separator).text(paths).select(
-        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("__b"),
+        F.col("_metadata.file_path").alias("__path"), F.col("_metadata.file_block_start").alias("__b"),
         F.monotonically_increasing_id().alias("__m"), "value",
     )
-    splits = raw.groupBy("file", "__b").agg(F.min("__m").alias("__first"), F.count(F.lit(1)).alias("__rows"))
-    before = Window.partitionBy("file").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    splits = raw.groupBy("__path", "__b").agg(F.min("__m").alias("__first"), F.count(F.lit(1)).alias("__rows"))
+    splits = splits.withColumn("file", F.regexp_extract("__path", r"^(.*/)", 1) if folders else F.col("__path"))
+    before = Window.partitionBy("file").orderBy("__path", "__b").rowsBetween(Window.unboundedPreceding, -1)
     shift = F.coalesce(F.sum("__rows").over(before), F.lit(0)) - F.col("__first")
-    starts = splits.select(F.col("file").alias("__f"), F.col("__b").alias("__s"), shift.alias("__shift"))
-    at = (F.col("file") == F.col("__f")) & (F.col("__b") == F.col("__s"))
+    starts = splits.select("file", F.col("__path").alias("__f"), F.col("__b").alias("__s"), shift.alias("__shift"))
+    at = (F.col("__path") == F.col("__f")) & (F.col("__b") == F.col("__s"))
     return raw.join(starts, at).select("file", (F.col("__m") + F.col("__shift")).alias("n"), "value")
 
 
-def with_line_idx(spark: SparkSession, paths) -> DataFrame:
-    """Numbered lines per file: (file, line_idx, line)."""
-    return numbered_pieces(spark, paths, "\n").select("file", F.col("n").alias("line_idx"), F.regexp_replace("value", "\r$", "").alias("line"))
+def with_line_idx(spark: SparkSession, paths, folders: bool = False) -> DataFrame:
+    """Numbered lines per file, or per folder of files in the order of their names: (file, line_idx, line)."""
+    return numbered_pieces(spark, paths, "\n", folders).select("file", F.col("n").alias("line_idx"), F.regexp_replace("value", "\r$", "").alias("line"))
 
 
 def read_ids(spark: SparkSession, path, limit: int | None = None) -> DataFrame:
