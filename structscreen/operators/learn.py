@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml import Pipeline
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import PCA
@@ -12,6 +13,7 @@ from pyspark.ml.regression import RandomForestRegressor
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from structscreen.operators.metrics import spearman
 from structscreen.plans.skew import attach
@@ -31,14 +33,37 @@ def apply_pca(model, df: DataFrame, vec="vec", out="components") -> DataFrame:
     return moved.withColumn(out, vector_to_array("components")) if out == "components" else moved.withColumn(out, vector_to_array("components")).drop("components")
 
 
-def _distance(p: int):
-    @F.pandas_udf("double")
-    def distance(a: pd.Series, b: pd.Series) -> pd.Series:
-        if len(a) == 0:
-            return pd.Series([], dtype="float64")
-        d = np.abs(np.vstack(a.to_numpy()) - np.vstack(b.to_numpy()))
-        return pd.Series(d.sum(axis=1) if p == 1 else np.sqrt((d * d).sum(axis=1)))
-    return distance
+_CELLS = 4_000_000
+
+
+def _nearest_in(x: np.ndarray, y: np.ndarray, order: np.ndarray, k: int, p: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of x, row of y, distance) of the k nearest rows of y for each row of x, ties by ``order``.
+
+    A matrix product picks the candidates with room for its rounding; what is returned is measured on the
+    vectors themselves.
+    """
+    step = max(1, _CELLS // max(len(y), 1))
+    y2, found = (y * y).sum(axis=1), []
+    for first in range(0, len(x), step):
+        part = x[first:first + step]
+        if p == 1:
+            rough = np.zeros((len(part), len(y)))
+            for c in range(x.shape[1]):
+                rough += np.abs(part[:, c, None] - y[:, c])
+            room = 1e-9 * rough
+        else:
+            x2 = (part * part).sum(axis=1)[:, None]
+            rough = x2 + y2 - 2.0 * (part @ y.T)
+            room = 1e-9 * (x2 + y2.max()) + np.zeros_like(rough)
+        last = np.partition(rough, k - 1, axis=1)[:, k - 1:k] if k < len(y) else rough.max(axis=1, keepdims=True)
+        near = rough <= last + room
+        for row in range(len(part)):
+            at = np.flatnonzero(near[row])
+            d = np.abs(part[row] - y[at])
+            d = d.sum(axis=1) if p == 1 else np.sqrt((d * d).sum(axis=1))
+            best = np.lexsort((order[at], d))[:k]
+            found.append((np.full(len(best), first + row), at[best], d[best]))
+    return tuple(np.concatenate(c) for c in zip(*found))
 
 
 def knn_vectors(queries: DataFrame, points: DataFrame, k: int, *, q_id="q_id", p_id="p_id", vec="vec", p=2, pivots=64, block=20_000) -> DataFrame:
@@ -47,10 +72,10 @@ def knn_vectors(queries: DataFrame, points: DataFrame, k: int, *, q_id="q_id", p
     Points go to the nearest of a fixed number of pivots (at most ``pivots`` rows, the only
     thing sent to every task).  With the radius of each pivot's cell the triangle inequality bounds
     the k-th distance of a query from above and each cell from below, and only cells that
-    can hold a neighbour are visited.  A crowded cell is cut into blocks, each visited on
-    its own, so no join key stays hot.
+    can hold a neighbour are visited.  Cells are cut into blocks of points and queries into chunks; each pair
+    of them is one small matrix product in a task, which gives back ``k`` points per query.  In many
+    dimensions nearly all pairs are measured, but none of them is a row.
     """
-    dist = _distance(p)
     order = F.xxhash64(F.col(p_id).cast("string"))
     rows = points.select(F.col(vec).alias("v"), order.alias("o"), F.col(p_id).alias("t")).orderBy("o", "t").limit(pivots).collect()
     places = np.array([list(r["v"]) for r in rows], dtype=float)  # at most ``pivots`` vectors
@@ -81,14 +106,30 @@ def knn_vectors(queries: DataFrame, points: DataFrame, k: int, *, q_id="q_id", p
     q = q.withColumn("__cum", F.sum("__n").over(w))
     q = q.withColumn("__bound", F.min(F.when(F.col("__cum") >= k, F.col("__high"))).over(Window.partitionBy(q_id)))
     visits = q.where(F.col("__bound").isNull() | (F.col("__low") <= F.col("__bound")))
-    visits = visits.select(q_id, F.col(vec).alias("__qv"), "__cell", "__bound", F.explode(F.sequence(F.lit(0), F.col("__blocks") - 1)).alias("__block"))
-    blocked = attach(cells, stats.select("__cell", "__blocks"), ["__cell"], "inner", small=True).withColumn(
-        "__block", F.pmod(F.xxhash64(F.col(p_id).cast("string")), F.col("__blocks"))
+    chunks = queries.agg(F.greatest(F.ceil(F.count(F.lit(1)) / block), F.lit(1)).alias("__chunks"))
+    visits = attach(visits, chunks, []).select(
+        q_id, F.col(vec).cast("array<double>").alias("v"), "__cell", F.explode(F.sequence(F.lit(0), F.col("__blocks") - 1)).alias("__block"),
+        F.pmod(F.xxhash64(F.col(q_id).cast("string")), F.col("__chunks")).alias("__chunk"),
+    )
+    blocked = attach(attach(cells, stats.select("__cell", "__blocks"), ["__cell"], "inner", small=True), chunks, []).select(
+        p_id, F.col(vec).cast("array<double>").alias("v"), "__cell", F.pmod(F.xxhash64(F.col(p_id).cast("string")), F.col("__blocks")).alias("__block"),
+        F.explode(F.sequence(F.lit(0), F.col("__chunks") - 1)).alias("__chunk"),
     )
-    pairs = visits.join(blocked.select(p_id, vec, "__cell", "__block"), ["__cell", "__block"], "inner")
-    pairs = pairs.withColumn("distance", dist(F.col("__qv"), F.col(vec)))
+    schema = T.StructType([queries.schema[q_id], points.schema[p_id], T.StructField("distance", T.DoubleType())])
+
+    def measure(left: pa.Table, right: pa.Table) -> pa.Table:
+        if left.num_rows and right.num_rows:
+            x, y = (t["v"].combine_chunks().flatten().to_numpy().reshape(t.num_rows, -1) for t in (left, right))
+            order = np.unique(right[p_id].to_numpy(), return_inverse=True)[1]
+            i, j, d = _nearest_in(x, y, order, k, p)
+        else:
+            i, j, d = (np.zeros(0, t) for t in ("int64", "int64", "float64"))
+        return pa.table({q_id: left[q_id].take(pa.array(i)), p_id: right[p_id].take(pa.array(j)), "distance": d})
+
+    key = ["__cell", "__block", "__chunk"]
+    pairs = visits.groupBy(*key).cogroup(blocked.groupBy(*key)).applyInArrow(measure, schema)
     rank = Window.partitionBy(q_id).orderBy("distance", p_id)
-    return pairs.select(q_id, p_id, "distance").withColumn("neighbor_rank", F.row_number().over(rank)).where(F.col("neighbor_rank") <= k)
+    return pairs.withColumn("neighbor_rank", F.row_number().over(rank)).where(F.col("neighbor_rank") <= k)
 
 
 def knn_regress(train: DataFrame, test: DataFrame, k: int, *, weights="uniform", p=2, id_col="id", vec="vec", target="y") -> DataFrame:
