@@ -6,16 +6,16 @@
 2. Word counts are summed across chunks.  Words below the least count become marks.  Chunks of a language are put
    together to shards of about ``SHARD_WORDS`` words, and each shard is compiled into two FM-indexes over word
    numbers, of the text and of the reversed text; suffixes are ordered to the depth of the longest phrase.  The indexes are
-   written in buckets of shards: no later step moves them.
+   written in buckets of shards, and so are the phrases that a shard holds of a level: no later step moves them.
 3. Level by level, every phrase alive is extended to both sides: its interval of the one BWT holds
    the words before it, its interval of the other those behind it.  A longer phrase is reported
    where the two meet, that is, if both the phrase without its first and that without its last
    word are alive; the extensions keep the two intervals in step.  Counts are summed across shards, those
    below the least count die, and the next level starts from the intervals of those alive.
 
-A phrase is known by the numbers of its prefix and suffix, so counting moves two longs and a count, one row per shard and
-phrase.  The phrases alive are sent to the tasks if they are at most ``SENT_ROWS`` rows of ``SENT_BYTES`` bytes; else they are
-joined by exchange.
+A phrase is known by the numbers of its prefix and suffix, so counting moves two longs and a count per phrase and some shards.
+They are dealt by prefix to parts and travel packed, as do texts and indexes: columns byte by byte, compressed.  The phrases
+alive are sent to the tasks if they are at most ``SENT_ROWS`` rows of ``SENT_BYTES`` bytes; else they are joined by exchange.
 
 Defined cases: a null text is empty; a null language counts as ``und``, with rows of that name;
 rows repeated count again; no other column is read; an empty table has no phrase.  Only a single
@@ -35,14 +35,29 @@ from pyspark.sql import functions as F
 
 from structscreen.llm.common import shared_dir, written
 
-SHARD_WORDS = 400_000
+SHARD_WORDS = 800_000
 SENT_ROWS, SENT_BYTES = 500_000, 32 << 20
 _CHUNK_WORDS, _OPEN_WORDS = 200_000, 600_000  # of one chunk; of all chunks that a task has begun
 _SLICE = 1 << 22
 _ROW = 1 << 16  # phrases in a row of a level's table
+_SUMMED = 1 << 21  # phrases that are summed at once
+_PART_SHARDS = 4  # shards to a part of the phrases that are summed
 _SEPARATORS = bytes.maketrans(b",;:!?\n\x0b\x0c\r", b"." * 9)
 
 
+def _packed(*columns: np.ndarray) -> bytes:
+    """Columns of one length, byte by byte: all first bytes, all second bytes and so on, compressed."""
+    planes = b"".join(np.ascontiguousarray(c).view(np.uint8).reshape(len(c), c.itemsize).T.tobytes() for c in columns)
+    return len(columns[0]).to_bytes(8, "little") + pa.Codec("zstd", 1).compress(planes, asbytes=True)
+
+
+def _unpacked(data: bytes, *kinds: type) -> list[np.ndarray]:
+    n, kinds = int.from_bytes(data[:8], "little"), [np.dtype(k) for k in kinds]
+    planes = np.frombuffer(pa.Codec("zstd").decompress(data[8:], n * sum(k.itemsize for k in kinds)), dtype=np.uint8)
+    starts = np.cumsum([0, *(n * k.itemsize for k in kinds)])
+    return [np.ascontiguousarray(planes[a:b].reshape(k.itemsize, n).T).view(k).reshape(n) for k, a, b in zip(kinds, starts, starts[1:])]
+
+
 class _Chunk(dict):
     """Word numbers from 1, in order of appearance (0: a mark), and the text so far."""
 
@@ -75,7 +90,7 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         text = np.concatenate(chunk.parts)
         counts = np.bincount(text, minlength=len(chunk))[1:]
         made += 1
-        row = {"chunk": (task << 32) + made, "lang": lang, "n_words": int(counts.sum()), "words": list(chunk)[1:], "counts": counts, "text": text.tobytes()}
+        row = {"chunk": (task << 32) + made, "lang": lang, "n_words": int(counts.sum()), "words": list(chunk)[1:], "counts": counts, "text": _packed(text)}
         kinds = [pa.int64(), pa.string(), pa.int64(), pa.list_(pa.binary()), pa.list_(pa.int64()), pa.binary()]
         return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row.values(), kinds)], list(row))
 
@@ -171,7 +186,7 @@ def _relabel(batches: Iterator[pa.RecordBatch], known: dict[str, dict[bytes, int
     """
     for batch in batches:
         for row in range(batch.num_rows):
-            text = np.frombuffer(batch.column("text")[row].as_py(), dtype=np.int32)
+            text, = _unpacked(batch.column("text")[row].as_py(), np.int32)
             if known is None:
                 listed = batch.column("alive")[row].values
                 number, gram = (listed.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (0, 1))
@@ -179,16 +194,19 @@ def _relabel(batches: Iterator[pa.RecordBatch], known: dict[str, dict[bytes, int
                 of = known.get(batch.column("lang")[row].as_py(), {})
                 found = [(k + 1, of[w]) for k, w in enumerate(batch.column("words")[row].as_py()) if w in of]
                 number, gram = np.array(found, dtype=np.int64).reshape(-1, 2).T
+            often = np.argsort(-np.bincount(text, minlength=int(number.max(initial=0)) + 1)[number], kind="stable")
+            number, gram = number[often], gram[often]  # small numbers for frequent words pack better
             table = np.zeros(int(max(text.max(initial=0), number.max(initial=0))) + 1, dtype=np.int32)
             table[number] = np.arange(1, len(number) + 1)
             text = _living(table[text])
             if len(text):
                 yield pa.RecordBatch.from_arrays([
-                    batch.column("shard").slice(row, 1), pa.array([gram], pa.list_(pa.int64())), pa.array([text.tobytes()], pa.binary()),
+                    batch.column("shard").slice(row, 1), pa.array([_packed(gram)], pa.binary()), pa.array([_packed(text)], pa.binary()),
                 ], ["shard", "grams", "text"])
 
 
-_INDEX = "shard string, grams array<long>, forward binary, backward binary"
+_RELABELLED = "shard string, grams binary, text binary"
+_INDEX = "shard string, grams binary, forward binary, backward binary"
 
 
 def _compile(batches: Iterator[pa.RecordBatch], depth: int) -> Iterator[pa.RecordBatch]:
@@ -196,21 +214,24 @@ def _compile(batches: Iterator[pa.RecordBatch], depth: int) -> Iterator[pa.Recor
     held: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
     for batch in batches:
         for row in range(batch.num_rows):
-            grams, text = np.array(batch.column("grams")[row].values), np.frombuffer(batch.column("text")[row].as_py(), dtype=np.int32)
+            grams, text = (_unpacked(batch.column(c)[row].as_py(), k)[0] for c, k in (("grams", np.int64), ("text", np.int32)))
             held.setdefault(batch.column("shard")[row].as_py(), []).append((grams, text))
     for shard in list(held):
         chunks = held.pop(shard)
         grams, place = np.unique(np.concatenate([g for g, _ in chunks]), return_inverse=True)
         starts = np.cumsum([0, *(len(g) for g, _ in chunks)])
         text = np.concatenate([np.concatenate(([0], place[a:b] + 1)).astype(np.int32)[t] for (_, t), a, b in zip(chunks, starts, starts[1:])])
+        often = np.argsort(-np.bincount(text, minlength=len(grams) + 1)[1:], kind="stable")
+        grams, number = grams[often], np.zeros(len(grams) + 1, dtype=np.int32)
+        number[often + 1] = np.arange(1, len(grams) + 1)
+        text = number[text]
         yield pa.RecordBatch.from_arrays([
-            pa.array([shard]), pa.array([grams], pa.list_(pa.int64())),
-            pa.array([Bwt.of(text, depth).tobytes()], pa.binary()), pa.array([Bwt.of(text[::-1], depth).tobytes()], pa.binary()),
+            pa.array([shard]), *(pa.array([_packed(c)], pa.binary()) for c in (grams, Bwt.of(text, depth), Bwt.of(text[::-1], depth))),
         ], ["shard", "grams", "forward", "backward"])
 
 
-_LIVING = "shard string, prefix array<long>, suffix array<long>, n array<int>, low array<int>, back array<int>"
-_PARTS = ("prefix", "suffix", "n", "low", "back")
+_LIVING = "shard string, found binary"
+_PARTS = {"prefix": np.int64, "suffix": np.int64, "n": np.int32, "low": np.int32, "back": np.int32}  # of ``found``, packed
 
 
 class _Alive:
@@ -240,53 +261,130 @@ class _Alive:
         return which, self.gram[place[which]]
 
 
-_LISTED = "shard string, alive array<struct<gram: long, low: int, back: int, n: int>>"
+def _summed(prefix: np.ndarray, suffix: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Counts of equal (prefix, suffix) added up, in order of both."""
+    prefixes, one = np.unique(prefix, return_inverse=True)
+    suffixes, two = np.unique(suffix, return_inverse=True)
+    key = one * len(suffixes) + two
+    order = np.argsort(key)
+    key = key[order]
+    heads = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, dtype=np.int64)
+    total = np.add.reduceat(n[order], heads) if len(key) else n
+    one, two = np.divmod(key[heads], max(1, len(suffixes)))
+    return prefixes[one], suffixes[two], total
+
 
+_COUNTED = (np.int64, np.int64, np.int64)  # prefix, suffix and count, packed
+
+
+def _counted(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
+    """``_LIVING`` rows -> (part, counts): phrases of some shards, dealt by prefix."""
+    held, size = [], 0
+
+    def dealt() -> pa.RecordBatch:
+        prefix, suffix, n = _summed(*(np.concatenate(c) for c in zip(*held)))
+        part = (prefix.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)) % np.uint64(parts)
+        order = np.argsort(part, kind="stable")
+        numbers, heads = np.unique(part[order], return_index=True)
+        packed = [_packed(prefix[at], suffix[at], n[at]) for at in np.split(order, heads[1:])]
+        return pa.RecordBatch.from_arrays([pa.array(numbers.astype(np.int64)), pa.array(packed, pa.binary())], ["part", "counts"])
 
-def _remain(batches: Iterator[pa.RecordBatch], known: _Alive) -> Iterator[pa.RecordBatch]:
-    """``_LIVING`` rows -> ``_LISTED``: those of a row's phrases that ``known`` has, as a list."""
     for batch in batches:
-        for row in range(batch.num_rows):
-            prefix, suffix, n, low, back = (batch.column(c)[row].values.to_numpy(zero_copy_only=False) for c in _PARTS)
-            which, gram = known.find(prefix, suffix)
-            if len(which):
-                kept = pa.StructArray.from_arrays([pa.array(gram), *(pa.array(c[which], pa.int32()) for c in (low, back, n))], ["gram", "low", "back", "n"])
-                yield pa.RecordBatch.from_arrays([batch.column("shard").slice(row, 1), pa.ListArray.from_arrays(pa.array([0, len(which)], pa.int32()), kept)], ["shard", "alive"])
+        for found in batch.column("found").to_pylist():
+            prefix, suffix, n = _unpacked(found, *_PARTS.values())[:3]
+            held.append((prefix, suffix, n.astype(np.int64)))
+            size += len(n)
+            if size >= _SUMMED:
+                yield dealt()
+                held, size = [], 0
+    if size:
+        yield dealt()
+
 
+def _frequent(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    """Rows of ``_counted`` sorted by part -> (prefix, suffix, f) of phrases with at least ``least`` occurrences."""
+    held, size, last, due = [], 0, None, _SUMMED
 
-def _extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def report() -> pa.RecordBatch:
+        prefix, suffix, f = _summed(*(np.concatenate(c) for c in zip(*held)))
+        return pa.RecordBatch.from_arrays([pa.array(c[f >= least]) for c in (prefix, suffix, f)], ["prefix", "suffix", "f"])
+
+    for batch in batches:
+        for part, counts in zip(batch.column("part").to_pylist(), batch.column("counts").to_pylist()):
+            if part != last and held:
+                yield report()
+                held, size, due = [], 0, _SUMMED
+            last = part
+            held.append(_unpacked(counts, *_COUNTED))
+            size += len(held[-1][0])
+            if size >= due:  # what is left of them may be as much again before they are summed anew
+                held = [_summed(*(np.concatenate(c) for c in zip(*held)))]
+                size = len(held[0][0])
+                due = 2 * size + _SUMMED // 2
+    if held:
+        yield report()
+
+
+_EACH = "shard string, prefix long, suffix long, n int, low int, back int"
+
+
+def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``_LIVING`` rows -> a row per phrase."""
+    for batch in batches:
+        for shard, found in zip(batch.column("shard").to_pylist(), batch.column("found").to_pylist()):
+            columns = _unpacked(found, *_PARTS.values())
+            yield pa.RecordBatch.from_arrays([pa.array([shard] * len(columns[0]), pa.string()), *map(pa.array, columns)], ["shard", *_PARTS])
+
+
+def _remain(rows: list[bytes], known: _Alive) -> list[np.ndarray]:
+    """(gram, low, back, n) of the packed phrases that ``known`` has."""
+    kept = []
+    for found in rows:
+        prefix, suffix, n, low, back = _unpacked(found, *_PARTS.values())
+        which, gram = known.find(prefix, suffix)
+        kept.append((gram, *(c[which].astype(np.int64) for c in (low, back, n))))
+    return [np.concatenate(c) for c in zip(*kept)]
+
+
+def _extend(batches: Iterator[pa.RecordBatch], known: _Alive | None = None) -> Iterator[pa.RecordBatch]:
     """Index rows -> ``_LIVING``: the phrases of each shard that are one word longer than those alive.
 
-    On the first level these are all words; later those in the list ``alive`` (gram, low, back, n).
+    On the first level these are all words; later those of the shard's rows ``found`` that ``known`` has, or those in
+    the list ``alive`` (gram, low, back, n).
     """
     for batch in batches:
         for row in range(batch.num_rows):
-            forward, backward = (Bwt(np.frombuffer(batch.column(c)[row].as_py(), dtype=np.int32)) for c in ("forward", "backward"))
+            forward, backward = (Bwt(*_unpacked(batch.column(c)[row].as_py(), np.int32)) for c in ("forward", "backward"))
             if "grams" in batch.schema.names:
-                gram = np.array(batch.column("grams")[row].values)
+                gram, = _unpacked(batch.column("grams")[row].as_py(), np.int64)
                 counts = np.bincount(forward.symbols, minlength=len(gram) + 1)
                 size = counts[1:]
                 low = back = np.cumsum(counts)[:-1]
+            elif known is not None:
+                gram, low, back, size = _remain(batch.column("found")[row].as_py(), known)
             else:
                 alive = batch.column("alive")[row].values
                 gram, low, back, size = (alive.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in ("gram", "low", "back", "n"))
             order = np.argsort(low)
             gram, low, back, size = gram[order], low[order], back[order], size[order]
             prefix, suffix, count, low, back = extensions(forward, backward, low, back, size)
-            found = (gram[prefix], gram[suffix], count, low, back)
+            found = [c.astype(k) for c, k in zip((gram[prefix], gram[suffix], count, low, back), _PARTS.values())]
             for start in range(0, len(count), _ROW):
-                lists = [pa.array([v[start:start + _ROW]], pa.list_(pa.int64() if k < 2 else pa.int32())) for k, v in enumerate(found)]
-                yield pa.RecordBatch.from_arrays([batch.column("shard").slice(row, 1), *lists], ["shard", *_PARTS])
+                rows = pa.array([_packed(*(v[start:start + _ROW] for v in found))], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column("shard").slice(row, 1), rows], ["shard", "found"])
 
 
-def _bucketed(df: DataFrame, buckets: int) -> DataFrame:
-    """``df`` as a table of the shared folder in buckets of shards: joins by shard leave it where it is."""
-    spark, name = df.sparkSession, f"phrases_{uuid.uuid4().hex}"
-    df.write.bucketBy(buckets, "shard").option("path", shared_dir(spark)).format("parquet").saveAsTable(name)
+def _bucketed(df: DataFrame, buckets: int) -> tuple[DataFrame, DataFrame]:
+    """``df`` as a table of the shared folder in buckets of shards: joins by shard leave it where it is.
+
+    Also its plain files, of which a task reads several.
+    """
+    spark, name, path = df.sparkSession, f"phrases_{uuid.uuid4().hex}", shared_dir(df.sparkSession)
+    df.write.bucketBy(buckets, "shard").option("path", path).format("parquet").saveAsTable(name)
     found = spark.table(name)
     found.schema  # noqa: B018 - resolved, so the name can go; its files stay
     spark.sql(f"DROP TABLE {name}")
-    return found
+    return found, spark.read.schema(df.schema).parquet(path)
 
 
 def _few(df: DataFrame, text: str | None = None) -> pa.Table | None:
@@ -304,7 +402,7 @@ def mine(df: DataFrame, text_col: str = "text", lang_col: str = "lang", least: i
     extended >= share * a``: a longer one stands for it.
     """
     docs = df.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.col(text_col).cast("binary").alias("body"))
-    chunks = written(docs.mapInArrow(_chunks, _CHUNKS))
+    chunks = written(docs.mapInArrow(_chunks, _CHUNKS), compression="zstd")
     sizes = written(chunks.groupBy("lang").agg(F.sum("n_words").alias("n")))
     words = chunks.select("lang", F.inline(F.arrays_zip(F.col("words").alias("word"), F.col("counts").alias("n"))))
     frequent = words.groupBy("lang", "word").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
@@ -323,28 +421,29 @@ def mine(df: DataFrame, text_col: str = "text", lang_col: str = "lang", least: i
         known: dict[str, dict[bytes, int]] = {}
         for lang, word, gram in zip(*(few.column(c).to_pylist() for c in ("lang", "word", "gram"))):
             known.setdefault(lang, {})[word] = gram
-        relabelled = dealt.drop("chunk").mapInArrow(lambda b: _relabel(b, known), "shard string, grams array<long>, text binary")
+        relabelled = dealt.drop("chunk").mapInArrow(lambda b: _relabel(b, known), _RELABELLED)
     else:
         at = dealt.select("chunk", F.col("lang").alias("of"), F.posexplode("words").alias("place", "w"))
         listed = at.join(spellings, (F.col("of") == F.col("lang")) & (F.col("w") == F.col("word"))).groupBy("chunk").agg(F.collect_list(F.struct(F.col("place") + 1, "gram")).alias("alive"))
-        relabelled = dealt.drop("words").join(listed, "chunk").select("shard", "lang", "text", "alive").mapInArrow(lambda b: _relabel(b, None), "shard string, grams array<long>, text binary")
+        relabelled = dealt.drop("words").join(listed, "chunk").select("shard", "lang", "text", "alive").mapInArrow(lambda b: _relabel(b, None), _RELABELLED)
     gathered = relabelled.repartition(buckets, "shard")
-    index = _bucketed(gathered.mapInArrow(lambda b: _compile(b, longest), _INDEX), buckets)
-    levels, states = [], index
+    index, _ = _bucketed(gathered.mapInArrow(lambda b: _compile(b, longest), _INDEX), buckets)
+    levels, states, known = [], index, None
+    parts = max(1, buckets // _PART_SHARDS)
     for size in range(2, longest + 1):
         if size > 2:
             few = _few(alive.select("prefix", "suffix", "gram"))
             if few is not None:
-                remain = found.mapInArrow(lambda b, k=_Alive(few): _remain(b, k), _LISTED)
-                listed = remain.groupBy("shard").agg(F.flatten(F.collect_list("alive")).alias("alive"))
+                known = _Alive(few)
+                listed = found.groupBy("shard").agg(F.collect_list("found").alias("found"))
             else:
-                each = found.select("shard", F.inline(F.arrays_zip(*_PARTS)))
-                remain = each.join(alive.select("prefix", "suffix", "gram"), ["prefix", "suffix"])
+                known = None
+                remain = files.mapInArrow(_each, _EACH).join(alive.select("prefix", "suffix", "gram"), ["prefix", "suffix"])
                 listed = remain.groupBy("shard").agg(F.collect_list(F.struct("gram", "low", "back", "n")).alias("alive"))
             states = index.drop("grams").join(listed, "shard")
-        found = written(states.mapInArrow(_extend, _LIVING))
-        each = found.select(F.inline(F.arrays_zip("prefix", "suffix", "n")))
-        sums = each.groupBy("prefix", "suffix").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
+        found, files = _bucketed(states.mapInArrow(lambda b, k=known: _extend(b, k), _LIVING), buckets)
+        counted = files.mapInArrow(lambda b: _counted(b, parts), "part long, counts binary")
+        sums = counted.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(lambda b: _frequent(b, least), "prefix long, suffix long, f long")
         first = alive.select(F.col("gram").alias("prefix"), "lang", F.col("phrase").alias("start"), "heads")
         second = alive.select(F.col("gram").alias("suffix"), F.substring_index("phrase", " ", -1).alias("end"), "tails")
         alive = written(sums.join(first, "prefix").join(second, "suffix").select(

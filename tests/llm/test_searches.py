@@ -193,3 +193,35 @@ def test_signatures_meet_within_their_distance():
                 b.insert(rng.randrange(len(b) + 1), rng.choice("abcxyz"))
             one, two = spelling.signatures([a, "".join(b)], k, n1, n2)
             assert (one == two).any()
+
+
+def test_phrases_stay_with_their_shard(spark, monkeypatch):
+    """A level's phrases meet the index of their shard without an exchange, and travel packed."""
+    plans, keep = [], phrases._bucketed
+    monkeypatch.setattr(phrases, "_bucketed", lambda df, buckets: (plans.append(df._jdf.queryExecution().executedPlan().toString()), keep(df, buckets))[1])
+    rows = [(f"a{i} b c d e f{i % 3}", lang) for i in range(40) for lang in ("en", "fr")]
+    phrases.mine(spark.createDataFrame(rows, "text string, lang string"), least=12)
+    assert len(plans) == 5 and ["hashpartitioning" in p for p in plans] == [True, False, False, False, False]
+
+    rng = np.random.default_rng(3)
+    columns = [np.sort(rng.integers(0, 9, 5000)) << 33, rng.integers(-5, 5, 5000), rng.integers(0, 300, 5000).astype(np.int32)]
+    packed = phrases._packed(*columns)
+    assert len(packed) < sum(c.nbytes for c in columns) / 5
+    assert all(a.dtype == b.dtype and (a == b).all() for a, b in zip(columns, phrases._unpacked(packed, *(c.dtype for c in columns))))
+    assert [len(c) for c in phrases._unpacked(phrases._packed(columns[0][:0]), np.int64)] == [0]
+
+    counts = Counter()
+    for p, s, n in zip(*(c.tolist() for c in columns)):
+        counts[p, s] += n
+    got = phrases._summed(columns[0], columns[1], columns[2].astype(np.int64))
+    assert [((p, s), n) for p, s, n in zip(*(c.tolist() for c in got))] == sorted(counts.items())
+
+
+@pytest.mark.parametrize("summed", [1, 5])
+def test_phrases_summed_in_small_steps(spark, monkeypatch, summed):
+    monkeypatch.setattr(phrases, "_SUMMED", summed)
+    monkeypatch.setattr(phrases, "SHARD_WORDS", 300)
+    monkeypatch.setattr(phrases, "_CHUNK_WORDS", 100)
+    rows = corpus(random.Random(5))
+    got = phrases.mine(spark.createDataFrame(rows, "text string, lang string"), least=12).collect()
+    assert {(r["lang"], r["phrase"]): (r["a"], r["l"], r["r"], r["cut"], r["n"], r["score"]) for r in got} == brute_phrases(rows, 12)
