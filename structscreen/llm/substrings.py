@@ -46,18 +46,8 @@ _REACH = WINDOW - GRAM + 1
 _BLOCK_BYTES = 8 << 20
 _INDEX_WORDS = 400_000
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
-
-
-class _WordHashes(dict):
-    """word -> eight hash bytes; keeps no long words and starts anew when it has grown large."""
-
-    def __missing__(self, word: bytes) -> bytes:
-        found = xxhash.xxh3_64_digest(word)
-        if len(word) <= 128:
-            if len(self) > 500_000:
-                self.clear()
-            self[word] = found
-        return found
+_PIECE, _LONG = 1 << 19, 1 << 12  # bytes hashed at once; longer words are hashed alone
+_BLANK = np.isin(np.arange(256), list(b" \t\n\x0b\x0c\r"))
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -78,19 +68,65 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch,
                 start, size = row + 1, 0
 
 
-def _anchors(texts: list[bytes], hashes: _WordHashes):
-    """Words of all texts, first word of each text, and per window: start, row and anchor."""
-    words: list[bytes] = []
-    counts = np.zeros(len(texts), dtype=np.int64)
-    for row, text in enumerate(texts):
-        own = text.split()  # bytes split at exactly the six blanks
-        counts[row] = len(own)
-        words += own
-    first = np.concatenate(([0], np.cumsum(counts)))
+def _powers(x: int) -> np.ndarray:
+    found = np.full(_PIECE + _LONG + 1, x, dtype=np.uint64)
+    found[0] = 1
+    return np.cumprod(found)
+
+
+_UP, _DOWN = _powers(0xD6E8FEB86659FD93), _powers(pow(0xD6E8FEB86659FD93, -1, 1 << 64))
+
+
+def _word_hashes(raw: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A hash of each word ``raw[begin:end]``: its bytes as digits, from sums over the text.
+
+    Words of one hash only share a shard, where they are told apart by their bytes.
+    """
+    found, at = np.empty(len(begin), dtype=np.uint64), 0
+    for stop in [*np.flatnonzero(end - begin > _LONG).tolist(), len(begin)]:
+        while at < stop:
+            to = min(stop, int(np.searchsorted(begin, begin[at] + _PIECE)))
+            here, ends = begin[at:to] - begin[at], end[at:to] - begin[at]
+            sums = np.zeros(ends[-1] + 1, dtype=np.uint64)
+            np.cumsum((raw[begin[at]:end[to - 1]].astype(np.uint64) + np.uint64(1)) * _UP[:ends[-1]], out=sums[1:])
+            found[at:to] = (sums[ends] - sums[here]) * _DOWN[here]
+            at = to
+        if at < len(begin):
+            found[at] = xxhash.xxh3_64_intdigest(raw[begin[at]:end[at]].tobytes())
+            at += 1
+    return _mix(found)
+
+
+class _Words:
+    """The words of some texts, behind each other; ``first`` is the number of each text's first word."""
+
+    def __init__(self, texts: list[bytes]):
+        self.raw = np.frombuffer(b"\n".join([*texts, b""]), dtype=np.uint8)
+        blank = np.concatenate(([True], _BLANK[self.raw]))
+        edges = np.flatnonzero(blank[1:] != blank[:-1])
+        self.begin, self.end = edges[::2], edges[1::2]
+        starts = np.cumsum([0, *(len(t) + 1 for t in texts)])
+        self.first = np.searchsorted(self.begin, starts)
+        # every word with one blank behind it
+        stay = ~(blank[1:] & blank[:-1])
+        self.text = np.where(blank[1:], np.uint8(32), self.raw)[stay].tobytes()
+        self.at = np.concatenate(([0], np.cumsum(self.end - self.begin + 1)))
+
+    def __len__(self) -> int:
+        return len(self.begin)
+
+    def joined(self, begin: np.ndarray, end: np.ndarray) -> list[bytes]:
+        """The words from each ``begin`` to before each ``end``, joined by one blank."""
+        return [self.text[a:b] for a, b in zip(self.at[begin].tolist(), (self.at[end] - 1).tolist())]
+
+
+def _anchors(texts: list[bytes]):
+    """Words of all texts, and per window: start, row and anchor."""
+    words = _Words(texts)
     empty = np.zeros(0, dtype=np.int64)
     if len(words) < WINDOW:
-        return words, first, empty, empty, empty.view(np.uint64)
-    each = np.frombuffer(b"".join(map(hashes.__getitem__, words)), dtype=">u8").astype(np.uint64)
+        return words, empty, empty, empty.view(np.uint64)
+    each = _word_hashes(words.raw, words.begin, words.end)
     grams = np.zeros(len(words) - GRAM + 1, dtype=np.uint64)
     for k in range(GRAM):
         grams *= _FACTOR
@@ -102,10 +138,10 @@ def _anchors(texts: list[bytes], hashes: _WordHashes):
         least = np.minimum(least[:-step], least[step:])
         width += step
     starts = np.arange(len(words) - WINDOW + 1)
-    row = np.repeat(np.arange(len(texts)), counts)
+    row = np.repeat(np.arange(len(texts)), np.diff(words.first))
     inside = row[starts] == row[starts + WINDOW - 1]
     starts = starts[inside]
-    return words, first, starts, row[starts], least[starts]
+    return words, starts, row[starts], least[starts]
 
 
 def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,10 +151,9 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     Rows without: further places of anchors that the block itself holds twice, ready as they are
     and dealt by document.
     """
-    hashes = _WordHashes()
     for rows, texts in _blocks(batches):
         docs = rows.column("id").to_numpy(zero_copy_only=False)
-        _, _, _, row, anchor = _anchors(texts, hashes)
+        _, _, row, anchor = _anchors(texts)
         if not len(row):
             continue
         change = np.flatnonzero(np.concatenate(([True], (anchor[1:] != anchor[:-1]) | (row[1:] != row[:-1]))))
@@ -180,12 +215,12 @@ def _digests(segment: bytes) -> tuple[int, int]:
     return _signed(xxhash.xxh64_intdigest(segment)), _signed(xxhash.xxh64_intdigest(segment, 1))
 
 
-def _live(rows: pa.RecordBatch, texts: list[bytes], hashes: _WordHashes, wanted: str):
-    """Words, first words and the windows whose anchor is in the list column ``wanted``."""
-    words, first, starts, row, anchor = _anchors(texts, hashes)
+def _live(rows: pa.RecordBatch, texts: list[bytes], wanted: str):
+    """Words and the windows whose anchor is in the list column ``wanted``."""
+    words, starts, row, anchor = _anchors(texts)
     anchor = anchor.view(np.int64)
     live = np.isin(anchor, np.unique(rows.column(wanted).flatten().to_numpy(zero_copy_only=False)))
-    return words, first, starts[live], row[live], anchor[live]
+    return words, starts[live], row[live], anchor[live]
 
 
 def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,11 +229,10 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     A window of a hot anchor is a segment of its own and comes without places, but with its least
     and largest document.
     """
-    hashes = _WordHashes()
     for rows, texts in _blocks(batches):
         docs = rows.column("id").to_pylist()
         checks = [_signed(xxhash.xxh64_intdigest(t)) for t in texts]
-        words, first, starts, row, anchor = _live(rows, texts, hashes, "live")
+        words, starts, row, anchor = _live(rows, texts, "live")
         if not len(starts):
             continue
         alone = np.isin(anchor, np.unique(rows.column("hot").flatten().to_numpy(zero_copy_only=False)))
@@ -206,8 +240,8 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         heads = np.flatnonzero(head)
         ends = np.concatenate((heads[1:], [len(starts)])) - 1
         found: dict[bytes, list] = {}
-        for a, b, r, key, single in zip(starts[heads].tolist(), (starts[ends] + WINDOW).tolist(), row[heads].tolist(), anchor[heads].tolist(), alone[heads].tolist()):
-            segment = b" ".join(words[a:b])
+        segments, places = words.joined(starts[heads], starts[ends] + WINDOW), starts[heads] - words.first[row[heads]]
+        for segment, a, r, key, single in zip(segments, places.tolist(), row[heads].tolist(), anchor[heads].tolist(), alone[heads].tolist()):
             at = found.get(segment)
             if at is None:
                 route = _signed((_digests(segment)[0] if single else key) & 0xFFFFFFFF, 32)
@@ -215,7 +249,7 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if single:
                 at[1], at[2] = min(at[1], docs[r]), max(at[2], docs[r])
             else:
-                at[3] += _PLACE.pack(docs[r], checks[r], a - int(first[r]))
+                at[3] += _PLACE.pack(docs[r], checks[r], a)
         lists = list(found.values())
         yield pa.RecordBatch.from_arrays([
             pa.array([x[0] for x in lists], pa.int32()), pa.array(list(found), pa.binary()), pa.array([x[1] for x in lists], pa.int64()),
@@ -225,14 +259,13 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _hot_places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(id, body, hot) -> (one, two, d, check, start) of every window with a hot anchor."""
-    hashes = _WordHashes()
     for rows, texts in _blocks(batches):
         docs, checks = rows.column("id").to_pylist(), [_signed(xxhash.xxh64_intdigest(t)) for t in texts]
-        words, first, starts, row, _ = _live(rows, texts, hashes, "hot")
-        digests = [_digests(b" ".join(words[a:a + WINDOW])) for a in starts.tolist()]
+        words, starts, row, _ = _live(rows, texts, "hot")
+        digests = [_digests(s) for s in words.joined(starts, starts + WINDOW)]
         yield pa.RecordBatch.from_arrays([
             pa.array([x[0] for x in digests], pa.int64()), pa.array([x[1] for x in digests], pa.int64()), pa.array([docs[r] for r in row.tolist()], pa.int64()),
-            pa.array([checks[r] for r in row.tolist()], pa.int64()), pa.array(starts - first[row], pa.int32()),
+            pa.array([checks[r] for r in row.tolist()], pa.int64()), pa.array(starts - words.first[row], pa.int32()),
         ], ["one", "two", "d", "check", "start"])
 
 

@@ -173,3 +173,21 @@ def test_recall_at_the_threshold():
     assert shared > 0.99
     h = vectors.hadamard(np.eye(8))
     np.testing.assert_allclose(h @ h.T, np.eye(8), atol=1e-12)
+
+
+def test_words_are_hashed_by_their_bytes_wherever_they_stand(monkeypatch):
+    """One pass over the bytes of a block gives the words of ``bytes.split`` and one hash per different word."""
+    monkeypatch.setattr(substrings, "_PIECE", 64)
+    monkeypatch.setattr(substrings, "_LONG", 16)
+    rng = random.Random(11)
+    kinds = [b"a", b"b", b"ab", b"ba", b"\x00", b"\x00\x00", "é è".encode(), b"x" * 16, b"x" * 17, b"y" * 300, *(b"w%d" % i for i in range(200))]
+    texts = [b"", b" \t", b"one", *(rng.choice([b"", b" ", b"\r\n"]) + b"".join(rng.choice(kinds) + rng.choice([b" ", b"\t\x0b", b"\n  \x0c"]) for _ in range(rng.randrange(60))) for _ in range(50)), b"a" * 5]
+    words = substrings._Words(texts)
+    want = [t.split() for t in texts]
+    flat = [w for ws in want for w in ws]
+    assert words.first.tolist() == np.cumsum([0, *map(len, want)]).tolist()
+    assert words.joined(np.arange(len(flat)), np.arange(len(flat)) + 1) == flat
+    assert words.joined(np.array([0, 3]), np.array([9, 16])) == [b" ".join(flat[:9]), b" ".join(flat[3:16])]
+    hashes = substrings._word_hashes(words.raw, words.begin, words.end).tolist()
+    assert len(set(zip(flat, hashes))) == len(set(flat)) == len(set(hashes))
+    assert len(substrings._Words([b"", b"  "])) == 0
