@@ -500,14 +500,14 @@ def drop_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     renamed = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("body"), *[F.col(c).alias(f"_c{k}") for k, c in enumerate(carried)])
     docs = renamed.where("id IS NOT NULL")  # both joins below read the same exchange of it
     pairs = docs.select("id", "body").mapInArrow(_pairs, "r long, anchor long, doc long, n long")
-    shared = written(pairs.repartition("r").sortWithinPartitions("r").mapInArrow(_shared, "doc long, anchor long, n long"))
+    shared = written(pairs.repartition("r").sortWithinPartitions("r").mapInArrow(_shared, "doc long, anchor long, n long"), release=True)
     total = shared.count()
     hot = shared.where(F.col("n") > max(HOT, total // 1_000_000)).select(F.col("anchor").alias("h")).distinct()  # a million at most
     marked = shared.join(F.broadcast(hot), F.col("anchor") == F.col("h"), "left")
     per_doc = marked.groupBy(F.col("doc").alias("d")).agg(F.collect_set("anchor").alias("live"), F.collect_set("h").alias("hot"))
     segments = docs.join(per_doc, F.col("id") == F.col("d")).select("id", "body", "live", "hot").mapInArrow(_segments, _SEGMENTS)
     # no more documents than HOT stand behind a row with places; the others meet in a join that can be split
-    indexed = written(segments.repartition("route").sortWithinPartitions("route").mapInArrow(_index, _FOUND))
+    indexed = written(segments.repartition("route").sortWithinPartitions("route").mapInArrow(_index, _FOUND), release=True)
     hits = indexed.where("d IS NOT NULL").select("d", "check", "windows")
     reports = indexed.where("one IS NOT NULL").select(F.col("one").alias("o"), F.col("two").alias("t"), "first")
     hot_of = marked.where("h IS NOT NULL").groupBy(F.col("doc").alias("d")).agg(F.collect_set("h").alias("hot"))

@@ -191,3 +191,17 @@ def test_words_are_hashed_by_their_bytes_wherever_they_stand(monkeypatch):
     hashes = substrings._word_hashes(words.raw, words.begin, words.end).tolist()
     assert len(set(zip(flat, hashes))) == len(set(flat)) == len(set(hashes))
     assert len(substrings._Words([b"", b"  "])) == 0
+
+
+def test_exchanges_go_with_release(spark, monkeypatch):
+    from structscreen.llm import common
+
+    seen, keep = [], common.shared_dir
+    monkeypatch.setattr(common, "shared_dir", lambda s: (seen.append(s.conf.get(common._CLEANUP)), keep(s))[1])
+    df = spark.range(100).repartition(3, "id")
+    before = spark.conf.get(common._CLEANUP)
+    assert common.written(df, release=True).count() == common.written(df).count() == df.count() == 100
+    assert seen == [before] * 2 and spark.conf.get(common._CLEANUP) == before
+    with pytest.raises(Exception):
+        common.written(df.selectExpr("raise_error('no') AS x"), release=True)
+    assert spark.conf.get(common._CLEANUP) == before
